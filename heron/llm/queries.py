@@ -9,14 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoding_digests
 from .common import table
+from .media import media_digests
+from .packing import pack_documents
+from .sharding import shard_documents
+from .token_files import token_file_digests
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, whole=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe,)}
+    return {f.__name__: f for f in (op1_bpe, op3_sharding, op5_token_files, op8_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
