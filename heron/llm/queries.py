@@ -11,6 +11,7 @@ from .bpe import encoding_digests
 from .common import table
 from .media import media_digests
 from .packing import pack_documents
+from .quality import COUNTS, fit, judge
 from .sharding import shard_documents
 from .token_files import token_file_digests
 
@@ -27,6 +28,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = fit(docs, table(spark, sf_dir, "labels"))
+    return judge(docs, rules).select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -36,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_sharding, op5_token_files, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_sharding, op5_token_files, op6_quality, op8_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
