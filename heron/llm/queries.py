@@ -13,6 +13,7 @@ from .media import media_digests
 from .packing import pack_documents
 from .quality import COUNTS, fit, judge
 from .sharding import shard_documents
+from .simhash import near_duplicates
 from .token_files import token_file_digests
 
 
@@ -24,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -43,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_sharding, op5_token_files, op6_quality, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_simhash, op5_token_files, op6_quality, op8_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
