@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .quality import COUNTS, fit, judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring import repeat_digests
 from .token_files import token_file_digests
 
 
@@ -43,12 +44,16 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), window=13)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, whole=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_simhash, op5_token_files, op6_quality, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_simhash, op5_token_files, op6_quality, op8_media, op9_substring, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
