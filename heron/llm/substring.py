@@ -7,8 +7,8 @@ those can repeat. Their distinct texts, with the least document of each, are dea
 
 Each shard builds FM-indexes (wavelet matrix over word numbers) of up to INDEX_WORDS words, cut between anchors, and
 streams all windows of its segments through backward search; a window with one place left is no repeat, so most stop after
-a few words. The intervals of those that match in full give the least document that has the window. An anchor with more
-than HOT distinct segments (a line before ever other texts) is dealt by whole windows instead. The answers are joined to the
+a few words. The intervals of those that match in full give the least document that has the window. An anchor of more
+than HOT documents (a line before ever other texts) is dealt by whole windows instead. The answers are joined to the
 segments' places and, by document, to the texts.
 
 Only the least doc_id counts: a window is removed where its document's id is larger. All windows are judged on the input.
@@ -39,7 +39,7 @@ WINDOW = 13
 ANCHOR = 4
 #: Words of one index.
 INDEX_WORDS = 1 << 20
-#: Distinct segments of one anchor that go to one index.
+#: Documents of one anchor whose segments go to one index.
 HOT = 20_000
 _BLOCK = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,8 +104,8 @@ def _ids(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """route, anchor, doc_id, kind, hits: 0 an anchor of one document, 1 an anchor known for shared (no document),
-    2 the anchors of a document that are known for shared."""
+    """route, doc_id, kind, n, hits. kind 0: an anchor (route) of one document; 1: an anchor known for shared by n documents;
+    2: the anchors (hits) of a document that are known for shared."""
     for b in steps(batches):
         ids = _ids(b)
         w = Windows(utf8(b.column("text")), window)
@@ -118,8 +118,9 @@ def _anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
         h, d = h[new], d[new]
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        many = np.diff(np.append(start, len(h))) > 1
-        shared = np.repeat(many, np.diff(np.append(start, len(h))))
+        size = np.diff(np.append(start, len(h)))
+        many = size > 1
+        shared = np.repeat(many, size)
         one, known = h[~shared].view(np.int64), h[start[many]].view(np.int64)
         hit_h, hit_d = h[shared], d[shared]
         order = np.argsort(hit_d, kind="stable")
@@ -131,17 +132,19 @@ def _anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         n = [len(one), len(known), len(docs)]
         yield pa.record_batch(
             [
-                pa.array(np.concatenate([one, known, (docs.astype(np.uint64) * _MIX).view(np.int64)])),
+                pa.array(np.concatenate([one, known, docs ^ _MIX.view(np.int64)])),
                 pa.concat_arrays([pa.array(d[~shared], pa.int64()), pa.nulls(n[1], pa.int64()), pa.array(docs, pa.int64())]),
                 pa.array(np.repeat(np.array([0, 1, 2], np.int32), n)),
+                pa.array(np.concatenate([np.ones(n[0], np.int64), size[many], np.zeros(n[2], np.int64)])),
                 pa.concat_arrays([pa.nulls(n[0] + n[1], pa.binary()), pa.array(hits, pa.binary())]),
             ],
-            names=["route", "doc_id", "kind", "hits"],
+            names=["route", "doc_id", "kind", "n", "hits"],
         )
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, hits. The rows come sorted by route; a batch sends an anchor once, so the rows of one are few."""
+def _shared(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, hits: the shared anchors of a document, or without a document those of more than `hot` ones. The rows
+    come sorted by route; a batch sends an anchor once, so the rows of one are few."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         kind = table["kind"].to_numpy()
@@ -156,6 +159,10 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             big = np.iinfo(np.int64)
             low = np.minimum.reduceat(np.where(k == 0, doc, big.max), start)
             high = np.maximum.reduceat(np.where(k == 0, doc, big.min), start)
+            often = route[start[np.add.reduceat(table["n"].to_numpy()[at], start) > hot]]
+            if len(often):
+                out_doc.append(None)
+                out_hits.append(often.tobytes())
             yes = (np.maximum.reduceat(k, start) == 1) | (low < high)
             pick = np.repeat(yes, np.diff(np.append(start, len(route)))) & (k == 0)
             h, d = route[pick], doc[pick]
@@ -183,6 +190,11 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(rest)
 
 
+def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column("hits").to_pylist()), np.int64))], names=["anchor"])
+
+
 # Second pass: the segments of shared anchors.
 
 SEGMENTS = "anchor long, seg long, doc_id long, last long, row long, starts binary, content binary"
@@ -308,19 +320,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
     """doc_id, spans array<struct<row, starts, gone>>: for each document with a repeat, its segments' places and which
     windows from there start in an earlier document."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    sent = texts.mapInArrow(partial(_anchors, window=window), "route long, doc_id long, kind int, hits binary")
-    shared = sent.repartition("route").sortWithinPartitions("route").mapInArrow(_shared, "doc_id long, hits binary")
-    hits = shared.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
-    # Both uses below read this one exchange of the texts.
+    sent = texts.mapInArrow(partial(_anchors, window=window), "route long, doc_id long, kind int, n long, hits binary")
+    shared = written(sent.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_shared, hot=hot), "doc_id long, hits binary"), "anchors")
+    hits = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+    often = shared.where("doc_id is null").mapInArrow(_unpack, "anchor long")
+    # The uses below read one exchange of the texts.
     joined = _texts(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
-    contents = written(joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "seg", "doc_id", "last", "content"), "segments")
+    contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "seg", "doc_id", "last", "content")
     places = joined.mapInArrow(partial(_segments, window=window, contents=False), SEGMENTS).select("anchor", "seg", "doc_id", "row", "starts")
-    often = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
-    often = written(often, "hot")
     columns = ["route", "anchor", "seg", "part", "doc_id", "last", "content"]
-    plain = contents if often.isEmpty() else contents.join(often, "anchor", "left_anti")
+    none = often.isEmpty()
+    plain = contents if none else contents.join(often, "anchor", "left_anti")
     routed = plain.withColumns({"route": F.col("anchor"), "part": F.lit(-1)}).select(columns)
-    if not often.isEmpty():
+    if not none:
         cut = contents.join(often, "anchor").mapInArrow(partial(_cut_windows, window=window), "route long, seg long, doc_id long, last long, content binary, anchor long, part int")
         # Equal windows meet first in the aggregate, before the shuffle where they can.
         routed = routed.unionByName(cut.groupBy("route", "anchor", "seg", "part").agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.first("content").alias("content")).select(columns))
