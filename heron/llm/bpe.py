@@ -133,7 +133,7 @@ def pair_index_bpe(path: str) -> PairIndexBpe:
 
 def _digests(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = pair_index_bpe(path)
-    for b in steps(batches):
+    for b in steps(batches, limit=1 << 20):
         got = bpe.encode_decode(strings(b.column("text")))
         hexed = lambda xs: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs], pa.string())
         yield pa.record_batch(
@@ -144,7 +144,7 @@ def _digests(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = pair_index_bpe(path)
-    for b in steps(batches):
+    for b in steps(batches, limit=1 << 20):
         got = bpe.encode_decode(strings(b.column("text")))
         ids = pa.array([[int(i) for i in x.split()] for x, _ in got], pa.list_(pa.int32()))
         yield pa.record_batch([b.column("doc_id"), ids, pa.array([y for _, y in got], pa.string())], names=["doc_id", "ids", "decoded"])

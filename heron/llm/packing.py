@@ -163,7 +163,7 @@ def _rows(rows: list[tuple], whole: bool) -> pa.RecordBatch:
 def _pack(batches: Iterable[pa.RecordBatch], path: str, end_id: int, whole: bool, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     encode, end = codec(path).encode, np.uint32(end_id).tobytes()
     packer = Packer(TaskContext.get().partitionId() << 40, tiers)
-    for b in steps(batches):
+    for b in steps(batches, limit=1 << 20):
         for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(strings(b.column("text"))), strict=True):
             packer.add(doc_id, ids + end)
         if packer.done:

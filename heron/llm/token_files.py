@@ -133,7 +133,7 @@ class TokenFileReader:
 def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = codec(path).encode, np.uint32(end_id).tobytes()
     writer, n, tokens, first = None, 0, 0, 0
-    for b in steps(batches):
+    for b in steps(batches, limit=1 << 20):
         if b.column("doc_id").null_count:
             raise ValueError("a document has no doc_id")
         if writer is None:
