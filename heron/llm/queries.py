@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoding_digests
 from .common import table
+from .lm import score_documents
 from .media import media_digests
 from .packing import pack_documents
 from .quality import COUNTS, fit, judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .substring import repeat_digests
+from .token_counts import maintained_totals
 from .token_files import token_file_digests
 
 
@@ -22,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, toxic = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1")
+    return maintained_totals(docs, toxic, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -40,6 +47,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, rules).select("doc_id", *COUNTS[:5], "base_failed", "kept", "rule")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -53,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_simhash, op5_token_files, op6_quality, op8_media, op9_substring, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
