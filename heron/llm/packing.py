@@ -155,7 +155,8 @@ def _rows(rows: list[tuple], whole: bool) -> pa.RecordBatch:
     columns = [long(doc_id), long(start), long(length), long([zlib.crc32(x) for x in ids]), long(total), long(sequence), long(offset), pa.array(tier, pa.int32()), long(group)]
     names = [x.split()[0] for x in COLUMNS.split(", ")]
     if whole:
-        columns.append(pa.array([np.frombuffer(x, "<u4").tolist() for x in ids], pa.list_(pa.int64())))
+        offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
         names.append("ids")
     return pa.record_batch(columns, names=names)
 
@@ -177,5 +178,5 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, end_id: int, whole: bool
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, whole: bool = True, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """A row for each piece of a document: its place in the document, its window, its place there, the window's length
     (tier), and its step group; `whole` adds the ids. The tiers are powers of two."""
-    columns = COLUMNS + (", ids array<long>" if whole else "")
+    columns = COLUMNS + (", ids array<int>" if whole else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_pack, path=path, end_id=end_id, whole=whole, tiers=tuple(tiers)), columns)

@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,21 @@ from .xxh import xxh64
 SEED = 42
 #: Fingerprints of one key that one task compares.
 HOT = 4096
+#: Bins of a sketch, a power of two.
+BINS = 128
 #: What a candidate costs in probes.
 CANDIDATE = 0.01
 
 
-def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
-    """The fingerprint of each text, shingles of so many words, A-Z lower-cased."""
+def fingerprints_of(texts: list[bytes], words: int, sketch: bool = False) -> np.ndarray | tuple[np.ndarray, list[bytes]]:
+    """The fingerprint of each text, shingles of so many words, A-Z lower-cased; and on demand its sketch: of BINS bins of
+    the shingles' hashes a byte of the least one, 0 for an empty bin."""
     split = [b" ".join(t.lower().split()) for t in texts]
     n = np.array([s.count(b" ") + 1 if s else 0 for s in split], np.int64)
     out = np.zeros(len(texts), np.uint64)
     has = np.flatnonzero(n)
     if not len(has):
-        return out
+        return (out, [bytes(BINS)] * len(texts)) if sketch else out
     data = b"\n".join(s for s in split if s) + b"\n"
     chars = np.frombuffer(data, np.uint8)
     end = np.flatnonzero((chars == 32) | (chars == 10))  # after each word
@@ -66,7 +70,28 @@ def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
         lo, hi = np.searchsorted(first, k, "right") - 1, np.searchsorted(first, min(k + step, len(hashes)), "left")
         half[lo:hi] += np.add.reduceat(bits, np.maximum(first[lo:hi] - k, 0), axis=0, dtype=np.int32)
     out[has] = np.packbits(half * 2 > m[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    if not sketch:
+        return out
+    least = np.full(len(texts) * BINS, ~np.uint64(0))
+    cell = np.repeat(has, m) * BINS + (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    np.minimum.at(least, cell, hashes & np.uint64((1 << 56) - 1))
+    bytes_ = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(-1, BINS)
+    return out, [x.tobytes() for x in bytes_]
+
+
+def _with_sketch(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches):
+        fp, sketches = fingerprints_of(utf8(b.column("text")), words, sketch=True)
+        yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
+
+
+def _alike(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The links whose sketches agree in that share of the bins that either fills."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+        share = ((x == y) & (x > 0)).sum(1) / np.maximum(((x > 0) | (y > 0)).sum(1), 1)
+        keep = pa.array((share >= similarity) | (~x.any(1) & ~y.any(1)))
+        yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
 def _fingerprint(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -125,14 +150,10 @@ def _cost(n: int, equal: float, agree: np.ndarray, radius: int) -> dict[int, flo
     """By threshold: the probes and candidates of one partition. equal: expected pairs of equal keys; agree: the chance
     that two fingerprints have a bit in common, by bit."""
     out, width = {-1: 0.0}, len(agree)
-    odds = (1 - agree) / agree
-    pairs, ways, choose = equal, 1.0, 1.0
+    odds = float(((1 - agree) / agree).sum())
+    apart = [equal, equal * odds, equal * odds * odds / 2]  # pairs by the bits they differ in
     for t in range(min(radius, 2, width - 1) + 1):
-        if t:
-            ways *= odds.sum() / t
-            pairs += equal * ways
-            choose *= (width - t + 1) / t
-        out[t] = n * choose + CANDIDATE * pairs * choose
+        out[t] = n * comb(width, t) + CANDIDATE * sum(apart[s] * comb(width - s, t - s) for s in range(t + 1))
     return out
 
 
@@ -199,8 +220,9 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints of the same run; runs are contiguous."""
+def _links(fp: np.ndarray, run: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between fingerprints of the same run, or every link where they are few; runs are
+    contiguous."""
     n = len(fp)
     size = np.bincount(run)
     start = np.cumsum(size) - size
@@ -220,7 +242,8 @@ def _links(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np
         shift += 1
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _forest(n, np.concatenate(found_a), np.concatenate(found_b))
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return (a, b) if every and len(a) <= 8 * n else _forest(n, a, b)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +252,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, label[own]
 
 
-def _verify(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterable[pa.RecordBatch], radius: int, every: bool) -> Iterator[pa.RecordBatch]:
     """Batches sorted by the key columns, all but the last, which is the fingerprint."""
     rest = None
 
@@ -238,7 +261,7 @@ def _verify(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         new = np.zeros(len(fp), bool)
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
-        a, b = _links(fp.view(np.uint64), np.cumsum(new), radius)
+        a, b = _links(fp.view(np.uint64), np.cumsum(new), radius, every)
         return pa.record_batch([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
     for batch in batches:
@@ -260,9 +283,9 @@ def _verify(batches: Iterable[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield emit(rest)
 
 
-def _compared(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+def _compared(rows: DataFrame, keys: list[str], radius: int, every: bool) -> DataFrame:
     ordered = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return ordered.mapInArrow(partial(_verify, radius=radius), "a long, b long")
+    return ordered.mapInArrow(partial(_verify, radius=radius, every=every), "a long, b long")
 
 
 def _probes(rows: DataFrame, masks: list[tuple[int, int]], keys: list[str]) -> DataFrame:
@@ -271,8 +294,9 @@ def _probes(rows: DataFrame, masks: list[tuple[int, int]], keys: list[str]) -> D
     return rows.select(*keys, "fp", F.explode(each).alias("k")).select(*keys, "k.probe", "k.key", "fp")
 
 
-def links(unique: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
-    """a, b: edges with the components of all pairs of distinct fingerprints (fp) at most `radius` bits apart."""
+def links(unique: DataFrame, radius: int = 4, hot: int = HOT, every: bool = False) -> DataFrame:
+    """a, b: edges with the components of all pairs of distinct fingerprints (fp) at most `radius` bits apart; `every`
+    adds more of these pairs, all where a key has few."""
     plan = plan_search(unique, radius)
     spark: SparkSession = unique.sparkSession
     if not plan:
@@ -281,7 +305,7 @@ def links(unique: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
     rows = _probes(unique.select("fp"), [(i, _mask(b)) for i, b in enumerate(bits)], [])
     counts = written(rows.groupBy("probe", "key").count().where(F.col("count") > hot), "hot")
     if counts.isEmpty():
-        return _compared(rows, ["probe", "key"], radius)
+        return _compared(rows, ["probe", "key"], radius, every)
     cold = rows.join(counts, ["probe", "key"], "left_anti")
     # Hot keys: equal on one of radius + 1 blocks of the open bits; each probe has blocks of its own.
     open_bits = [[b for b in range(64) if b not in own] for own in bits]
@@ -296,7 +320,7 @@ def links(unique: DataFrame, radius: int = 4, hot: int = HOT) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), n).cast("int")
     large = sized.where("count is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    found = _compared(cold, ["probe", "key"], radius).unionByName(_compared(small, keys, radius)).unionByName(_compared(large, [*keys, "x", "y"], radius))
+    found = _compared(cold, ["probe", "key"], radius, every).unionByName(_compared(small, keys, radius, every)).unionByName(_compared(large, [*keys, "x", "y"], radius, every))
     return found
 
 
@@ -306,20 +330,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, hot: int =
     return _with_components(prints, radius, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_components(prints: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
-    """prints (doc_id, fp, ...) with component_id."""
-    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
-    found = components(links(unique, radius, hot))
+def _with_components(prints: DataFrame, radius: int, hot: int = HOT, similarity: float | None = None) -> DataFrame:
+    """prints (doc_id, fp, ...) with component_id. With a similarity, links count where the sketches bear it out."""
+    if similarity is None:
+        unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
+        linked = links(unique, radius, hot)
+    else:
+        unique = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("fp", F.col("s.doc_id").alias("least"), F.col("s.sketch").alias("sketch"))
+        unique = written(unique, "unique")
+        near = links(unique.select("fp"), radius, hot, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        a, b = (unique.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        linked = near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_alike, similarity=similarity), "a long, b long")
+    found = components(linked)
     grouped = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = grouped.join(least, "label").select("fp", "component_id")
     return prints.join(of_print, "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The documents without near-duplicates of a smaller doc_id, with all their columns; of rows with the same doc_id
-    and component one stays. A document without an id stays."""
-    near = near_duplicates(docs, words, radius)
+    and component one stays. A document without an id stays.
+
+    Shingles that are alike by `similarity` (Jaccard) lie up to 12 or 13 bits apart, where unlike texts lie too once
+    there are many; so candidates within `radius` are verified by sketches of their shingles. A sketch of BINS bins errs
+    by 0.035 around 0.8; a link counts from one such error below.
+    """
+    prints = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_with_sketch, words=words), "doc_id long, fp long, sketch binary"), "fingerprints")
+    near = _with_components(prints, radius, similarity=similarity - 0.035)
     stay = near.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     named = docs.withColumn("_id", F.col("doc_id").cast("long"))
     kept = named.where("_id is not null").join(stay.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
