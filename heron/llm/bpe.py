@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import KEEP, Codec
+from .codec import Codec
 from .common import steps, strings
 
+#: Pieces, and words, that a worker remembers.
+KEEP = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

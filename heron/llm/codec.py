@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a worker remembers.
-KEEP = 250_000
+#: Pieces that a worker remembers (about 200 bytes each), and words of pieces.
+KEEP, KEEP_WORDS = 700_000, 200_000
 #: White space by Unicode's property, as the pre-tokenizers' \\s has it. str.split also takes \x1c to \x1f.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -112,7 +112,7 @@ class Codec:
             self.words[w] = b"".join([ids[t.id] for t in tokenize(w)])
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.words) > KEEP:
+        if len(self.words) > KEEP_WORDS:
             self.words = {}
         parts = [self.pre_tokens(p) for p in pieces]
         self.learn_words(list(set().union(*parts) - self.words.keys()))
