@@ -200,6 +200,11 @@ def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEGMENTS = "anchor long, seg long, doc_id long, last long, row long, starts binary, content binary"
 
 
+def _tag(text: bytes) -> int:
+    """Tells texts of one doc_id apart."""
+    return xxhash.xxh64_intdigest(text) & 0xFFFF
+
+
 def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) -> Iterator[pa.RecordBatch]:
     """With contents: each distinct segment of a batch once, with its least and largest document. Else its places, a row
     for each document; `row` tells rows of one doc_id apart."""
@@ -208,7 +213,7 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) ->
         texts = utf8(b.column("text"))
         w = Windows(texts, window)
         hits = [np.frombuffer(b"".join(x or ()), np.uint64) for x in b.column("hits").to_pylist()]
-        wanted = np.unique(np.concatenate([x ^ (np.uint64(i + 1) * _MIX) for i, x in enumerate(hits)]))
+        wanted = np.unique(np.concatenate([x ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i, x in enumerate(hits)]))
         if not len(w.start) or not len(wanted):
             continue
         own = w.anchor ^ ((w.doc + 1).astype(np.uint64) * _MIX)
@@ -226,7 +231,7 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) ->
             last = d[np.append(start[1:], len(d)) - 1]
             text = [w.data[x:y] for x, y in zip(a[order[start]].tolist(), e[order[start]].tolist(), strict=True)]
             n = len(start)
-            yield pa.record_batch([pa.array(h[start].view(np.int64)), pa.array(s[start].view(np.int64)), pa.array(d[start]), pa.array(last), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENTS.split(", ")])
+            yield pa.record_batch([pa.array(h[start].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(d[start]), pa.array(last - d[start]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENTS.split(", ")])
         else:
             of = w.doc[pick]
             place = (w.start[pick] - w.first[of]).astype(np.int32)
@@ -235,22 +240,26 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) ->
             start = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (h[1:] != h[:-1]) | (o[1:] != o[:-1])))
             ends = np.append(start[1:], len(p))
             raw, n = p.astype("<i4").tobytes(), len(start)
-            rows = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+            rows = np.array([_tag(t) for t in texts], np.int64)
             yield pa.record_batch(
                 [pa.array(h[start].view(np.int64)), pa.array(s[start].view(np.int64)), pa.array(ids[o[start]]), pa.nulls(n, pa.int64()), pa.array(rows[o[start]]), pa.array([raw[4 * x : 4 * y] for x, y in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary())],
                 names=[x.split()[0] for x in SEGMENTS.split(", ")],
             )
 
 
+def _signed(x: int) -> int:
+    return x - ((x >> 63) << 64)
+
+
 def _cut_windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Segments as single windows, dealt by their own hash."""
     for b in batches:
         rows: list[tuple] = []
-        for anchor, seg, low, last, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "doc_id", "last", "content")), strict=True):
-            words = content.split(b" ")
+        for anchor, low, more, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "last", "content")), strict=True):
+            words, seg, last = content.split(b" "), _signed(xxhash.xxh64_intdigest(content, 11)), low + more
             for j in range(len(words) - window + 1):
                 part = b" ".join(words[j : j + window])
-                rows.append((xxhash.xxh64_intdigest(part) - (1 << 63), seg, low, last, part, anchor, j))
+                rows.append((_signed(xxhash.xxh64_intdigest(part)), seg, low, last, part, anchor, j))
         if rows:
             c = list(zip(*rows, strict=True))
             yield pa.record_batch([pa.array(x, pa.binary() if i == 4 else pa.int32() if i == 6 else pa.int64()) for i, x in enumerate(c)], names=["route", "seg", "doc_id", "last", "content", "anchor", "part"])
@@ -262,9 +271,9 @@ FOUND = "anchor long, seg long, part int, mins array<long>"
 
 
 def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
-    """rows: route, anchor, seg, part, least and largest document, content, sorted; the least document of each window."""
+    """rows: anchor, seg, part, least and largest document, content; the least document of each window."""
     kept: dict[tuple, list] = {}
-    for _, anchor, seg, part, low, last, content in rows:
+    for anchor, seg, part, low, last, content in rows:
         got = kept.setdefault((anchor, seg, part), [low, last, content])
         got[0], got[1] = min(got[0], low), max(got[1], last)
     numbers: dict[bytes, int] = {}
@@ -303,15 +312,18 @@ def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
 def _index(batches: Iterable[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Indexes of consecutive routes; equal windows have equal routes, so a cut between two loses nothing."""
     rows: list[tuple] = []
-    words = 0
+    words, before = 0, None
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("route", "anchor", "seg", "part", "doc_id", "last", "content")), strict=True):
-            if words >= limit and row[0] != rows[-1][0]:
+        for route, anchor, seg, part, low, more, content in zip(*(b.column(c).to_pylist() for c in ("route", "anchor", "seg", "part", "doc_id", "last", "content")), strict=True):
+            if words >= limit and route != before:
                 if (found := _search(rows, window)) is not None:
                     yield found
                 rows, words = [], 0
-            rows.append(row)
-            words += row[6].count(b" ") + 1
+            if part is None:  # a whole segment, dealt by its anchor
+                anchor, seg, part = route, _signed(xxhash.xxh64_intdigest(content, 11)), -1
+            rows.append((anchor, seg, part, low, low + more, content))
+            words += content.count(b" ") + 1
+            before = route
     if rows and (found := _search(rows, window)) is not None:
         yield found
 
@@ -319,38 +331,45 @@ def _index(batches: Iterable[pa.RecordBatch], window: int, limit: int) -> Iterat
 def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int = INDEX_WORDS) -> DataFrame:
     """doc_id, spans array<struct<row, starts, gone>>: for each document with a repeat, its segments' places and which
     windows from there start in an earlier document."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    sent = texts.mapInArrow(partial(_anchors, window=window), "route long, doc_id long, kind int, n long, hits binary")
+    sent = _texts(docs).where("doc_id is not null").mapInArrow(partial(_anchors, window=window), "route long, doc_id long, kind int, n long, hits binary")
     shared = written(sent.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_shared, hot=hot), "doc_id long, hits binary"), "anchors")
     hits = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
     often = shared.where("doc_id is null").mapInArrow(_unpack, "anchor long")
     # The uses below read one exchange of the texts.
     joined = _texts(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
-    contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "seg", "doc_id", "last", "content")
+    contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "doc_id", "last", "content")
     places = joined.mapInArrow(partial(_segments, window=window, contents=False), SEGMENTS).select("anchor", "seg", "doc_id", "row", "starts")
     columns = ["route", "anchor", "seg", "part", "doc_id", "last", "content"]
     none = often.isEmpty()
     plain = contents if none else contents.join(often, "anchor", "left_anti")
-    routed = plain.withColumns({"route": F.col("anchor"), "part": F.lit(-1)}).select(columns)
+    null = F.lit(None)
+    routed = plain.select(F.col("anchor").alias("route"), null.cast("long").alias("anchor"), null.cast("long").alias("seg"), null.cast("int").alias("part"), "doc_id", "last", "content")
     if not none:
         cut = contents.join(often, "anchor").mapInArrow(partial(_cut_windows, window=window), "route long, seg long, doc_id long, last long, content binary, anchor long, part int")
         # Equal windows meet first in the aggregate, before the shuffle where they can.
-        routed = routed.unionByName(cut.groupBy("route", "anchor", "seg", "part").agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.first("content").alias("content")).select(columns))
+        routed = routed.unionByName(cut.groupBy("route", "anchor", "seg", "part").agg(F.min("doc_id").alias("doc_id"), (F.max("last") - F.min("doc_id")).alias("last"), F.first("content").alias("content")).select(columns))
     found = routed.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_index, window=window, limit=limit), FOUND)
     gone = places.join(found, ["anchor", "seg"]).where("exists(mins, x -> x < doc_id)").select("doc_id", F.struct("row", "starts", F.greatest("part", F.lit(0)).alias("part"), F.expr("transform(mins, x -> x < doc_id)").alias("gone")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    # A cast to the type that it has leaves an alias in some of the plans, and then their exchange isn't shared.
+    return docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long"), "text")
+
+
+def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every text with its spans or null. Texts without an id need no join; the others use the exchange that repeats()
+    does, which asks for an id too."""
+    none = texts.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    return texts.where("doc_id is not null").join(spans, "doc_id", "left").select(none.columns).unionByName(none)
 
 
 def _removed(text: bytes, words: int, spans: list[dict] | None, window: int) -> np.ndarray:
     """Which words go."""
     edge = np.zeros(words + 1, np.int32)
     if spans:
-        own = xxhash.xxh64_intdigest(text)
-        own -= (own >> 63) << 64
+        own = _tag(text)
         for s in spans:
             if s["row"] == own:
                 for at in np.frombuffer(s["starts"], "<i4").tolist():
@@ -382,7 +401,7 @@ def _kept(batches: Iterable[pa.RecordBatch], window: int, digest: bool) -> Itera
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    joined = _texts(docs).join(repeats(docs, window), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = _with_spans(_texts(docs), repeats(docs, window))
     return joined.mapInArrow(partial(_kept, window=window, digest=True), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")
 
 
@@ -391,7 +410,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words left joined by one space (empty if none is)."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*names).withColumns({"text": F.col(names[docs.columns.index("text")]), "doc_id": F.col(names[docs.columns.index("doc_id")]).cast("long")})
-    joined = inner.join(repeats(docs, window), "doc_id", "left").select(*names, "text", "spans")
+    joined = _with_spans(inner, repeats(docs, window)).select(*names, "text", "spans")
     schema = ", ".join([f"`{n}` {t.dataType.simpleString()}" for n, t in zip(names, docs.schema.fields, strict=True)] + ["n_words long", "n_removed long", "kept string"])
     done = joined.mapInArrow(partial(_kept, window=window, digest=False), schema)
     text = F.when(F.col(names[docs.columns.index("text")]).isNull(), None).otherwise(F.col("kept"))
