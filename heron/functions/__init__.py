@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: they stay inside Spark's generated code."""

@@ -1 +1 @@
-"""See the modules."""
+"""Operators: pure functions from DataFrames to DataFrames."""
