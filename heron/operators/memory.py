@@ -51,7 +51,8 @@ def temporal_neighbours(observations: DataFrame, hit: Column, session: str = "se
     """hit_id, event_id, rule: 1 for the rows next to a hit in its session, 2 for those two away. One window, no join."""
     w = Window.partitionBy(session).orderBy("event_id")
     around = F.array(*[F.struct(F.when(F.lag(hit, d).over(w) if d > 0 else F.lead(hit, -d).over(w), F.lag("event_id", d).over(w) if d > 0 else F.lead("event_id", -d).over(w)).alias("hit_id"), F.lit(abs(d)).alias("rule")) for d in (1, -1, 2, -2)])
-    return observations.select("event_id", F.explode(around).alias("a")).where("a.hit_id is not null").select("a.hit_id", "event_id", "a.rule")
+    placed = observations.select("event_id", around.alias("around"))  # the windows first, then the rows that they make
+    return placed.select("event_id", F.explode("around").alias("a")).where("a.hit_id is not null").select("a.hit_id", "event_id", "a.rule")
 
 
 def session_neighbours(observations: DataFrame, hit: Column, session: str = "session_id") -> DataFrame:

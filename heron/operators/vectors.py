@@ -57,6 +57,8 @@ def statistics(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], queries: np.ndarray, ids: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
+    if not ids:
+        return
     norms = np.linalg.norm(queries, axis=1)
     for b in batches:
         if not b.num_rows:
@@ -78,6 +80,20 @@ def similar_to(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], t
     return valid.mapInArrow(partial(_blocks, queries=matrix, ids=ids, threshold=threshold), "hit_id long, vec_id long, score double")
 
 
+def similar_to_set(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, block: int = 4096, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Pairs above the threshold (strictly) of a query set against all rows: blocks of about `block` queries, whose size
+    is thereby known, go to the tasks one after another. The hash that makes the blocks is stable, so no query is lost."""
+    valid = queries.where(V.valid_embedding(vector)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = max(1, -(-valid.count() // block))
+    out = None
+    for k in range(n):
+        rows = valid.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()  # one block
+        if rows or out is None:
+            part = similar_to(vectors, [(r.id, r.v) for r in rows], threshold, id_column, vector)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         blobs = b.column(1).to_pylist()

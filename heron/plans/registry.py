@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from heron.plans import conversations, knowledge, memory, runtime, texts
+from heron.plans.base import Query
 
-def queries() -> dict:
-    return {}
+MODULES = (knowledge, conversations, memory, texts, runtime)
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for m in MODULES for name, q in m.PLANS.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in MODULES for name, s in m.PLANS.sql.items()}
