@@ -8,8 +8,9 @@ those can repeat. Their distinct texts, with the least document of each, are dea
 Each shard builds FM-indexes (wavelet matrix over word numbers) of up to INDEX_WORDS words, cut between anchors, and
 streams all windows of its segments through backward search; a window with one place left is no repeat, so most stop after
 a few words. The intervals of those that match in full give the least document that has the window. An anchor of more
-than HOT documents (a line before ever other texts) is dealt by whole windows instead. The answers are joined to the
-segments' places and, by document, to the texts.
+than HOT documents (a line before ever other texts) is dealt by whole windows instead, which need no index: they come
+sorted by window and document, so the first of a window is the least, and a task holds one of them. The answers are
+joined to the segments' places and, by document, to the texts.
 
 Only the least doc_id counts: a window is removed where its document's id is larger. All windows are judged on the input.
 
@@ -41,6 +42,8 @@ ANCHOR = 4
 INDEX_WORDS = 1 << 20
 #: Documents of one anchor whose segments go to one index.
 HOT = 20_000
+#: Hot anchors (of 8 bytes) that are broadcast; more are joined by a shuffle.
+BROADCAST = 500_000
 _BLOCK = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -310,20 +313,35 @@ def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
 
 
 def _index(batches: Iterable[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Indexes of consecutive routes; equal windows have equal routes, so a cut between two loses nothing."""
+    """Indexes of consecutive routes; equal windows have equal routes, so a cut between two loses nothing. Single windows
+    (with a part) come sorted by content and document, and are answered by the first of each."""
     rows: list[tuple] = []
     words, before = 0, None
+    window_, least = None, 0
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*out, strict=True))
+        return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.list_(pa.int64()))], names=["anchor", "seg", "part", "mins"])
+
     for b in batches:
+        out: list[tuple] = []
         for route, anchor, seg, part, low, more, content in zip(*(b.column(c).to_pylist() for c in ("route", "anchor", "seg", "part", "doc_id", "last", "content")), strict=True):
+            if part is not None:
+                if content != window_:
+                    window_, least = content, low
+                if more or least < low:
+                    out.append((anchor, seg, part, [least]))
+                continue
             if words >= limit and route != before:
                 if (found := _search(rows, window)) is not None:
                     yield found
                 rows, words = [], 0
-            if part is None:  # a whole segment, dealt by its anchor
-                anchor, seg, part = route, _signed(xxhash.xxh64_intdigest(content, 11)), -1
-            rows.append((anchor, seg, part, low, low + more, content))
+            # a whole segment, dealt by its anchor
+            rows.append((route, _signed(xxhash.xxh64_intdigest(content, 11)), -1, low, low + more, content))
             words += content.count(b" ") + 1
             before = route
+        if out:
+            yield told(out)
     if rows and (found := _search(rows, window)) is not None:
         yield found
 
@@ -340,7 +358,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
     contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "doc_id", "last", "content")
     places = joined.mapInArrow(partial(_segments, window=window, contents=False), SEGMENTS).select("anchor", "seg", "doc_id", "row", "starts")
     columns = ["route", "anchor", "seg", "part", "doc_id", "last", "content"]
-    none = often.isEmpty()
+    n = often.count()
+    none = n == 0
+    if n <= BROADCAST:
+        often = F.broadcast(often)
     plain = contents if none else contents.join(often, "anchor", "left_anti")
     null = F.lit(None)
     routed = plain.select(F.col("anchor").alias("route"), null.cast("long").alias("anchor"), null.cast("long").alias("seg"), null.cast("int").alias("part"), "doc_id", "last", "content")
@@ -348,7 +369,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
         cut = contents.join(often, "anchor").mapInArrow(partial(_cut_windows, window=window), "route long, seg long, doc_id long, last long, content binary, anchor long, part int")
         # Equal windows meet first in the aggregate, before the shuffle where they can.
         routed = routed.unionByName(cut.groupBy("route", "anchor", "seg", "part").agg(F.min("doc_id").alias("doc_id"), (F.max("last") - F.min("doc_id")).alias("last"), F.first("content").alias("content")).select(columns))
-    found = routed.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_index, window=window, limit=limit), FOUND)
+    order = ["route"] if none else ["route", "part", "content", "doc_id"]
+    found = routed.repartition("route").sortWithinPartitions(*order).mapInArrow(partial(_index, window=window, limit=limit), FOUND)
     gone = places.join(found, ["anchor", "seg"]).where("exists(mins, x -> x < doc_id)").select("doc_id", F.struct("row", "starts", F.greatest("part", F.lit(0)).alias("part"), F.expr("transform(mins, x -> x < doc_id)").alias("gone")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
