@@ -51,23 +51,26 @@ class WaveletMatrix:
 
 
 def prefix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes in the order of their first `depth` symbols at least, by doubling."""
+    """The suffixes in the order of their first `depth` symbols at least, by doubling from as many symbols as a key holds."""
     n = len(text)
-    rank = text.astype(np.int64)
-    order, k = np.argsort(rank, kind="stable"), 1
-    while k < depth:
-        second = np.zeros(n, np.int64)
-        second[:-k or None] = rank[k:] + 1
-        key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
+    bits = max(1, int(text.max() + 1).bit_length())
+    k = max(1, min(62 // bits, depth))
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] += text[j:] + 1
+    while True:
+        order = np.argsort(key)
         ordered = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
         rank = new
-        if rank.max() == n - 1:
-            break
+        if k >= depth or rank.max() == n - 1:
+            return order
+        second = np.zeros(n, np.int64)
+        second[: n - k] = rank[k:] + 1
+        key = rank * (int(second.max()) + 1) + second
         k *= 2
-    return order
 
 
 class FmIndex:

@@ -254,18 +254,29 @@ def _signed(x: int) -> int:
     return x - ((x >> 63) << 64)
 
 
-def _cut_windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Segments as single windows, dealt by their own hash."""
+ROUTED = "route long, anchor long, seg long, part int, doc_id long, last long, content binary"
+
+
+def _route(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Segments dealt by their anchor; those of hot anchors as single windows, dealt by their own hash."""
+    names = [x.split()[0] for x in ROUTED.split(", ")]
     for b in batches:
+        hot = b.column("hot").is_valid()
+        plain = b.filter(pa.compute.invert(hot))
+        n = plain.num_rows
+        if n:
+            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
+            yield pa.record_batch([plain.column("anchor"), *none, plain.column("doc_id"), plain.column("last"), plain.column("content")], names=names)
         rows: list[tuple] = []
-        for anchor, low, more, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "last", "content")), strict=True):
-            words, seg, last = content.split(b" "), _signed(xxhash.xxh64_intdigest(content, 11)), low + more
+        for anchor, low, more, content in zip(*(b.filter(hot).column(c).to_pylist() for c in ("anchor", "doc_id", "last", "content")), strict=True):
+            words, seg = content.split(b" "), _signed(xxhash.xxh64_intdigest(content, 11))
             for j in range(len(words) - window + 1):
                 part = b" ".join(words[j : j + window])
-                rows.append((_signed(xxhash.xxh64_intdigest(part)), seg, low, last, part, anchor, j))
+                rows.append((_signed(xxhash.xxh64_intdigest(part)), anchor, seg, j, low, more, part))
         if rows:
             c = list(zip(*rows, strict=True))
-            yield pa.record_batch([pa.array(x, pa.binary() if i == 4 else pa.int32() if i == 6 else pa.int64()) for i, x in enumerate(c)], names=["route", "seg", "doc_id", "last", "content", "anchor", "part"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=names)
 
 
 # The shards.
@@ -279,20 +290,18 @@ def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
     for anchor, seg, part, low, last, content in rows:
         got = kept.setdefault((anchor, seg, part), [low, last, content])
         got[0], got[1] = min(got[0], low), max(got[1], last)
-    numbers: dict[bytes, int] = {}
-    text, sizes = [], []
-    for _, _, content in kept.values():
-        words = content.split(b" ")
-        text.extend([numbers.setdefault(x, len(numbers) + 1) for x in words])
-        text.append(0)
-        sizes.append(len(words) + 1)
-    text, sizes = np.array(text, np.int64), np.array(sizes, np.int64)
+    split = pa.compute.split_pattern(pa.array([v[2] for v in kept.values()], pa.binary()), " ")
+    coded = split.values.dictionary_encode()
+    ends = split.offsets.to_numpy()[1:].astype(np.int64)
+    sizes = np.diff(ends, prepend=0) + 1
+    text = np.insert(coded.indices.to_numpy().astype(np.int64) + 1, ends, 0)  # 0 behind each segment
+    symbols = len(coded.dictionary) + 1
     low, last = (np.array([v[i] for v in kept.values()], np.int64) for i in (0, 1))
     first, m = np.cumsum(sizes) - sizes, sizes - window
     owner = np.repeat(np.arange(len(sizes)), m)
     begin = np.cumsum(m) - m
     starts = np.arange(int(m.sum())) - np.repeat(begin, m) + np.repeat(first, m)
-    index = FmIndex(text, len(numbers) + 1, window)
+    index = FmIndex(text, symbols, window)
     least = low[owner]
     number, lo, hi = index.repeated(text, starts, window)
     if len(number):
@@ -357,20 +366,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
     joined = _texts(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
     contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "doc_id", "last", "content")
     places = joined.mapInArrow(partial(_segments, window=window, contents=False), SEGMENTS).select("anchor", "seg", "doc_id", "row", "starts")
-    columns = ["route", "anchor", "seg", "part", "doc_id", "last", "content"]
     n = often.count()
-    none = n == 0
-    if n <= BROADCAST:
-        often = F.broadcast(often)
-    plain = contents if none else contents.join(often, "anchor", "left_anti")
-    null = F.lit(None)
-    routed = plain.select(F.col("anchor").alias("route"), null.cast("long").alias("anchor"), null.cast("long").alias("seg"), null.cast("int").alias("part"), "doc_id", "last", "content")
-    if not none:
-        cut = contents.join(often, "anchor").mapInArrow(partial(_cut_windows, window=window), "route long, seg long, doc_id long, last long, content binary, anchor long, part int")
-        # Equal windows meet first in the aggregate, before the shuffle where they can.
-        routed = routed.unionByName(cut.groupBy("route", "anchor", "seg", "part").agg(F.min("doc_id").alias("doc_id"), (F.max("last") - F.min("doc_id")).alias("last"), F.first("content").alias("content")).select(columns))
-    order = ["route"] if none else ["route", "part", "content", "doc_id"]
-    found = routed.repartition("route").sortWithinPartitions(*order).mapInArrow(partial(_index, window=window, limit=limit), FOUND)
+    marked = often.withColumn("hot", F.lit(1))
+    marked = contents.join(F.broadcast(marked) if n <= BROADCAST else marked, "anchor", "left") if n else contents.withColumn("hot", F.lit(None).cast("int"))
+    routed = marked.mapInArrow(partial(_route, window=window), ROUTED).repartition("route")
+    if n:
+        routed = routed.sortWithinPartitions("route", F.expr("if(part is null, null, content)"), "doc_id")
+    else:
+        routed = routed.sortWithinPartitions("route")
+    found = routed.mapInArrow(partial(_index, window=window, limit=limit), FOUND)
+    if n:  # a window that several batches sent is answered as often
+        found = found.repartition("anchor", "seg").dropDuplicates(["anchor", "seg", "part"])
     gone = places.join(found, ["anchor", "seg"]).where("exists(mins, x -> x < doc_id)").select("doc_id", F.struct("row", "starts", F.greatest("part", F.lit(0)).alias("part"), F.expr("transform(mins, x -> x < doc_id)").alias("gone")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
