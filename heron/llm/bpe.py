@@ -34,7 +34,8 @@ class PairIndexBpe(Codec):
     decimal, `decoded` its tokens."""
 
     def __init__(self, path: str):
-        super().__init__(path)  # `words` has the ids of each word here
+        super().__init__(path)
+        self.words: dict[str, list[int]] = {}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
@@ -103,7 +104,7 @@ class PairIndexBpe(Codec):
         return [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, [*starts[1:], n], strict=True)]
 
     def learn(self, pieces: list[str]) -> None:
-        parts = [self.pre_tokens(p) for p in pieces]
+        parts = self.all_pre_tokens(pieces)
         if len(self.words) > KEEP:
             self.words = {}
         new = list(set().union(*parts) - self.words.keys())

@@ -1,9 +1,9 @@
 """Exact encoding of whole texts with a vocabulary file, one distinct piece at a time.
 
 White space bounds the matches of both kinds of pre-tokenizer, so the ids of a text are those of its pieces put
-together. A corpus repeats its pieces, so a worker keeps the ids of the pieces it has seen: the library sees each
-distinct piece once, and a text costs one lookup a piece. The kept pieces are bounded by KEEP; beyond that they are
-forgotten and encoded anew when they come again.
+together. Arrow finds the distinct pieces of some texts, only these are looked up, and numpy lays their ids out in the
+order of the texts. A worker keeps the ids of pieces it has seen, in two generations of at most KEEP pieces: when the
+younger is full it becomes the older, and a piece found there moves back; so frequent pieces stay.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 
-#: Pieces that a worker remembers (about 200 bytes each), and words of pieces.
-KEEP, KEEP_WORDS = 700_000, 200_000
+#: Pieces of a generation (about 200 bytes each).
+KEEP = 200_000
 #: White space by Unicode's property, as the pre-tokenizers' \\s has it. str.split also takes \x1c to \x1f.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -44,12 +46,25 @@ def word_pieces(text: str) -> list[str]:
     return _NOT_SPACE.findall(text) if any(c in text for c in _ODD) else text.split()
 
 
-def byte_pieces(text: str) -> list[str]:
-    """Pieces with their leading space, and runs of white space as the byte-level pattern cuts them. Where all white
-    space is single spaces and line ends between words, plain splitting does the same in less time."""
+def plain_bytes(text: str) -> str | None:
+    """The pieces with NUL between them where plain replacing finds them: all white space is single spaces and line ends
+    between words. Else None."""
     if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS) or (not text.isascii() and any(x in text for x in _WIDE)):
-        return _BYTE_LEVEL.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+
+
+def plain_words(text: str) -> str | None:
+    """The same for a vocabulary that drops white space; empty pieces between NULs don't matter."""
+    if any(x in text for x in "\t\v\f\r\0" + _ODD) or (not text.isascii() and any(x in text for x in _WIDE)):
+        return None
+    return text.replace(" ", "\0").replace("\n", "\0")
+
+
+def byte_pieces(text: str) -> list[str]:
+    """Pieces with their leading space, and runs of white space as the byte-level pattern cuts them."""
+    plain = plain_bytes(text)
+    return _BYTE_LEVEL.findall(text) if plain is None else plain.split("\0")
 
 
 def _byte_chars() -> list[str]:
@@ -65,7 +80,7 @@ def _byte_chars() -> list[str]:
 
 
 BYTE_CHARS = _byte_chars()
-_BYTE_LEVEL_OF = dict(enumerate(BYTE_CHARS))
+_BYTE_LEVEL_OF = {b: c for b, c in enumerate(BYTE_CHARS) if b not in b"\0\n"}  # these two separate here
 
 
 class Codec:
@@ -81,15 +96,17 @@ class Codec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = bool(spec["model"].get("end_of_word_suffix"))
-        self.split = word_pieces if self.by_word else byte_pieces
-        self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.split, self.plain = (word_pieces, plain_words) if self.by_word else (byte_pieces, plain_bytes)
+        self.pre = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.normal = self.tokenizer.normalizer.normalize_str if self.by_word else str
         self.latin = _LATIN_WORDS if self.by_word else _LATIN_BYTES
-        self.words: dict = {}
-        self.ids = [np.uint32(i).astype("<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.latin_lines = re.compile("\n|" + self.latin.pattern)
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept.update(self.special)
+        self.kept[""] = b""
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens written out in a text are pieces of their own, as the library takes them."""
@@ -106,34 +123,72 @@ class Codec:
             return [w.encode().decode("latin-1").translate(_BYTE_LEVEL_OF) for w in words]
         return [x for x, _ in self.pre(self.normal(piece))]
 
-    def learn_words(self, words: list[str]) -> None:
-        tokenize, ids = self.model.tokenize, self.ids
-        for w in words:
-            self.words[w] = b"".join([ids[t.id] for t in tokenize(w)])
+    def all_pre_tokens(self, pieces: list[str]) -> list[list[str]]:
+        """pre_tokens of many pieces: those in Latin letters go through one expression together, a line each."""
+        latin = list(map(bool, map(_LATIN.fullmatch, pieces)))
+        joined = "\n".join([p for p, yes in zip(pieces, latin, strict=True) if yes])
+        if self.by_word:
+            joined = joined.lower()
+        words = "\0".join(self.latin_lines.findall(joined)).encode().decode("latin-1").translate(_BYTE_LEVEL_OF)
+        lines = iter(words.split("\0\n\0"))
+        return [next(lines).split("\0") if yes else [x for x, _ in self.pre(self.normal(p))] for p, yes in zip(pieces, latin, strict=True)]
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.words) > KEEP_WORDS:
-            self.words = {}
-        parts = [self.pre_tokens(p) for p in pieces]
-        self.learn_words(list(set().union(*parts) - self.words.keys()))
-        get = self.words.__getitem__
-        self.kept.update((p, get(x[0]) if len(x) == 1 else b"".join(map(get, x))) for p, x in zip(pieces, parts, strict=True))
+        """New pieces go through the library together, with a special token, which none of them holds, between them."""
+        mark, number = next((x, int.from_bytes(i, "little")) for x, i in self.special.items())
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == number)
+        raw = ids.tobytes()
+        ends = [*(cut * 4).tolist(), len(raw)]
+        self.kept.update((p, raw[a:e]) for p, a, e in zip(pieces, [0, *(x + 4 for x in ends[:-1])], ends, strict=True))
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self.kept) > KEEP:
+            self.older, self.kept = self.kept, {**self.special, "": b""}
+        kept, older = self.kept, self.older.get
+        found = list(map(kept.get, pieces))
+        if None in found:
+            new = []
+            for k, x in enumerate(found):
+                if x is None:
+                    p = pieces[k]
+                    x = older(p)
+                    if x is None:
+                        new.append(k)
+                    else:
+                        found[k] = kept[p] = x
+            if new:
+                self.learn([pieces[k] for k in new])
+            for k in new:
+                found[k] = kept[pieces[k]]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEEP:
-            self.kept = dict(self.special)
-        self.kept.update(self.special)
-        get, found, late = self.kept.get, [], []
-        for x in map(self.pieces, texts):
-            got = list(map(get, x))
-            if None in got:
-                late.append((len(found), x))
-            found.append(got)
-        if late:
-            self.learn(list({p for _, x in late for p in x} - self.kept.keys()))
-            for k, x in late:
-                found[k] = map(get, x)
-        return [b"".join(x) for x in found]
+        plain, plain_at, other, other_at = [], [], [], []
+        for k, t in enumerate(texts):
+            p = None if any(x in t for x in self.special) else self.plain(t)
+            if p is None:
+                other.append(self.pieces(t))
+                other_at.append(k)
+            else:
+                plain.append(p)
+                plain_at.append(k)
+        split = pa.compute.split_pattern(pa.array(plain, pa.large_string()), "\0")
+        coded = pa.concat_arrays([split.values, pa.array([p for x in other for p in x], pa.large_string())]).dictionary_encode()
+        ids = self.known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = coded.indices.to_numpy()
+        n = size[code]  # ids by piece
+        end = np.append(0, np.cumsum(n))
+        start = (np.cumsum(size) - size)[code]
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1]) + np.repeat(start - end[:-1], n)]
+        pieces = np.append(0, np.cumsum(np.append(np.diff(split.offsets.to_numpy()), [len(x) for x in other]))).astype(np.int64)
+        cuts = end[pieces].tolist()
+        out: list[bytes] = [b""] * len(texts)
+        for k, a, b in zip([*plain_at, *other_at], cuts[:-1], cuts[1:], strict=True):
+            out[k] = flat[a:b].tobytes()
+        return out
 
 
 @lru_cache(maxsize=4)
