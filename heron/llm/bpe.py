@@ -25,7 +25,7 @@ from .codec import Codec
 from .common import steps, strings
 
 #: Pieces, and words, that a worker remembers.
-KEEP = 300_000
+KEEP = 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

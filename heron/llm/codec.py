@@ -18,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
 #: Pieces of a generation (about 200 bytes each).
-KEEP = 200_000
+KEEP = 150_000
+#: Pieces that go through the library together.
+LEARN = 4096
 #: White space by Unicode's property, as the pre-tokenizers' \\s has it. str.split also takes \x1c to \x1f.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -136,11 +138,12 @@ class Codec:
     def learn(self, pieces: list[str]) -> None:
         """New pieces go through the library together, with a special token, which none of them holds, between them."""
         mark, number = next((x, int.from_bytes(i, "little")) for x, i in self.special.items())
-        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == number)
-        raw = ids.tobytes()
-        ends = [*(cut * 4).tolist(), len(raw)]
-        self.kept.update((p, raw[a:e]) for p, a, e in zip(pieces, [0, *(x + 4 for x in ends[:-1])], ends, strict=True))
+        for k in range(0, len(pieces), LEARN):  # the library's results are large for their ids
+            part = pieces[k : k + LEARN]
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            raw = ids.tobytes()
+            ends = [*(np.flatnonzero(ids == number) * 4).tolist(), len(raw)]
+            self.kept.update((p, raw[a:e]) for p, a, e in zip(part, [0, *(x + 4 for x in ends[:-1])], ends, strict=True))
 
     def known(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
