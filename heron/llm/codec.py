@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
 #: Pieces of a generation (about 200 bytes each).
-KEEP = 150_000
+KEEP = 100_000
 #: Pieces that go through the library together.
 LEARN = 4096
 #: White space by Unicode's property, as the pre-tokenizers' \\s has it. str.split also takes \x1c to \x1f.
