@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8, written
+from .common import give_back, steps, utf8, written
 from .fm_index import FmIndex
 from .xxh import xxh64
 
@@ -353,6 +353,8 @@ def _index(batches: Iterable[pa.RecordBatch], window: int, limit: int) -> Iterat
             yield told(out)
     if rows and (found := _search(rows, window)) is not None:
         yield found
+    rows = []
+    give_back()
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int = INDEX_WORDS) -> DataFrame:
