@@ -20,7 +20,8 @@ a null doc_id keeps its row, and counts as larger than any id; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 from itertools import combinations
 from math import comb
@@ -30,28 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, utf8, written
+from .common import give_back, steps, utf8, written
 from .components import components
 from .xxh import xxh64
 
 SEED = 42
 #: Fingerprints of one key that one task compares.
 HOT = 4096
-#: Bins of a sketch, a power of two.
-BINS = 128
+#: keep_one: fingerprints of a text; those that are searched, and within how many bits; most bits that all may differ in.
+#: At a similarity of 0.8 a bit differs with a chance of 0.15, so all together by 29 +- 5.
+PRINTS, SEARCHES, RADIUS, APART = 3, 1, 12, 46
+#: Texts of a family, and their bytes, that a block has at most on average.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: What a candidate costs in probes.
 CANDIDATE = 0.01
 
 
-def fingerprints_of(texts: list[bytes], words: int, sketch: bool = False) -> np.ndarray | tuple[np.ndarray, list[bytes]]:
-    """The fingerprint of each text, shingles of so many words, A-Z lower-cased; and on demand its sketch: of BINS bins of
-    the shingles' hashes a byte of the least one, 0 for an empty bin."""
-    split = [b" ".join(t.lower().split()) for t in texts]
+def _normal(texts: list[bytes]) -> list[bytes]:
+    return [b" ".join(t.lower().split()) for t in texts]
+
+
+def shingles_of(split: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of normal texts: the hashes of all shingles, one text after another; the texts that have any; how many each has."""
     n = np.array([s.count(b" ") + 1 if s else 0 for s in split], np.int64)
-    out = np.zeros(len(texts), np.uint64)
     has = np.flatnonzero(n)
     if not len(has):
-        return (out, [bytes(BINS)] * len(texts)) if sketch else out
+        return np.zeros(0, np.uint64), has, n[has]
     data = b"\n".join(s for s in split if s) + b"\n"
     chars = np.frombuffer(data, np.uint8)
     end = np.flatnonzero((chars == 32) | (chars == 10))  # after each word
@@ -62,36 +67,38 @@ def fingerprints_of(texts: list[bytes], words: int, sketch: bool = False) -> np.
     inside = np.arange(int(m.sum())) - np.repeat(first, m)
     a = np.repeat(first_word, m) + inside
     b = a + np.minimum(words, np.repeat(n, m)) - 1
-    hashes = xxh64(data, begin[a], end[b] - begin[a], SEED)
-    half = np.zeros((len(has), 64), np.int64)
+    return xxh64(data, begin[a], end[b] - begin[a], SEED), has, m
+
+
+def _majority(hashes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The majority of each bit over the hashes of each text, of which it has m."""
+    first = np.cumsum(m) - m
+    half = np.zeros((len(m), 64), np.int64)
     step = 1 << 14
     for k in range(0, len(hashes), step):  # bits of some shingles at a time
         bits = np.unpackbits(hashes[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lo, hi = np.searchsorted(first, k, "right") - 1, np.searchsorted(first, min(k + step, len(hashes)), "left")
         half[lo:hi] += np.add.reduceat(bits, np.maximum(first[lo:hi] - k, 0), axis=0, dtype=np.int32)
-    out[has] = np.packbits(half * 2 > m[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    if not sketch:
-        return out
-    least = np.full(len(texts) * BINS, ~np.uint64(0))
-    cell = np.repeat(has, m) * BINS + (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
-    np.minimum.at(least, cell, hashes & np.uint64((1 << 56) - 1))
-    bytes_ = np.where(least == ~np.uint64(0), 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(-1, BINS)
-    return out, [x.tobytes() for x in bytes_]
+    return np.packbits(half * 2 > m[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _with_sketch(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches, limit=2 << 20):
-        fp, sketches = fingerprints_of(utf8(b.column("text")), words, sketch=True)
-        yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sketches, pa.binary())], names=["doc_id", "fp", "sketch"])
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash (SplitMix64 from its k-th step); the same for k = 0."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _alike(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """The links whose sketches agree in that share of the bins that either fills."""
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-        share = ((x == y) & (x > 0)).sum(1) / np.maximum(((x > 0) | (y > 0)).sum(1), 1)
-        keep = pa.array((share >= similarity) | (~x.any(1) & ~y.any(1)))
-        yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
+    """The fingerprint of each text, shingles of so many words, A-Z lower-cased."""
+    hashes, has, m = shingles_of(_normal(texts), words)
+    out = np.zeros(len(texts), np.uint64)
+    if len(has):
+        out[has] = _majority(hashes, m)
+    return out
 
 
 def _fingerprint(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -220,9 +227,9 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _links(fp: np.ndarray, run: np.ndarray, radius: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between fingerprints of the same run, or every link where they are few; runs are
-    contiguous."""
+def _links(fp: np.ndarray, run: np.ndarray, radius: int, more: Sequence[np.ndarray] = (), most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between fingerprints of the same run; runs are contiguous. With more fingerprints
+    of each text, a link is also at most `most` bits apart in all of them together."""
     n = len(fp)
     size = np.bincount(run)
     start = np.cumsum(size) - size
@@ -231,7 +238,14 @@ def _links(fp: np.ndarray, run: np.ndarray, radius: int, every: bool) -> tuple[n
     at = np.flatnonzero(total > 1)
     shift = 1
     while len(at := at[place[at] + shift < total[at]]):
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + shift]) <= radius]
+        apart = np.bitwise_count(fp[at] ^ fp[at + shift])
+        near = apart <= radius
+        hit = at[near]
+        if len(hit) and len(more):
+            bits = apart[near].astype(np.int64)
+            for x in more:
+                bits += np.bitwise_count(x[hit] ^ x[hit + shift])
+            hit = hit[bits <= most]
         if len(hit):
             found_a.append(hit)
             found_b.append(hit + shift)
@@ -242,8 +256,7 @@ def _links(fp: np.ndarray, run: np.ndarray, radius: int, every: bool) -> tuple[n
         shift += 1
     if not found_a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return (a, b) if every and len(a) <= 8 * n else _forest(n, a, b)
+    return _forest(n, np.concatenate(found_a), np.concatenate(found_b))
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,17 +265,17 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, label[own]
 
 
-def _verify(batches: Iterable[pa.RecordBatch], radius: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by the key columns, all but the last, which is the fingerprint."""
+def _verify(batches: Iterable[pa.RecordBatch], radius: int, keys: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by so many key columns; then the fingerprint; then, if any, more fingerprints and the id."""
     rest = None
 
     def emit(columns: list[np.ndarray]) -> pa.RecordBatch:
-        keys, fp = columns[:-1], columns[-1]
+        fp, more, name = columns[keys], columns[keys + 1 : -1], columns[-1]
         new = np.zeros(len(fp), bool)
-        for k in keys:
+        for k in columns[:keys]:
             new[1:] |= k[1:] != k[:-1]
-        a, b = _links(fp.view(np.uint64), np.cumsum(new), radius, every)
-        return pa.record_batch([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
+        a, b = _links(fp.view(np.uint64), np.cumsum(new), radius, [x.view(np.uint64) for x in more], most)
+        return pa.record_batch([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
 
     for batch in batches:
         columns = [c.to_numpy() for c in batch.columns]
@@ -272,7 +285,7 @@ def _verify(batches: Iterable[pa.RecordBatch], radius: int, every: bool) -> Iter
             continue
         # The last key may go on in the next batch.
         same = np.ones(len(columns[-1]), bool)
-        for k in columns[:-1]:
+        for k in columns[:keys]:
             same &= k == k[-1]
         other = np.flatnonzero(~same)
         cut = int(other[-1]) + 1 if len(other) else 0
@@ -281,46 +294,49 @@ def _verify(batches: Iterable[pa.RecordBatch], radius: int, every: bool) -> Iter
         rest = [c[cut:] for c in columns]
     if rest is not None and len(rest[-1]):
         yield emit(rest)
+    give_back()
 
 
-def _compared(rows: DataFrame, keys: list[str], radius: int, every: bool) -> DataFrame:
-    ordered = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return ordered.mapInArrow(partial(_verify, radius=radius, every=every), "a long, b long")
+def _compared(rows: DataFrame, keys: list[str], radius: int, others: list[str], most: int) -> DataFrame:
+    ordered = rows.select(*keys, "fp", *others).repartition(*keys).sortWithinPartitions(*keys, "fp")
+    return ordered.mapInArrow(partial(_verify, radius=radius, keys=len(keys), most=most), "a long, b long")
 
 
-def _probes(rows: DataFrame, masks: list[tuple[int, int]], keys: list[str]) -> DataFrame:
+def _probes(rows: DataFrame, masks: list[tuple[int, int]], others: list[str]) -> DataFrame:
     """A row for each (number, mask): the bits of fp under the mask are the key."""
     each = F.array(*[F.struct(F.lit(i).alias("probe"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in masks])
-    return rows.select(*keys, "fp", F.explode(each).alias("k")).select(*keys, "k.probe", "k.key", "fp")
+    return rows.select("fp", *others, F.explode(each).alias("k")).select("k.probe", "k.key", "fp", *others)
 
 
-def links(unique: DataFrame, radius: int = 4, hot: int = HOT, every: bool = False) -> DataFrame:
-    """a, b: edges with the components of all pairs of distinct fingerprints (fp) at most `radius` bits apart; `every`
-    adds more of these pairs, all where a key has few."""
+def links(unique: DataFrame, radius: int = 4, hot: int = HOT, others: Sequence[str] = (), most: int = 0) -> DataFrame:
+    """a, b: edges with the components of all pairs of distinct fingerprints (fp) at most `radius` bits apart. With
+    `others`, columns of more fingerprints and last of an id, rows are told by the id, fingerprints may repeat, and a
+    pair is also at most `most` bits apart in all of its fingerprints together."""
+    others = list(others)
     plan = plan_search(unique, radius)
     spark: SparkSession = unique.sparkSession
     if not plan:
         return spark.createDataFrame([], "a long, b long")
     bits = probe_masks(plan)
-    rows = _probes(unique.select("fp"), [(i, _mask(b)) for i, b in enumerate(bits)], [])
+    rows = _probes(unique.select("fp", *others), [(i, _mask(b)) for i, b in enumerate(bits)], others)
     counts = written(rows.groupBy("probe", "key").count().where(F.col("count") > hot), "hot")
     if counts.isEmpty():
-        return _compared(rows, ["probe", "key"], radius, every)
+        return _compared(rows, ["probe", "key"], radius, others, most)
     cold = rows.join(counts, ["probe", "key"], "left_anti")
     # Hot keys: equal on one of radius + 1 blocks of the open bits; each probe has blocks of its own.
     open_bits = [[b for b in range(64) if b not in own] for own in bits]
     blocks = F.array(*[F.array(*[F.lit(_mask(o[j :: radius + 1])) for j in range(radius + 1)]) for o in open_bits])
-    warm = rows.join(counts.select("probe", "key"), ["probe", "key"]).select("probe", "key", "fp", F.posexplode(F.get(blocks, F.col("probe"))).alias("block", "mask"))
-    warm = warm.select("probe", "key", "block", F.col("fp").bitwiseAND(F.col("mask")).alias("sub"), "fp")
+    warm = rows.join(counts.select("probe", "key"), ["probe", "key"]).select("probe", "key", "fp", *others, F.posexplode(F.get(blocks, F.col("probe"))).alias("block", "mask"))
+    warm = warm.select("probe", "key", "block", F.col("fp").bitwiseAND(F.col("mask")).alias("sub"), "fp", *others)
     keys = ["probe", "key", "block", "sub"]
     sizes = warm.groupBy(*keys).count().where(F.col("count") > hot)
     sized = warm.join(sizes, keys, "left")
     small = sized.where("count is null")
     n = F.ceil(F.col("count") / hot).cast("int")
-    own = F.pmod(F.xxhash64("fp"), n).cast("int")
+    own = F.pmod(F.xxhash64((["fp"] + others)[-1]), n).cast("int")
     large = sized.where("count is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    found = _compared(cold, ["probe", "key"], radius, every).unionByName(_compared(small, keys, radius, every)).unionByName(_compared(large, [*keys, "x", "y"], radius, every))
+    found = _compared(cold, ["probe", "key"], radius, others, most).unionByName(_compared(small, keys, radius, others, most)).unionByName(_compared(large, [*keys, "x", "y"], radius, others, most))
     return found
 
 
@@ -330,35 +346,117 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, hot: int =
     return _with_components(prints, radius, hot).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_components(prints: DataFrame, radius: int, hot: int = HOT, similarity: float | None = None) -> DataFrame:
-    """prints (doc_id, fp, ...) with component_id. With a similarity, links count where the sketches bear it out."""
-    if similarity is None:
-        unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
-        linked = links(unique, radius, hot)
-    else:
-        unique = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select("fp", F.col("s.doc_id").alias("least"), F.col("s.sketch").alias("sketch"))
-        unique = written(unique, "unique")
-        near = links(unique.select("fp"), radius, hot, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        a, b = (unique.select(F.col("fp").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        linked = near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(partial(_alike, similarity=similarity), "a long, b long")
-    found = components(linked)
+def _with_components(prints: DataFrame, radius: int, hot: int = HOT) -> DataFrame:
+    """prints (doc_id, fp) with component_id."""
+    unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
+    found = components(links(unique, radius, hot))
     grouped = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = grouped.join(least, "label").select("fp", "component_id")
     return prints.join(of_print, "fp")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id, with all their columns; of rows with the same doc_id
-    and component one stays. A document without an id stays.
+# Near-duplicates by the exact similarity of their shingles.
+
 
-    Shingles that are alike by `similarity` (Jaccard) lie up to 12 or 13 bits apart, where unlike texts lie too once
-    there are many; so candidates within `radius` are verified by sketches of their shingles. A sketch of BINS bins errs
-    by 0.035 around 0.8; a link counts from one such error below.
+def _several(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches, limit=2 << 20):
+        split = _normal(utf8(b.column("text")))
+        hashes, has, m = shingles_of(split, words)
+        fps = np.zeros((PRINTS, len(split)), np.uint64)
+        for k in range(PRINTS if len(has) else 0):
+            fps[k, has] = _majority(_mixed(hashes, k), m)
+        digests = pa.array([hashlib.md5(x).digest() for x in split], pa.binary())
+        yield pa.record_batch([b.column("row"), b.column("doc_id"), digests, *(pa.array(x.view(np.int64)) for x in fps)], names=["row", "doc_id", "digest", *(f"f{k}" for k in range(PRINTS))])
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets (distinct hashes each) whose Jaccard similarity is at least that; two empty ones are equal."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = times[column] > 1  # what one set alone has is in no intersection
+    column, row = (np.cumsum(times > 1) - 1)[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((n, n), np.int32)
+    width = 1 << 13
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):  # some columns at a time, as bits
+        lo, hi = np.searchsorted(column, [k, k + width])
+        part = np.zeros((n, min(width, -(-(int(column[-1]) + 1 - k) // 64) * 64)), bool)
+        part[row[lo:hi], column[lo:hi] - k] = True
+        bits = np.packbits(part, axis=1).view(np.uint64)
+        for i in range(n - 1):
+            both[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int32)
+    found = [i + 1 + np.flatnonzero(both[i, i + 1 :] * (1 + similarity) >= similarity * (size[i] + size[i + 1 :]) - 1e-9) for i in range(n)]
+    return np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
+
+
+def _exact(batches: Iterable[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Batches (label, x, y, node, text) sorted by the first three: a spanning forest of each group's similar pairs."""
+    key, nodes, sets = None, [], []
+
+    def emit() -> pa.RecordBatch:
+        a, b = similar_pairs(sets, similarity) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
+        a, b = _forest(len(sets), a, b) if len(a) else (a, b)
+        own = np.array(nodes, np.int64)
+        return pa.record_batch([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
+
+    for b in steps(batches, limit=2 << 20):
+        hashes, has, m = shingles_of(_normal(utf8(b.column("text"))), words)
+        own = [np.zeros(0, np.uint64)] * b.num_rows
+        for i, x in zip(has.tolist(), np.split(hashes, np.cumsum(m)[:-1]) if len(has) else [], strict=True):
+            own[i] = np.unique(x)
+        for k, node, x in zip(zip(*(b.column(c).to_pylist() for c in ("label", "x", "y")), strict=True), b.column("node").to_pylist(), own, strict=True):
+            if k != key and sets:
+                yield emit()
+                nodes, sets = [], []
+            key = k
+            nodes.append(node)
+            sets.append(x)
+    if sets:
+        yield emit()
+        sets = []
+    give_back()
+
+
+def confirmed(families: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """families (node, label), texts (node, text) -> a, b: edges with the components of all pairs of a family whose
+    shingles are similar. Every pair of a family is compared; a large family goes as pairs of blocks."""
+    members = written(families.join(texts, "node"), "members")
+    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / block_bytes), F.lit(1)).cast("int").alias("n"))
+    dealt = members.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keys = ["label", "x", "y"]
+    dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "text")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_exact, words=words, similarity=similarity), "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, searches: int = SEARCHES, hot: int = HOT) -> DataFrame:
+    """The documents without near-duplicates of a smaller doc_id, with all their columns. Links are pairs of texts whose
+    sets of shingles have a Jaccard similarity of at least `similarity`, exactly; of rows with the same doc_id one
+    stays, and every row without an id.
+
+    Texts that are equal but for case and white space are collapsed first. Each other text has PRINTS independent
+    fingerprints. Families are the components of pairs within `radius` bits in one of the first `searches` and within
+    APART bits of the whole in all together; inside a family every pair is compared. So a search only has to bring a
+    pair into one family, and what is contracted before the comparison loses no link.
     """
-    prints = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_with_sketch, words=words), "doc_id long, fp long, sketch binary"), "fingerprints")
-    near = _with_components(prints, radius, similarity=similarity - 0.035)
-    stay = near.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = named.where("_id is not null").join(stay.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").dropDuplicates(["_id"])
-    return kept.unionByName(named.where("_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
+    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
+    names = [f"f{k}" for k in range(PRINTS)]
+    prints = written(texts.mapInArrow(partial(_several, words=words), "row long, doc_id long, digest binary, " + ", ".join(f"{f} long" for f in names)), "fingerprints")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least")
+    unique = written(prints.groupBy("digest").agg(F.min(F.struct("row", *names)).alias("s"), least).select(F.col("s.row").alias("node"), *[f"s.{f}" for f in names], "least"), "unique")
+    near = None
+    for own in names[:searches]:
+        others = [f for f in names if f != own]
+        found = links(unique.select(F.col(own).alias("fp"), *others, "node"), radius, hot, [*others, "node"], APART)
+        near = found if near is None else near.unionByName(found)
+    families = components(near)
+    linked = components(confirmed(families, texts.select(F.col("row").alias("node"), "text"), words, similarity))
+    grouped = unique.select("node", "least").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("_id")).distinct()
+    kept = rows.withColumn("_id", F.col("doc.doc_id").cast("long")).join(stay, "_id", "left_semi").dropDuplicates(["_id"]).select("doc.*")
+    return kept.unionByName(rows.where("doc.doc_id is null").select("doc.*"))

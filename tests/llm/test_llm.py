@@ -169,6 +169,46 @@ def test_near_copies_go_and_others_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 4, None}
 
 
+def prose(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 50_000, n)]
+
+
+def test_near_copies_among_many_texts_of_close_fingerprints(spark):
+    """A refrain makes the fingerprints of unlike texts close, so keys are dense; shingles count once in a similarity."""
+    rng, rows = np.random.default_rng(2), []
+    for k in range(300):
+        tail = prose(rng, 60)
+        rows += [(k, " ".join(["five words of a refrain"] * 20 + tail)), (1000 + k, " ".join(["five words of a refrain"] * 20 + [*tail[:30], "changed", *tail[31:]]))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_families_are_compared_like_brute_force(spark, block):
+    rng, rows = np.random.default_rng(4), [(0, 9, None), (1, 9, ""), (2, 9, "one"), (3, 9, "ONE")]
+    for f in range(5):
+        base = prose(rng, 100)
+        for _ in range(12):
+            w = list(base)
+            for j in rng.integers(0, 20, rng.integers(0, 4)):
+                w[5 * j] = "changed"
+            rows.append((len(rows), f, " ".join(w)))
+    nodes = spark.createDataFrame(rows, "node long, label long, text string")
+    found = components(simhash.confirmed(nodes.select("node", "label"), nodes.select("node", "text"), 5, 0.8, block=block))
+    got = {r.node: r.label for r in found.collect()}
+    words = [(t or "").lower().split() for _, _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if rows[i][1] == rows[j][1] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    for i in range(len(rows)):
+        for j in range(i):
+            assert (got.get(i, i) == got.get(j, j)) == (label[i] == label[j])
+
+
 def test_allocation_is_optimal():
     from itertools import product
 
