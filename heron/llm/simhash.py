@@ -40,7 +40,7 @@ SEED = 42
 HOT = 4096
 #: keep_one: fingerprints of a text; those that are searched, and within how many bits; most bits that all may differ in.
 #: At a similarity of 0.8 a bit differs with a chance of 0.15, so all together by 29 +- 5.
-PRINTS, SEARCHES, RADIUS, APART = 3, 1, 12, 46
+PRINTS, SEARCHES, RADIUS, APART = 3, 2, 13, 46
 #: Texts of a family, and their bytes, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: What a candidate costs in probes.

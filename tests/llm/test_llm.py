@@ -183,6 +183,20 @@ def test_near_copies_among_many_texts_of_close_fingerprints(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
 
 
+def test_near_copies_are_told_at_the_similarity(spark):
+    """Of 300 words, 6 changed ones leave a similarity of 0.816, and 7 one of 0.788."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        a = prose(rng, 300)
+        b = list(a)
+        for j in range(6 + k % 2):
+            b[20 + 40 * j] = "changed"
+        rows += [(k, " ".join(a)), (1000 + k, " ".join(b))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(400)) | {1000 + k for k in range(1, 400, 2)}
+    assert len(kept & {1000 + k for k in range(0, 400, 2)}) <= 10
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_families_are_compared_like_brute_force(spark, block):
     rng, rows = np.random.default_rng(4), [(0, 9, None), (1, 9, ""), (2, 9, "one"), (3, 9, "ONE")]
