@@ -435,8 +435,8 @@ def confirmed(families: DataFrame, texts: DataFrame, words: int, similarity: flo
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, searches: int = SEARCHES, hot: int = HOT) -> DataFrame:
     """The documents without near-duplicates of a smaller doc_id, with all their columns. Links are pairs of texts whose
-    sets of shingles have a Jaccard similarity of at least `similarity`, exactly; of rows with the same doc_id one
-    stays, and every row without an id.
+    sets of shingles have a Jaccard similarity of at least `similarity`, exactly; of each component the row of the least
+    (doc_id, row key) stays, and every row without an id.
 
     Texts that are equal but for case and white space are collapsed first. Each other text has PRINTS independent
     fingerprints. Families are the components of pairs within `radius` bits in one of the first `searches` and within
@@ -457,6 +457,6 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity:
     families = components(near)
     linked = components(confirmed(families, texts.select(F.col("row").alias("node"), "text"), words, similarity))
     grouped = unique.select("node", "least").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.doc_id").alias("_id")).distinct()
-    kept = rows.withColumn("_id", F.col("doc.doc_id").cast("long")).join(stay, "_id", "left_semi").dropDuplicates(["_id"]).select("doc.*")
+    stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.row").alias("row"))
+    kept = rows.where("doc.doc_id is not null").join(stay, "row", "left_semi").select("doc.*")
     return kept.unionByName(rows.where("doc.doc_id is null").select("doc.*"))

@@ -223,6 +223,16 @@ def test_families_are_compared_like_brute_force(spark, block):
             assert (got.get(i, i) == got.get(j, j)) == (label[i] == label[j])
 
 
+def test_rows_of_a_repeated_id_are_decided_each(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (prose(rng, 300) for _ in range(3))
+    near = " ".join([*a[:150], "changed", *a[151:]])
+    a, b, c = map(" ".join, (a, b, c))
+    for rows in ([(1, a), (2, near), (2, b), (2, b), (3, c)], [(3, c), (2, b), (2, near), (1, a), (2, b)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [(1, a), (2, b), (3, c)]
+
+
 def test_allocation_is_optimal():
     from itertools import product
 
