@@ -21,6 +21,8 @@ import pyarrow.compute  # noqa: F401  pa.compute
 KEEP = 100_000
 #: Pieces that go through the library together.
 LEARN = 4096
+#: Characters of a piece that is merged here.
+SHORT = 48
 #: White space by Unicode's property, as the pre-tokenizers' \\s has it. str.split also takes \x1c to \x1f.
 SPACE = "\t-\r \x85\xa0  -     　"
 _NOT_SPACE = re.compile(f"[^{SPACE}]+")
@@ -85,6 +87,48 @@ BYTE_CHARS = _byte_chars()
 _BYTE_LEVEL_OF = {b: c for b, c in enumerate(BYTE_CHARS) if b not in b"\0\n"}  # these two separate here
 
 
+class PairRanks:
+    """The ranks of pairs of ids, in a hash table of numpy arrays that is looked up for many pairs at once."""
+
+    NONE = np.int32(np.iinfo(np.int32).max)
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.shift = np.uint64(64 - 2 - int(len(left)).bit_length())  # a quarter of the slots is taken at most
+        self.size = 1 << (64 - int(self.shift))
+        self.keys = np.full(self.size, -1, np.int64)
+        self.ranks = np.full(self.size, self.NONE, np.int32)
+        key = (left.astype(np.int64) << 32) | right
+        rank, slot = np.arange(len(key), dtype=np.int32), self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.ranks[slot[take]] = key[take], rank[take]
+            left_over = np.ones(len(key), bool)
+            left_over[take] = False
+            key, rank, slot = key[left_over], rank[left_over], (slot[left_over] + 1) & (self.size - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left.astype(np.int64) << 32) | right
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.ranks[slot], self.NONE)
+        live = np.flatnonzero((found != key) & (found >= 0))
+        if len(live):
+            key, slot, flat = key.ravel()[live], slot.ravel()[live], out.ravel()
+            while len(live):
+                slot = (slot + 1) & (self.size - 1)
+                found = self.keys[slot]
+                hit = found == key
+                flat[live[hit]] = self.ranks[slot[hit]]
+                go = ~hit & (found >= 0)
+                live, key, slot = live[go], key[go], slot[go]
+        return out
+
+
 class Codec:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -105,6 +149,12 @@ class Codec:
         self.latin_lines = re.compile("\n|" + self.latin.pattern)
         self.special = {x["content"]: np.uint32(x["id"]).tobytes() for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        vocab, merges = spec["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.pairs = PairRanks(np.array([vocab[a] for a, _ in merges]), np.array([vocab[b] for _, b in merges]))
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        self.first_ids = np.array([vocab[c] for c in BYTE_CHARS], np.int32)
+        self.last_ids = np.array([vocab[c + suffix] for c in BYTE_CHARS], np.int32)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.kept.update(self.special)
@@ -135,8 +185,78 @@ class Codec:
         lines = iter(words.split("\0\n\0"))
         return [next(lines).split("\0") if yes else [x for x, _ in self.pre(self.normal(p))] for p, yes in zip(pieces, latin, strict=True)]
 
+    def merged(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (bytes, each with a NUL or a line end behind it), one after another, and how many each has.
+
+        Words of as many symbols are rows of a matrix. From the longest down, each row makes the merge of its least rank,
+        the leftmost of equal ones, which puts it among the rows that are shorter by one; a row without a rank is done.
+        """
+        chars = np.frombuffer(data, np.uint8)
+        end = np.flatnonzero((chars == 0) | (chars == 10))
+        begin = np.append(0, end[:-1] + 1)
+        length = end - begin
+        ids = self.first_ids[chars]
+        ids[end - 1] = self.last_ids[chars[end - 1]]
+        order = np.argsort(length, kind="stable")
+        upto = np.searchsorted(length[order], np.arange(int(length.max()) + 2))
+        size = np.zeros(len(length), np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        word = np.zeros(0, np.int64)
+        sym, rank = np.zeros((0, len(upto) - 1), np.int32), np.zeros((0, len(upto) - 2), np.int32)
+        for n in range(len(upto) - 2, 0, -1):
+            new = order[upto[n] : upto[n + 1]]
+            if len(new):
+                own = ids[begin[new][:, None] + np.arange(n)]
+                sym, rank, word = np.concatenate([sym[:, :n], own]), np.concatenate([rank[:, : n - 1], self.pairs.of(own[:, :-1], own[:, 1:])]), np.concatenate([word, new])
+            if not len(word):
+                sym, rank = sym[:, : n - 1], rank[:, : max(n - 2, 0)]
+                continue
+            rows = np.arange(len(word))
+            at = rank.argmin(1) if n > 1 else np.zeros(len(word), np.int64)
+            best = rank[rows, at] if n > 1 else np.full(len(word), PairRanks.NONE)
+            ended = best == PairRanks.NONE
+            if ended.any():
+                size[word[ended]] = n
+                done.append((word[ended], sym[ended]))
+                go = ~ended
+                word, sym, rank, at, best = word[go], sym[go], rank[go], at[go], best[go]
+                rows = np.arange(len(word))
+            if n == 1:
+                break
+            keep = np.ones(sym.shape, bool)
+            keep[rows, at + 1] = False
+            sym = sym[keep].reshape(len(word), n - 1)
+            sym[rows, at] = self.made[best]
+            keep = np.ones(rank.shape, bool)
+            keep[rows, at] = False
+            rank = rank[keep].reshape(len(word), n - 2)
+            r, k = rows[at > 0], at[at > 0]
+            rank[r, k - 1] = self.pairs.of(sym[r, k - 1], sym[r, k])
+            r, k = rows[at < n - 2], at[at < n - 2]
+            rank[r, k] = self.pairs.of(sym[r, k], sym[r, k + 1])
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), "<u4")
+        for w, s in done:
+            out[start[w][:, None] + np.arange(s.shape[1])] = s
+        return out, size
+
     def learn(self, pieces: list[str]) -> None:
-        """New pieces go through the library together, with a special token, which none of them holds, between them."""
+        """New pieces: short ones in Latin letters by merged(), the others by the library."""
+        plain = [p for p in pieces if len(p) <= SHORT and _LATIN.fullmatch(p)]
+        if plain:
+            joined = "\n".join(plain)
+            words = "\0".join(self.latin_lines.findall(joined.lower() if self.by_word else joined)).replace("\0\n\0", "\n").encode() + b"\n"
+            ids, size = self.merged(words)
+            chars = np.frombuffer(words, np.uint8)
+            stop = chars[(chars == 0) | (chars == 10)] == 10  # the last word of its piece
+            ends = (np.cumsum(size)[stop] * 4).tolist()
+            raw = ids.tobytes()
+            self.kept.update(zip(plain, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        if len(plain) < len(pieces):
+            self.ask(list(set(pieces).difference(plain)))
+
+    def ask(self, pieces: list[str]) -> None:
+        """Pieces go through the library together, with a special token, which none of them holds, between them."""
         mark, number = next((x, int.from_bytes(i, "little")) for x, i in self.special.items())
         for k in range(0, len(pieces), LEARN):  # the library's results are large for their ids
             part = pieces[k : k + LEARN]
