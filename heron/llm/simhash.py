@@ -11,11 +11,15 @@ choice of t_i masked bits; fingerprints with the same masked key are candidates,
 
 A key holds its fingerprints sorted in a task. Of the links found there a spanning forest is passed on, which keeps
 components. A key of more than HOT fingerprints is divided by equality on one of r + 1 blocks of the bits it leaves open
-(again lossless), and what is still larger goes as pairs of blocks of HOT, so no task gets an unbounded group.
+(again lossless). What is still larger gets a pivot: all within r bits of it are linked to it, and need not be compared
+with each other; only those beyond go, as blocks of HOT against blocks of all. So a dense group takes linear work, no
+task gets an unbounded group, and only fingerprints that agree on all bits of a key and of a block, are more than HOT and
+yet farther apart than r take work in proportion to their number times that of the whole key.
 
 Cases: a null or empty text, or one of white space, has the fingerprint 0 and links like any other; fewer words than a
-shingle: the whole sequence is the one shingle; repeated rows and ties collapse; an empty table gives an empty result;
-a null doc_id keeps its row, and counts as larger than any id; other columns are never read by near_duplicates.
+shingle: the whole sequence is the one shingle; a text of any length is taken whole, as a step of its own; repeated rows
+and ties collapse; rows of one doc_id are rows of their own; an empty table gives an empty result; a null doc_id keeps
+its row, and counts as larger than any id; other columns are never read by near_duplicates and carried by keep_one.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, steps, utf8, written
@@ -41,6 +46,8 @@ HOT = 4096
 #: keep_one: fingerprints of a text; those that are searched, and within how many bits; most bits that all may differ in.
 #: At a similarity of 0.8 a bit differs with a chance of 0.15, so all together by 29 +- 5.
 PRINTS, SEARCHES, RADIUS, APART = 3, 2, 13, 46
+#: keep_one: pivots of a key that is still larger than HOT. Its families may be larger than the links make them.
+PIVOTS = 8
 #: Texts of a family, and their bytes, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: What a candidate costs in probes.
@@ -331,13 +338,43 @@ def links(unique: DataFrame, radius: int = 4, hot: int = HOT, others: Sequence[s
     keys = ["probe", "key", "block", "sub"]
     sizes = warm.groupBy(*keys).count().where(F.col("count") > hot)
     sized = warm.join(sizes, keys, "left")
-    small = sized.where("count is null")
-    n = F.ceil(F.col("count") / hot).cast("int")
-    own = F.pmod(F.xxhash64((["fp"] + others)[-1]), n).cast("int")
-    large = sized.where("count is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    large = large.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    found = _compared(cold, ["probe", "key"], radius, others, most).unionByName(_compared(small, keys, radius, others, most)).unionByName(_compared(large, [*keys, "x", "y"], radius, others, most))
-    return found
+    large = sized.where("count is not null")
+    found = _compared(cold, ["probe", "key"], radius, others, most).unionByName(_compared(sized.where("count is null"), keys, radius, others, most))
+    if sizes.isEmpty():
+        return found
+    return found.unionByName(_around_pivots(large, keys, radius, hot, others, most))
+
+
+def _around_pivots(large: DataFrame, keys: list[str], radius: int, hot: int, others: list[str], most: int) -> DataFrame:
+    """Links of keys that stay large (with their count): stars around pivots, and what lies beyond in blocks. With
+    `others` a key has PIVOTS of them, and all of their stars are joined."""
+    names = ["fp", *others]
+    node = names[-1]
+    turn = F.xxhash64(node)
+    n = PIVOTS if others else 1
+    pivots = large.groupBy(*keys).agg(*[F.min(F.when(F.pmod(turn, F.lit(n)) == k, F.struct(turn.alias("_h"), *names))).alias(f"_p{k}") for k in range(n)])
+    pivots = written(pivots, "pivots")
+    joined = large.join(pivots, keys)
+
+    def near(k: int) -> Column:
+        apart = [F.bit_count(F.col(c).bitwiseXOR(F.col(f"_p{k}.{c}"))) for c in names[: len(names) - bool(others)]]
+        close = apart[0] <= radius
+        return F.coalesce(close & (sum(apart[1:], apart[0]) <= most) if others else close, F.lit(False))
+
+    inside = near(0)
+    for k in range(1, n):
+        inside = inside | near(k)
+    first = F.coalesce(*[F.col(f"_p{k}.{node}") for k in range(n)])
+    told = written(joined.select(*keys, *names, "count", inside.alias("_in"), first.alias("_first")), "around")
+    stars = told.where("_in").select(F.col(node).alias("a"), F.col("_first").alias("b"))
+    beyond = told.where("not _in").groupBy(*keys).agg(F.ceil(F.count("*") / hot).cast("int").alias("_r"))
+    blocks = told.join(beyond, keys).withColumn("_n", F.ceil(F.col("count") / hot).cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64(node, F.lit(1)), F.col(c)).cast("int")
+    out = blocks.where("not _in").withColumn("x", own("_r")).withColumn("y", every("_n"))
+    all_ = blocks.withColumn("y", own("_n")).withColumn("x", every("_r"))
+    both = out.select(*keys, "x", "y", *names).unionByName(all_.select(*keys, "x", "y", *names)).distinct()
+    return stars.unionByName(_compared(both, [*keys, "x", "y"], radius, others, most))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, hot: int = HOT) -> DataFrame:
@@ -351,7 +388,7 @@ def _with_components(prints: DataFrame, radius: int, hot: int = HOT) -> DataFram
     unique = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
     found = components(links(unique, radius, hot))
     grouped = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = written(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "least")  # so that the join can split a hot label
     of_print = grouped.join(least, "label").select("fp", "component_id")
     return prints.join(of_print, "fp")
 
@@ -367,11 +404,14 @@ def _several(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         for k in range(PRINTS if len(has) else 0):
             fps[k, has] = _majority(_mixed(hashes, k), m)
         digests = pa.array([hashlib.md5(x).digest() for x in split], pa.binary())
-        yield pa.record_batch([b.column("row"), b.column("doc_id"), digests, *(pa.array(x.view(np.int64)) for x in fps)], names=["row", "doc_id", "digest", *(f"f{k}" for k in range(PRINTS))])
+        keep = [c for c in b.schema.names if c != "text"]
+        size = pa.array([len(x) for x in split], pa.int64())
+        yield pa.record_batch([*(b.column(c) for c in keep), size, digests, *(pa.array(x.view(np.int64)) for x in fps)], names=[*keep, "bytes", "digest", *(f"f{k}" for k in range(PRINTS))])
 
 
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of sets (distinct hashes each) whose Jaccard similarity is at least that; two empty ones are equal."""
+def similar_pairs(sets: list[np.ndarray], similarity: float, queries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets (distinct hashes each) whose Jaccard similarity is at least that, or those of the first `queries`
+    sets with all others; two empty ones are equal."""
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -380,27 +420,31 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
     column, row = (np.cumsum(times > 1) - 1)[column[shared]], row[shared]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    both = np.zeros((n, n), np.int32)
+    most = n - 1 if queries is None else min(queries, n - 1)
+    both = np.zeros((most, n), np.int32)
     width = 1 << 13
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):  # some columns at a time, as bits
         lo, hi = np.searchsorted(column, [k, k + width])
         part = np.zeros((n, min(width, -(-(int(column[-1]) + 1 - k) // 64) * 64)), bool)
         part[row[lo:hi], column[lo:hi] - k] = True
         bits = np.packbits(part, axis=1).view(np.uint64)
-        for i in range(n - 1):
+        for i in range(most):
             both[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int32)
-    found = [i + 1 + np.flatnonzero(both[i, i + 1 :] * (1 + similarity) >= similarity * (size[i] + size[i + 1 :]) - 1e-9) for i in range(n)]
-    return np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate(found)
+    found = [i + 1 + np.flatnonzero(both[i, i + 1 :] * (1 + similarity) >= similarity * (size[i] + size[i + 1 :]) - 1e-9) for i in range(most)]
+    return np.repeat(np.arange(most), [len(x) for x in found]), np.concatenate(found)
 
 
 def _exact(batches: Iterable[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Batches (label, x, y, node, text) sorted by the first three: a spanning forest of each group's similar pairs."""
-    key, nodes, sets = None, [], []
+    """Batches (label, x, y, asks, node, text) sorted by the first three: a spanning forest of each group's similar pairs
+    of which one text asks at least."""
+    key, nodes, sets, asking = None, [], [], []
 
     def emit() -> pa.RecordBatch:
-        a, b = similar_pairs(sets, similarity) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(~np.array(asking), kind="stable")
+        n = int(sum(asking))
+        a, b = similar_pairs([sets[i] for i in order.tolist()], similarity, n) if len(sets) > 1 and n else (np.zeros(0, np.int64),) * 2
         a, b = _forest(len(sets), a, b) if len(a) else (a, b)
-        own = np.array(nodes, np.int64)
+        own = np.array(nodes, np.int64)[order]
         return pa.record_batch([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
 
     for b in steps(batches, limit=2 << 20):
@@ -408,55 +452,97 @@ def _exact(batches: Iterable[pa.RecordBatch], words: int, similarity: float) ->
         own = [np.zeros(0, np.uint64)] * b.num_rows
         for i, x in zip(has.tolist(), np.split(hashes, np.cumsum(m)[:-1]) if len(has) else [], strict=True):
             own[i] = np.unique(x)
-        for k, node, x in zip(zip(*(b.column(c).to_pylist() for c in ("label", "x", "y")), strict=True), b.column("node").to_pylist(), own, strict=True):
+        for k, node, asks, x in zip(zip(*(b.column(c).to_pylist() for c in ("label", "x", "y")), strict=True), b.column("node").to_pylist(), b.column("asks").to_pylist(), own, strict=True):
             if k != key and sets:
                 yield emit()
-                nodes, sets = [], []
+                nodes, sets, asking = [], [], []
             key = k
             nodes.append(node)
             sets.append(x)
+            asking.append(asks)
     if sets:
         yield emit()
         sets = []
     give_back()
 
 
-def confirmed(families: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """families (node, label), texts (node, text) -> a, b: edges with the components of all pairs of a family whose
-    shingles are similar. Every pair of a family is compared; a large family goes as pairs of blocks."""
-    members = written(families.join(texts, "node"), "members")
-    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / block_bytes), F.lit(1)).cast("int").alias("n"))
-    dealt = members.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    keys = ["label", "x", "y"]
-    dealt = dealt.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "text")
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_exact, words=words, similarity=similarity), "a long, b long")
+def confirmed(families: DataFrame, texts: DataFrame, on: list[str], words: int, similarity: float, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """families (node, label, bytes, on), texts (on, text) -> a, b: edges with the components of all pairs of a family whose
+    shingles are similar.
 
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, searches: int = SEARCHES, hot: int = HOT) -> DataFrame:
+    A family of up to a block is compared in one task. A larger one is dealt into blocks twice, by two hashes, and the
+    pairs inside these are compared: in a group of copies that joins nearly all. What isn't in the family's largest part
+    then is compared with all of the family, in blocks. So each pair is compared that could still join two parts; a dense
+    group takes linear work, a family of unlike texts work in proportion to its square.
+    """
+    keys, own = ["label", "x", "y"], lambda n, k=0: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int")
+    members = families.join(families.groupBy("label").agg(blocks().alias("n")), "label")
+    members = written(members, "members")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        full = rows.select(*keys, "asks", "node", *[c for c in on if c != "node"]).join(texts, on).select(*keys, "asks", "node", "text")
+        return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_exact, words=words, similarity=similarity), "a long, b long")
+
+    large = members.where("n > 1")
+    once = [members.withColumn("x", own("n", k)).withColumn("y", F.lit(0)).withColumn("asks", F.lit(True)) for k in (0, 1)]
+    found = compared(once[0])
+    if large.isEmpty():
+        return found
+    found = written(found.unionByName(compared(once[1].where("n > 1"))), "inside")
+    parts = _parts(large, found)
+    most = parts.groupBy("label", "part").count().groupBy("label").agg(F.max_by("part", F.struct("count", "part")).alias("_most"))
+    placed = written(parts.join(most, "label").withColumn("asks", F.col("part") != F.col("_most")).drop("part", "_most"), "parts")
+    asking = placed.where("asks").groupBy("label").agg(blocks().alias("_r"))
+    placed = placed.join(asking, "label")
+    cross = placed.where("asks").withColumn("x", own("_r")).withColumn("y", every("n")).unionByName(placed.withColumn("asks", F.lit(False)).withColumn("y", own("n")).withColumn("x", every("_r")))
+    return found.unionByName(compared(cross))
+
+
+def _parts(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members with the part of their family that the edges make."""
+    joined = components(edges).select("node", F.col("label").alias("part"))
+    return members.join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """file, place, doc: the rows with a key that is found again when the table is read once more. A table of files is
+    read as it stands; anything else is written first."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), doc)
+        except AnalysisException:
+            pass  # not a table of files
+    return written(docs.select(doc), "rows").select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), "doc")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = 0.8, searches: int = SEARCHES, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """The documents without near-duplicates of a smaller doc_id, with all their columns. Links are pairs of texts whose
     sets of shingles have a Jaccard similarity of at least `similarity`, exactly; of each component the row of the least
     (doc_id, row key) stays, and every row without an id.
 
     Texts that are equal but for case and white space are collapsed first. Each other text has PRINTS independent
     fingerprints. Families are the components of pairs within `radius` bits in one of the first `searches` and within
-    APART bits of the whole in all together; inside a family every pair is compared. So a search only has to bring a
-    pair into one family, and what is contracted before the comparison loses no link.
+    APART bits of the whole in all together; inside a family every pair is compared that could join two of its parts. So
+    a search only has to bring a pair into one family, and what is contracted before the comparison loses no link.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "rows")
-    texts = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
+    rows, key = _located(docs), ["file", "place"]
+    texts = rows.select(*key, F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
     names = [f"f{k}" for k in range(PRINTS)]
-    prints = written(texts.mapInArrow(partial(_several, words=words), "row long, doc_id long, digest binary, " + ", ".join(f"{f} long" for f in names)), "fingerprints")
-    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("least")
-    unique = written(prints.groupBy("digest").agg(F.min(F.struct("row", *names)).alias("s"), least).select(F.col("s.row").alias("node"), *[f"s.{f}" for f in names], "least"), "unique")
+    prints = written(texts.mapInArrow(partial(_several, words=words), "file long, place long, doc_id long, bytes long, digest binary, " + ", ".join(f"{f} long" for f in names)), "fingerprints")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *key))).alias("least")
+    unique = prints.groupBy("digest").agg(F.min(F.struct(*key, "bytes", *names)).alias("s"), least)
+    unique = written(unique.select(F.monotonically_increasing_id().alias("node"), "s.*", "least"), "unique")
     near = None
     for own in names[:searches]:
         others = [f for f in names if f != own]
         found = links(unique.select(F.col(own).alias("fp"), *others, "node"), radius, hot, [*others, "node"], APART)
         near = found if near is None else near.unionByName(found)
-    families = components(near)
-    linked = components(confirmed(families, texts.select(F.col("row").alias("node"), "text"), words, similarity))
+    families = components(near).join(unique.select("node", *key, "bytes"), "node")
+    linked = components(confirmed(families, texts.select(*key, "text"), key, words, similarity, block))
     grouped = unique.select("node", "least").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select(F.col("least.row").alias("row"))
-    kept = rows.where("doc.doc_id is not null").join(stay, "row", "left_semi").select("doc.*")
+    stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select("least.file", "least.place")
+    kept = rows.where("doc.doc_id is not null").join(stay, key, "left_semi").select("doc.*")
     return kept.unionByName(rows.where("doc.doc_id is null").select("doc.*"))

@@ -208,7 +208,8 @@ def test_families_are_compared_like_brute_force(spark, block):
                 w[5 * j] = "changed"
             rows.append((len(rows), f, " ".join(w)))
     nodes = spark.createDataFrame(rows, "node long, label long, text string")
-    found = components(simhash.confirmed(nodes.select("node", "label"), nodes.select("node", "text"), 5, 0.8, block=block))
+    families = nodes.select("node", "label", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    found = components(simhash.confirmed(families, nodes.select("node", "text"), ["node"], 5, 0.8, block=block))
     got = {r.node: r.label for r in found.collect()}
     words = [(t or "").lower().split() for _, _, t in rows]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
