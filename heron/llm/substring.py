@@ -7,17 +7,17 @@ those can repeat. Their distinct texts, with the least document of each, are dea
 
 Each shard builds FM-indexes (wavelet matrix over word numbers) of up to INDEX_WORDS words, cut between anchors, and
 streams all windows of its segments through backward search; a window with one place left is no repeat, so most stop after
-a few words. The intervals of those that match in full give the least document that has the window. An anchor of more
-than HOT documents (a line before ever other texts) is dealt by whole windows instead, which need no index: they come
-sorted by window and document, so the first of a window is the least, and a task holds one of them. The answers are
-joined to the segments' places and, by document, to the texts.
+a few words. The intervals of those that match in full give the least document that has the window. The segments of an
+anchor of more than HOT documents (a line before ever other texts) would be one task's group, so they are summed up by
+segment and then by single window (a 128-bit hash), with partial sums before each shuffle: the least document of a window
+needs no index then. The answers are joined to the segments' places and, by document, to the texts.
 
 Only the least doc_id counts: a window is removed where its document's id is larger. All windows are judged on the input.
 
-Cases: a null or empty text, or one of fewer than WINDOW words, loses nothing; documents without an id neither lose
-words nor count as earlier; rows of the same doc_id don't count as earlier to each other; repeated rows and ties: the
-least id keeps the passage, rows of that id all do; an empty table gives an empty result; other columns are carried by
-remove_repeats and otherwise never read.
+Cases: a null or empty text, or one of fewer than WINDOW words, loses nothing; a text of any length is taken whole, as a
+step of its own; documents without an id neither lose words nor count as earlier; rows of the same doc_id don't count as
+earlier to each other; repeated rows and ties: the least id keeps the passage, rows of that id all do; an empty table
+gives an empty result; other columns are carried by remove_repeats and otherwise never read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ ANCHOR = 4
 INDEX_WORDS = 1 << 20
 #: Documents of one anchor whose segments go to one index.
 HOT = 20_000
-#: Hot anchors (of 8 bytes) that are broadcast; more are joined by a shuffle.
+#: Hot anchors (of 8 bytes) that are broadcast at most; HOT is doubled until they are as few.
 BROADCAST = 500_000
 _BLOCK = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +100,10 @@ class Windows:
         return self.data[self.begin[a] : self.end[a + self.count[k] + window - 2]]
 
 
+def _signed(x: int) -> int:
+    return x - ((x >> 63) << 64)
+
+
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return b.column("doc_id").to_numpy(zero_copy_only=False)
 
@@ -146,8 +151,8 @@ def _anchors(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _shared(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, hits: the shared anchors of a document, or without a document those of more than `hot` ones. The rows
-    come sorted by route; a batch sends an anchor once, so the rows of one are few."""
+    """doc_id, hits: the shared anchors of a document; or without a document those of more than `hot` ones, with the
+    number of these (n). The rows come sorted by route; a batch sends an anchor once, so the rows of one are few."""
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         kind = table["kind"].to_numpy()
@@ -157,15 +162,18 @@ def _shared(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
         route, k = table["route"].to_numpy()[at], kind[at]
         doc = table["doc_id"].fill_null(0).to_numpy()[at]
         out_doc, out_hits = hits["doc_id"].to_pylist(), hits["hits"].to_pylist()
+        counts = None
         if len(at):
             start = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
             big = np.iinfo(np.int64)
             low = np.minimum.reduceat(np.where(k == 0, doc, big.max), start)
             high = np.maximum.reduceat(np.where(k == 0, doc, big.min), start)
-            often = route[start[np.add.reduceat(table["n"].to_numpy()[at], start) > hot]]
+            size = np.add.reduceat(table["n"].to_numpy()[at], start)
+            often = route[start[size > hot]]
             if len(often):
                 out_doc.append(None)
                 out_hits.append(often.tobytes())
+                counts = (len(out_doc) - 1, size[size > hot].astype(np.int64).tobytes())
             yes = (np.maximum.reduceat(k, start) == 1) | (low < high)
             pick = np.repeat(yes, np.diff(np.append(start, len(route)))) & (k == 0)
             h, d = route[pick], doc[pick]
@@ -175,7 +183,10 @@ def _shared(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
             ends = np.append(cut[1:], len(d))
             out_doc += d[cut].tolist()
             out_hits += [h[a:e].tobytes() for a, e in zip(cut.tolist(), ends.tolist(), strict=True)] if len(cut) else []
-        return pa.record_batch([pa.array(out_doc, pa.int64()), pa.array(out_hits, pa.binary())], names=["doc_id", "hits"])
+        n = [None] * len(out_doc)
+        if counts:
+            n[counts[0]] = counts[1]
+        return pa.record_batch([pa.array(out_doc, pa.int64()), pa.array(out_hits, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "hits", "n"])
 
     rest: pa.Table | None = None
     for b in batches:
@@ -195,7 +206,7 @@ def _shared(batches: Iterable[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
 
 def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column("hits").to_pylist()), np.int64))], names=["anchor"])
+        yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column(c).to_pylist()), np.int64)) for c in ("hits", "n")], names=["anchor", "n"])
 
 
 # Second pass: the segments of shared anchors.
@@ -205,17 +216,25 @@ SEGMENTS = "anchor long, seg long, doc_id long, last long, row long, starts bina
 
 def _tag(text: bytes) -> int:
     """Tells texts of one doc_id apart."""
-    return xxhash.xxh64_intdigest(text) & 0xFFFF
+    return _signed(xxhash.xxh64_intdigest(text))
 
 
-def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) -> Iterator[pa.RecordBatch]:
-    """With contents: each distinct segment of a batch once, with its least and largest document. Else its places, a row
-    for each document; `row` tells rows of one doc_id apart."""
+def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool, often: Broadcast | None, hot: bool) -> Iterator[pa.RecordBatch]:
+    """With contents: each distinct segment of a batch once, with its least and largest document; those of the anchors in
+    `often` (sorted) if `hot`, else those of the others. Without: the places of all, a row for each document; `row` tells
+    rows of one doc_id apart."""
+    apart = often.value if often and contents else np.zeros(0, np.uint64)
+
+    def chosen(x: np.ndarray) -> np.ndarray:
+        if not contents or not len(apart):
+            return x
+        return x[(apart[np.minimum(np.searchsorted(apart, x), len(apart) - 1)] == x) == hot]
+
     for b in steps(batches):
         ids = _ids(b)
-        texts = utf8(b.column("text"))
+        hits = [chosen(np.frombuffer(b"".join(x or ()), np.uint64)) for x in b.column("hits").to_pylist()]
+        texts = [t if len(x) else b"" for t, x in zip(utf8(b.column("text")), hits, strict=True)]
         w = Windows(texts, window)
-        hits = [np.frombuffer(b"".join(x or ()), np.uint64) for x in b.column("hits").to_pylist()]
         wanted = np.unique(np.concatenate([x ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for i, x in enumerate(hits)]))
         if not len(w.start) or not len(wanted):
             continue
@@ -234,7 +253,7 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) ->
             last = d[np.append(start[1:], len(d)) - 1]
             text = [w.data[x:y] for x, y in zip(a[order[start]].tolist(), e[order[start]].tolist(), strict=True)]
             n = len(start)
-            yield pa.record_batch([pa.array(h[start].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(d[start]), pa.array(last - d[start]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENTS.split(", ")])
+            yield pa.record_batch([pa.array(h[start].view(np.int64)), pa.array(s[start].view(np.int64)), pa.array(d[start]), pa.array(last - d[start]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(text, pa.binary())], names=[x.split()[0] for x in SEGMENTS.split(", ")])
         else:
             of = w.doc[pick]
             place = (w.start[pick] - w.first[of]).astype(np.int32)
@@ -250,45 +269,33 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool) ->
             )
 
 
-def _signed(x: int) -> int:
-    return x - ((x >> 63) << 64)
-
+WINDOWS = "w binary, anchor long, seg long, part int, low long, high long"
 
-ROUTED = "route long, anchor long, seg long, part int, doc_id long, last long, content binary"
 
-
-def _route(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Segments dealt by their anchor; those of hot anchors as single windows, dealt by their own hash."""
-    names = [x.split()[0] for x in ROUTED.split(", ")]
+def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of segments (anchor, seg, low, high, content), each by its place and its hash."""
     for b in batches:
-        hot = b.column("hot").is_valid()
-        plain = b.filter(pa.compute.invert(hot))
-        n = plain.num_rows
-        if n:
-            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            yield pa.record_batch([plain.column("anchor"), *none, plain.column("doc_id"), plain.column("last"), plain.column("content")], names=names)
-        rows: list[tuple] = []
-        for anchor, low, more, content in zip(*(b.filter(hot).column(c).to_pylist() for c in ("anchor", "doc_id", "last", "content")), strict=True):
-            words, seg = content.split(b" "), _signed(xxhash.xxh64_intdigest(content, 11))
+        key, part, of = [], [], []
+        for i, content in enumerate(b.column("content").to_pylist()):
+            words = content.split(b" ")
             for j in range(len(words) - window + 1):
-                part = b" ".join(words[j : j + window])
-                rows.append((_signed(xxhash.xxh64_intdigest(part)), anchor, seg, j, low, more, part))
-        if rows:
-            c = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=names)
+                key.append(xxhash.xxh3_128_digest(b" ".join(words[j : j + window])))
+                part.append(j)
+                of.append(i)
+        at = pa.array(of, pa.int32())
+        yield pa.record_batch([pa.array(key, pa.binary()), b.column("anchor").take(at), b.column("seg").take(at), pa.array(part, pa.int32()), b.column("low").take(at), b.column("high").take(at)], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
 
 # The shards.
 
-FOUND = "anchor long, seg long, part int, mins array<long>"
+FOUND = "anchor long, seg long, answers array<struct<part: int, mins: array<bigint>>>"
 
 
 def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
-    """rows: anchor, seg, part, least and largest document, content; the least document of each window."""
+    """rows: anchor, seg, least and largest document, content; the least document of each window."""
     kept: dict[tuple, list] = {}
-    for anchor, seg, part, low, last, content in rows:
-        got = kept.setdefault((anchor, seg, part), [low, last, content])
+    for anchor, seg, low, last, content in rows:
+        got = kept.setdefault((anchor, seg), [low, last, content])
         got[0], got[1] = min(got[0], low), max(got[1], last)
     split = pa.compute.split_pattern(pa.array([v[2] for v in kept.values()], pa.binary()), " ")
     coded = split.values.dictionary_encode()
@@ -316,70 +323,67 @@ def _search(rows: list[tuple], window: int) -> pa.RecordBatch | None:
     mins = [least[begin[k] : begin[k] + m[k]] for k in tell.tolist()]
     names = [keys[k] for k in tell.tolist()]
     offsets = np.append(0, np.cumsum(m[tell])).astype(np.int32)
-    return pa.record_batch(
-        [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array([x[2] for x in names], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(mins)))], names=["anchor", "seg", "part", "mins"]
-    )
+    each = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(mins)))
+    answer = pa.StructArray.from_arrays([pa.array(np.zeros(len(names), np.int32)), each], names=["part", "mins"])
+    answers = pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1, dtype=np.int32)), answer)
+    return pa.record_batch([pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), answers], names=["anchor", "seg", "answers"])
 
 
 def _index(batches: Iterable[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Indexes of consecutive routes; equal windows have equal routes, so a cut between two loses nothing. Single windows
-    (with a part) come sorted by content and document, and are answered by the first of each."""
+    """Indexes of consecutive anchors; equal windows have equal anchors, so a cut between two loses nothing."""
     rows: list[tuple] = []
     words, before = 0, None
-    window_, least = None, 0
-
-    def told(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out, strict=True))
-        return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.list_(pa.int64()))], names=["anchor", "seg", "part", "mins"])
-
     for b in batches:
-        out: list[tuple] = []
-        for route, anchor, seg, part, low, more, content in zip(*(b.column(c).to_pylist() for c in ("route", "anchor", "seg", "part", "doc_id", "last", "content")), strict=True):
-            if part is not None:
-                if content != window_:
-                    window_, least = content, low
-                if more or least < low:
-                    out.append((anchor, seg, part, [least]))
-                continue
-            if words >= limit and route != before:
+        for anchor, seg, low, more, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "seg", "doc_id", "last", "content")), strict=True):
+            if words >= limit and anchor != before:
                 if (found := _search(rows, window)) is not None:
                     yield found
                 rows, words = [], 0
-            # a whole segment, dealt by its anchor
-            rows.append((route, _signed(xxhash.xxh64_intdigest(content, 11)), -1, low, low + more, content))
+            rows.append((anchor, seg, low, low + more, content))
             words += content.count(b" ") + 1
-            before = route
-        if out:
-            yield told(out)
+            before = anchor
     if rows and (found := _search(rows, window)) is not None:
         yield found
     rows = []
     give_back()
 
 
+def _often(shared: DataFrame, most: int) -> np.ndarray:
+    """The hot anchors, sorted: those of the most documents, `most` at most."""
+    often = shared.where("doc_id is null").mapInArrow(_unpack, "anchor long, n long")
+    step = F.floor(F.log2("n")).cast("int")
+    kept, least = 0, 64
+    for r in sorted(often.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # a row a power of two
+        if kept + r["count"] > most:
+            break
+        kept, least = kept + r["count"], r.step
+    rows = often.where(step >= least).select("anchor").toPandas() if kept else None  # `most` rows at most
+    return np.sort(rows["anchor"].to_numpy(np.int64).view(np.uint64)) if kept else np.zeros(0, np.uint64)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int = INDEX_WORDS) -> DataFrame:
-    """doc_id, spans array<struct<row, starts, gone>>: for each document with a repeat, its segments' places and which
-    windows from there start in an earlier document."""
+    """doc_id, spans array<struct<row, starts, answers array<struct<part, gone>>>>: for each document with a repeat, its
+    segments' places and which windows from there start in an earlier document."""
     sent = _texts(docs).where("doc_id is not null").mapInArrow(partial(_anchors, window=window), "route long, doc_id long, kind int, n long, hits binary")
-    shared = written(sent.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_shared, hot=hot), "doc_id long, hits binary"), "anchors")
+    shared = written(sent.repartition("route").sortWithinPartitions("route").mapInArrow(partial(_shared, hot=hot), "doc_id long, hits binary, n binary"), "anchors")
     hits = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
-    often = shared.where("doc_id is null").mapInArrow(_unpack, "anchor long")
+    apart = _often(shared, BROADCAST)
+    often = docs.sparkSession.sparkContext.broadcast(apart) if len(apart) else None
     # The uses below read one exchange of the texts.
     joined = _texts(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
-    contents = joined.mapInArrow(partial(_segments, window=window, contents=True), SEGMENTS).select("anchor", "doc_id", "last", "content")
-    places = joined.mapInArrow(partial(_segments, window=window, contents=False), SEGMENTS).select("anchor", "seg", "doc_id", "row", "starts")
-    n = often.count()
-    marked = often.withColumn("hot", F.lit(1))
-    marked = contents.join(F.broadcast(marked) if n <= BROADCAST else marked, "anchor", "left") if n else contents.withColumn("hot", F.lit(None).cast("int"))
-    routed = marked.mapInArrow(partial(_route, window=window), ROUTED).repartition("route")
-    if n:
-        routed = routed.sortWithinPartitions("route", F.expr("if(part is null, null, content)"), "doc_id")
-    else:
-        routed = routed.sortWithinPartitions("route")
-    found = routed.mapInArrow(partial(_index, window=window, limit=limit), FOUND)
-    if n:  # a window that several batches sent is answered as often
-        found = found.repartition("anchor", "seg").dropDuplicates(["anchor", "seg", "part"])
-    gone = places.join(found, ["anchor", "seg"]).where("exists(mins, x -> x < doc_id)").select("doc_id", F.struct("row", "starts", F.greatest("part", F.lit(0)).alias("part"), F.expr("transform(mins, x -> x < doc_id)").alias("gone")).alias("span"))
+    segments = lambda contents, of_hot=False: joined.mapInArrow(partial(_segments, window=window, contents=contents, often=often, hot=of_hot), SEGMENTS)
+    places = segments(False).select("anchor", "seg", "doc_id", "row", "starts")
+    contents = segments(True).select("anchor", "seg", "doc_id", "last", "content")
+    found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_index, window=window, limit=limit), FOUND)
+    if often:
+        each = segments(True, True).groupBy("anchor", "seg").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id") + F.col("last")).alias("high"), F.min("content").alias("content"))
+        windows = written(each.mapInArrow(partial(_windows, window=window), WINDOWS), "windows")
+        # Written, so that the join can split a window that ever other segments have.
+        least = written(windows.groupBy("w").agg(F.min("low").alias("least"), F.max("high").alias("high")).where("least < high").select("w", "least"), "least")
+        answer = F.struct("part", F.array("least").alias("mins"))
+        found = found.unionByName(windows.select("w", "anchor", "seg", "part").join(least, "w").groupBy("anchor", "seg").agg(F.collect_list(answer).alias("answers")))
+    earlier = "transform(answers, a -> struct(a.part as part, transform(a.mins, x -> x < doc_id) as gone))"
+    gone = places.join(found, ["anchor", "seg"]).where("exists(answers, a -> exists(a.mins, x -> x < doc_id))").select("doc_id", F.struct("row", "starts", F.expr(earlier).alias("answers")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
@@ -402,11 +406,11 @@ def _removed(text: bytes, words: int, spans: list[dict] | None, window: int) ->
         own = _tag(text)
         for s in spans:
             if s["row"] == own:
-                for at in np.frombuffer(s["starts"], "<i4").tolist():
-                    for j, yes in enumerate(s["gone"], at + s["part"]):
-                        if yes:
-                            edge[j] += 1
-                            edge[j + window] -= 1
+                at = np.frombuffer(s["starts"], "<i4")
+                for a in s["answers"]:
+                    first = (at[:, None] + a["part"] + np.flatnonzero(a["gone"])).ravel()
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
