@@ -11,9 +11,27 @@ GAIN, DAY_FACTOR, FLOOR = 0.1, 0.98, 1e-6
 
 
 def canonical_json(json: Column) -> Column:
-    """An object of scalars with its keys in order, so that equal arguments have equal signatures."""
-    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """JSON with the keys of all its objects in order, so that equal arguments have equal signatures: a variant keeps
+    them sorted. Null where it is no JSON."""
+    return F.to_json(F.try_parse_json(json))
+
+
+def tagged_payload(tag: Column, value: Column) -> Column:
+    """A payload as JSON under its type tag."""
+    return F.to_json(F.struct(tag.alias("type"), value.alias("data")))
+
+
+def payload_of(json: Column, tag: str, schema: str) -> Column:
+    """The data of a payload of this type; null for another type, and where it cannot be decoded."""
+    p = F.from_json(json, f"type string, data {schema}")
+    return F.when(p["type"] == tag, p["data"])
+
+
+def day_relative(at: Column, now: Column, yesterday: str = "Yesterday") -> Column:
+    """The time for today's, Yesterday and the time for the day before, else date and time."""
+    time = F.date_format(at, "HH:mm:ss")
+    days = F.datediff(now, at)
+    return F.when(days == 0, time).when(days == 1, F.concat(F.lit(yesterday + " "), time)).otherwise(F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
 
 
 def signature(name: Column, json: Column) -> Column:

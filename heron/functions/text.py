@@ -86,3 +86,53 @@ def phrase(code: Column, phrases: dict[int, str]) -> Column:
     for k, v in phrases.items():
         out = F.when(code == k, F.lit(v)).otherwise(out)
     return out
+
+
+def sections(*parts: tuple[str, Column, Column | None], joint: str = "\n\n") -> Column:
+    """(title, body, condition): a text of those sections whose body is not empty and whose condition, if any, holds; in
+    the order given, each under its title."""
+    out = []
+    for title, body, condition in parts:
+        shown = body != ""
+        if condition is not None:
+            shown = shown & condition
+        out.append(F.when(shown, F.concat(F.lit(title + "\n"), body)))
+    return F.concat_ws(joint, *out)
+
+
+def prompt(character: Column, profiles: Column, story: Column, version: Column, dialog: Column, segments: Column, result: Column, state: Column, guidance: Column) -> Column:
+    """The context of an answer. A story is told only if there is one, on a summary (version -1: none)."""
+    return sections(
+        ("# Character", character, None), ("# People", profiles, None), ("# Story so far", story, version != -1), ("# Dialog", dialog, None), ("# Related", segments, None), ("# Result", result, None), ("# State", state, None), ("# Guidance", guidance, None)
+    )
+
+
+def rendered_note(at: Column, kind: Column, content: Column, references: Column, conflicts: Column) -> Column:
+    """A note as a section of its own: heading, content, the list of its references, and what it conflicts with."""
+    refs = F.when(F.size(references) > 0, F.concat(F.lit("\nReferences:\n"), F.array_join(F.transform(references, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")))
+    conflict = F.when(conflicts != "", F.concat(F.lit("\nConflicts with: "), conflicts, F.lit("\n")))
+    return F.concat(F.lit("## ["), at, F.lit("] "), kind, F.lit("\n\n"), content, F.lit("\n"), F.coalesce(refs, F.lit("")), F.coalesce(conflict, F.lit("")))
+
+
+def trimmed_notes(text: Column, most: int, notice: str = "[older notes left out]\n\n") -> Column:
+    """The last `most` characters of rendered notes, from the first heading among them if there is one."""
+    cut = F.right(text, F.lit(most))
+    at = F.instr(cut, "\n## [")
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.lit(notice), F.when(at > 0, F.right(cut, F.char_length(cut) - at)).otherwise(cut)))
+
+
+def lines_page(text: Column, offset: int = 1, limit: int = 200, most: int = 500, most_bytes: int = 10 << 20) -> tuple[Column, Column, Column]:
+    """A page of lines, how many lines follow it, and an error for a text that is too large."""
+    size = min(limit if limit > 0 else 200, most)
+    large = F.octet_length(text) > most_bytes
+    left = F.greatest(F.size(lines_of(text)) - F.lit(max(offset, 1) - 1 + size), F.lit(0))
+    return F.when(~large, page_of_lines(text, offset, limit, most)), F.when(~large, left), F.when(large, F.lit("too large"))
+
+
+def lines_or(mode: Column, text: Column, given: Column, start: int, end: int) -> Column:
+    """A field of a record: `preserve` takes its lines from the source text (or what is given where it doesn't have
+    them), `supplement` takes those and then what is given, `generate` only what is given."""
+    own = line_range(text, start, end)
+    kept = F.when(own != "", own).otherwise(given)
+    both = F.concat_ws("\n", F.when(own != "", own), F.when(given != "", given))
+    return F.when(mode == "preserve", kept).when(mode == "supplement", both).otherwise(given)

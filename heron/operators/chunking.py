@@ -46,8 +46,10 @@ def split_words(text: str, size: int, count: Callable[[str], int]) -> list[str]:
 
 
 def pack(parts: list[str], size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST, count: Callable[[str], int] = count_words, joint: str = "\n\n") -> list[tuple[str, int, int, int]]:
-    """(content, tokens, start, end). Overlap shifts the start only: the trailing parts that fit in it count again for
-    the place of the next chunk, and no text is repeated. A small last chunk is appended to the one before."""
+    """(content, tokens, start, end). Overlap shifts the start only: the trailing parts that fit in it, each with the two
+    bytes of a joint, count again for the place of the next chunk, and no text is repeated; so a chunk may start before
+    the one in front of it. Behind the pieces of a large part the next chunk starts at their end. A small last chunk is
+    appended to the one before."""
     chunks: list[list] = []
     own: list[str] = []
     used = start = 0
@@ -63,7 +65,7 @@ def pack(parts: list[str], size: int = SIZE, overlap: int = OVERLAP, least: int
                 break
             kept += count(t)
             back += len(t.encode()) + 2
-        start += size_ - min(back, size_)
+        start += size_ - back
 
     for p in parts:
         n = count(p)
@@ -72,7 +74,8 @@ def pack(parts: list[str], size: int = SIZE, overlap: int = OVERLAP, least: int
                 close(own, used)
                 own, used = [], 0
             for w in split_words(p, size, count):
-                close([w], count(w))
+                chunks.append([w, count(w), start, start + len(w.encode())])
+                start = chunks[-1][3]
             continue
         if own and used + n > size:
             close(own, used)
@@ -108,9 +111,11 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, l
 def chunk_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The words of every text in chunks of `size`, natively: doc_id, chunk_index, n_words, content."""
     words = docs.select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
-    cut = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * size + 1, F.lit(size))
-    return cut.select("doc_id", "chunk_index", F.size(part).alias("n_words"), F.array_join(part, " ").alias("content"))
+    part = lambda i: F.slice(F.col("w"), i * size + 1, F.lit(size))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))
+    # The chunks are cut before they are exploded, so the words are not repeated beside each.
+    chunks = words.select("doc_id", F.transform(numbers, lambda i: F.struct(F.size(part(i)).alias("n_words"), F.array_join(part(i), " ").alias("content"))).alias("c"))
+    return chunks.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.n_words", "c.content")
 
 
 def ingest(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, **how) -> tuple[DataFrame, DataFrame]:

@@ -66,19 +66,32 @@ def pending_windows(windows: DataFrame, existing: DataFrame, session: str = "con
     return windows.join(existing.select(session, "version").distinct(), [session, "version"], "left_anti").withColumn("base", F.col("first_seq") - 1)
 
 
-def with_narrative(narratives: DataFrame, summaries: DataFrame, session: str = "conv_id") -> DataFrame:
-    """A narrative stands only on a summary of its version."""
-    return narratives.join(summaries, [session, "version"])
+def with_narrative(targets: DataFrame, summaries: DataFrame, session: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """targets (session, version): those with a summary of their version, from which a narrative can be told, and those
+    whose summary has to be asked for first."""
+    keys = [session, "version"]
+    return targets.join(summaries, keys), targets.join(summaries.select(*keys), keys, "left_anti")
 
 
-def context_bundle(messages: DataFrame, summaries: DataFrame, n: int, session: str = "conv_id", order: str = "message_id", content: str = "text", simple_below: int = WINDOW) -> DataFrame:
+def preprocessing_due(count: Column, has_knowledge: Column, window: int = WINDOW) -> Column:
+    """Whether a context is prepared before an answer: for long conversations, and wherever there is a knowledge base."""
+    return (count >= window) | has_knowledge
+
+
+def foreign_sessions(asked: DataFrame, mine: DataFrame, session: str = "conv_id") -> DataFrame:
+    """The sessions of a search that are not one's own; a search within them is refused."""
+    return asked.select(session).distinct().join(mine.select(session), session, "left_anti")
+
+
+def context_bundle(messages: DataFrame, summaries: DataFrame, n: int, session: str = "conv_id", order: str = "message_id", content: str = "text", simple_below: int = WINDOW, narratives: DataFrame | None = None) -> DataFrame:
     """Per session: its last n messages in order as one text, the latest summary version (-1: none), and whether the
-    plain context (few messages) serves."""
+    plain context (few messages) serves. With `narratives` (session, version, narrative) also the one of that version."""
     counts = messages.groupBy(session).agg(F.count("*").alias("n_messages"))
     recent = last_n(messages, session, order, n).groupBy(session).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, content))), lambda x: x[content]), "\n").alias("recent"))
     latest = summaries.groupBy(session).agg(F.max("version").alias("version"))
     out = counts.join(recent, session).join(latest, session, "left")
-    return out.select(session, "n_messages", "recent", F.coalesce("version", F.lit(-1)).alias("version"), (F.col("n_messages") < simple_below).alias("simple"))
+    out = out.select(session, "n_messages", "recent", F.coalesce("version", F.lit(-1)).alias("version"), (F.col("n_messages") < simple_below).alias("simple"))
+    return out if narratives is None else out.join(narratives.select(session, "version", "narrative"), [session, "version"], "left")
 
 
 def history_lines(messages: DataFrame, name: Column, at: Column, content: Column, session: str = "conv_id", order: str = "message_id") -> DataFrame:

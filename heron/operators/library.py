@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -50,25 +52,66 @@ def title_or_head(title: Column, content: Column, most: int = 100) -> Column:
 FRONT = "doc_id long, name string, description string, body string, error string"
 
 
+_KEY = re.compile(r"([^\s:#\[\]{},&*!|>'\"%@`][^:#]*?)\s*:(?:\s+(.*))?$")
+
+
+def _scalar(value: str, more: list[str]) -> str:
+    """The text of a value and of the indented lines behind it: block (| and >), quoted or plain, as YAML has them."""
+    head = re.fullmatch(r"([|>])([+-]?)\d?([+-]?)(?:\s+#.*)?", value)
+    if head:
+        first = next((x for x in more if x.strip()), "")
+        indent = len(first) - len(first.lstrip(" "))
+        lines = [x[indent:] for x in more]
+        while lines and not lines[-1].strip():
+            lines.pop()
+        if head[1] == "|":
+            text = "\n".join(lines)
+        else:  # single line ends fold to spaces, blank lines stay as line ends
+            text = re.sub(r"(?<=[^\n])\n(?=[^\n])", " ", "\n".join(lines))
+            text = re.sub(r"(?<=[^\n])\n(\n+)(?=[^\n])", r"\1", text)
+        chomp = head[2] or head[3]
+        return text if chomp == "-" or not text else text + "\n" * (1 if not chomp else 1 + len(more) - len(lines))
+    value = " ".join([value, *(x.strip() for x in more if x.strip())]).strip()
+    if value[:1] in ("'", '"'):
+        closed = re.fullmatch(r"'((?:[^']|'')*)'(?:\s+#.*)?" if value[0] == "'" else r'"((?:[^"\\]|\\.)*)"(?:\s+#.*)?', value)
+        if not closed:
+            raise ValueError("a quote is not closed")
+        return closed[1].replace("''", "'") if value[0] == "'" else json.loads(f'"{closed[1]}"')
+    if value[:1] in ("[", "{"):
+        if value.count("[") != value.count("]") or value.count("{") != value.count("}"):
+            raise ValueError("a bracket is not closed")
+        return value
+    if value[:1] in ("&", "*", "!", "%", "@", "`", "]", "}", ","):
+        raise ValueError("not a plain value")
+    return re.sub(r"(?:^|\s+)#.*$", "", value)
+
+
 def parse_front_matter(raw: str | None) -> tuple[str | None, str | None, str | None, str | None]:
-    """name, description, body, error. The text starts with a line of three dashes; key: value lines follow up to the
-    next such line. Values may be quoted; keys beside the two are ignored."""
+    """name, description, body, error. The text starts with a line of three dashes; a YAML mapping follows up to the next
+    such line. Of the two keys a missing one is empty; other keys are only checked."""
     lines = (raw or "").replace("\r\n", "\n").split("\n")
-    if lines[0].strip() != "---":
-        return None, None, None, "no front matter"
-    end = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
+    end = next((i for i, x in enumerate(lines[1:], 1) if x == "---"), None) if lines[0] == "---" else None
     if end is None:
-        return None, None, None, "front matter is not closed"
+        return None, None, None, "no front matter"
     found: dict[str, str] = {}
-    for line in lines[1:end]:
-        key, colon, value = line.partition(":")
-        if colon and not line[:1].isspace():
-            value = value.strip()
-            found[key.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
-    missing = [k for k in ("name", "description") if not found.get(k)]
-    if missing:
-        return None, None, None, f"no {missing[0]}"
-    return found["name"], found["description"], "\n".join(lines[end + 1 :]).lstrip("\n"), None
+    i = 1
+    try:
+        while i < end:
+            line, i = lines[i], i + 1
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            own = _KEY.fullmatch(line)
+            if not own or line[0].isspace():
+                raise ValueError("not a key and a value")
+            begun = i
+            while i < end and (not lines[i].strip() or lines[i][0] == " " or (not own[2] and lines[i].startswith("- "))):
+                i += 1
+            more = lines[begun:i]
+            nested = not own[2] and any(_KEY.fullmatch(x.strip()) or x.lstrip().startswith("- ") for x in more)
+            found[own[1]] = "" if nested else _scalar(own[2] or "", more)
+    except ValueError as e:
+        return None, None, None, f"no YAML: {e}"
+    return found.get("name", ""), found.get("description", ""), "\n".join(lines[end + 1 :]).lstrip("\n"), None
 
 
 def _front(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,3 +124,38 @@ def _front(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def front_matter(docs: DataFrame) -> DataFrame:
     """docs (doc_id, raw) with name, description, body, or the error."""
     return docs.select(F.col("doc_id").cast("long"), "raw").mapInArrow(_front, FRONT)
+
+
+def ingested(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, raw): doc_id, title, description, body. The title is the front matter's name, or else the head of
+    the body; a text without front matter is all body."""
+    parsed = front_matter(docs).drop("body").join(docs.select(F.col("doc_id").cast("long"), "raw"), "doc_id")
+    plain = F.replace("raw", F.lit("\r\n"), F.lit("\n"))
+    body = F.when(F.col("error").isNull(), F.regexp_replace(plain, r"(?s)\A---\n(?:.*?\n)?---(?:\n+|\z)", "")).otherwise(plain)
+    return parsed.select("doc_id", title_or_head(F.col("name"), body).alias("title"), "description", body.alias("body"))
+
+
+def recall(items: DataFrame, asked: DataFrame, key: str = "item_id", owner: str = "owner") -> DataFrame:
+    """asked (key, owner) with the item if it is the owner's, else with `error`."""
+    found = asked.join(items.withColumn("_found", F.lit(True)), [key, owner], "left")
+    return found.withColumn("error", F.when(F.col("_found").isNull(), F.lit("not found"))).drop("_found")
+
+
+def updated(items: DataFrame, updates: DataFrame, fields: list[str], text: str = "description", key: str = "item_id", owner: str = "owner") -> tuple[DataFrame, DataFrame]:
+    """The items with the fields of `updates` (key, owner, fields), where they are the owner's; and those whose `text`
+    changed or that have none yet, which alone are embedded again (key, text). Where an item came from stays."""
+    new = updates.select(key, owner, F.struct(*fields).alias("_new"))
+    joined = items.join(new, [key, owner], "left")
+    out = joined.select(*[F.when(F.col("_new").isNull(), F.col(c)).otherwise(F.col(f"_new.{c}")).alias(c) if c in fields else F.col(c) for c in items.columns])
+    stale = joined.where(F.col("_new").isNotNull() & ~F.col(f"_new.{text}").eqNullSafe(F.col(text))).select(key, F.col(f"_new.{text}").alias(text))
+    return out, stale
+
+
+def deliveries(asked: DataFrame, files: DataFrame, at: Column) -> DataFrame:
+    """asked (delivery_id, sender, receiver, session_id, paths array): the audit row of each delivery, its paths as JSON.
+    All of its paths have to be among the files (path); else it has an error and delivers nothing."""
+    each = asked.select("delivery_id", F.explode("paths").alias("path"))
+    absent = each.join(files.select("path"), "path", "left_anti").groupBy("delivery_id").agg(F.count("*").alias("_absent"))
+    out = asked.join(absent, "delivery_id", "left")
+    error = F.when(F.col("_absent") > 0, F.concat(F.col("_absent").cast("string"), F.lit(" missing")))
+    return out.select("delivery_id", "sender", "receiver", "session_id", F.when(error.isNull(), F.to_json("paths")).alias("paths"), error.alias("error"), at.alias("created_at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import partial
 
@@ -10,37 +11,79 @@ from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
 from heron.operators.folds import ordered_fold
+from heron.operators.relational import upsert
+from heron.operators.vectors import similar_to_set
 
 COOLDOWN_MINUTES = 10
 #: Shares of a hit's gain, by rule in the order of precedence.
 RULES = {1: 0.5, 2: 0.2, 3: 0.2, 4: 0.15}
 
 
+#: Kinds of events; only a message's leads to a session.
+MESSAGE = 1
+#: An observation's importance when it is made; kinds of entities that profiles are about.
+IMPORTANCE, PERSON, SESSION = 0.5, 1, 2
+TRIGGER, TOP, RATE_MINUTES = 10, 50, 360
+
+
+def message_events(messages: DataFrame, id_column: str = "message_id", at: str = "created_at") -> DataFrame:
+    """One event for each message: event_type, ref_id, created_at. None is dropped, however many come."""
+    return messages.select(F.lit(MESSAGE).alias("event_type"), F.col(id_column).alias("ref_id"), F.col(at).alias("created_at"))
+
+
+def new_observations(consumed: DataFrame, existing: DataFrame, at: Column) -> DataFrame:
+    """person_id, event_id, importance, last_accessed_at, last_scored_at: an observation for each event that a person
+    consumed and hasn't observed yet; one of a (person, event), however often it is delivered."""
+    keys = ["person_id", "event_id"]
+    new = consumed.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+    return new.select(*keys, F.lit(IMPORTANCE).alias("importance"), at.alias("last_accessed_at"), at.alias("last_scored_at"))
+
+
+def observed_messages(observations: DataFrame, events: DataFrame, messages: DataFrame) -> DataFrame:
+    """Observations with the message behind their event (message_id, session_id, sender, content). Those of other kinds
+    of events, or whose event or message is gone, are left out."""
+    refs = events.where(F.col("event_type") == MESSAGE).select("event_id", F.col("ref_id").alias("message_id"))
+    return observations.join(refs, "event_id").join(messages.select("message_id", "session_id", "sender", "content"), "message_id")
+
+
+def routed_hits(recalled: DataFrame, events: DataFrame, observations: DataFrame) -> DataFrame:
+    """recalled (person_id, message_id, at): messages that a search brought back. The observations of those persons that
+    are hit: person_id, event_id, at; a message that a person never observed hits nothing."""
+    refs = events.where(F.col("event_type") == MESSAGE).select("event_id", F.col("ref_id").alias("message_id"))
+    return recalled.join(refs, "message_id").join(observations.select("person_id", "event_id"), ["person_id", "event_id"], "left_semi").select("person_id", "event_id", "at")
+
+
 def decay(observations: DataFrame, now: Column, importance: str = "importance", scored_at: str = "last_scored_at") -> DataFrame:
     return observations.withColumn("decayed", S.decayed(F.col(importance), F.datediff(now, F.col(scored_at))))
 
 
 def _first() -> tuple:
-    return 0.5, None, 0, 0
+    return None, None, None, 0, 0
 
 
-def _hit(state: tuple, at: datetime, cooldown: timedelta) -> tuple:
-    importance, scored, hits, counted = state
+def _hit(state: tuple, at: datetime, start: float, scored_before: datetime | None, cooldown: timedelta) -> tuple:
+    importance, scored, _, hits, counted = state
+    if not hits:
+        importance, scored = start, scored_before
     if scored is None or at - scored >= cooldown:
         importance, scored, counted = importance + S.GAIN * (1 - importance), at, counted + 1
-    return (importance, scored, hits + 1, counted), ()
+    return (importance, scored, at, hits + 1, counted), ()
 
 
 def _done(state: tuple) -> list[tuple]:
-    importance, scored, hits, counted = state
-    return [(importance, scored, hits, counted)]
+    return [state]
 
 
-def hits(events: DataFrame, key: str = "user_id", at: str = "ts", cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """Importance after all hits of an observation: a hit within the cooldown of the last one that counted counts for
-    nothing. The cooldown's anchor depends on what counted, so this is a fold."""
+def hits(events: DataFrame, key: str = "user_id", at: str = "ts", cooldown_minutes: int = COOLDOWN_MINUTES, importance: Column | None = None, scored_at: Column | None = None) -> DataFrame:
+    """key, importance, last_scored_at, last_accessed_at, n_hits, n_counted after all hits of an observation, from the
+    importance and the time that it has (0.5 and never by default). Every hit is an access; one within the cooldown of
+    the last one that counted counts for nothing else. The cooldown's anchor depends on what counted, so this is a fold."""
+    start = F.lit(IMPORTANCE) if importance is None else importance
+    before = (F.lit(None) if scored_at is None else scored_at).cast("timestamp_ntz")
     step = partial(_hit, cooldown=timedelta(minutes=cooldown_minutes))
-    return ordered_fold(events, [key], [at, "event_id"], [at], _first, step, f"{key} long, importance double, last_scored_at timestamp_ntz, n_hits long, n_counted long", _done)
+    rows = events.select(key, at, "event_id", start.cast("double").alias("_start"), before.alias("_before"))
+    schema = f"{key} long, importance double, last_scored_at timestamp_ntz, last_accessed_at timestamp_ntz, n_hits long, n_counted long"
+    return ordered_fold(rows, [key], [at, "event_id"], [at, "_start", "_before"], _first, step, schema, _done)
 
 
 def positions(observations: DataFrame, session: str = "session_id", order: str = "event_id") -> DataFrame:
@@ -55,10 +98,30 @@ def temporal_neighbours(observations: DataFrame, hit: Column, session: str = "se
     return placed.select("event_id", F.explode("around").alias("a")).where("a.hit_id is not null").select("a.hit_id", "event_id", "a.rule")
 
 
-def session_neighbours(observations: DataFrame, hit: Column, session: str = "session_id") -> DataFrame:
-    """Rule 4: all others of a hit's session."""
-    own = observations.where(hit).select(session, F.col("event_id").alias("hit_id"))
-    return observations.join(own, session).where("event_id <> hit_id").select("hit_id", "event_id", F.lit(4).alias("rule"))
+def similar_neighbours(observations: DataFrame, hit: Column, vectors: DataFrame, threshold: float = 0.8, session: str = "session_id") -> DataFrame:
+    """hit_id, event_id, rule 3: observations of a hit's session whose vector (event_id, embedding) is similar to the
+    hit's; an observation without a vector has no such neighbours."""
+    placed = observations.select("event_id", session, hit.alias("_hit")).join(vectors, "event_id")
+    near = similar_to_set(placed, placed.where("_hit"), threshold, "event_id", "embedding", session)
+    return near.select("hit_id", F.col("vec_id").alias("event_id"), F.lit(3).alias("rule"))
+
+
+def session_share(observations: DataFrame, hit: Column, closer: DataFrame, session: str = "session_id") -> DataFrame:
+    """hit_id, n: how many others of its session a hit reaches by rule 4, which are all that none of the closer links
+    (hit_id, event_id) has. A number for each hit instead of a row for each pair: a session of many hits stays linear."""
+    sizes = observations.groupBy(session).agg(F.count("*").alias("_all"))
+    own = observations.where(hit).select(session, F.col("event_id").alias("hit_id")).join(sizes, session)
+    reached = closer.groupBy("hit_id").agg(F.count("*").alias("_closer"))
+    return own.join(reached, "hit_id", "left").select("hit_id", (F.col("_all") - 1 - F.coalesce("_closer", F.lit(0))).alias("n")).where("n > 0")
+
+
+def first_hits(observations: DataFrame, hit: Column, session: str = "session_id") -> DataFrame:
+    """event_id, hit_id, rule 4: for each observation the least hit of its session other than itself. Where hits come at
+    one time that is the only one that counts, so two hits a session are all that is needed."""
+    ranked = observations.where(hit).select(session, "event_id", F.row_number().over(Window.partitionBy(session).orderBy("event_id")).alias("_n")).where("_n <= 2")
+    least = ranked.groupBy(session).agg(F.array_sort(F.collect_list("event_id")).alias("_two"))
+    found = observations.join(least, session).select("event_id", F.when(F.col("_two")[0] != F.col("event_id"), F.col("_two")[0]).otherwise(F.get("_two", F.lit(1))).alias("hit_id"))
+    return found.where("hit_id is not null").select("hit_id", "event_id", F.lit(4).alias("rule"))
 
 
 def first_rule(neighbours: DataFrame) -> DataFrame:
@@ -66,10 +129,10 @@ def first_rule(neighbours: DataFrame) -> DataFrame:
     return neighbours.where("hit_id <> event_id").groupBy("hit_id", "event_id").agg(F.min("rule").alias("rule"))
 
 
-def spread(neighbours: DataFrame, deltas: DataFrame) -> DataFrame:
-    """neighbours (hit_id, event_id, rule) and deltas (hit_id, delta) -> what each target gains from each hit."""
+def spread(neighbours: DataFrame, deltas: DataFrame, *more: str) -> DataFrame:
+    """neighbours (hit_id, event_id, rule, and `more`) and deltas (hit_id, delta) -> what each target gains from each hit."""
     share = F.element_at(F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv]), F.col("rule"))
-    return neighbours.join(deltas, "hit_id").select("hit_id", "event_id", "rule", (share * F.col("delta")).alias("gain"))
+    return neighbours.join(deltas, "hit_id").select("hit_id", "event_id", "rule", *more, (share * F.col("delta")).alias("gain"))
 
 
 def _target_start() -> tuple:
@@ -88,21 +151,69 @@ def _target_done(state) -> list[tuple]:
 
 
 def apply_gains(observations: DataFrame, gains: DataFrame, at: str = "at", cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """event_id, importance, last_scored_at of the targets: gains (hit_id, event_id, gain, at) in the order of the hits;
+    """event_id, importance, last_scored_at of the targets: gains (hit_id, event_id, gain, at) in the order of time and hit;
     one within the cooldown is lost."""
     rows = gains.join(observations.select("event_id", "importance", "last_scored_at"), "event_id")
-    return ordered_fold(rows, ["event_id"], ["hit_id"], ["importance", "last_scored_at", "gain", at], _target_start, partial(_target, cooldown=timedelta(minutes=cooldown_minutes)), "event_id long, importance double, last_scored_at timestamp_ntz", _target_done)
+    return ordered_fold(rows, ["event_id"], [at, "hit_id"], ["importance", "last_scored_at", "gain", at], _target_start, partial(_target, cooldown=timedelta(minutes=cooldown_minutes)), "event_id long, importance double, last_scored_at timestamp_ntz", _target_done)
+
+
+def in_directions(observed: DataFrame) -> DataFrame:
+    """Each row of observed_messages twice: for the sender (entity_type 1) and for the session (2)."""
+    pair = lambda kind, c: F.struct(F.lit(kind).alias("entity_type"), F.col(c).cast("long").alias("entity_id"))
+    return observed.withColumn("_e", F.explode(F.array(pair(PERSON, "sender"), pair(SESSION, "session_id")))).select("_e.*", *observed.columns)
+
+
+def directions(observations: DataFrame, observed: DataFrame, least: int = TRIGGER) -> DataFrame:
+    """person_id, entity_type, entity_id, n: the directions in which a person has enough distinct observations, of the
+    persons who have enough of any kind. `observed`: those with a message (observed_messages)."""
+    ready = observations.groupBy("person_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("person_id")
+    counts = in_directions(observed).groupBy("person_id", "entity_type", "entity_id").agg(F.count_distinct("event_id").alias("n"))
+    return counts.where(F.col("n") >= least).join(ready, "person_id", "left_semi")
+
+
+def due_directions(found: DataFrame, profiles: DataFrame, now: Column, minutes: int = RATE_MINUTES) -> DataFrame:
+    """Directions without a profile updated within the limit."""
+    keys = ["person_id", "entity_type", "entity_id"]
+    recent = profiles.where(F.col("last_updated_at") > now - F.make_dt_interval(mins=F.lit(minutes))).select(*keys)
+    return found.join(recent, keys, "left_anti")
+
+
+def evidence(observed: DataFrame, k: int = TOP) -> DataFrame:
+    """The k most important observations of a person in each direction, later events first among ties, with their rank.
+    Spark cuts each task's rows to k a group before the shuffle."""
+    w = Window.partitionBy("person_id", "entity_type", "entity_id").orderBy(F.desc("importance"), F.desc("event_id"))
+    return in_directions(observed).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def labelled(rows: DataFrame, names: DataFrame, own: str = "person_id") -> DataFrame:
+    """`line`: [name] content by the sender's name (person_id, name); without one, the name of the agent itself."""
+    sender = names.select(F.col("person_id").alias("sender"), F.col("name").alias("_sender"))
+    agent = names.select(F.col("person_id").alias(own), F.col("name").alias("_own"))
+    out = rows.join(sender, "sender", "left").join(agent, own, "left")
+    return out.withColumn("line", F.format_string("[%s] %s", F.coalesce("_sender", "_own", F.lit("")), "content")).drop("_sender", "_own")
+
+
+def evidence_texts(ranked: DataFrame) -> DataFrame:
+    """person_id, entity_type, entity_id, evidence_count, input: the lines of each direction in the order of their rank.
+    At most k lines are put together."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"])
+    return ranked.groupBy("person_id", "entity_type", "entity_id").agg(F.count("*").cast("int").alias("evidence_count"), F.array_join(lines, "\n").alias("input"))
 
 
-def directions(observations: DataFrame, person: str, session: str, least: int = 10) -> DataFrame:
-    """entity_type (1 person, 2 session), entity_id, n: those with enough distinct observations. Each row feeds two groups."""
-    each = observations.select("event_id", F.explode(F.array(F.struct(F.lit(1).alias("entity_type"), F.col(person).cast("long").alias("entity_id")), F.struct(F.lit(2).alias("entity_type"), F.col(session).cast("long").alias("entity_id")))).alias("e"))
-    return each.groupBy("e.entity_type", "e.entity_id").agg(F.count_distinct("event_id").alias("n")).where(F.col("n") >= least)
+def profile_upsert(profiles: DataFrame, inputs: DataFrame, narrate: Callable[[Column], Column], now: Column) -> DataFrame:
+    """The next profiles: an input whose MD5 is the stored one changes nothing; the others get a narrative by `narrate`
+    (a column function of the input), evidence_count, the MD5 and the time."""
+    keys = ["person_id", "entity_type", "entity_id"]
+    own = inputs.withColumn("input_md5", F.md5("input"))
+    same = profiles.select(*keys, "input_md5")
+    new = own.join(same, [*keys, "input_md5"], "left_anti").select(*keys, narrate(F.col("input")).alias("narrative"), "evidence_count", "input_md5", now.alias("last_updated_at"))
+    return upsert(profiles.select(new.columns), new, keys)
 
 
-def evidence(observations: DataFrame, key: str, k: int = 50) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc("importance"), F.desc("event_id"))
-    return observations.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def profile_of(asked: DataFrame, profiles: DataFrame) -> DataFrame:
+    """asked (person_id, entity_type, entity_id) with the narrative, empty where there is no profile."""
+    keys = ["person_id", "entity_type", "entity_id"]
+    return asked.join(profiles.select(*keys, "narrative"), keys, "left").withColumn("narrative", F.coalesce("narrative", F.lit("")))
 
 
 def due(profiles: DataFrame, now: Column, minutes: int = 360) -> DataFrame:

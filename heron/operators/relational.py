@@ -57,9 +57,37 @@ def with_names(df: DataFrame, people: DataFrame, key: str, name: str, prefix: st
     return df.join(people.select(key, name), key, "left").withColumn(name, F.coalesce(F.col(name), F.concat(F.lit(prefix), F.col(key).cast("string"))))
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """The next snapshot: rows of the delta replace those of equal keys. Write it to a new folder, never over the base."""
-    return base.join(delta.select(*keys), keys, "left_anti").unionByName(delta)
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The next snapshot: rows of the delta replace those of equal keys. Of a delta's rows of one key the last by `order`
+    counts (columns of the delta, which need not be in the base), or without an order the greatest row. Write it to a
+    new folder, never over the base."""
+    rest = [c for c in base.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*(order or rest)))
+    new = delta.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    return base.join(delta.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some ids (a frame with the key), each once however often it is asked for; an id without a row gives none."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def any_of(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """One whole row for each key: that of the least `by`."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_r")).select(*keys, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+
+
+def first_seen(df: DataFrame, keys: list[str], value: str, order: list[str], name: str = "values") -> DataFrame:
+    """For each key its distinct values, as a list in the order in which they came first."""
+    first = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_first"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias(name))
+
+
+def mark(df: DataFrame, ids: DataFrame, key: str, column: str, value: object) -> DataFrame:
+    """A flag set on the rows of some ids (a frame with the key): soft deletes."""
+    own = ids.select(key).distinct().withColumn("_own", F.lit(True))
+    return df.join(own, key, "left").withColumn(column, F.when(F.col("_own"), F.lit(value)).otherwise(F.col(column))).select(df.columns)
 
 
 def advance(base: DataFrame, delta: DataFrame, key: str, column: str) -> DataFrame:

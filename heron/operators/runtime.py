@@ -8,7 +8,9 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heron.functions.text import shortened
 from heron.operators.folds import ordered_fold
+from heron.operators.relational import last_n, with_names
 
 START, DAILY, MOST = 100, 100, 200
 WARN, BLOCK = 3, 8
@@ -76,13 +78,10 @@ def signature_runs(events: DataFrame, key: str, order: list[str], signature: Col
 
 
 def bulk_shrink(entries: DataFrame, key: str, order: list[str], limit: int = 100, keep: int = 10) -> DataFrame:
-    """All entries of a key until there are more than `limit`; then it was cut to the last `keep`, and grows again."""
-    w = Window.partitionBy(key)
-    placed = entries.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)))
-    # Shrinks happen at limit + 1 entries, then each time limit + 1 - keep more have come.
-    shrinks = F.when(F.col("_n") > limit, F.floor((F.col("_n") - limit - 1) / (limit + 1 - keep)) + 1).otherwise(0)
-    first = F.when(shrinks > 0, limit + 1 + (shrinks - 1) * (limit + 1 - keep) - keep + 1).otherwise(1)
-    return placed.where(F.col("_i") >= first).drop("_n", "_i")
+    """What is shown of a key's entries, none of which is ever dropped: all up to `limit`, else the last `keep`."""
+    placed = entries.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])))
+    placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    return placed.where((F.col("_n") <= limit) | (F.col("_i") <= keep)).drop("_n", "_i")
 
 
 def note_due(steps: DataFrame, key: str, order: list[str], note: Column, every: int = 10) -> DataFrame:
@@ -100,9 +99,59 @@ def trim_notes(notes: DataFrame, key: str, order: list[str], size: Column, most:
     return sized.where((F.col("_used") <= most) | (F.col("_i") == 1)).drop("_used", "_i")
 
 
-def abandoned(works: DataFrame, state: str = "status", running: str = "running", gone: str = "abandoned") -> DataFrame:
-    """After a restart: works that ran are given up."""
-    return works.withColumn(state, F.when(F.col(state) == running, F.lit(gone)).otherwise(F.col(state)))
+def recovered(works: DataFrame, drafts: DataFrame, participants: DataFrame, running: int = 0, abandoned: int = -1, discarded: int = -1, idle: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The next snapshots after a restart: works that ran are given up, their drafts are discarded, and their person is
+    idle in their session. Works: work_id, person_id, session_id, draft_id, status; drafts: draft_id, status;
+    participants: session_id, person_id, status."""
+    ran = works.where(F.col("status") == running)
+
+    def marked(df: DataFrame, keys: list[str], value: int) -> DataFrame:
+        own = ran.select(*keys).distinct().withColumn("_ran", F.lit(True))
+        out = df.join(own, keys, "left").withColumn("status", F.when(F.col("_ran"), F.lit(value)).otherwise(F.col("status")))
+        return out.select(df.columns)
+
+    done = works.withColumn("status", F.when(F.col("status") == running, F.lit(abandoned)).otherwise(F.col("status")))
+    return done, marked(drafts, ["draft_id"], discarded), marked(participants, ["session_id", "person_id"], idle)
+
+
+#: Kinds of work, and the kind of event that a reply can answer.
+CHAT, TASK, PRIVATE_MESSAGE = 1, 2, 0
+
+
+def action_error(heartbeat: Column, private: Column, target_type: Column, prefix: str = "") -> Column:
+    """Why a decided action is not valid, null if it is. Columns of the action: type, guidance, reason, work_type,
+    delivery_target, session_id, recipient_id, trigger_at, message, alarm_action, alarm_content; target_type is the kind
+    of the work that it names, null if there is none in the same session."""
+    c = lambda name: F.col(prefix + name)
+    blank = lambda name: F.coalesce(c(name), F.lit("")) == ""
+    none = lambda name: F.coalesce(c(name), F.lit(0)) == 0
+    kind = lambda k: c("type") == k
+    target = F.coalesce(c("delivery_target"), F.lit(""))
+    told = F.when(blank("guidance"), "no guidance").when(blank("reason"), "no reason").when(target_type.isNull(), "no such work")
+    route = F.when(heartbeat, "not on a heartbeat").otherwise(F.coalesce(told, F.when(target_type != TASK, "not a task")))
+    cancel = F.when(heartbeat, "not on a heartbeat").otherwise(told)
+    reply = F.when(heartbeat, "no session to reply in").when(~private, "no private message")
+    sent = F.when(target.isin("", "reply"), reply).when(target == "send_to_session", F.when(none("session_id"), "no session")).when(target == "create_and_send", F.when(none("recipient_id"), "no recipient")).otherwise(F.lit("unknown target"))
+    create = F.when(blank("guidance"), "no guidance").when(heartbeat & (c("work_type") != CHAT), "chat only on a heartbeat").when(c("work_type") != TASK, sent)
+    alarm = F.when(blank("trigger_at"), "no time").when(blank("message"), "no message").when((c("alarm_action") == "send_message") & blank("alarm_content"), "no content")
+    return F.when(kind("route"), route).when(kind("create"), create).when(kind("cancel"), cancel).when(kind("create_alarm"), alarm).otherwise(F.lit("unknown type"))
+
+
+def valid_actions(actions: DataFrame, works: DataFrame) -> DataFrame:
+    """actions (action_error's columns, source: event or heartbeat, event_type, in_session, target_work_id) with `error`;
+    works: work_id, session_id, work_type."""
+    known = works.select(F.col("work_id").alias("target_work_id"), F.col("session_id").alias("in_session"), F.col("work_type").alias("_target"))
+    joined = actions.join(known, ["target_work_id", "in_session"], "left")
+    error = action_error(F.col("source") == "heartbeat", F.col("event_type") == PRIVATE_MESSAGE, F.col("_target"))
+    return joined.withColumn("error", error).drop("_target")
+
+
+def idle_ticks(events: DataFrame, key: str, order: list[str], external: Column) -> DataFrame:
+    """How many heartbeats of a key there were since its last external event (idle), which is what the backoff counts."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = events.withColumn("_x", external.cast("int")).withColumn("_run", F.sum("_x").over(w))
+    inside = Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return runs.withColumn("idle", F.sum(F.lit(1) - F.col("_x")).over(inside)).drop("_x", "_run")
 
 
 def checks_at(ticks: DataFrame, tick: str = "tick", every: dict[str, int] | None = None) -> DataFrame:
@@ -111,11 +160,53 @@ def checks_at(ticks: DataFrame, tick: str = "tick", every: dict[str, int] | None
     return ticks.withColumns({f"run_{n}": F.col(tick) % k == 0 for n, k in every.items()})
 
 
-def activity_rows(calls: DataFrame, key: str, payload: str) -> DataFrame:
-    """Calls (a JSON object with `thinking` and `tools`) as flat rows: one for a thought that is not empty, one a tool."""
-    j = F.from_json(F.col(payload), "thinking string, tools array<struct<name: string, args: map<string, string>>>")
-    thought = F.when(F.col("j.thinking") != "", F.array(F.struct(F.lit("thinking").alias("kind"), F.col("j.thinking").alias("label"))))
-    tools = F.transform(F.coalesce(F.col("j.tools"), F.array().cast("array<struct<name: string, args: map<string, string>>>")), lambda x: F.struct(F.lit("tool").alias("kind"), x["name"].alias("label")))
-    empty = F.array().cast("array<struct<kind: string, label: string>>")
-    rows = calls.select(key, j.alias("j")).select(key, F.posexplode(F.concat(F.coalesce(thought, empty), F.coalesce(tools, empty))).alias("place", "a"))
-    return rows.select(key, "place", "a.kind", "a.label")
+#: Kinds of interactions.
+REQUEST, RESPONSE, GUIDANCE = 1, 2, 3
+_RESPONSE = "content string, tool_calls array<struct<function: struct<name: string, arguments: string>>>"
+
+
+def first_argument(arguments: Column, keys: list[str]) -> Column:
+    """The first of these arguments (a JSON object) that is not empty, as text; else empty."""
+    found = [F.when(x != "", x) for x in (F.get_json_object(arguments, f"$.{k}") for k in keys)]
+    return F.coalesce(*found, F.lit(""))
+
+
+def activity_rows(interactions: DataFrame, works: DataFrame, arguments: dict[str, list[str]]) -> DataFrame:
+    """session_id, at, interaction_id, place, kind, tool, label: what happened in the task works of a session, to be read
+    in the order of (at, interaction_id, place). A response gives its thought, if it has one, and a row for each tool
+    call, labelled by the first argument of `arguments` for that tool; guidance gives its text; requests give nothing.
+    interactions: interaction_id, work_id, kind, data (JSON), created_at; works: work_id, session_id, work_type."""
+    tasks = works.where(F.col("work_type") == TASK).select("work_id", "session_id")
+    j = F.from_json("data", _RESPONSE)
+    row = lambda kind, tool, label: F.struct(F.lit(kind).alias("kind"), tool.alias("tool"), label.alias("label"))
+    none, empty = F.lit(None).cast("string"), F.lit([]).cast("array<struct<kind: string, tool: string, label: string>>")
+
+    def call(x: Column) -> Column:
+        label = F.lit("")
+        for tool, keys in arguments.items():
+            label = F.when(x["function"]["name"] == tool, first_argument(x["function"]["arguments"], keys)).otherwise(label)
+        return row("tool_call", x["function"]["name"], label)
+
+    thought = F.when(F.col("j.content") != "", F.array(row("thinking", none, F.trim("j.content"))))
+    response = F.concat(F.coalesce(thought, empty), F.coalesce(F.transform("j.tool_calls", call), empty))
+    guidance = F.array(row("guidance", none, F.coalesce(F.get_json_object("data", "$.guidance"), F.lit(""))))
+    out = F.when(F.col("kind") == RESPONSE, response).when(F.col("kind") == GUIDANCE, guidance).otherwise(empty)
+    rows = interactions.join(tasks, "work_id").withColumn("j", j).select("session_id", F.col("created_at").alias("at"), "interaction_id", F.posexplode(out).alias("place", "a"))
+    return rows.select("session_id", "at", "interaction_id", "place", "a.kind", "a.tool", "a.label")
+
+
+def sessions_overview(participants: DataFrame, names: DataFrame, profiles: DataFrame, messages: DataFrame, n: int = 5, most: int = 200) -> DataFrame:
+    """For each participant and session: the names of the others, the person's narrative of the session, and its last n
+    messages in order as lines `speaker [time]: content` (own ones by "you"), cut at `most` characters.
+    participants: session_id, person_id; names: person_id, name; profiles: person_id, session_id, narrative; messages:
+    session_id, message_id, sender, content, created_at."""
+    named = with_names(participants.select("session_id", "person_id"), names, "person_id", "name")
+    every = F.array_sort(F.collect_list(F.struct("person_id", "name")))
+    members = named.groupBy("session_id").agg(every.alias("_m"))
+    recent = with_names(last_n(messages, "session_id", "message_id", n), names.withColumnRenamed("person_id", "sender"), "sender", "name")
+    line = F.concat(F.lit(" ["), F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit("]: "), shortened(F.col("content"), most))
+    lines = recent.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("message_id", "sender", "name", line.alias("line")))).alias("_l"))
+    own = participants.select("session_id", "person_id").join(members, "session_id").join(lines, "session_id", "left").join(profiles, ["person_id", "session_id"], "left")
+    others = F.array_join(F.transform(F.filter("_m", lambda x: x["person_id"] != F.col("person_id")), lambda x: x["name"]), ", ")
+    told = F.transform(F.coalesce("_l", F.array().cast("array<struct<message_id: bigint, sender: int, name: string, line: string>>")), lambda x: F.concat(F.when(x["sender"] == F.col("person_id"), "you").otherwise(x["name"]), x["line"]))
+    return own.select("person_id", "session_id", others.alias("others"), F.coalesce("narrative", F.lit("")).alias("narrative"), F.array_join(told, "\n").alias("recent"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from heron.functions import vectors as V
 
@@ -17,11 +20,12 @@ DEFAULT_K = 5
 
 def search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding", min_score: float | None = None, metric: str = "cosine") -> DataFrame:
     """id, score of the k best: similarity for cosine, distance (least first) for other metrics. The query is a literal,
-    so there is no join; each task keeps k rows."""
+    so there is no join; each task keeps k rows. Vectors of another dimension than the query's are left out. A `where`
+    (soft deletes, say) that is to hold before the cut goes into `vectors`; drop_deleted works after it."""
     k = k if k > 0 else DEFAULT_K
     cosine = metric == "cosine"
     score = V.cosine_similarity(vector, query) if cosine else V.distance(metric)(vector, query)
-    scored = vectors.where(V.valid_embedding(vector)).select(F.col(id_column), score.alias("score")).where(~F.isnan("score"))
+    scored = vectors.where(V.valid_embedding(vector)).select(F.col(id_column), score.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score if cosine else F.col("score") <= min_score)
     return scored.orderBy(F.desc("score") if cosine else F.asc("score"), id_column).limit(k)
@@ -30,7 +34,7 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_co
 def search_each(vectors: DataFrame, query: Sequence[float], group: str, k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best of every group, one after another without a common ranking. Spark cuts each task's rows to k a group
     before it shuffles them."""
-    scored = vectors.where(V.valid_embedding(vector)).select(group, id_column, V.cosine_similarity(vector, query).alias("score")).where(~F.isnan("score"))
+    scored = vectors.where(V.valid_embedding(vector)).select(group, id_column, V.cosine_similarity(vector, query).alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     best = Window.partitionBy(group).orderBy(F.desc("score"), id_column)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= (k if k > 0 else DEFAULT_K))
 
@@ -56,42 +60,51 @@ def statistics(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], queries: np.ndarray, ids: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
-    if not ids:
-        return
-    norms = np.linalg.norm(queries, axis=1)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        own, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sims = x @ queries.T / np.outer(np.linalg.norm(x, axis=1), norms)
-        r, c = np.nonzero(sims > threshold)
-        got = np.array(ids)[c]
-        keep = got != own[r]
-        yield pa.record_batch([pa.array(got[keep]), pa.array(own[r][keep]), pa.array(sims[r, c][keep])], names=["hit_id", "vec_id", "score"])
-
-
-def similar_to(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], threshold: float = 0.8, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs above the threshold (strictly) of a stated, small set of query vectors against all rows, in blocks of one
-    matrix product."""
-    ids, matrix = [i for i, _ in queries], np.array([list(q) for _, q in queries], np.float64)
-    valid = vectors.where(V.valid_embedding(vector)).select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>"))
-    return valid.mapInArrow(partial(_blocks, queries=matrix, ids=ids, threshold=threshold), "hit_id long, vec_id long, score double")
-
-
-def similar_to_set(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, block: int = 4096, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs above the threshold (strictly) of a query set against all rows: blocks of about `block` queries, whose size
-    is thereby known, go to the tasks one after another. The hash that makes the blocks is stable, so no query is lost."""
-    valid = queries.where(V.valid_embedding(vector)).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n = max(1, -(-valid.count() // block))
-    out = None
-    for k in range(n):
-        rows = valid.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).collect()  # one block
-        if rows or out is None:
-            part = similar_to(vectors, [(r.id, r.v) for r in rows], threshold, id_column, vector)
-            out = part if out is None else out.unionByName(part)
-    return out
+#: Queries and vectors that meet in one task at most (about: a hash deals them).
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    v = t["v"].combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _near(queries: pa.Table, rows: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of one block of queries and one of vectors, by a matrix product."""
+    names = ["hit_id", "vec_id", "score"]
+    if not queries.num_rows or not rows.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+    q, x = _matrix(queries), _matrix(rows)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        sims = q @ x.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+    i, j = np.nonzero(sims > threshold)
+    hit, own = queries["id"].to_numpy()[i], rows["id"].to_numpy()[j]
+    keep = hit != own
+    return pa.table([pa.array(hit[keep]), pa.array(own[keep]), pa.array(sims[i, j][keep])], names=names)
+
+
+def similar_to_set(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, id_column: str = "vec_id", vector: str = "embedding", scope: str | None = None, blocks: tuple[int, int] = (QUERY_BLOCK, VECTOR_BLOCK)) -> DataFrame:
+    """hit_id, vec_id, score: pairs above the threshold (strictly) of a query set against all rows, or against those of
+    the query's `scope` (a column of both). Only vectors of one dimension are compared.
+
+    Both sides are cut into blocks of bounded size by a hash of the id, and each block of queries meets each block of
+    vectors in a task of its own; so nothing passes through the driver, and no scope, however large, is one task's.
+    """
+
+    def side(df: DataFrame) -> DataFrame:
+        own = F.lit("") if scope is None else F.col(scope).cast("string")
+        return df.where(V.valid_embedding(vector)).select(own.alias("_scope"), F.size(vector).alias("_dim"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    q, x = side(queries), side(vectors)
+    count = lambda df, name, size: df.groupBy("_scope", "_dim").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    cells = count(q, "_nq", blocks[0]).join(count(x, "_nv", blocks[1]), ["_scope", "_dim"])
+    # A row for each scope and dimension; where there is one scope it is a few rows, which Spark then broadcasts.
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["_scope", "_dim", "_qb", "_vb"]
+    q = q.join(cells, ["_scope", "_dim"]).withColumn("_qb", own("_nq")).withColumn("_vb", every("_nv")).select(*keys, "id", "v")
+    x = x.join(cells, ["_scope", "_dim"]).withColumn("_vb", own("_nv")).withColumn("_qb", every("_nq")).select(*keys, "id", "v")
+    return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(partial(_near, threshold=threshold), "hit_id long, vec_id long, score double")
 
 
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,3 +116,40 @@ def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decode_blobs(df: DataFrame) -> DataFrame:
     """(chunk_id, blob) of little-endian 32-bit floats as arrays; null where the length is no multiple of four."""
     return df.select(F.col("chunk_id").cast("long"), "blob").mapInArrow(_decode, "chunk_id long, embedding array<float>")
+
+
+def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        v = b.column(1)
+        raw, ends = v.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.cumsum(pa.compute.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False)) * 4
+        blobs = [raw[a:e] for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
+        yield pa.record_batch([b.column(0), pa.array([x if ok else None for x, ok in zip(blobs, v.is_valid().to_pylist(), strict=True)], pa.binary())], names=["chunk_id", "blob"])
+
+
+def encode_blobs(df: DataFrame) -> DataFrame:
+    """(chunk_id, embedding) as blobs of little-endian 32-bit floats; a null stays null."""
+    return df.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(_encode, "chunk_id long, blob binary")
+
+
+def with_embeddings(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], size: int, batch: int = 10, content: str = "content", name: str = "embedding") -> DataFrame:
+    """Chunks with the vectors that `embed` gives for their texts, `batch` at a time in the tasks. A null text has none.
+    An answer of another length than asked for, or a vector that is empty, of another `size`, or not finite, fails."""
+    schema = StructType([*chunks.schema.fields, StructField(name, ArrayType(DoubleType()))])
+
+    def run(batches: Iterable[pa.RecordBatch], target: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(content).to_pylist()
+            some = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for k in range(0, len(some), batch):
+                part = some[k : k + batch]
+                got = embed([texts[i] for i in part])
+                if len(got) != len(part):
+                    raise ValueError(f"{len(part)} texts were sent and {len(got)} vectors came back")
+                for i, v in zip(part, got, strict=True):
+                    if len(v) != size or not np.isfinite(v).all():
+                        raise ValueError("a vector is not valid")
+                    out[i] = [float(x) for x in v]
+            yield pa.record_batch([*b.columns, pa.array(out, pa.list_(pa.float64()))], schema=target)
+
+    return chunks.mapInArrow(partial(run, target=to_arrow_schema(schema)), schema)

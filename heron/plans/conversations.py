@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heron.operators import conversation, relational
-from heron.plans.base import Plans, table
+from heron.operators import conversation, relational, runtime
+from heron.plans.base import Plans, at, table
 
 PLANS = Plans()
 
@@ -20,10 +20,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.query(
     f"""WITH {_MESSAGES}, s AS (SELECT message_id, CAST(contains(lower(text), 'tion') AS INTEGER) + CAST(contains(lower(text), 'und') AS INTEGER) + CAST(contains(lower(text), '%') AS INTEGER) AS score
-    FROM messages WHERE message_id < 90000) SELECT message_id, score FROM s WHERE score > 0 ORDER BY score DESC, message_id DESC LIMIT 25"""
+    FROM messages WHERE message_id < (SELECT max(message_id) FROM messages)) SELECT message_id, score FROM s WHERE score > 0 ORDER BY score DESC, message_id DESC LIMIT 25"""
 )
 def history_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation.keyword_search(messages(spark, sf_dir), ["tion", "und", "%"], before=90000, limit=25).select("message_id", "score")
+    """All messages before the last one."""
+    m = messages(spark, sf_dir)
+    last = m.agg(F.max("message_id")).first()[0]  # one row
+    return conversation.keyword_search(m, ["tion", "und", "%"], before=last, limit=25).select("message_id", "score")
 
 
 @PLANS.query(f"WITH {_MESSAGES} SELECT message_id, conv_id FROM messages WHERE conv_id IN (SELECT conv_id FROM messages WHERE person_id = 1) AND contains(lower(text), 'en') ORDER BY message_id DESC LIMIT 20")
@@ -102,12 +105,32 @@ def summary_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.query(
     f"""WITH RECURSIVE {_WINDOWS}, n AS (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id),
-    r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2 GROUP BY conv_id)
-    SELECT n.conv_id, n_messages, md5(recent) AS recent_md5, coalesce((SELECT max(version) FROM w WHERE w.conv_id = n.conv_id), -1) AS version, n_messages < 4 AS simple FROM n JOIN r USING (conv_id)"""
+    r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2 GROUP BY conv_id),
+    b AS (SELECT n.conv_id, n_messages, md5(recent) AS recent_md5, coalesce((SELECT max(version) FROM w WHERE w.conv_id = n.conv_id), -1) AS version, n_messages < 4 AS simple FROM n JOIN r USING (conv_id))
+    SELECT *, CASE WHEN version > 0 AND conv_id % 2 = 0 THEN 'told ' || version END AS narrative, n_messages >= 4 OR conv_id % 3 = 0 AS prepared FROM b"""
 )
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = conversation.context_bundle(messages(spark, sf_dir), _windows(spark, sf_dir), 2, simple_below=4)
-    return out.select("conv_id", "n_messages", F.md5("recent").alias("recent_md5"), "version", "simple")
+    """Even conversations have narratives; every third one has a knowledge base."""
+    w = _windows(spark, sf_dir)
+    told = w.where("conv_id % 2 = 0").withColumn("narrative", F.concat(F.lit("told "), F.col("version").cast("string")))
+    out = conversation.context_bundle(messages(spark, sf_dir), w, 2, simple_below=4, narratives=told)
+    prepared = conversation.preprocessing_due(F.col("n_messages"), F.col("conv_id") % 3 == 0, 4)
+    return out.select("conv_id", "n_messages", F.md5("recent").alias("recent_md5"), "version", "simple", "narrative", prepared.alias("prepared"))
+
+
+@PLANS.query(f"WITH RECURSIVE {_WINDOWS} SELECT conv_id, version, conv_id % 2 = 0 AS told FROM w")
+def narrative_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries exist for the even conversations; for the others one is asked for first."""
+    w = _windows(spark, sf_dir).select("conv_id", "version")
+    ready, missing = conversation.with_narrative(w, w.where("conv_id % 2 = 0").withColumn("summary", F.lit("s")))
+    return ready.select("conv_id", "version", F.lit(True).alias("told")).unionByName(missing.withColumn("told", F.lit(False)))
+
+
+@PLANS.query(f"WITH {_MESSAGES} SELECT DISTINCT conv_id FROM messages WHERE conv_id NOT IN (SELECT conv_id FROM messages WHERE person_id = 1)")
+def foreign_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first person asks for all sessions."""
+    m = messages(spark, sf_dir)
+    return conversation.foreign_sessions(m, m.where("person_id = 1"))
 
 
 @PLANS.query(
@@ -121,15 +144,43 @@ def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT r_regionkey, r_name, string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey) AS members
-    FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
+    f"""WITH {_MESSAGES}, members AS (SELECT DISTINCT conv_id, person_id FROM messages), people AS (SELECT n_nationkey AS person_id, n_name AS name FROM nation WHERE n_nationkey % 3 <> 1)
+    SELECT conv_id, string_agg(person_id || ':' || name, ',' ORDER BY person_id) AS members FROM members JOIN people USING (person_id) GROUP BY conv_id"""
 )
 def session_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey")
-    names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    nested = relational.members(nations, names, "r_regionkey", "n_nationkey", "n_name")
-    text = F.array_join(F.transform("members", lambda x: F.concat(x["n_nationkey"].cast("string"), F.lit(":"), x["n_name"])), ",")
-    return nested.join(table(spark, sf_dir, "region"), "r_regionkey").select("r_regionkey", "r_name", text.alias("members"))
+    """Nations give the persons their names; of every third kind of person there is none (another type)."""
+    people = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 1").select(F.col("n_nationkey").alias("person_id"), F.col("n_name").alias("name"))
+    nested = relational.members(messages(spark, sf_dir).select("conv_id", "person_id").distinct(), people, "conv_id", "person_id", "name")
+    text = F.array_join(F.transform("members", lambda x: F.concat(x["person_id"].cast("string"), F.lit(":"), x["name"])), ",")
+    return nested.select("conv_id", text.alias("members"))
+
+
+@PLANS.query("WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM f GROUP BY conv_id")
+def roles_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = relational.first_seen(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"], "roles")
+    return seen.withColumn("roles", F.array_join("roles", ","))
+
+
+_LINE = "CASE WHEN x.person_id = p.person_id THEN 'you' WHEN x.person_id = 3 THEN 'person_3' ELSE 'name ' || x.person_id END || ' [' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(x.turn AS INTEGER)), '%Y-%m-%d %H:%M') || ']: ' || CASE WHEN length(x.text) > 200 THEN left(x.text, 200) || '...' ELSE x.text END"
+
+
+@PLANS.query(
+    f"""WITH {_MESSAGES}, members AS (SELECT DISTINCT conv_id, person_id FROM messages),
+    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY message_id DESC) AS k FROM messages) WHERE k <= 5)
+    SELECT p.person_id, p.conv_id AS session_id,
+      coalesce((SELECT string_agg(CASE o.person_id WHEN 3 THEN 'person_3' ELSE 'name ' || o.person_id END, ', ' ORDER BY o.person_id) FROM members o WHERE o.conv_id = p.conv_id AND o.person_id <> p.person_id), '') AS others,
+      CASE WHEN p.conv_id % 2 = 0 THEN 'told ' || p.conv_id ELSE '' END AS narrative, md5(string_agg({_LINE}, chr(10) ORDER BY x.message_id)) AS recent_md5
+    FROM members p JOIN last x ON x.conv_id = p.conv_id GROUP BY ALL"""
+)
+def sessions_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third person has no name; every second session has a narrative."""
+    created = at("2024-01-01 00:00:00") + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    m = messages(spark, sf_dir).select(F.col("conv_id").alias("session_id"), "message_id", F.col("person_id").alias("sender"), F.col("text").alias("content"), created.alias("created_at"))
+    members = m.select("session_id", F.col("sender").alias("person_id")).distinct()
+    names = members.where("person_id < 3").select("person_id").distinct().withColumn("name", F.concat(F.lit("name "), F.col("person_id").cast("string")))
+    profiles = members.where("session_id % 2 = 0").withColumn("narrative", F.concat(F.lit("told "), F.col("session_id").cast("string")))
+    out = runtime.sessions_overview(members, names, profiles, m)
+    return out.select("person_id", "session_id", "others", "narrative", F.md5("recent").alias("recent_md5"))
 
 
 @PLANS.query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS participating FROM customer")
@@ -164,11 +215,17 @@ def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.participation(members, m.where("role = 'system'"), "conv_id")
 
 
-@PLANS.query("SELECT n_regionkey, min(n_nationkey) AS n_nationkey, coalesce(max(c_custkey), 0) AS most FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+@PLANS.query(
+    """WITH j AS (SELECT n_regionkey, c_custkey, n_name, c_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) AS i, max(c_custkey) OVER (PARTITION BY n_regionkey) AS most
+      FROM nation JOIN region ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey)
+    SELECT n_regionkey, c_custkey, n_name, c_name, coalesce(most, 0) AS most FROM j WHERE i = 1"""
+)
 def first_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-way join with one row a group: the least id, where the original takes any."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").join(customers, "n_nationkey", "left").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"), F.coalesce(F.max("c_custkey"), F.lit(0)).alias("most"))
+    """Three-way join with one whole row a group: that of the least id, where the original takes any."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    joined = nations.join(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), "n_nationkey").select("n_regionkey", "c_custkey", "n_name", "c_name")
+    most = joined.groupBy("n_regionkey").agg(F.coalesce(F.max("c_custkey"), F.lit(0)).alias("most"))
+    return relational.any_of(joined, ["n_regionkey"], "c_custkey").join(most, "n_regionkey")
 
 
 @PLANS.query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA'))")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
 from heron.operators import chunking, library, relational
 from heron.operators import vectors as search
-from heron.plans.base import Plans, table
+from heron.plans.base import Plans, shared_root, table
+from heron.sources import files
 
 PLANS = Plans()
 
@@ -173,6 +176,24 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", "n_tokens", F.md5("content").alias("content_md5"), "start_offset", "end_offset")
 
 
+_OVERLAP = (
+    "WITH RECURSIVE "
+    + _PARTS.format(size=100, least=0)
+    + """,
+tails AS (SELECT p.doc_id, p.chunk, p.content, p.alone, p.p, sum(p.n) OVER (PARTITION BY p.doc_id, p.chunk ORDER BY p.p DESC) AS kept FROM packed p),
+backs AS (SELECT c.doc_id, c.chunk, CASE WHEN bool_or(t.alone) THEN 0 ELSE coalesce(sum(strlen(t.content) + 2) FILTER (WHERE t.kept <= 30), 0) END AS back FROM chunks c JOIN tails t USING (doc_id, chunk) GROUP BY ALL),
+moved AS (SELECT doc_id, chunk, n, content, strlen(content) AS size, sum(strlen(content) - back) OVER (PARTITION BY doc_id ORDER BY chunk) - (strlen(content) - back) AS start FROM chunks JOIN backs USING (doc_id, chunk))
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS n_tokens, CAST(start AS INTEGER) AS start_offset, CAST(start + size AS INTEGER) AS end_offset FROM moved"""
+)
+
+
+@PLANS.query(_OVERLAP)
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overlap of 30 words moves the starts, but not behind the pieces of a line that was cut by its words."""
+    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents"), size=100, overlap=30, least=0, by_line=True)
+    return chunks.select("doc_id", "chunk_index", "n_tokens", "start_offset", "end_offset")
+
+
 @PLANS.query(
     r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS w FROM documents),
     c AS (SELECT doc_id, w, unnest(range((len(w) + 199) // 200)) AS k FROM w WHERE len(w) > 0)
@@ -193,10 +214,10 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT vec_id, label, round(-embedding[1]::DOUBLE, 6) FROM embeddings WHERE label = 1"""
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One batch replaces the vectors of label 1, then those of label 2 are deleted."""
+    """One batch replaces the vectors of label 1, twice each, of which the later counts; then those of label 2 are deleted."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
-    delta = v.where("label = 1").withColumn("first", -F.col("first"))
-    after = relational.upsert(v, delta, ["vec_id"])
+    delta = v.where("label = 1").select("vec_id", "label", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(9.0).alias("x")), F.struct(F.lit(2).alias("i"), (-F.col("first")).alias("x")))).alias("d"))
+    after = relational.upsert(v, delta.select("vec_id", "label", F.col("d.x").alias("first"), F.col("d.i").alias("place")), ["vec_id"], ["place"])
     gone = v.where("label = 2").select(F.col("vec_id").alias("id"))
     return _rounded(relational.cascade_delete({"vectors": (after, "vec_id")}, gone)["vectors"], "first")
 
@@ -210,13 +231,35 @@ def kb_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT source, count(*) AS n_documents, count(*) FILTER (WHERE coalesce(toxic, 0) = 0) AS n_live
-    FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id GROUP BY source"""
+    """WITH d AS (SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 4 ELSE 2 END AS status FROM documents)
+    SELECT doc_id, status, count(*) FILTER (WHERE status = 2) OVER (PARTITION BY source) AS n_live FROM d"""
 )
 def document_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("deleted"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(flags, "doc_id", "left")
-    return docs.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.coalesce("deleted", F.lit(0)) == 0).alias("n_live"))
+    """Toxic documents get the status of deleted ones; each row has the live documents of its knowledge base."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(2).alias("status"))
+    marked = relational.mark(docs, table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "status", 4)
+    live = marked.groupBy("source").agg(F.count_if(F.col("status") == 2).alias("n_live"))
+    return marked.join(live, "source").select("doc_id", "status", "n_live")
+
+
+@PLANS.query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def bulk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by the ids of orders, many of which ask for the same."""
+    asked = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), asked, "c_custkey")
+
+
+@PLANS.query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 2")
+def tables_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables published together twice; the second version, without a region, is what is read, and a third one, which
+    broke off before its manifest, is not."""
+    root = f"{shared_root(spark)}/published-{uuid.uuid4().hex}"
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    files.publish(spark, {"nations": nations, "regions": regions}, root)
+    files.publish(spark, {"nations": nations.where("n_regionkey <> 2"), "regions": regions.where("r_regionkey <> 2")}, root)
+    nations.limit(0).write.parquet(f"{root}/data/{'9' * 20}-broken/nations")
+    got = files.published(spark, root)
+    return got["nations"].join(got["regions"].withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "r_name")
 
 
 @PLANS.query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END AS o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS affected FROM orders")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
 from heron.operators import memory
-from heron.operators import vectors as search
 from heron.plans.base import Plans, at, table
+from heron.plans.conversations import _MESSAGES, messages
 
 PLANS = Plans()
 
@@ -38,7 +38,7 @@ def memory_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN scored IS NULL OR e.ts - scored >= INTERVAL 360 MINUTE THEN e.ts ELSE scored END,
         CASE WHEN scored IS NULL OR e.ts - scored >= INTERVAL 360 MINUTE THEN counted + 1 ELSE counted END
       FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-    SELECT user_id, round(importance, 6) AS importance, scored AS last_scored_at, n AS n_hits, counted AS n_counted FROM f
+    SELECT user_id, round(importance, 6) AS importance, scored AS last_scored_at, (SELECT max(ts) FROM events x WHERE x.user_id = f.user_id) AS last_accessed_at, n AS n_hits, counted AS n_counted FROM f
     WHERE n = (SELECT max(n) FROM e WHERE e.user_id = f.user_id)"""
 )
 def memory_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,64 +57,171 @@ def memory_propagate_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.temporal_neighbours(observations(spark, sf_dir), F.expr(_HIT))
 
 
-@PLANS.query(
-    """SELECT hit_id, vec_id, round(0.2::DOUBLE * 0.05, 6) AS gain FROM (
-      SELECT q.vec_id AS hit_id, v.vec_id AS vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-      FROM embeddings v JOIN embeddings q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id) WHERE score > 0.3"""
-)
-def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits are the rows whose id is divisible by 20."""
-    v = table(spark, sf_dir, "embeddings")
-    near = search.similar_to_set(v, v.where("vec_id % 20 = 0"), threshold=0.3)
-    return near.select("hit_id", "vec_id", F.round(F.lit(memory.RULES[3]) * F.lit(0.05), 6).alias("gain"))
+_NEAR = f"""placed_v AS (SELECT o.*, v.embedding::DOUBLE[] AS v FROM obs o JOIN embeddings v ON v.vec_id = o.event_id % (SELECT count(*) FROM embeddings)),
+semantic AS (SELECT h.event_id AS hit_id, o.event_id AS event_id, 3 AS rule FROM placed_v h JOIN placed_v o ON o.session_id = h.session_id AND o.event_id <> h.event_id
+  WHERE h.{_HIT} AND list_cosine_similarity(o.v, h.v) > 0.1)"""
+_DELTA = f"deltas AS (SELECT event_id AS hit_id, importance + 0.1 * (1 - importance) - importance AS delta FROM obs WHERE {_HIT})"
+_CLOSER = f"""{_TEMPORAL}, {_NEAR}, {_DELTA}, closer AS (SELECT hit_id, event_id, min(rule) AS rule FROM (SELECT * FROM temporal UNION ALL SELECT * FROM semantic) GROUP BY ALL)"""
+_SHARE = "CASE rule WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 WHEN 3 THEN 0.2 ELSE 0.15 END::DOUBLE"
+
 
+def _vectors(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
+    """A vector for each event, by its id."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return obs.select("event_id", (F.col("event_id") % v.count()).alias("vec_id")).join(v, "vec_id").select("event_id", "embedding")
 
-_RULES = f"""{_TEMPORAL}, reached AS (
-  SELECT * FROM temporal UNION ALL
-  SELECT h.event_id, o.event_id, 4 FROM obs h JOIN obs o ON o.session_id = h.session_id AND o.event_id <> h.event_id WHERE h.{_HIT}),
-firsts AS (SELECT hit_id, event_id, min(rule) AS rule FROM reached GROUP BY ALL),
-gains AS (SELECT hit_id, event_id, rule, CASE rule WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 WHEN 3 THEN 0.2 ELSE 0.15 END::DOUBLE * 0.1 * (1 - (SELECT importance FROM obs WHERE obs.event_id = hit_id)) AS gain FROM firsts)"""
 
+def _deltas(obs: DataFrame) -> DataFrame:
+    return obs.where(F.expr(_HIT)).select(F.col("event_id").alias("hit_id"), (S.gained(F.col("importance")) - F.col("importance")).alias("delta"))
 
-def _gains(obs: DataFrame) -> DataFrame:
+
+def _closer(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
+    """Rules 1 to 3, a row for each hit and target; the threshold is low, as these vectors are far apart."""
     hit = F.expr(_HIT)
-    found = memory.first_rule(memory.temporal_neighbours(obs, hit).unionByName(memory.session_neighbours(obs, hit)))
-    deltas = obs.where(hit).select(F.col("event_id").alias("hit_id"), (S.gained(F.col("importance")) - F.col("importance")).alias("delta"))
-    return memory.spread(found, deltas)
+    near = memory.similar_neighbours(obs, hit, _vectors(spark, sf_dir, obs), threshold=0.1)
+    return memory.first_rule(memory.temporal_neighbours(obs, hit).unionByName(near))
+
 
+@PLANS.query(f"WITH {_OBS}, {_NEAR}, {_DELTA} SELECT hit_id, event_id, round(0.2::DOUBLE * delta, 6) AS gain FROM semantic JOIN deltas USING (hit_id)")
+def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases are the hits; a vector's targets are those of the hit's session."""
+    obs = observations(spark, sf_dir)
+    near = memory.similar_neighbours(obs, F.expr(_HIT), _vectors(spark, sf_dir, obs), threshold=0.1)
+    return memory.spread(near, _deltas(obs)).select("hit_id", "event_id", F.round("gain", 6).alias("gain"))
 
-@PLANS.query(f"WITH {_OBS}, {_RULES} SELECT hit_id, event_id, rule, round(gain, 6) AS gain FROM gains")
+
+@PLANS.query(
+    f"""WITH {_OBS}, {_CLOSER},
+    rest AS (SELECT h.event_id AS hit_id, count(*) - 1 - (SELECT count(*) FROM closer c WHERE c.hit_id = h.event_id) AS n FROM obs h JOIN obs o ON o.session_id = h.session_id WHERE h.{_HIT} GROUP BY h.event_id),
+    every AS (SELECT hit_id, event_id, rule, 1::BIGINT AS n FROM closer UNION ALL SELECT hit_id, NULL, 4, n FROM rest WHERE n > 0)
+    SELECT hit_id, event_id, CAST(rule AS INTEGER) AS rule, n, round({_SHARE} * delta, 6) AS gain FROM every JOIN deltas USING (hit_id)"""
+)
 def memory_propagate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gains(observations(spark, sf_dir)).withColumn("gain", F.round("gain", 6))
+    """What a hit gives to each target by the first of the rules 1 to 3, and for rule 4, which has all others of the
+    session, to how many it gives what."""
+    obs = observations(spark, sf_dir)
+    closer = _closer(spark, sf_dir, obs)
+    rest = memory.session_share(obs, F.expr(_HIT), closer).select("hit_id", F.lit(None).cast("long").alias("event_id"), F.lit(4).alias("rule"), "n")
+    every = closer.withColumn("n", F.lit(1).cast("long")).unionByName(rest)
+    return memory.spread(every, _deltas(obs), "n").withColumn("gain", F.round("gain", 6))
 
 
 @PLANS.query(
-    f"""WITH {_OBS}, {_RULES}, firsthit AS (SELECT event_id, min(hit_id) AS hit_id FROM gains GROUP BY event_id)
-    SELECT g.event_id, round(least(1.0, o.importance + g.gain), 6) AS importance FROM gains g JOIN firsthit f ON f.event_id = g.event_id AND f.hit_id = g.hit_id JOIN obs o ON o.event_id = g.event_id"""
+    f"""WITH {_OBS}, {_CLOSER},
+    firsthit AS (SELECT o.event_id, min(h.event_id) AS hit_id FROM obs h JOIN obs o ON o.session_id = h.session_id AND o.event_id <> h.event_id WHERE h.{_HIT} GROUP BY o.event_id),
+    ruled AS (SELECT f.*, coalesce(c.rule, 4) AS rule FROM firsthit f LEFT JOIN closer c ON c.hit_id = f.hit_id AND c.event_id = f.event_id)
+    SELECT event_id, round(least(1.0, o.importance + {_SHARE} * delta), 6) AS importance FROM ruled JOIN deltas USING (hit_id) JOIN obs o USING (event_id)"""
 )
 def memory_apply_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hits come at one time, so of several for a target the first counts and the others fall into its cooldown."""
     obs = observations(spark, sf_dir)
-    gains = _gains(obs).withColumn("at", at("2024-12-31 00:00:00"))
+    first = memory.first_hits(obs, F.expr(_HIT))
+    ruled = memory.first_rule(first.unionByName(_closer(spark, sf_dir, obs).join(first.select("hit_id", "event_id"), ["hit_id", "event_id"], "left_semi")))
+    gains = memory.spread(ruled, _deltas(obs)).withColumn("at", at("2024-12-31 00:00:00"))
     return memory.apply_gains(obs, gains).select("event_id", F.round("importance", 6).alias("importance"))
 
 
-_DIRECTIONS = """directions AS (
-  SELECT 1 AS entity_type, user_id AS entity_id, count(DISTINCT event_id) AS n FROM obs GROUP BY user_id HAVING count(DISTINCT event_id) >= 10
-  UNION ALL SELECT 2, session_id, count(DISTINCT event_id) FROM obs GROUP BY session_id HAVING count(DISTINCT event_id) >= 10)"""
+# The chain from an observation to its message: every member of a conversation observes its messages (events of even ids)
+# and as many events of another kind (odd ids).
 
+_CHAIN = f"""{_MESSAGES}, members AS (SELECT DISTINCT conv_id, person_id FROM messages), twice AS (SELECT unnest([0, 1]) AS x),
+ev AS (SELECT message_id * 2 + x AS event_id, 1 + x AS event_type, message_id AS ref_id FROM messages, twice),
+seen AS (SELECT p.person_id, m.message_id * 2 + x AS event_id, 0.5::DOUBLE + (m.message_id % 50) / 100.0::DOUBLE AS importance FROM messages m JOIN members p ON p.conv_id = m.conv_id, twice),
+observed AS (SELECT s.person_id, s.event_id, s.importance, m.message_id, m.conv_id AS session_id, m.person_id AS sender, m.text AS content
+  FROM seen s JOIN ev e ON e.event_id = s.event_id JOIN messages m ON m.message_id = e.ref_id WHERE e.event_type = 1)"""
+_BOTH = f"{_CHAIN}, both_ways AS (SELECT *, 1 AS entity_type, sender::BIGINT AS entity_id FROM observed UNION ALL SELECT *, 2, session_id FROM observed)"
+_INPUTS = f"""{_BOTH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY person_id, entity_type, entity_id ORDER BY importance DESC, event_id DESC) AS rank FROM both_ways),
+named AS (SELECT *, '[' || CASE sender WHEN 1 THEN 'system' WHEN 2 THEN 'user' ELSE CASE person_id WHEN 1 THEN 'system' WHEN 2 THEN 'user' ELSE '' END END || '] ' || content AS line FROM ranked WHERE rank <= 3),
+inputs AS (SELECT person_id, entity_type, entity_id, CAST(count(*) AS INTEGER) AS evidence_count, string_agg(line, chr(10) ORDER BY rank) AS input FROM named GROUP BY ALL)"""
 
-@PLANS.query(f"WITH {_OBS}, {_DIRECTIONS} SELECT entity_type, entity_id::BIGINT AS entity_id, n FROM directions")
-def density_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.directions(observations(spark, sf_dir), "user_id", "session_id")
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """messages, events, observations."""
+    m = messages(spark, sf_dir).select("message_id", F.col("conv_id").alias("session_id"), F.col("person_id").alias("sender"), F.col("text").alias("content"))
+    x = F.explode(F.array(F.lit(0), F.lit(1))).alias("x")
+    events = m.select("message_id", x).select((F.col("message_id") * 2 + F.col("x")).alias("event_id"), (F.lit(1) + F.col("x")).alias("event_type"), F.col("message_id").alias("ref_id"))
+    members = m.select("session_id", F.col("sender").alias("person_id")).distinct()
+    importance = F.lit(0.5) + (F.col("message_id") % 50) / F.lit(100.0)
+    seen = m.select("session_id", "message_id").join(members, "session_id").select("person_id", "message_id", importance.alias("importance"), x)
+    return m, events, seen.select("person_id", (F.col("message_id") * 2 + F.col("x")).alias("event_id"), "importance")
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m, events, seen = _chain(spark, sf_dir)
+    return seen, memory.observed_messages(seen, events, m)
+
+
+@PLANS.query(f"WITH {_MESSAGES} SELECT 1 AS event_type, message_id AS ref_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(turn AS INTEGER)) AS created_at FROM messages")
+def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    created = at("2024-01-01 00:00:00") + F.make_dt_interval(mins=F.col("turn").cast("int"))
+    return memory.message_events(messages(spark, sf_dir).withColumn("created_at", created))
+
+
+@PLANS.query(f"WITH {_CHAIN} SELECT person_id, event_id, 0.5::DOUBLE AS importance, TIMESTAMP '2024-02-01 00:00:00' AS last_scored_at FROM seen WHERE event_id % 3 > 0")
+def memory_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is delivered twice, and every third one was observed before."""
+    _, _, seen = _chain(spark, sf_dir)
+    new = memory.new_observations(seen.unionByName(seen), seen.where("event_id % 3 = 0"), at("2024-02-01 00:00:00"))
+    return new.select("person_id", "event_id", "importance", "last_scored_at")
+
+
+@PLANS.query(f"WITH {_CHAIN} SELECT person_id, event_id, message_id, session_id, sender, md5(content) AS content_md5 FROM observed")
+def observation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _observed(spark, sf_dir)[1].select("person_id", "event_id", "message_id", "session_id", "sender", F.md5("content").alias("content_md5"))
+
+
+@PLANS.query(f"WITH {_CHAIN} SELECT p.person_id, m.message_id * 2 AS event_id FROM messages m JOIN members p ON p.conv_id = m.conv_id WHERE m.message_id % 5 = 0")
+def memory_route_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three persons recall every fifth message each; those of conversations in which they aren't hit nothing."""
+    m, events, seen = _chain(spark, sf_dir)
+    recalled = m.where("message_id % 5 = 0").select("message_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("person_id"), at("2024-02-01 00:00:00").alias("at"))
+    return memory.routed_hits(recalled, events, seen).select("person_id", "event_id")
 
 
 @PLANS.query(
-    f"""WITH {_OBS} SELECT user_id, event_id, round(importance, 6) AS importance, CAST(k AS INTEGER) AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, event_id DESC) AS k FROM obs) WHERE k <= 5"""
+    f"""WITH {_BOTH}, counted AS (SELECT person_id, entity_type, entity_id, count(DISTINCT event_id) AS n FROM both_ways GROUP BY ALL HAVING count(DISTINCT event_id) >= 4)
+    SELECT * FROM counted WHERE person_id IN (SELECT person_id FROM seen GROUP BY person_id HAVING count(*) >= 4) AND NOT (entity_type = 2 AND entity_id % 2 = 0)"""
 )
+def density_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of even sessions were updated an hour ago, those of odd ones ten hours ago."""
+    seen, observed = _observed(spark, sf_dir)
+    hours = F.when(F.col("entity_id") % 2 == 0, 1).otherwise(10)
+    keys = observed.select("person_id", F.lit(2).alias("entity_type"), F.col("session_id").alias("entity_id")).distinct()
+    profiles = keys.withColumn("last_updated_at", at("2024-02-01 00:00:00") - F.make_dt_interval(hours=hours))
+    return memory.due_directions(memory.directions(seen, observed, 4), profiles, at("2024-02-01 00:00:00"))
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third person has no name."""
+    names = spark.createDataFrame([(1, "system"), (2, "user")], "person_id int, name string")
+    return memory.evidence_texts(memory.labelled(memory.evidence(_observed(spark, sf_dir)[1], 3), names))
+
+
+@PLANS.query(f"WITH {_INPUTS} SELECT person_id, entity_type, entity_id, evidence_count, md5(input) AS input_md5 FROM inputs")
 def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.evidence(observations(spark, sf_dir), "user_id", 5).select("user_id", "event_id", F.round("importance", 6).alias("importance"), "rank")
+    return _inputs(spark, sf_dir).select("person_id", "entity_type", "entity_id", "evidence_count", F.md5("input").alias("input_md5"))
+
+
+@PLANS.query(
+    f"""WITH {_INPUTS} SELECT person_id, entity_type, entity_id, CASE entity_id % 3 WHEN 0 THEN 'kept' ELSE 'about ' || left(input, 20) END AS narrative,
+      evidence_count, md5(input) AS input_md5, CASE entity_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 00:00:00' END AS last_updated_at FROM inputs"""
+)
+def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored profiles: of unchanged inputs for every third entity, of outdated ones for the next, none for the last."""
+    inputs = _inputs(spark, sf_dir)
+    old = inputs.where("entity_id % 3 < 2").select(
+        "person_id", "entity_type", "entity_id", F.lit("kept").alias("narrative"), "evidence_count", F.when(F.col("entity_id") % 3 == 0, F.md5("input")).otherwise(F.lit("old")).alias("input_md5"), at("2024-01-01 00:00:00").alias("last_updated_at")
+    )
+    return memory.profile_upsert(old, inputs, lambda x: F.concat(F.lit("about "), F.substring(x, 1, 20)), at("2024-02-01 00:00:00"))
+
+
+@PLANS.query(f"WITH {_CHAIN} SELECT person_id, 2 AS entity_type, conv_id AS entity_id, CASE WHEN conv_id % 2 = 0 THEN 'session ' || conv_id ELSE '' END AS narrative FROM members")
+def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second session has a profile."""
+    m = _chain(spark, sf_dir)[0]
+    asked = m.select(F.col("sender").alias("person_id"), F.lit(2).alias("entity_type"), F.col("session_id").alias("entity_id")).distinct()
+    profiles = asked.where("entity_id % 2 = 0").withColumn("narrative", F.concat(F.lit("session "), F.col("entity_id").cast("string")))
+    return memory.profile_of(asked, profiles)
 
 
 @PLANS.query("SELECT doc_id, md5(text) AS input_md5 FROM documents WHERE doc_id % 3 <> 0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
 from heron.operators import runtime
-from heron.plans.base import Plans, at, table
+from heron.plans.base import Plans, at, shared_root, table
 
 PLANS = Plans()
 
@@ -68,10 +67,9 @@ def cycle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-    f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS shown FROM e UNION ALL
-      SELECT f.user_id, f.i + 1, CASE WHEN shown + 1 > 30 THEN 10 ELSE shown + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
-    SELECT e.user_id, e.event_id FROM e JOIN f ON f.user_id = e.user_id AND f.i = e.n WHERE e.i > e.n - f.shown"""
+    """SELECT user_id, event_id FROM (
+      SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    WHERE i <= CASE WHEN n > 30 THEN 10 ELSE n END"""
 )
 def bulk_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
@@ -98,10 +96,76 @@ def note_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.trim_notes(d, "source", ["doc_id"], F.col("size"), 20000).select("source", "doc_id")
 
 
-@PLANS.query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'abandoned' ELSE o_orderstatus END AS status FROM orders")
+@PLANS.query(
+    """WITH ran AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'), k AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+    SELECT 'work' AS of, o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN -1 WHEN 'O' THEN 1 ELSE 2 END AS status FROM orders
+    UNION ALL SELECT 'draft', o_orderkey * 10, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM ran) THEN -1 ELSE 0 END FROM orders
+    UNION ALL SELECT 'participant', c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM ran) THEN 0 ELSE 2 END FROM customer"""
+)
 def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    works = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return runtime.abandoned(works, running="P")
+    """Orders in progress are works that ran, each with a draft; customers take part in sessions of their nation."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("session_id"), F.col("c_custkey").alias("person_id"), F.lit(2).alias("status"))
+    status = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    works = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("work_id"), F.col("o_custkey").alias("person_id"), (F.col("o_orderkey") * 10).alias("draft_id"), status.alias("status"))
+    works = works.join(customers.select("person_id", "session_id"), "person_id")
+    drafts = works.select("draft_id", F.lit(0).alias("status"))
+    w, d, p = runtime.recovered(works, drafts, customers)
+    parts = [x.select(F.lit(name).alias("of"), F.col(c).cast("long").alias("id"), F.col("status").cast("int").alias("status")) for name, x, c in (("work", w, "work_id"), ("draft", d, "draft_id"), ("participant", p, "person_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@PLANS.query(
+    """WITH a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'create' WHEN 2 THEN 'cancel' WHEN 3 THEN 'create_alarm' ELSE 'other' END AS type,
+      event_type = 'error' AS beat, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS et, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'do' END AS guidance, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'why' END AS reason,
+      CAST(1 + user_id % 2 AS INTEGER) AS work_type, CASE event_id // 5 % 5 WHEN 0 THEN NULL WHEN 1 THEN 'reply' WHEN 2 THEN 'send_to_session' WHEN 3 THEN 'create_and_send' ELSE 'x' END AS target, event_id % 3 AS session, event_id % 4 AS recipient,
+      event_id % 13 > 0 AS timed, event_id % 17 > 0 AS said, event_id % 2 = 0 AS sends, event_id % 9 > 0 AS filled, user_id AS in_session, event_id // 5 % 40 AS target_work_id FROM events),
+    w AS (SELECT DISTINCT user_id AS session_id, (event_id // 5) % 40 AS work_id FROM events WHERE event_id % 3 > 0),
+    j AS (SELECT a.*, CASE WHEN w.work_id IS NULL THEN NULL WHEN w.work_id % 2 = 0 THEN 2 ELSE 1 END AS tt FROM a LEFT JOIN w ON w.session_id = a.in_session AND w.work_id = a.target_work_id)
+    SELECT event_id, CASE type
+      WHEN 'route' THEN CASE WHEN beat THEN 'not on a heartbeat' WHEN guidance = '' THEN 'no guidance' WHEN reason IS NULL THEN 'no reason' WHEN tt IS NULL THEN 'no such work' WHEN tt <> 2 THEN 'not a task' END
+      WHEN 'cancel' THEN CASE WHEN beat THEN 'not on a heartbeat' WHEN guidance = '' THEN 'no guidance' WHEN reason IS NULL THEN 'no reason' WHEN tt IS NULL THEN 'no such work' END
+      WHEN 'create' THEN CASE WHEN guidance = '' THEN 'no guidance' WHEN beat AND work_type <> 1 THEN 'chat only on a heartbeat' WHEN work_type = 2 THEN NULL
+        WHEN coalesce(target, '') IN ('', 'reply') THEN CASE WHEN beat THEN 'no session to reply in' WHEN et <> 0 THEN 'no private message' END
+        WHEN target = 'send_to_session' THEN CASE WHEN session = 0 THEN 'no session' END WHEN target = 'create_and_send' THEN CASE WHEN recipient = 0 THEN 'no recipient' END ELSE 'unknown target' END
+      WHEN 'create_alarm' THEN CASE WHEN NOT timed THEN 'no time' WHEN NOT said THEN 'no message' WHEN sends AND NOT filled THEN 'no content' END
+      ELSE 'unknown type' END AS error FROM j"""
+)
+def action_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action of each event, with fields by its number."""
+    e = table(spark, sf_dir, "events")
+    i, n = F.col("event_id"), F.floor(F.col("event_id") / 5)
+    pick = lambda x, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (x + 1).cast("int"))
+    actions = e.select(
+        "event_id",
+        pick(i % 5, "route", "create", "cancel", "create_alarm", "other").alias("type"),
+        F.when(F.col("event_type") == "error", "heartbeat").otherwise("event").alias("source"),
+        F.when(F.col("user_id") % 2 == 0, 0).otherwise(1).alias("event_type"),
+        F.when(i % 7 == 0, "").otherwise("do").alias("guidance"),
+        F.when(i % 11 != 0, "why").alias("reason"),
+        (F.col("user_id") % 2 + 1).cast("int").alias("work_type"),
+        F.when(n % 5 != 0, pick(n % 5, "", "reply", "send_to_session", "create_and_send", "x")).alias("delivery_target"),
+        (i % 3).alias("session_id"),
+        (i % 4).alias("recipient_id"),
+        F.when(i % 13 > 0, "soon").alias("trigger_at"),
+        F.when(i % 17 > 0, "text").alias("message"),
+        F.when(i % 2 == 0, "send_message").alias("alarm_action"),
+        F.when(i % 9 > 0, "text").alias("alarm_content"),
+        F.col("user_id").alias("in_session"),
+        (n % 40).alias("target_work_id"),
+    )
+    works = e.where("event_id % 3 > 0").select(F.col("user_id").alias("session_id"), (n % 40).alias("work_id")).distinct().withColumn("work_type", F.when(F.col("work_id") % 2 == 0, 2).otherwise(1))
+    return runtime.valid_actions(actions, works).select("event_id", "error")
+
+
+@PLANS.query(
+    """WITH r AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
+    SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id)::BIGINT AS idle,
+      CAST(least(360, 30 * pow(2, least(greatest(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1, 0), 8))) AS INTEGER) AS minutes FROM r"""
+)
+def heartbeat_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors stand for heartbeats; all other events are external and reset the count."""
+    idle = runtime.idle_ticks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") != "error")
+    return idle.select("event_id", "idle", S.backoff_minutes(F.col("idle")).alias("minutes"))
 
 
 @PLANS.query("SELECT event_id AS tick, event_id % 6 = 0 AS run_memory, true AS run_alarm, true AS run_work FROM events")
@@ -110,29 +174,36 @@ def periodic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT event_id, 0 AS place, 'thinking' AS kind, event_type AS label FROM events WHERE event_type <> 'view'
-    UNION ALL SELECT event_id, CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END, 'tool', 'call_' || user_id FROM events"""
+    """WITH i AS (SELECT *, 1 + event_id % 3 AS kind FROM events WHERE user_id % 3 > 0), x AS (
+      SELECT user_id, ts, event_id, 0 AS place, 'thinking' AS kind, NULL AS tool, event_type AS label FROM i WHERE kind = 2 AND event_type <> 'view'
+      UNION ALL SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN 1 ELSE 0 END, 'tool_call', 'read', CASE WHEN event_id % 2 = 0 THEN 'f' || event_id ELSE 'q' || event_id END FROM i WHERE kind = 2
+      UNION ALL SELECT user_id, ts, event_id, CASE WHEN event_type <> 'view' THEN 2 ELSE 1 END, 'tool_call', 'other', '' FROM i WHERE kind = 2
+      UNION ALL SELECT user_id, ts, event_id, 0, 'guidance', NULL, 'go ' || event_type FROM i WHERE kind = 3)
+    SELECT user_id AS session_id, ts AS "at", event_id AS interaction_id, CAST(place AS INTEGER) AS place, kind, tool, label FROM x"""
 )
 def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a call with one tool; views have no thought."""
-    thinking = F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(F.lit(""))
-    tool = F.struct(F.concat(F.lit("call_"), F.col("user_id").cast("string")).alias("name"), F.create_map(F.lit("type"), "event_type").alias("args"))
-    calls = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(thinking.alias("thinking"), F.array(tool).alias("tools"))).alias("payload"))
-    return runtime.activity_rows(calls, "event_id", "payload")
+    """Each event as a request, a response with a thought (but for views) and two calls, or guidance; a user is a work,
+    and every third one's is no task. A call's path is empty for odd events."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    text = i.cast("string")
+    path = F.when(i % 2 == 0, F.concat(F.lit("f"), text)).otherwise(F.lit(""))
+    call = lambda name, *args: F.struct(F.struct(F.lit(name).alias("name"), F.to_json(F.struct(*args)).alias("arguments")).alias("function"))
+    calls = F.array(call("read", F.concat(F.lit("q"), text).alias("query"), path.alias("path")), call("other", path.alias("path"), F.lit("z").alias("query")))
+    thought = F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(F.lit(""))
+    data = F.when(i % 3 == 1, F.to_json(F.struct(thought.alias("content"), calls.alias("tool_calls")))).otherwise(F.to_json(F.struct(F.concat(F.lit("go "), "event_type").alias("guidance"))))
+    interactions = e.select(i.alias("interaction_id"), F.col("user_id").alias("work_id"), (i % 3 + 1).alias("kind"), data.alias("data"), F.col("ts").alias("created_at"))
+    works = e.select(F.col("user_id").alias("work_id"), F.col("user_id").alias("session_id"), F.when(F.col("user_id") % 3 > 0, 2).otherwise(1).alias("work_type")).distinct()
+    return runtime.activity_rows(interactions, works, {"read": ["path", "query"]})
 
 
 # Streams: the tables are read as they stand; checkpoints go to the folder that the session names.
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heron-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     from heron.streaming.events import run_to_table
 
-    return run_to_table(stream, f"heron_{uuid.uuid4().hex}", mode, _checkpoint(spark))
+    return run_to_table(stream, f"{shared_root(spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,11 +61,24 @@ def line_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@PLANS.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(event_type || '|' || '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}') AS signature FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0")
+@PLANS.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, sha256(event_type || '|' || '{\"a\":{\"x\":1,\"y\":[' || event_id || ',{\"b\":1,\"c\":2}]},\"k\":' || json_extract_string(props, '$.k') || '}') AS signature FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0")
 def payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads decoded (a row that cannot be is left out), and the signature of a call with its keys in order."""
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), S.signature(F.col("event_type"), F.col("props")).alias("signature")).where("k >= 0")
+    call = F.concat(F.lit('{"k": '), k.cast("string"), F.lit(', "a": {"y": ['), F.col("event_id").cast("string"), F.lit(', {"c": 2, "b": 1}], "x": 1}}'))
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), S.signature(F.col("event_type"), call).alias("signature")).where("k >= 0")
+
+
+@PLANS.query("SELECT event_id, event_type AS type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('view', 'click')")
+def payload_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads under their type's tag, of which two types are decoded; every row is followed by one that is broken, and
+    what cannot be decoded is left out."""
+    e = table(spark, sf_dir, "events")
+    data = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"))
+    raw = S.tagged_payload(F.col("event_type"), data)
+    rows = e.select("event_id", F.explode(F.array(raw, F.replace(raw, F.lit("k"), F.lit('k"')), F.lit("{"))).alias("raw"))
+    both = F.coalesce(*[F.when(S.payload_of(F.col("raw"), t, "struct<k: bigint>").isNotNull(), F.struct(F.lit(t).alias("type"), S.payload_of(F.col("raw"), t, "struct<k: bigint>").alias("data"))) for t in ("view", "click")])
+    return rows.select("event_id", both.alias("p")).where("p.data.k is not null").select("event_id", "p.type", "p.data.k")
 
 
 @PLANS.query("SELECT event_id, unnest([event_id, user_id]) AS id FROM events")
@@ -132,12 +145,114 @@ def copy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' ' || doc_id END AS name, CASE WHEN doc_id % 2 = 0 THEN lang END AS description,
-    CASE WHEN doc_id % 2 = 0 THEN md5(text) END AS body_md5, CASE WHEN doc_id % 2 = 1 THEN 'no description' END AS error FROM documents"""
+    """SELECT doc_id, source || ' ' || doc_id AS name, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN lang || chr(10) || 'and more' || chr(10) ELSE NULL END AS description,
+    CASE WHEN doc_id % 4 < 3 THEN md5(text) END AS body_md5 FROM documents WHERE doc_id % 4 < 3 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 4 = 3"""
 )
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document behind a front matter; every second one lacks the description."""
-    name = F.concat(F.lit("---\r\nname: \""), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\"\n"))
-    description = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("description: "), "lang", F.lit("\n"))).otherwise(F.lit("other: x\n"))
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(name, description, F.lit("---\n\n"), "text").alias("raw"))
-    return library.front_matter(raw).select("doc_id", "name", "description", F.md5("body").alias("body_md5"), "error")
+    """Every document behind a front matter: with a comment, without a description, with one in a block of lines, and
+    one that is no YAML."""
+    n = F.col("doc_id") % 4
+    name = F.concat(F.lit('---\r\nname: "'), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit('"\n'))
+    more = F.when(n == 0, F.concat(F.lit("description: "), "lang", F.lit(" # a note\n"))).when(n == 1, F.lit("tags:\n- x\n")).when(n == 2, F.concat(F.lit("description: |\n  "), "lang", F.lit("\n  and more\n"))).otherwise(F.lit("other: [\n"))
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(name, more, F.lit("---\n\n"), "text").alias("raw"))
+    return library.front_matter(raw).select("doc_id", "name", "description", F.md5("body").alias("body_md5"))
+
+
+@PLANS.query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doc ' || doc_id ELSE left(text, 100) END AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS description, md5(text) AS body_md5 FROM documents"""
+)
+def library_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document has a front matter."""
+    front = F.concat(F.lit("---\nname: doc "), F.col("doc_id").cast("string"), F.lit("\ndescription: "), "lang", F.lit("\n---\n\n"), "text")
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, front).otherwise(F.col("text")).alias("raw"))
+    return library.ingested(raw).select("doc_id", "title", "description", F.md5("body").alias("body_md5"))
+
+
+@PLANS.query(
+    """SELECT p_partkey AS item_id, p_partkey % 4 AS owner, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS title, CASE WHEN p_partkey % 2 = 1 THEN 'not found' END AS error FROM part"""
+)
+def library_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of even numbers are those of the owner who asks; the others belong to somebody else."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    owner = (F.col("item_id") % 4).alias("owner")
+    items = part.select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("item_id") % 4).otherwise(F.lit(9)).alias("owner"), "title")
+    return library.recall(items, part.select("item_id", owner)).select("item_id", "owner", "title", "error")
+
+
+@PLANS.query(
+    """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'new' ELSE 'old' END AS title, md5(CASE WHEN item_id % 4 = 0 THEN text || '!' ELSE text END) AS description_md5, item_id % 4 = 0 AS embedded FROM benchmark"""
+)
+def library_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second item is updated by its owner, every fourth with another description; one update names a wrong owner."""
+    b = table(spark, sf_dir, "benchmark")
+    items = b.select("item_id", F.lit(1).alias("owner"), F.lit("old").alias("title"), F.col("text").alias("description"))
+    text = F.when(F.col("item_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    updates = b.select("item_id", F.when(F.col("item_id") % 2 == 0, 1).otherwise(2).alias("owner"), F.lit("new").alias("title"), text.alias("description"))
+    out, stale = library.updated(items, updates, ["title", "description"])
+    marked = stale.select("item_id", F.lit(True).alias("embedded"))
+    return out.join(marked, "item_id", "left").select("item_id", "title", F.md5("description").alias("description_md5"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
+
+
+@PLANS.query(
+    """SELECT o_orderkey AS delivery_id, CASE WHEN count(*) FILTER (WHERE l_partkey % 10 = 0) = 0 THEN '[' || string_agg('"f' || l_partkey || '"', ',' ORDER BY l_linenumber, 'f' || l_partkey) || ']' END AS paths,
+      CASE WHEN count(*) FILTER (WHERE l_partkey % 10 = 0) > 0 THEN count(*) FILTER (WHERE l_partkey % 10 = 0) || ' missing' END AS error, TIMESTAMP '2024-01-01 00:00:00' AS created_at
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+)
+def delivery_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order delivers its parts; every tenth part has no file."""
+    path = F.concat(F.lit("f"), F.col("l_partkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("delivery_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", path.alias("p")))), lambda x: x["p"]).alias("paths"))
+    asked = lines.select("delivery_id", F.lit(1).alias("sender"), F.lit(2).alias("receiver"), F.lit(3).alias("session_id"), "paths")
+    files = table(spark, sf_dir, "part").where("p_partkey % 10 > 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"))
+    return library.deliveries(asked, files, at("2024-01-01 00:00:00")).select("delivery_id", "paths", "error", "created_at")
+
+
+_NOTE = """'## [' || doc_id || '] ' || lang || chr(10) || chr(10) || left(text, 80) || chr(10) || CASE WHEN doc_id % 3 > 0 THEN chr(10) || 'References:' || chr(10) || '- ' || source || chr(10) || CASE WHEN doc_id % 3 > 1 THEN '- b' || chr(10) ELSE '' END ELSE '' END
+    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Conflicts with: x' || chr(10) ELSE '' END"""
+
+
+@PLANS.query(
+    f"""WITH n AS (SELECT lang, string_agg({_NOTE}, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL GROUP BY lang),
+    c AS (SELECT lang, t, right(t, 1000) AS r FROM n)
+    SELECT lang, md5(t) AS all_md5, md5(CASE WHEN length(t) <= 1000 THEN t ELSE '[older notes left out]' || chr(10) || chr(10) || CASE WHEN strpos(r, chr(10) || '## [') > 0 THEN right(r, length(r) - strpos(r, chr(10) || '## [')) ELSE r END END) AS trimmed_md5 FROM c"""
+)
+def notes_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes of their language."""
+    n = F.col("doc_id") % 3
+    refs = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("source")).otherwise(F.array(F.col("source"), F.lit("b")))
+    note = T.rendered_note(F.col("doc_id").cast("string"), F.col("lang"), F.substring("text", 1, 80), refs, F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""))
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", note.alias("note"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "note"))), lambda x: x["note"]), "\n---\n\n")
+    return rows.groupBy("lang").agg(text.alias("t")).select("lang", F.md5("t").alias("all_md5"), F.md5(T.trimmed_notes(F.col("t"), 1000)).alias("trimmed_md5"))
+
+
+@PLANS.query(
+    """SELECT doc_id, md5(array_to_string(list_filter(['# Character' || chr(10) || lang, '# People' || chr(10) || source, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 > 0 THEN '# Story so far' || chr(10) || left(text, 50) END,
+      CASE WHEN text <> '' THEN '# Dialog' || chr(10) || text END, '# Guidance' || chr(10) || 'go'], lambda x: x IS NOT NULL), chr(10) || chr(10))) AS prompt_md5 FROM documents"""
+)
+def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd documents have no story, and for every third one there is no summary."""
+    story = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 50)).otherwise(F.lit(""))
+    version = F.when(F.col("doc_id") % 3 == 0, -1).otherwise(4)
+    out = T.prompt(F.col("lang"), F.col("source"), story, version, F.col("text"), F.lit(""), F.lit(""), F.lit(""), F.lit("go"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("prompt_md5"))
+
+
+@PLANS.query(
+    """WITH l AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'preserve' WHEN 1 THEN 'supplement' ELSE 'generate' END AS mode, string_split(text, chr(10)) AS l FROM documents),
+    o AS (SELECT *, CASE WHEN len(l) >= 3 THEN array_to_string(list_slice(l, 2, 3), chr(10)) ELSE '' END AS own FROM l)
+    SELECT doc_id, md5(CASE mode WHEN 'preserve' THEN CASE WHEN own <> '' THEN own ELSE source END WHEN 'supplement' THEN CASE WHEN own <> '' THEN own || chr(10) || source ELSE source END ELSE source END) AS field_md5,
+      greatest(len(l) - 7, 0)::INTEGER AS more_lines FROM o"""
+)
+def field_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.when(F.col("doc_id") % 3 == 0, "preserve").when(F.col("doc_id") % 3 == 1, "supplement").otherwise("generate")
+    more = T.lines_page(F.col("text"), 3, 5)[1]
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.lines_or(mode, F.col("text"), F.col("source"), 2, 3)).alias("field_md5"), more.alias("more_lines"))
+
+
+@PLANS.query(
+    """WITH d AS (SELECT event_id, ts, date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') AS d FROM events)
+    SELECT event_id, CASE d WHEN 0 THEN strftime(ts, '%H:%M:%S') WHEN 1 THEN 'Yesterday ' || strftime(ts, '%H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM d"""
+)
+def day_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", S.day_relative(F.col("ts"), at("2024-01-20 12:00:00")).alias("shown"))

@@ -36,7 +36,7 @@ def sessions(stream: DataFrame, key: str = "user_id", gap: str = "30 minutes", l
 
 def _budget(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cost: int, heartbeat_cost: int) -> Iterator[pd.DataFrame]:
     energy, day, waiting = state.get if state.exists else (START, None, 0)
-    rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    rows = pd.concat([f[["ts", "event_id", "heartbeat"]] for f in frames]).sort_values(["ts", "event_id"])
     out = []
     for event_id, ts, beat in zip(rows["event_id"].tolist(), rows["ts"].tolist(), rows["heartbeat"].tolist(), strict=True):
         (energy, day, waiting), (processed, buffered, _, _) = spend((energy, day, waiting), ts.date(), beat, cost, heartbeat_cost)
@@ -47,16 +47,29 @@ def _budget(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cost:
 
 def energy_gate(stream: DataFrame, heartbeat: Column, cost: int = 1, heartbeat_cost: int = 5) -> DataFrame:
     """What becomes of each event of a user against the user's budget, which outlives the batch. Within a batch events
-    go in the order of time; the state is three values a key."""
+    go in the order of time; the state is three values a key. A task sorts one user's rows of one micro-batch, so what
+    bounds a batch (read_events' files per trigger) bounds a busy user's frame too."""
     rows = stream.select("user_id", "event_id", "ts", heartbeat.alias("heartbeat"))
     return rows.groupBy("user_id").applyInPandasWithState(partial(_budget, cost=cost, heartbeat_cost=heartbeat_cost), BUDGET, STATE, "append", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what there is now and returns the table of its results; for tests and backfills."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is now and returns its results as a Parquet table in `folder`, which driver and
+    executors share; the checkpoint is there too. In append mode the file sink's log makes every batch count once. In
+    complete mode each batch writes all results into a folder of its own, and the last is the table."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/table").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    last: list[int] = []
+
+    def write(frame: DataFrame, batch_id: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/table/{batch_id}")
+        last[:] = [batch_id]
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def publish(stream: DataFrame, write, checkpoint: str):

@@ -46,6 +46,16 @@ def test_overlap_moves_the_start_only():
     assert [s for *_, s, _ in got] == sorted(s for *_, s, _ in got)
 
 
+def test_the_next_chunk_starts_behind_the_pieces_of_a_large_paragraph():
+    got = chunking.pack(["a b c d e f", "g h"], size=4, overlap=3, least=1)
+    assert [(c, s, e) for c, _, s, e in got] == [("a b c d", 0, 7), ("e f", 7, 10), ("g h", 10, 13)]
+
+
+def test_a_part_within_the_overlap_moves_the_start_back():
+    got = chunking.pack(["a b", "c d e f"], size=4, overlap=2, least=1)
+    assert [s for _, _, s, _ in got] == [0, -2]
+
+
 def test_chunking_handles_null_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a\n\nb", "z")], "doc_id long, text string, content string")
     assert [r.doc_id for r in chunking.chunk_documents(df).collect()] == [3]
@@ -62,11 +72,45 @@ def test_vectors(spark):
     assert [r.vec_id for r in search.search(df, [0.0, 0.0], 2, metric="euclidean").collect()] == [4, 1]
     s = search.statistics(df).first()
     assert (s.zero_vectors, s.invalid_vectors, s.n) == (1, 2, 7)
-    pairs = search.similar_to_set(df, df.where("vec_id <= 3"), 0.7, block=1)
+    pairs = search.similar_to_set(df, df.where("vec_id <= 3"), 0.7, blocks=(1, 2))
     assert rows(pairs.select("hit_id", "vec_id")) == [(1, 3), (1, 7), (2, 3), (3, 1), (3, 2), (3, 7)]
     assert search.similar_to_set(df, df.limit(0)).collect() == []
 
 
+def test_vectors_of_other_dimensions_are_left_out(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0], 1), (3, [2.0, 0.1], 1), (4, [2.0], 2), (5, [3.0], 1)], "vec_id long, embedding array<float>, s long")
+    assert [r.vec_id for r in search.search(df, [1.0, 0.0], 9).collect()] == [1, 3]
+    assert [r.vec_id for r in search.search_each(df, [1.0], "s", 9).orderBy("vec_id").collect()] == [2, 4, 5]
+    assert rows(search.similar_to_set(df, df, 0.9).select("hit_id", "vec_id")) == [(1, 3), (2, 4), (2, 5), (3, 1), (4, 2), (4, 5), (5, 2), (5, 4)]
+    assert rows(search.similar_to_set(df, df, 0.9, scope="s").select("hit_id", "vec_id")) == [(1, 3), (2, 5), (3, 1), (5, 2)]
+
+
+def test_blocks_change_nothing(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = df.where("vec_id % 20 = 0")
+    one = rows(search.similar_to_set(df, q, 0.2).select("hit_id", "vec_id"))
+    assert one and rows(search.similar_to_set(df, q, 0.2, blocks=(7, 50)).select("hit_id", "vec_id")) == one
+
+
+def test_cosine_distance(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [2.0, 0.0])], "a array<float>, b array<float>")
+    assert [r[0] for r in df.select(V.cosine_distance("a", "b")).collect()] == [1.0, 0.0]
+
+
+def test_embeddings_are_asked_for_in_batches_and_checked(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(25)], "id long, content string").coalesce(1)
+
+    def embed(texts):
+        assert len(texts) <= 10
+        return [[float(len(t)), 1.0] for t in texts]
+
+    got = {r.id: r.embedding for r in search.with_embeddings(df, embed, 2).collect()}
+    assert got[3] is None and got[24] == [24.0, 1.0] and len(got) == 25
+    for bad in (lambda t: [[1.0]] * len(t), lambda t: [[float("nan"), 1.0]] * len(t), lambda t: []):
+        with pytest.raises(Exception, match="vector"):
+            search.with_embeddings(df, bad, 2).collect()
+
+
 def test_distance_registry():
     with pytest.raises(ValueError, match="no distance"):
         V.distance("taxi")
@@ -78,6 +122,8 @@ def test_distance_registry():
 def test_blobs(spark):
     df = spark.createDataFrame([(1, bytearray(b"\0\0\x80?")), (2, bytearray(b"abc")), (3, None)], "chunk_id long, blob binary")
     assert rows(search.decode_blobs(df)) == [(1, [1.0]), (2, None), (3, None)]
+    v = spark.createDataFrame([(1, [1.0, -2.5]), (2, []), (3, None)], "chunk_id long, embedding array<float>")
+    assert rows(search.decode_blobs(search.encode_blobs(v))) == [(1, [1.0, -2.5]), (2, []), (3, None)]
 
 
 # Memory.
@@ -86,6 +132,8 @@ def test_blobs(spark):
 def test_cooldown_is_anchored_on_what_counted(spark):
     t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     df = spark.createDataFrame([(1, i, t(m)) for i, m in enumerate([0, 6, 12, 18])], "user_id long, event_id long, ts timestamp_ntz")
+    again = memory.hits(df, importance=F.lit(0.9), scored_at=F.lit("2024-01-01 00:05:00")).first()
+    assert (again.n_counted, again.last_scored_at, again.last_accessed_at) == (1, t(18), t(18)) and math.isclose(again.importance, 0.91)
     got = memory.hits(df).first()
     assert (got.n_hits, got.n_counted, got.last_scored_at) == (4, 2, t(12))
     assert math.isclose(got.importance, 1 - 0.5 * 0.9**2)
@@ -117,6 +165,23 @@ def test_windows_close_by_count_or_tokens(spark):
     assert conversation.summary_windows(df.limit(0)).collect() == []
 
 
+def test_the_last_row_of_a_key_counts(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    delta = spark.createDataFrame([(2, "x", 1), (2, None, 3), (2, "y", 2), (4, "z", 1)], "id long, v string, n long")
+    assert rows(relational.upsert(base, delta, ["id"], ["n"])) == [(1, "a"), (2, None), (4, "z")]
+    assert rows(relational.upsert(base, delta.drop("n"), ["id"]))[1] == (2, "y")
+
+
+def test_relations(spark):
+    df = spark.createDataFrame([(1, "b", 3), (1, "a", 1), (1, "b", 2), (2, "c", 9)], "k long, v string, n long")
+    assert rows(relational.first_seen(df, ["k"], "v", ["n"])) == [(1, ["a", "b"]), (2, ["c"])]
+    assert rows(relational.any_of(df, ["k"], "n")) == [(1, "a", 1), (2, "c", 9)]
+    assert rows(relational.lookup(df, spark.createDataFrame([(2,), (2,), (5,)], "k long"), "k")) == [(2, "c", 9)]
+    assert rows(relational.mark(df, spark.createDataFrame([(2,)], "k long"), "k", "n", 0))[-1] == (2, "c", 0)
+    assert [r.n for r in relational.page(df, [F.desc("n")], 1, 2).collect()] == [3, 2]
+    assert [relational.id_range(df, "n", 1, u).count() for u in (None, 0, 2)] == [3, 3, 1]
+
+
 def test_upsert_and_lists(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     assert rows(relational.upsert(base, spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), ["id"])) == [(1, "a"), (2, "c"), (3, "d")]
@@ -149,15 +214,10 @@ def test_budget_buffers_and_replays_in_order():
     assert state[0] == 140 - 120
 
 
-@pytest.mark.parametrize("n", [5, 100, 101, 102, 191, 192, 193, 400])
-def test_bulk_shrink_like_the_loop(spark, n):
-    kept = []
-    for i in range(n):
-        kept.append(i)
-        if len(kept) > 100:
-            kept = kept[-10:]
+@pytest.mark.parametrize("n", [5, 100, 101, 150, 400])
+def test_bulk_shrink_shows_the_last_entries_of_a_long_list(spark, n):
     got = runtime.bulk_shrink(spark.range(n).withColumn("k", F.lit(1)), "k", ["id"])
-    assert [r.id for r in got.orderBy("id").collect()] == kept
+    assert [r.id for r in got.orderBy("id").collect()] == list(range(n))[-10 if n > 100 else -n :]
 
 
 def test_one_note_stays(spark):
@@ -165,6 +225,49 @@ def test_one_note_stays(spark):
     assert rows(runtime.trim_notes(df, "k", ["i"], F.col("n"), 7).select("k", "i")) == [(1, 2), (2, 1), (2, 2)]
 
 
+def test_actions_are_judged_one_by_one(spark):
+    fields = "id long, type string, source string, event_type int, guidance string, reason string, work_type int, delivery_target string, session_id long, recipient_id long, trigger_at string, message string, alarm_action string, alarm_content string, in_session long, target_work_id long"
+    blank = (None,) * 11
+    df = spark.createDataFrame(
+        [
+            (1, "route", "event", 0, "g", "r", *(None,) * 8, 5, 10),
+            (2, "route", "heartbeat", 0, "g", "r", *(None,) * 8, 5, 10),
+            (3, "route", "event", 0, "g", "r", *(None,) * 8, 6, 10),
+            (4, "create", "event", 0, "g", None, 1, None, None, None, *(None,) * 4, 5, None),
+            (5, "create", "heartbeat", 0, "g", None, 1, "send_to_session", 7, None, *(None,) * 4, 5, None),
+            (6, None, None, None, None, *blank),
+        ],
+        fields,
+    )
+    works = spark.createDataFrame([(10, 5, 2)], "work_id long, session_id long, work_type int")
+    assert {r.id: r.error for r in runtime.valid_actions(df, works).collect()} == {1: None, 2: "not on a heartbeat", 3: "no such work", 4: None, 5: None, 6: "unknown type"}
+
+
+def test_activity_of_odd_payloads(spark):
+    df = spark.createDataFrame([(1, 1, 2, "{", 0), (2, 1, 2, '{"content": " x ", "tool_calls": null}', 0), (3, 1, 3, None, 0), (4, 1, 1, "{}", 0), (5, 9, 3, "{}", 0)], "interaction_id long, work_id long, kind int, data string, created_at int")
+    works = spark.createDataFrame([(1, 7, 2), (9, 7, 1)], "work_id long, session_id long, work_type int")
+    assert rows(runtime.activity_rows(df, works, {}).select("interaction_id", "kind", "label")) == [(2, "thinking", "x"), (3, "guidance", "")]
+
+
+def test_idle_count_starts_again(spark):
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate("hhxhh")], "k long, i long, e string")
+    assert [r.idle for r in runtime.idle_ticks(df, "k", ["i"], F.col("e") == "x").orderBy("i").collect()] == [1, 2, 0, 1, 2]
+
+
+def test_streams_publish_batch_by_batch(spark, tmp_path):
+    from heron.streaming import events
+
+    for k in range(2):
+        spark.createDataFrame([(k, dt.datetime(2024, 1, 1 + k))], "event_id long, ts timestamp_ntz").write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    query = events.publish(events.read_events(spark, str(tmp_path / "in"), per_trigger=1), lambda df, i: seen.append((i, df.count())), str(tmp_path / "check"))
+    query.awaitTermination()
+    assert sum(n for _, n in seen) == 2 and len({i for i, _ in seen}) == len(seen)
+    again = events.publish(events.read_events(spark, str(tmp_path / "in"), per_trigger=1), lambda df, i: seen.append((i, df.count())), str(tmp_path / "check"))
+    again.awaitTermination()
+    assert sum(n for _, n in seen) == 2
+
+
 # Text, library, files.
 
 
@@ -182,20 +285,52 @@ def test_text_edges(spark):
     [
         (None, "no front matter"),
         ("x", "no front matter"),
-        ("---\nname: a\n", "front matter is not closed"),
-        ("---\nname: a\n---\n", "no description"),
-        ("---\r\nname: 'a: b'\r\ndescription: d\r\n---\r\n\r\nbody", None),
+        ("---\nname: a\n", "no front matter"),
+        ("# x\n---\nname: a\n---\n", "no front matter"),
+        ("---\nname: a\nx: [\n---\n", "no YAML: a bracket is not closed"),
+        ("---\nname: 'a\n---\n", "no YAML: a quote is not closed"),
+        ("---\nname a\n---\n", "no YAML: not a key and a value"),
+    ],
+)
+def test_no_front_matter(raw, want):
+    assert library.parse_front_matter(raw) == (None, None, None, want)
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("---\r\nname: 'a: b'\r\ndescription: d\r\n---\r\n\r\nbody", ("a: b", "d", "body")),
+        ("---\nname: a # note\n---\n", ("a", "", "")),
+        ("---\ndescription: |\n  one\n   two\n---\nb", ("", "one\n two\n", "b")),
+        ("---\nname: x\ndescription: >-\n  one\n  two\n\n  three\ntags:\n- a\n---\n", ("x", "one two\nthree", "")),
+        ('---\nname: "a \\"b\\""\ndescription: it goes\n  on\nmeta:\n  k: v\n---\n', ('a "b"', "it goes on", "")),
     ],
 )
 def test_front_matter(raw, want):
-    name, description, body, error = library.parse_front_matter(raw)
-    assert error == want
-    if not want:
-        assert (name, description, body) == ("a: b", "d", "body")
+    assert library.parse_front_matter(raw) == (*want, None)
+
+
+def test_ingested_bodies_and_titles(spark):
+    df = spark.createDataFrame([(1, "---\nname: n\n---\n\nbody\n---\nmore"), (2, "only text"), (3, "---\n---\nb"), (4, None)], "doc_id long, raw string")
+    got = {r.doc_id: (r.title, r.body) for r in library.ingested(df).collect()}
+    assert got == {1: ("n", "body\n---\nmore"), 2: ("only text", "only text"), 3: ("b", "b"), 4: (None, None)}
+
+
+def test_updates_embed_only_what_changed(spark):
+    items = spark.createDataFrame([(1, 1, "t", "a"), (2, 1, "t", None), (3, 2, "t", "c")], "item_id long, owner long, title string, description string")
+    new = spark.createDataFrame([(1, 1, "u", "a"), (2, 1, "u", "b"), (3, 1, "u", "x")], "item_id long, owner long, title string, description string")
+    out, stale = library.updated(items, new, ["title", "description"])
+    assert rows(out) == [(1, 1, "u", "a"), (2, 1, "u", "b"), (3, 2, "t", "c")] and rows(stale) == [(2, "b")]
+
+
+def test_deliveries_are_whole_or_none(spark):
+    asked = spark.createDataFrame([(1, 1, 2, 3, ["a", "b"]), (2, 1, 2, 3, ["a", "z"]), (3, 1, 2, 3, [])], "delivery_id long, sender long, receiver long, session_id long, paths array<string>")
+    got = {r.delivery_id: (r.paths, r.error) for r in library.deliveries(asked, spark.createDataFrame([("a",), ("b",)], "path string"), F.current_timestamp()).collect()}
+    assert got == {1: ('["a","b"]', None), 2: (None, "1 missing"), 3: ("[]", None)}
 
 
 def test_signature_ignores_the_order_of_keys(spark):
-    df = spark.createDataFrame([('{"a": 1, "b": 2}',), ('{"b": 2, "a": 1}',)], "j string")
+    df = spark.createDataFrame([('{"a": 1, "b": {"x": [{"p": 1, "q": 2}], "y": 2}}',), ('{"b": {"y": 2, "x": [{"q": 2, "p": 1}]}, "a": 1}',)], "j string")
     assert len({r[0] for r in df.select(S.signature(F.lit("f"), F.col("j"))).collect()}) == 1
 
 
@@ -205,8 +340,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.md").write_text(" ")
     got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in files.read_texts(spark, str(tmp_path)).collect()}
     assert got == {"a.TXT": ("hallo", None), "b.pdf": (None, "unsupported: pdf"), "c.md": (" ", "no text")}
+    failed = files.read_texts(spark, str(tmp_path), {"pdf": lambda c: F.lit(None).cast("string")})
+    assert {r.path.rpartition("/")[2]: r.error for r in failed.collect()}["b.pdf"] == "not extracted"
+    (tmp_path / "d.png").write_bytes(b"plain")
+    (tmp_path / "e.x").write_bytes(b"a\0")
     raw = spark.read.format("binaryFile").load(str(tmp_path))
-    assert {r.path.rpartition("/")[2] for r in raw.where(files.is_binary()).collect()} == {"b.pdf"}
+    assert {r.path.rpartition("/")[2] for r in raw.where(files.is_binary()).collect()} == {"b.pdf", "d.png", "e.x"}
 
 
 def test_notes(spark, tmp_path):
@@ -214,6 +353,34 @@ def test_notes(spark, tmp_path):
     path.write_text('{"id": 1, "t": "a"}\n\nbroken{\n{"id": 2, "t": "b"}\n')
     good, bad = files.read_notes(spark, str(path), "id long, t string")
     assert rows(good) == [(1, "a"), (2, "b")] and [r[0] for r in bad.collect()] == ["broken{"]
+    files.append_notes(good, str(tmp_path / "out"))
+    files.append_notes(good.where("id = 1"), str(tmp_path / "out"))
+    assert rows(files.read_notes(spark, str(tmp_path / "out"), "id long, t string")[0]) == [(1, "a"), (1, "a"), (2, "b")]
+
+
+def test_notes_are_cut_at_a_heading(spark):
+    df = spark.createDataFrame([("## [1] a\n\nx\n## [2] b\n\ny",), ("short",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.trimmed_notes(F.col("t"), 18, "cut ")).collect()] == ["cut ## [2] b\n\ny", "short", None]
+
+
+def test_a_story_needs_a_summary(spark):
+    e = F.lit("")
+    told = lambda version: spark.range(1).select(T.prompt(F.lit("c"), e, F.lit("s"), F.lit(version), e, e, e, e, e)).first()[0]
+    assert told(3) == "# Character\nc\n\n# Story so far\ns" and told(-1) == "# Character\nc"
+
+
+def test_large_texts_have_no_page(spark):
+    df = spark.createDataFrame([("a\nb\nc",)], "t string")
+    assert tuple(df.select(*T.lines_page(F.col("t"), 1, 2)).first()) == (["a", "b"], 1, None)
+    assert tuple(df.select(*T.lines_page(F.col("t"), most_bytes=2)).first()) == (None, None, "too large")
+
+
+def test_several_tables_are_published_together(spark, tmp_path):
+    one = spark.range(2)
+    files.publish(spark, {"a": one, "b": one}, str(tmp_path))
+    files.publish(spark, {"a": one.limit(1), "b": one.limit(0)}, str(tmp_path))
+    got = files.published(spark, str(tmp_path))
+    assert (got["a"].count(), got["b"].count()) == (1, 0)
 
 
 def test_vectors_are_written_all_or_none(spark, tmp_path):
