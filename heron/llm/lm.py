@@ -48,7 +48,7 @@ ROWS, ROWS_IN_CLASS = (4096, 4096, 8192), (8192, 8192, 16384)
 TABLES = (*(a + b for a, b in zip(ROWS, ROWS_IN_CLASS, strict=True)), 1 + CLASSES)
 TOP = 1 << 18
 #: Tokens of a gradient step; words that a training task counts before it sends them on; bytes of text of a unit.
-BATCH, HELD, UNIT = 4096, 1 << 20, 8 << 20
+BATCH, HELD, UNIT = 8192, 1 << 20, 8 << 20
 RATE = 0.8
 #: The rounds' shares of the training texts.
 ROUNDS = (0.25, 0.75)
@@ -105,16 +105,31 @@ def tokens_of(texts: list[bytes]) -> Tokens:
     return Tokens(h, kind * CLASSES + bucket, doc, rows, np.concatenate([kind, bucket[words]]), np.concatenate([np.arange(total), words]))
 
 
-def log_softmax(weights: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithms of the choices' probabilities of some decisions."""
-    z = weights[0][rows[0]]
+def _scores(weights: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """The choices' scores of some decisions, the largest zero."""
+    z = weights[0].take(rows[0], axis=0)
     for w, r in zip(weights[1:], rows[1:], strict=True):
-        z += w[r]
+        z += w.take(r, axis=0)
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def softmax(weights: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """The choices' probabilities of some decisions."""
+    z = _scores(weights, rows)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_chosen(weights: list[np.ndarray], rows: list[np.ndarray], choice: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of what was chosen."""
+    z = _scores(weights, rows)
+    own = z[np.arange(len(choice)), choice]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
+
+
 class Trainer:
     """Gradient steps from some weights, with a rate of its own for each row (by the gradients it has had)."""
 
@@ -131,14 +146,14 @@ class Trainer:
             lo, hi = total + np.searchsorted(words, [a, b])
             rows = [np.concatenate([r[a:b], r[lo:hi]]) for r in t.rows]
             choice = np.concatenate([t.choice[a:b], t.choice[lo:hi]])
-            g = np.exp(log_softmax(self.weights, rows))
+            g = softmax(self.weights, rows)
             g[np.arange(len(choice)), choice] -= 1
             for w, had, r in zip(self.weights, self.had, rows, strict=True):
                 order = np.argsort(r.astype(np.uint16), kind="stable")
                 ordered = r[order]
                 start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
                 own = ordered[start]
-                step = np.add.reduceat(g[order], start, axis=0)
+                step = np.add.reduceat(g.take(order, axis=0), start, axis=0)
                 had[own] += (step * step).sum(1)
                 w[own] -= RATE * step / np.sqrt(had[own] + 1)[:, None]
 
@@ -179,7 +194,7 @@ def _train(batches: Iterable[pa.RecordBatch], begun: Broadcast | None) -> Iterat
     """Word counts (hash, label, n), and the sums over the task's units in slices (label: the slice, part: the task)."""
     start = begun.value if begun else (None, None)
     total, trainer, used = None, None, 0
-    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    held: list[tuple] = []
 
     def send(c: tuple) -> pa.RecordBatch:
         n = len(c[0])
@@ -193,13 +208,13 @@ def _train(batches: Iterable[pa.RecordBatch], begun: Broadcast | None) -> Iterat
         used += sum(map(len, texts))
         if used >= UNIT:
             total, trainer, used = trainer.sums() if total is None else total + trainer.sums(), None, 0
-        new = _counts(t.hash, t.label, np.ones(len(t.hash), np.int64))
-        held = _counts(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-        if len(held[0]) > HELD:
-            yield send(held)
-            held = tuple(x[:0] for x in held)
-    if len(held[0]):
-        yield send(held)
+        held.append(_counts(t.hash, t.label, np.ones(len(t.hash), np.int64)))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            if len(held[0][0]) > HELD // 2:
+                yield send(held.pop())
+    if held:
+        yield send(_counts(*(np.concatenate(x) for x in zip(*held, strict=True))))
     if trainer:
         total = trainer.sums() if total is None else total + trainer.sums()
     if total is not None:
@@ -264,7 +279,7 @@ def _score(batches: Iterable[pa.RecordBatch], model: Broadcast) -> Iterator[pa.R
         chosen = np.empty(len(t.choice))
         for a in range(0, len(t.choice), BATCH):
             e = min(a + BATCH, len(t.choice))
-            chosen[a:e] = log_softmax(m.weights, [r[a:e] for r in t.rows])[np.arange(e - a), t.choice[a:e]]
+            chosen[a:e] = log_chosen(m.weights, [r[a:e] for r in t.rows], t.choice[a:e])
         share = np.bincount(t.of, weights=chosen, minlength=len(t.hash)) / np.log(10) - m.share[t.label]
         at = table.find(t.hash)
         top = at >= 0
