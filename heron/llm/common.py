@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from heron.plans.base import shared_root
+
 #: UTF-8 bytes of text that one step of a Python task handles at a time (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
 
@@ -21,15 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share. Where the setting is
-    missing (local tests), a temporary folder takes its place and also serves checkpoint()."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="heron-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it also serves checkpoint()."""
+    root = shared_root(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

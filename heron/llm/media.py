@@ -1,8 +1,9 @@
 """Media columns: payloads as baseline JPEG, and their dimensions and thumbnail hashes read back from the images.
 
-Cases: a null or empty text is one unit of spaces; equal texts give equal values; a column of images that came from
-elsewhere may hold nulls and damaged images, which give null features and the reason in `error`; other columns pass
-through media_features and are never read by text_media; an empty table gives an empty result.
+Cases: a null or empty text is one unit of spaces; a text of any length is one image, as a step of its own (65,535 pixels
+each way hold more than a Spark value can); equal texts give equal values, repeated ids rows of their own; a column of
+images that came from elsewhere may hold nulls and damaged images, which give null features and the reason in `error`;
+other columns pass through media_features and are never read by text_media; an empty table gives an empty result.
 """
 
 from __future__ import annotations

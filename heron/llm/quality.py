@@ -7,8 +7,9 @@ kept while they are precise there. The list comes out as one Spark conditional e
 
 Cases: a null or empty text has no words, so it fails the base rule; words are runs of other characters than ASCII white
 space; a label without a value, or for an unknown document, is not used; with no labels, or labels of one class, no
-rule is learned and only the base rule rejects; repeated rows give equal rows; an empty table gives an empty result;
-other columns of the input are kept by filter_documents and never read.
+rule is learned and only the base rule rejects; equal values are never parted; a text of any length is taken whole, as a
+step of its own; repeated rows and ids give a row each; an empty table gives an empty result; other columns of the input
+are kept by filter_documents and never read.
 """
 
 from __future__ import annotations

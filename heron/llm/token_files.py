@@ -4,7 +4,8 @@ Layout of a file (all integers little-endian):
 
     frame*            zstandard frames, each on its own: ids as unsigned 32-bit integers, whole documents in ascending
                       doc_id order, about FRAME_BYTES before compression
-    documents         a skippable frame (magic 0x184D2A50): zstandard of doc_id int64[n], then tokens uint32[n], frame uint32[n]
+    documents         a skippable frame (magic 0x184D2A50): zstandard of doc_id int64[n], then tokens uint32[n], frame
+                      uint32[n], whose highest bit says that the doc_id is null
     seek table        a skippable frame (magic 0x184D2A5E) as in the seekable format: for each frame its compressed size,
                       its size and a checksum (low half of XXH64 of the ids), then the number of frames, a flag byte
                       (128: with checksums) and the magic 0x8F92EAB1; zstandard tools read the file as one stream
@@ -16,8 +17,9 @@ The documents are dealt to partitions by ranges of doc_id; each partition writes
 renames it, so a task that is run again replaces it by the same bytes. The list of files, with the totals of their
 tokens, is written as a table; prefix sums over it, one row a file, give each file's first token.
 
-Cases: a null or empty text has the end id alone; equal doc_ids lie next to each other in some order; a null doc_id is
-refused by a message; an empty table gives no files and an empty result; other columns are never read.
+Cases: a null or empty text has the end id alone; equal doc_ids lie next to each other, in the order of a hash of their
+texts, and may be dealt to several files; a null doc_id comes before all others and stays null; a text of any length is
+taken whole; an empty table gives no files and an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from .common import shared_dir, steps, strings, written
 
 FRAME_BYTES = 1 << 20
 DOCUMENTS, SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
+NULL_ID = 1 << 31
 FILES = "file string, n_docs long, n_tokens long, first_doc long"
 
 
@@ -58,10 +61,10 @@ class TokenFileWriter:
         self.held: list[bytes] = []
         self.size = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > FRAME_BYTES:
             self._frame()
-        self.docs.append((doc_id, len(ids) // 4, len(self.frames)))
+        self.docs.append((doc_id or 0, len(ids) // 4, len(self.frames) | (NULL_ID if doc_id is None else 0)))
         self.held.append(ids)
         self.size += len(ids)
 
@@ -100,6 +103,7 @@ class TokenFileReader:
         body = self.unpack.decompress(self._at(int(start[-1]) + 8, int(table[-1, 0]) - 8))
         k = len(body) // 16
         self.doc_id, self.tokens, self.frame = np.frombuffer(body, "<i8", k), np.frombuffer(body, "<u4", k, 8 * k).astype(np.int64), np.frombuffer(body, "<u4", k, 12 * k).astype(np.int64)
+        self.null, self.frame = self.frame >= NULL_ID, self.frame & (NULL_ID - 1)
         self.first = np.cumsum(self.tokens) - self.tokens
         opens = np.searchsorted(self.frame, np.arange(n - 1))  # every frame has a document
         self.inside = self.first - self.first[opens][self.frame] if k else self.first
@@ -115,7 +119,7 @@ class TokenFileReader:
             raise ValueError(f"frame {k} is damaged")
         return data
 
-    def read(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int, int, bytes]]:
+    def read(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, bytes]]:
         """(doc_id, first token in the file, ids) of the documents in these rows of the index, all by default;
         a frame without one of them stays compressed."""
         held, data = -1, b""
@@ -124,18 +128,16 @@ class TokenFileReader:
                 held = int(self.frame[r])
                 data = self.frame_ids(held)
             a = int(self.inside[r]) * 4
-            yield int(self.doc_id[r]), int(self.first[r]), data[a : a + 4 * int(self.tokens[r])]
+            yield None if self.null[r] else int(self.doc_id[r]), int(self.first[r]), data[a : a + 4 * int(self.tokens[r])]
 
     def find(self, doc_ids: Iterable[int]) -> list[int]:
-        return np.flatnonzero(np.isin(self.doc_id, np.array(list(doc_ids), dtype=np.int64))).tolist()
+        return np.flatnonzero(np.isin(self.doc_id, np.array(list(doc_ids), dtype=np.int64)) & ~self.null).tolist()
 
 
 def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = codec(path).encode, np.uint32(end_id).tobytes()
     writer, n, tokens, first = None, 0, 0, 0
     for b in steps(batches, limit=1 << 20):
-        if b.column("doc_id").null_count:
-            raise ValueError("a document has no doc_id")
         if writer is None:
             files, root = pafs.FileSystem.from_uri(folder)
             files.create_dir(root, recursive=True)
@@ -157,7 +159,9 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: in
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> DataFrame:
     """Writes the files into `folder`, a path that all executors share. Returns their list, ready to be used any
     number of times: file, n_docs, n_tokens, first_doc."""
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_place"))
+    order = ["doc_id", "_h", "_place"]  # so that rows of one id are no single task's
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(dealt.mapInArrow(partial(_write, path=path, folder=folder, end_id=end_id), FILES), "files")
 
 
@@ -187,7 +191,7 @@ def _rows(docs: list, start: list, n: list, last: list, whole: bool) -> pa.Recor
 def read_token_files(files: DataFrame, doc_ids: list[int] | None = None, whole: bool = True) -> DataFrame:
     """The documents of these files, or those with the given doc_ids: doc_id, start (the ids of all documents before
     it, over all files), n_tokens, and the ids (whole) or ids_crc32."""
-    before = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)  # numbered in order
     # The sums run over a row a file.
     based = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("file", "base").repartition(max(1, files.count()))
     kind = "ids array<long>" if whole else "ids_crc32 long"
