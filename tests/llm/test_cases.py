@@ -209,6 +209,22 @@ def test_packing_of_many_equal_lengths(spark):
     assert sum(r.length for r in got) == 500 * n and {r.doc_tokens for r in got} == {n}
 
 
+@pytest.mark.parametrize("name", ["op3_sharding", "op9_substring"])
+def test_queries_like_their_sql(spark, name):
+    import duckdb
+
+    from heron.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    df = queries.queries()[name](spark, d)
+    columns = sorted(df.columns)
+    found = con.execute(queries.oracle_sql()[name])
+    at = [[x[0] for x in found.description].index(c) for c in columns]
+    assert told(df, *columns) == Counter(tuple(r[k] for k in at) for r in found.fetchall())
+
+
 # Merges as matrices against the library.
 
 
