@@ -21,18 +21,30 @@ def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
     return out
 
 
+def head_bytes(text: Column, most: int, slack: int = 1024) -> Column:
+    """The first `most` bytes in UTF-8, cut back to the last line end if it lies within `slack` of the cut; as binary, as
+    the cut may part a character."""
+    raw = text.cast("binary")
+    cut = F.substring(raw, 1, most)
+    back = F.instr(F.reverse(F.decode(cut, "ISO-8859-1")), "\n")  # from the end, 0: none
+    return F.when(F.octet_length(text) <= most, raw).when((back > 0) & (back <= slack), F.substring(raw, F.lit(1), F.lit(most) - back)).otherwise(cut)
+
+
+def tail_bytes(text: Column, most: int, slack: int = 1024) -> Column:
+    """The last `most` bytes in UTF-8, from behind the first line end if it lies within `slack` of the cut; as binary."""
+    raw = text.cast("binary")
+    cut = F.substring(raw, F.octet_length(text) - most + 1, F.lit(most))
+    at = F.instr(F.decode(cut, "ISO-8859-1"), "\n")
+    return F.when(F.octet_length(text) <= most, raw).when((at > 0) & (at <= slack), F.substring(cut, at + 1, F.lit(most))).otherwise(cut)
+
+
 def head(text: Column, most: int, slack: int = 1024) -> Column:
-    """The first `most` characters, cut back to the last line end if it lies within `slack` of the cut."""
-    cut = F.substring(text, 1, most)
-    back = F.instr(F.reverse(cut), "\n")  # from the end, 0: none
-    return F.when(F.char_length(text) <= most, text).when((back > 0) & (back <= slack), F.left(cut, F.lit(most) - back)).otherwise(cut)
+    """head_bytes as text: what is left of a parted character becomes a replacement character."""
+    return F.make_valid_utf8(head_bytes(text, most, slack).cast("string"))
 
 
 def tail(text: Column, most: int, slack: int = 1024) -> Column:
-    """The last `most` characters, from behind the first line end if it lies within `slack` of the cut."""
-    cut = F.right(text, F.lit(most))
-    at = F.instr(cut, "\n")
-    return F.when(F.char_length(text) <= most, text).when((at > 0) & (at <= slack), F.right(cut, F.lit(most) - at)).otherwise(cut)
+    return F.make_valid_utf8(tail_bytes(text, most, slack).cast("string"))
 
 
 def limit_output(text: Column, most_bytes: int = 51200, notice: str = "output too large") -> Column:

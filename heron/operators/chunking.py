@@ -118,9 +118,19 @@ def chunk_words(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return chunks.select("doc_id", F.posexplode("c").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.n_words", "c.content")
 
 
-def ingest(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, **how) -> tuple[DataFrame, DataFrame]:
-    """Chunks (with what `embed` adds) and each document's status: 2 ready, 3 failed where no chunk came out."""
+READY, FAILED = 2, 3
+
+
+def ingest(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, vector: str = "embedding", **how) -> tuple[DataFrame, DataFrame]:
+    """Chunks (with what `embed` adds) and each document's status: 2 ready; 3 failed, where no chunk came out or `embed`
+    left one without a vector. A failed document keeps no chunk. With an `embed` that is dear, write what it returns:
+    both results read it."""
     chunks = chunk_documents(docs, **how)
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
-    status = docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.when(F.col("chunk_count") > 0, 2).otherwise(3).alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
-    return (embed(chunks) if embed else chunks), status
+    done = F.lit(True)
+    if embed:
+        chunks, done = embed(chunks), F.col(vector).isNotNull()
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("_n"), F.bool_and(done).alias("_done"))
+    ready = F.coalesce(F.col("_done"), F.lit(False))
+    status = docs.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.when(ready, READY).otherwise(FAILED).alias("status"), F.when(ready, F.col("_n")).otherwise(0).alias("chunk_count"))
+    kept = chunks.join(status.where(F.col("status") == READY).select("doc_id"), "doc_id", "left_semi") if embed else chunks
+    return kept, status

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import text as T
 from heron.operators.folds import ordered_fold
-from heron.operators.relational import id_range, last_n
+from heron.operators.relational import id_range, last_n, with_names
 
 LIMIT, HISTORY_LIMIT, HISTORY_MOST = 5, 20, 100
 WINDOW, WINDOW_TOKENS = 50, 16_000
@@ -24,10 +24,28 @@ def keyword_search(messages: DataFrame, keywords: Sequence[str], before: int | N
     return scored.orderBy(F.desc("score"), F.desc(id_column)).limit(limit)
 
 
-def history_search(messages: DataFrame, mine: DataFrame, needle: str, session: str = "conv_id", limit: int = HISTORY_LIMIT, content: str = "text", id_column: str = "message_id") -> DataFrame:
-    """Newest messages with the needle in the sessions of `mine`; at most HISTORY_MOST."""
+def history_search(messages: DataFrame, mine: DataFrame, needle: str, session: str = "conv_id", limit: int = HISTORY_LIMIT, content: str = "text", id_column: str = "message_id", names: DataFrame | None = None, person: str = "person_id") -> DataFrame:
+    """Newest messages with the needle in the sessions of `mine`; at most HISTORY_MOST. With `names` (person, name) also
+    the sender's name, or person_ and the id."""
     own = messages.join(mine.select(session).distinct(), session, "left_semi")
-    return own.where(T.contains_any_case(F.col(content), needle)).orderBy(F.desc(id_column)).limit(min(limit, HISTORY_MOST))
+    found = own.where(T.contains_any_case(F.col(content), needle)).orderBy(F.desc(id_column)).limit(min(limit, HISTORY_MOST))
+    return found if names is None else with_names(found, names, person, "name")
+
+
+def commit_drafts(drafts: DataFrame, participants: DataFrame, sessions: DataFrame, pending: int = 0, committed: int = 1, most_title: int = 15) -> dict[str, DataFrame]:
+    """What one commit of the pending drafts makes, to be published together: messages (draft_id tells which draft),
+    the drafts, each participant's cursor moved to the largest message of its own drafts, and a title for sessions that
+    have none: the head of their first message. drafts: draft_id, session_id, person_id, message_id, content, status;
+    participants: session_id, person_id, last_read; sessions: session_id, title."""
+    own = drafts.where(F.col("status") == pending)
+    messages = own.select("message_id", "session_id", "person_id", "content", "draft_id")
+    done = drafts.withColumn("status", F.when(F.col("status") == pending, committed).otherwise(F.col("status")))
+    read = own.groupBy("session_id", "person_id").agg(F.max("message_id").alias("_read"))
+    cursors = participants.join(read, ["session_id", "person_id"], "left").withColumn("last_read", F.greatest("last_read", "_read")).drop("_read")
+    first = own.groupBy("session_id").agg(F.min_by("content", "message_id").alias("_first"))
+    title = F.when(F.coalesce("title", F.lit("")) == "", T.shortened(F.col("_first"), most_title))
+    titled = sessions.join(first, "session_id", "left").withColumn("title", F.coalesce(title, "title")).drop("_first")
+    return {"messages": messages, "drafts": done, "participants": cursors, "sessions": titled}
 
 
 def unread(messages: DataFrame, cursors: DataFrame, session: str = "conv_id", id_column: str = "message_id", cursor: str = "last_read") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.operators import conversation, relational, runtime
-from heron.plans.base import Plans, at, table
+from heron.plans.base import Plans, at, shared_root, table
+from heron.sources import files
 
 PLANS = Plans()
 
@@ -29,10 +32,32 @@ def history_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.keyword_search(m, ["tion", "und", "%"], before=last, limit=25).select("message_id", "score")
 
 
-@PLANS.query(f"WITH {_MESSAGES} SELECT message_id, conv_id FROM messages WHERE conv_id IN (SELECT conv_id FROM messages WHERE person_id = 1) AND contains(lower(text), 'en') ORDER BY message_id DESC LIMIT 20")
+@PLANS.query(f"WITH {_MESSAGES} SELECT message_id, conv_id, CASE person_id WHEN 1 THEN 'system' ELSE 'person_' || person_id END AS name FROM messages WHERE conv_id IN (SELECT conv_id FROM messages WHERE person_id = 1) AND contains(lower(text), 'en') ORDER BY message_id DESC LIMIT 20")
 def history_search_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
-    return conversation.history_search(m, m.where("person_id = 1"), "EN").select("message_id", "conv_id")
+    names = m.where("person_id = 1").select("person_id", F.col("role").alias("name")).distinct()
+    return conversation.history_search(m, m.where("person_id = 1"), "EN", names=names).select("message_id", "conv_id", "name")
+
+
+@PLANS.query(
+    f"""WITH {_MESSAGES}, d AS (SELECT *, turn % 3 = 0 AS pending FROM messages)
+    SELECT 'message' AS of, message_id AS id, left(text, 10) AS text FROM d WHERE pending UNION ALL SELECT 'draft', message_id, CASE WHEN pending THEN '1' ELSE '-1' END FROM d
+    UNION ALL SELECT 'cursor', conv_id * 10 + person_id, CAST(greatest(conv_id * 1000 + 2, coalesce(max(message_id) FILTER (WHERE pending), 0)) AS VARCHAR) FROM d GROUP BY conv_id, person_id
+    UNION ALL SELECT 'title', conv_id, CASE WHEN conv_id % 2 = 0 THEN 'kept' ELSE coalesce((SELECT CASE WHEN length(text) > 15 THEN left(text, 15) || '...' ELSE text END FROM d x WHERE x.conv_id = c.conv_id AND pending ORDER BY message_id LIMIT 1), '') END FROM (SELECT DISTINCT conv_id FROM d) c"""
+)
+def drafts_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third message of a conversation is a pending draft, the others were discarded; even sessions have titles.
+    The four tables are published together and read back."""
+    m = messages(spark, sf_dir)
+    drafts = m.select(F.col("message_id").alias("draft_id"), F.col("conv_id").alias("session_id"), "person_id", "message_id", F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, 0).otherwise(-1).alias("status"))
+    participants = cursors(m).withColumnRenamed("conv_id", "session_id")
+    sessions = m.select(F.col("conv_id").alias("session_id")).distinct().withColumn("title", F.when(F.col("session_id") % 2 == 0, "kept").otherwise(""))
+    root = f"{shared_root(spark)}/drafts-{uuid.uuid4().hex}"
+    files.publish(spark, conversation.commit_drafts(drafts, participants, sessions), root)
+    got = files.published(spark, root)
+    row = lambda t, name, i, text: got[t].select(F.lit(name).alias("of"), i.cast("long").alias("id"), text.cast("string").alias("text"))
+    out = row("messages", "message", F.col("message_id"), F.substring("content", 1, 10)).unionByName(row("drafts", "draft", F.col("draft_id"), F.col("status")))
+    return out.unionByName(row("participants", "cursor", F.col("session_id") * 10 + F.col("person_id"), F.col("last_read"))).unionByName(row("sessions", "title", F.col("session_id"), F.col("title")))
 
 
 @PLANS.query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")

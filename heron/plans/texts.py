@@ -13,15 +13,21 @@ from heron.plans.base import Plans, at, table
 PLANS = Plans()
 
 
+_BYTES = """points AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).'), lambda c: ord(c)) AS p FROM documents),
+b AS (SELECT doc_id, flatten(list_transform(p, lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 + (c >> 6), 128 + (c & 63)] WHEN c < 65536 THEN [224 + (c >> 12), 128 + ((c >> 6) & 63), 128 + (c & 63)]
+  ELSE [240 + (c >> 18), 128 + ((c >> 12) & 63), 128 + ((c >> 6) & 63), 128 + (c & 63)] END)) AS b FROM points)"""
+
+
 @PLANS.query(
-    """WITH c AS (SELECT doc_id, text, left(text, 1000) AS h, right(text, 1000) AS t FROM documents),
-    p AS (SELECT *, strpos(reverse(h), chr(10)) AS back, strpos(t, chr(10)) AS front FROM c)
-    SELECT doc_id, md5(CASE WHEN length(text) <= 1000 THEN text WHEN back BETWEEN 1 AND 1024 THEN left(h, 1000 - back) ELSE h END) AS head_md5,
-      md5(CASE WHEN length(text) <= 1000 THEN text WHEN front BETWEEN 1 AND 1024 THEN right(t, 1000 - front) ELSE t END) AS tail_md5 FROM p"""
+    f"""WITH {_BYTES}, c AS (SELECT doc_id, b, b[1:1001] AS h, b[greatest(len(b) - 1000, 1):] AS t FROM b WHERE len(b) > 1001 UNION ALL SELECT doc_id, b, b, b FROM b WHERE len(b) <= 1001),
+    p AS (SELECT *, coalesce(list_position(list_reverse(h), 10), 0) AS back, coalesce(list_position(t, 10), 0) AS front FROM c),
+    r AS (SELECT doc_id, CASE WHEN len(b) > 1001 AND back BETWEEN 1 AND 1024 THEN h[1:1001 - back] ELSE h END AS h, CASE WHEN len(b) > 1001 AND front BETWEEN 1 AND 1024 THEN t[front + 1:] ELSE t END AS t FROM p)
+    SELECT doc_id, md5(array_to_string(list_transform(h, lambda x: printf('%02X', x)), '')) AS head_md5, md5(array_to_string(list_transform(t, lambda x: printf('%02X', x)), '')) AS tail_md5 FROM r"""
 )
 def truncate_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.head(F.col("text"), 1000)).alias("head_md5"), F.md5(T.tail(F.col("text"), 1000)).alias("tail_md5"))
+    """Bytes, which may part a character: the digests are those of their hexadecimal digits."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.hex(T.head_bytes(t, 1001))).alias("head_md5"), F.md5(F.hex(T.tail_bytes(t, 1001))).alias("tail_md5"))
 
 
 @PLANS.query("SELECT doc_id, md5(CASE WHEN strlen(text) > 5000 THEN 'output too large' ELSE text END) AS out_md5 FROM documents")

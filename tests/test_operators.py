@@ -62,6 +62,13 @@ def test_chunking_handles_null_and_extra_columns(spark):
     assert rows(chunking.ingest(df)[1]) == [(1, 3, 0), (2, 3, 0), (3, 2, 1)]
 
 
+def test_a_document_with_a_chunk_without_a_vector_fails_whole(spark):
+    df = spark.createDataFrame([(1, "a b\n\nc d"), (2, "e f\n\nx y"), (3, None)], "doc_id long, text string")
+    embed = lambda c: c.withColumn("embedding", F.when(~F.contains("content", F.lit("x")), F.array(F.lit(1.0))))
+    kept, status = chunking.ingest(df, embed, size=2, overlap=0, least=0)
+    assert [r.doc_id for r in kept.collect()] == [1, 1] and rows(status) == [(1, 2, 2), (2, 3, 0), (3, 3, 0)]
+
+
 # Vectors.
 
 
@@ -277,6 +284,10 @@ def test_text_edges(spark):
     assert [r[0] for r in df.select(T.head(t, 3)).collect()] == ["a", "", None]
     assert [r[0] for r in df.select(T.tail(t, 4)).collect()] == ["b\nc", "", None]
     assert [r[0] for r in df.select(T.line_range(t, 2, 9, "-")).collect()] == ["-", "-", "-"]
+    wide = spark.createDataFrame([("aé",), ("é\n" + "b" * 5,)], "t string")
+    assert [bytes(r[0]) for r in wide.select(T.head_bytes(t, 2)).collect()] == [b"a\xc3", b"\xc3\xa9"]
+    assert [r[0] for r in wide.select(T.head(t, 2)).collect()] == ["a\ufffd", "é"]
+    assert [bytes(r[0]) for r in wide.select(T.tail_bytes(t, 7)).collect()] == ["aé".encode(), b"bbbbb"]
     assert [r[0] for r in df.select(T.replace_exact(t, "b", "B")[0]).collect()] == ["a\nB\nc", None, None]
 
 
