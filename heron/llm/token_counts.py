@@ -47,17 +47,28 @@ class Rollup:
     def _base(self) -> str | None:
         return (self._folders("base") or [None])[-1]
 
-    def committed(self) -> set[str]:
-        """The ids of the batches that count."""
+    def _folded(self, ids: list[str]) -> set[str]:
+        """Those of the ids that the base has."""
         base = self._base()
-        folded = {r[0] for r in self.spark.read.parquet(f"{base}/batches").collect()} if base else set()  # an id a batch
-        return folded | {x.rpartition("/")[2] for x in self._folders("batch")}
+        if not base or not ids:
+            return set()
+        return {r.id for r in self.spark.read.parquet(f"{base}/batches").where(F.col("id").isin(ids)).collect()}  # no more than were asked for
+
+    def _open(self) -> list[str]:
+        """The ids of the committed batches that are not in the base."""
+        ids = [x.rpartition("/")[2] for x in self._folders("batch")]
+        folded = self._folded(ids)  # left where compact() broke off before it deleted them
+        return [x for x in ids if x not in folded]
+
+    def has(self, batch_id: str) -> bool:
+        """Whether this batch counts."""
+        return batch_id in self._open() or bool(self._folded([batch_id]))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds signed changes (KEYS, SUMS); False if this batch counts already."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self.has(batch_id):
             return False
         sums = changes.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
         sums.write.mode("overwrite").parquet(f"{self.path}/batch/{batch_id}")
@@ -66,18 +77,20 @@ class Rollup:
     def totals(self) -> DataFrame:
         """KEYS and the sums of all committed batches."""
         base = self._base()
-        folded = {r[0] for r in self.spark.read.parquet(f"{base}/batches").collect()} if base else set()
-        paths = [x for x in self._folders("batch") if x.rpartition("/")[2] not in folded] + ([f"{base}/sums"] if base else [])
+        paths = [f"{self.path}/batch/{x}" for x in self._open()] + ([f"{base}/sums"] if base else [])
         if not paths:
             return self.spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in KEYS] + [T.StructField(c, T.LongType()) for c in SUMS]))
         return self.spark.read.parquet(*paths).groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in SUMS))
 
     def compact(self) -> None:
         """Folds all batches into a new base; their folders go once it stands."""
-        ids, old = sorted(self.committed()), self._folders("batch")
+        ids, old, base = self._open(), self._folders("batch"), self._base()
         path = f"{self.path}/base/{len(self._folders('base')):08d}"
         self.totals().write.mode("overwrite").parquet(f"{path}/sums")
-        self.spark.createDataFrame([(x,) for x in ids], "id string").write.mode("overwrite").parquet(f"{path}/batches")
+        batches = self.spark.createDataFrame([(x,) for x in ids], "id string")
+        if base:
+            batches = batches.unionByName(self.spark.read.parquet(f"{base}/batches"))
+        batches.write.mode("overwrite").parquet(f"{path}/batches")
         files, mark = self._hadoop(f"{path}/_SUCCESS")
         files.create(mark, True).close()
         for x in old:

@@ -52,6 +52,24 @@ def test_every_row_is_counted_and_nothing_counts_in_an_empty_table(spark, docs):
     assert token_counts.maintained_totals(full.limit(0), gone, BYTE, "v").collect() == []
 
 
+def test_rollups_survive_what_breaks_off(spark):
+    roll = token_counts.Rollup(spark, shared_dir(spark, "rollup"))
+    change = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    for k in range(3):
+        assert roll.commit(f"b{k}", change(10**k))
+    change(500).write.parquet(f"{roll.path}/batch/broken")
+    files, mark = roll._hadoop(f"{roll.path}/batch/broken/_SUCCESS")
+    files.delete(mark, False)
+    assert [r.n_tokens for r in roll.totals().collect()] == [111]
+    roll.compact()
+    change(1).write.parquet(f"{roll.path}/batch/b0")  # as if compact() had broken off before it deleted this one
+    assert [r.n_tokens for r in roll.totals().collect()] == [111] and roll.has("b0") and roll.has("b2") and not roll.has("b3")
+    roll.commit("b3", change(1000))
+    roll.compact()
+    assert [r.n_tokens for r in roll.totals().collect()] == [1111] and not roll.commit("b1", change(7)) and roll.commit("broken", change(20000))
+    assert [r.n_tokens for r in roll.totals().collect()] == [21111]
+
+
 def brute_shards(rows, shards):
     """The order and the cuts of the docstring, one after another."""
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode())))
