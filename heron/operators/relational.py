@@ -102,6 +102,17 @@ def compare_and_set(base: DataFrame, condition: Column, changes: dict[str, Colum
     return out, base.agg(F.count_if(condition).alias("affected"))
 
 
+def nested_semi(df: DataFrame, *steps: tuple[DataFrame, str, str]) -> DataFrame:
+    """The rows of df that lead to a row of the last frame. Each step (frame, from, to) goes on from a column of what was
+    reached, by `from`, to the rows of its frame with that value in `to`; e.g. observations, events, messages of a session."""
+    wanted = None
+    for k in range(len(steps) - 1, -1, -1):
+        frame, source, target = steps[k]
+        kept = frame if wanted is None else frame.join(wanted, wanted.columns[0], "left_semi")
+        wanted = kept.select(F.col(target).alias(source)).distinct()
+    return df if wanted is None else df.join(wanted, wanted.columns[0], "left_semi")
+
+
 def cascade_delete(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame) -> dict[str, DataFrame]:
     """Each table (frame, foreign key) without the rows of the deleted ids (column id)."""
     return {n: t.join(ids.select(F.col("id").alias(k)).distinct(), k, "left_anti") for n, (t, k) in tables.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +59,29 @@ def energy_replay(events: DataFrame, heartbeat: Column, key: str = "user_id", at
     return ordered_fold(rows, [key], [at, id_column], ["_day", "_beat"], _budget_start, step, f"{key} long, energy long, waiting long, n_processed long, n_buffered long, n_dropped long, n_replayed long", _budget_done)
 
 
+def _timeline_step(state: tuple, at: datetime, event_id: int, day: date, heartbeat: bool, cost: int, heartbeat_cost: int) -> tuple:
+    inner, (processed, buffered, _, replayed) = spend(state, day, heartbeat, cost, heartbeat_cost)
+    return inner, [(event_id, at, "processed" if processed else "buffered" if buffered else "dropped", inner[0], inner[2], replayed)]
+
+
+def energy_timeline(events: DataFrame, heartbeat: Column, key: str = "user_id", at: str = "ts", id_column: str = "event_id", cost: int = 1, heartbeat_cost: int = 5) -> DataFrame:
+    """Each event against its key's budget: outcome, energy and waiting after it, n_replayed (how many waiting ones it set
+    free), sleep_since (when the buffer last became non-empty; null while it is empty), and replayed_by: the event at
+    which a buffered one was replayed, null if it still waits. Events are replayed in the order in which they were
+    buffered, so the n-th replay is that of the n-th buffered event, and the state is three numbers a key."""
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(at).alias("at"), F.col(id_column).alias("id"), F.col(at).cast("date").alias("_day"), heartbeat.alias("_beat"))
+    step = partial(_timeline_step, cost=cost, heartbeat_cost=heartbeat_cost)
+    told = ordered_fold(rows, [key], ["at", "id"], ["at", "id", "_day", "_beat"], lambda: (START, None, 0), step, f"{key} long, {id_column} long, {at} timestamp_ntz, outcome string, energy long, waiting long, n_replayed long")
+    w = Window.partitionBy(key).orderBy(at, id_column)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    slept = (F.col("waiting") > 0) & (F.coalesce(F.lag("waiting").over(w), F.lit(0)) == F.col("n_replayed"))
+    told = told.withColumn("_slept", F.when(slept, F.col(at)))
+    told = told.withColumn("sleep_since", F.when(F.col("waiting") > 0, F.last("_slept", ignorenulls=True).over(upto)))
+    told = told.withColumn("_n", F.when(F.col("outcome") == "buffered", F.count_if(F.col("outcome") == "buffered").over(upto))).withColumn("_r", F.sum("n_replayed").over(upto))
+    freed = told.where("n_replayed > 0").select(key, F.col(id_column).alias("replayed_by"), F.explode(F.sequence(F.col("_r") - F.col("n_replayed") + 1, F.col("_r"))).alias("_n"))
+    return told.join(freed, [key, "_n"], "left").drop("_n", "_r", "_slept")
+
+
 def due_timers(timers: DataFrame, now: Column, trigger: str, pending: Column) -> tuple[DataFrame, DataFrame]:
     """Pending timers that are due, and those to be registered again."""
     open_ = timers.where(pending)

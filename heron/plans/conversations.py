@@ -255,6 +255,6 @@ def first_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA'))")
 def nested_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = relational.in_list(table(spark, sf_dir, "region"), "r_name", ["ASIA"]).select(F.col("r_regionkey").alias("n_regionkey"))
-    nations = table(spark, sf_dir, "nation").join(regions, "n_regionkey", "left_semi").select(F.col("n_nationkey").alias("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(nations, "s_nationkey", "left_semi")
+    regions = relational.in_list(table(spark, sf_dir, "region"), "r_name", ["ASIA"])
+    steps = (table(spark, sf_dir, "nation"), "s_nationkey", "n_nationkey"), (regions, "n_regionkey", "r_regionkey")
+    return relational.nested_semi(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), *steps)

@@ -37,6 +37,18 @@ def energy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.energy_replay(table(spark, sf_dir, "events"), F.col("event_type") == "error", cost=_COST, heartbeat_cost=_BEAT)
 
 
+@PLANS.query(
+    f"""WITH RECURSIVE {_ENERGY}, o AS (SELECT f.*, s.ts, b - lag(b) OVER w AS db, x - lag(x) OVER w AS dx, lag(waiting) OVER w AS was, lag(r) OVER w AS r0 FROM f LEFT JOIN events s ON s.event_id = f.event_id WINDOW w AS (PARTITION BY f.user_id ORDER BY n)),
+    m AS (SELECT *, last_value(CASE WHEN waiting > 0 AND was = r - r0 THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS slept FROM o WHERE n > 0)
+    SELECT m.user_id, m.event_id, CASE WHEN m.db > 0 THEN 'buffered' WHEN m.dx > 0 THEN 'dropped' ELSE 'processed' END AS outcome, m.energy, m.waiting, m.r - m.r0 AS n_replayed, CASE WHEN m.waiting > 0 THEN m.slept END AS sleep_since, y.event_id AS replayed_by
+    FROM m LEFT JOIN o y ON m.db > 0 AND y.user_id = m.user_id AND m.b > y.r0 AND m.b <= y.r"""
+)
+def energy_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that energy_replay counts, one by one."""
+    out = runtime.energy_timeline(table(spark, sf_dir, "events"), F.col("event_type") == "error", cost=_COST, heartbeat_cost=_BEAT)
+    return out.select("user_id", "event_id", "outcome", "energy", "waiting", "n_replayed", "sleep_since", "replayed_by")
+
+
 def _now(text: str = "1997-01-01 00:00:00"):
     return at(text)
 
