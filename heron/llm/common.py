@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heron.plans.base import shared_root
 
 #: UTF-8 bytes of text that one step of a Python task handles at a time (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many rows (of a few numbers); else the join shuffles it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches of about `limit` bytes of text, so that temporary arrays stay small."""
     for batch in batches:

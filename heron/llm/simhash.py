@@ -36,7 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, steps, utf8, written
+from .common import give_back, sized, steps, utf8, written
 from .components import components
 from .xxh import xxh64
 
@@ -482,7 +482,8 @@ def confirmed(families: DataFrame, texts: DataFrame, on: list[str], words: int,
     members = written(members, "members")
 
     def compared(rows: DataFrame) -> DataFrame:
-        full = rows.select(*keys, "asks", "node", *[c for c in on if c != "node"]).join(texts, on).select(*keys, "asks", "node", "text")
+        chosen = sized(rows.select(*keys, "asks", "node", *[c for c in on if c != "node"]))
+        full = texts.join(chosen, on).select(*keys, "asks", "node", "text")
         return full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_exact, words=words, similarity=similarity), "a long, b long")
 
     large = members.where("n > 1")
@@ -544,5 +545,5 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity:
     linked = components(confirmed(families, texts.select(*key, "text"), key, words, similarity, block))
     grouped = unique.select("node", "least").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
     stay = grouped.groupBy("label").agg(F.min("least").alias("least")).where("least is not null").select("least.file", "least.place")
-    kept = rows.where("doc.doc_id is not null").join(stay, key, "left_semi").select("doc.*")
-    return kept.unionByName(rows.where("doc.doc_id is null").select("doc.*"))
+    gone = written(prints.where("doc_id is not null").select(*key).join(stay, key, "left_anti"), "gone")
+    return rows.join(sized(gone), key, "left_anti").select("doc.*")

@@ -45,6 +45,8 @@ INDEX_WORDS = 1 << 20
 HOT = 20_000
 #: Hot anchors (of 8 bytes) that are broadcast at most; HOT is doubled until they are as few.
 BROADCAST = 500_000
+#: Tasks that answer one window of hot anchors.
+SALTS = 32
 _BLOCK = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -377,11 +379,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
     found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_index, window=window, limit=limit), FOUND)
     if often:
         each = segments(True, True).groupBy("anchor", "seg").agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id") + F.col("last")).alias("high"), F.min("content").alias("content"))
-        windows = written(each.mapInArrow(partial(_windows, window=window), WINDOWS), "windows")
-        # Written, so that the join can split a window that ever other segments have.
-        least = written(windows.groupBy("w").agg(F.min("low").alias("least"), F.max("high").alias("high")).where("least < high").select("w", "least"), "least")
+        windows = each.mapInArrow(partial(_windows, window=window), WINDOWS)
+        least = windows.groupBy("w").agg(F.min("low").alias("least"), F.max("high").alias("high")).where("least < high")
+        # A window that ever other segments have is dealt to SALTS tasks.
+        least = least.select("w", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        asked = windows.select("w", F.pmod("seg", F.lit(SALTS)).cast("int").alias("salt"), "anchor", "seg", "part")
         answer = F.struct("part", F.array("least").alias("mins"))
-        found = found.unionByName(windows.select("w", "anchor", "seg", "part").join(least, "w").groupBy("anchor", "seg").agg(F.collect_list(answer).alias("answers")))
+        found = found.unionByName(asked.join(least, ["w", "salt"]).groupBy("anchor", "seg").agg(F.collect_list(answer).alias("answers")))
     earlier = "transform(answers, a -> struct(a.part as part, transform(a.mins, x -> x < doc_id) as gone))"
     gone = places.join(found, ["anchor", "seg"]).where("exists(answers, a -> exists(a.mins, x -> x < doc_id))").select("doc_id", F.struct("row", "starts", F.expr(earlier).alias("answers")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
