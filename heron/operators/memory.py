@@ -157,6 +157,15 @@ def apply_gains(observations: DataFrame, gains: DataFrame, at: str = "at", coold
     return ordered_fold(rows, ["event_id"], [at, "hit_id"], ["importance", "last_scored_at", "gain", at], _target_start, partial(_target, cooldown=timedelta(minutes=cooldown_minutes)), "event_id long, importance double, last_scored_at timestamp_ntz", _target_done)
 
 
+def apply_gains_at_once(observations: DataFrame, gains: DataFrame, now: Column, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
+    """apply_gains where all hits come at one time: of a target's gains (hit_id, event_id, gain) that of the least hit
+    counts, unless the target is within its cooldown. An aggregate, so a target of ever so many hits is no task's group."""
+    first = gains.groupBy("event_id").agg(F.min_by("gain", "hit_id").alias("gain"))
+    rows = first.join(observations.select("event_id", "importance", "last_scored_at"), "event_id")
+    open_ = F.col("last_scored_at").isNull() | (F.col("last_scored_at") <= now - F.make_dt_interval(mins=F.lit(cooldown_minutes)))
+    return rows.select("event_id", F.when(open_, F.least(F.lit(1.0), F.col("importance") + F.col("gain"))).otherwise(F.col("importance")).alias("importance"), F.when(open_, now).otherwise(F.col("last_scored_at")).alias("last_scored_at"))
+
+
 def in_directions(observed: DataFrame) -> DataFrame:
     """Each row of observed_messages twice: for the sender (entity_type 1) and for the session (2)."""
     pair = lambda kind, c: F.struct(F.lit(kind).alias("entity_type"), F.col(c).cast("long").alias("entity_id"))

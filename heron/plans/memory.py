@@ -117,8 +117,8 @@ def memory_apply_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     first = memory.first_hits(obs, F.expr(_HIT))
     ruled = memory.first_rule(first.unionByName(_closer(spark, sf_dir, obs).join(first.select("hit_id", "event_id"), ["hit_id", "event_id"], "left_semi")))
-    gains = memory.spread(ruled, _deltas(obs)).withColumn("at", at("2024-12-31 00:00:00"))
-    return memory.apply_gains(obs, gains).select("event_id", F.round("importance", 6).alias("importance"))
+    gains = memory.spread(ruled, _deltas(obs))
+    return memory.apply_gains_at_once(obs, gains, at("2024-12-31 00:00:00")).select("event_id", F.round("importance", 6).alias("importance"))
 
 
 # The chain from an observation to its message: every member of a conversation observes its messages (events of even ids)

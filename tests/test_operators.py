@@ -157,6 +157,16 @@ def test_first_rule_wins(spark):
     assert rows(memory.first_rule(df)) == [(1, 2, 1), (3, 2, 2)]
 
 
+def test_gains_at_one_time_are_those_of_the_fold(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    obs = spark.createDataFrame([(1, 0.5, None), (2, 0.99, t - dt.timedelta(hours=1)), (3, 0.5, t - dt.timedelta(minutes=5)), (4, 0.1, None)], "event_id long, importance double, last_scored_at timestamp_ntz")
+    gains = spark.createDataFrame([(7, 1, 0.2), (6, 1, 0.1), (7, 2, 0.2), (7, 3, 0.2)], "hit_id long, event_id long, gain double")
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    at_once = {r.event_id: (round(r.importance, 9), r.last_scored_at) for r in memory.apply_gains_at_once(obs, gains, now).collect()}
+    folded = {r.event_id: (round(r.importance, 9), r.last_scored_at) for r in memory.apply_gains(obs, gains.withColumn("at", now)).collect()}
+    assert at_once == folded == {1: (0.6, t), 2: (1.0, t), 3: (0.5, t - dt.timedelta(minutes=5))}
+
+
 # Conversations and relations.
 
 
