@@ -40,7 +40,7 @@ from .xxh import xxh64
 WINDOW = 13
 ANCHOR = 4
 #: Words of one index.
-INDEX_WORDS = 1 << 20
+INDEX_WORDS = 1 << 19
 #: Documents of one anchor whose segments go to one index.
 HOT = 20_000
 #: Hot anchors (of 8 bytes) that are broadcast at most; HOT is doubled until they are as few.
