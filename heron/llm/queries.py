@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe import encoding_digests
 from .common import table
+from .divergence import source_divergences
 from .lm import score_documents
 from .media import media_digests
 from .packing import pack_documents
@@ -64,10 +65,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, whole=False)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing)}
+    every = (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing, op11_divergence)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Tokens, XXH64 fingerprints, learned models and images are beyond SQL; tests hold those against brute force."""
-    return {"op3_sharding": oracles.SHARDS, "op9_substring": oracles.REPEATS}
+    return {"op3_sharding": oracles.SHARDS, "op9_substring": oracles.REPEATS, "op11_divergence": oracles.DIVERGENCES}
