@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import alignment_digests
 from .bpe import encoding_digests
 from .common import table
 from .divergence import source_divergences
@@ -69,8 +70,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing, op11_divergence)
+    every = (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing, op11_divergence, op12_alignment)
     return {f.__name__: f for f in every}
 
 
