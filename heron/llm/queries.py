@@ -12,6 +12,7 @@ from .alignment import alignment_digests
 from .bpe import encoding_digests
 from .common import table
 from .divergence import source_divergences
+from .licenses import scan_licenses
 from .lm import score_documents
 from .media import media_digests
 from .packing import pack_documents
@@ -74,8 +75,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing, op11_divergence, op12_alignment)
+    every = (op1_bpe, op2_token_counts, op3_sharding, op4_simhash, op5_token_files, op6_quality, op7_lm, op8_media, op9_substring, op10_packing, op11_divergence, op12_alignment, op13_licenses)
     return {f.__name__: f for f in every}
 
 
