@@ -17,11 +17,11 @@ OWN_K, OWN_MIN, PUBLIC_K, PUBLIC_MIN = 5, 0.3, 10, 0.4
 
 def search_own(items: DataFrame, query: Sequence[float], owner: Column, k: int = OWN_K, min_score: float = OWN_MIN, **how) -> DataFrame:
     """The scope is applied before the search, so that k rows come out where there are as many."""
-    return search(items.where(owner), query, k, min_score=min_score, **how)
+    return search(items, query, k, min_score=min_score, prefilter=owner, **how)
 
 
 def search_public(items: DataFrame, query: Sequence[float], active: Column, k: int = PUBLIC_K, min_score: float = PUBLIC_MIN, **how) -> DataFrame:
-    return search(items.where(active), query, k, min_score=min_score, **how)
+    return search(items, query, k, min_score=min_score, prefilter=active, **how)
 
 
 def orphans(vectors: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
+from heron.functions import vectors as V
 from heron.operators.folds import ordered_fold
 from heron.operators.relational import upsert
 from heron.operators.vectors import similar_to_set
@@ -86,44 +87,48 @@ def hits(events: DataFrame, key: str = "user_id", at: str = "ts", cooldown_minut
     return ordered_fold(rows, [key], [at, "event_id"], [at, "_start", "_before"], _first, step, schema, _done)
 
 
-def positions(observations: DataFrame, session: str = "session_id", order: str = "event_id") -> DataFrame:
-    return observations.withColumn("pos", F.row_number().over(Window.partitionBy(session).orderBy(order)))
+#: What observations reach each other in: a session, or where several persons observe one, the person too.
+Scope = str | list[str]
 
 
-def temporal_neighbours(observations: DataFrame, hit: Column, session: str = "session_id") -> DataFrame:
+def _keys(scope: Scope) -> list[str]:
+    return [scope] if isinstance(scope, str) else list(scope)
+
+
+def positions(observations: DataFrame, session: Scope = "session_id", order: str = "event_id") -> DataFrame:
+    return observations.withColumn("pos", F.row_number().over(Window.partitionBy(*_keys(session)).orderBy(order)))
+
+
+def temporal_neighbours(observations: DataFrame, hit: Column, session: Scope = "session_id") -> DataFrame:
     """hit_id, event_id, rule: 1 for the rows next to a hit in its session, 2 for those two away. One window, no join."""
-    w = Window.partitionBy(session).orderBy("event_id")
+    w = Window.partitionBy(*_keys(session)).orderBy("event_id")
     around = F.array(*[F.struct(F.when(F.lag(hit, d).over(w) if d > 0 else F.lead(hit, -d).over(w), F.lag("event_id", d).over(w) if d > 0 else F.lead("event_id", -d).over(w)).alias("hit_id"), F.lit(abs(d)).alias("rule")) for d in (1, -1, 2, -2)])
     placed = observations.select("event_id", around.alias("around"))  # the windows first, then the rows that they make
     return placed.select("event_id", F.explode("around").alias("a")).where("a.hit_id is not null").select("a.hit_id", "event_id", "a.rule")
 
 
-def similar_neighbours(observations: DataFrame, hit: Column, vectors: DataFrame, threshold: float = 0.8, session: str = "session_id") -> DataFrame:
-    """hit_id, event_id, rule 3: observations of a hit's session whose vector (event_id, embedding) is similar to the
-    hit's; an observation without a vector has no such neighbours."""
-    placed = observations.select("event_id", session, hit.alias("_hit")).join(vectors, "event_id")
-    near = similar_to_set(placed, placed.where("_hit"), threshold, "event_id", "embedding", session)
+def similar_neighbours(observations: DataFrame, hit: Column, vectors: DataFrame | None = None, threshold: float = 0.8, session: Scope = "session_id") -> DataFrame:
+    """hit_id, event_id, rule 3: observations of a hit's session whose vector is similar to the hit's; an observation
+    without a vector has no such neighbours. The vectors are those of the observations (embedding), or of a table
+    (event_id, embedding)."""
+    keys = _keys(session)
+    scope = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    own = ["event_id", scope.alias("_scope"), hit.alias("_hit")]
+    placed = observations.select(*own, "embedding") if vectors is None else observations.select(*own).join(vectors, "event_id")
+    near = similar_to_set(placed, placed.where("_hit"), threshold, "event_id", "embedding", "_scope")
     return near.select("hit_id", F.col("vec_id").alias("event_id"), F.lit(3).alias("rule"))
 
 
-def session_share(observations: DataFrame, hit: Column, closer: DataFrame, session: str = "session_id") -> DataFrame:
+def session_share(observations: DataFrame, hit: Column, closer: DataFrame, session: Scope = "session_id") -> DataFrame:
     """hit_id, n: how many others of its session a hit reaches by rule 4, which are all that none of the closer links
     (hit_id, event_id) has. A number for each hit instead of a row for each pair: a session of many hits stays linear."""
-    sizes = observations.groupBy(session).agg(F.count("*").alias("_all"))
-    own = observations.where(hit).select(session, F.col("event_id").alias("hit_id")).join(sizes, session)
+    keys = _keys(session)
+    sizes = observations.groupBy(*keys).agg(F.count("*").alias("_all"))
+    own = observations.where(hit).select(*keys, F.col("event_id").alias("hit_id")).join(sizes, keys)
     reached = closer.groupBy("hit_id").agg(F.count("*").alias("_closer"))
     return own.join(reached, "hit_id", "left").select("hit_id", (F.col("_all") - 1 - F.coalesce("_closer", F.lit(0))).alias("n")).where("n > 0")
 
 
-def first_hits(observations: DataFrame, hit: Column, session: str = "session_id") -> DataFrame:
-    """event_id, hit_id, rule 4: for each observation the least hit of its session other than itself. Where hits come at
-    one time that is the only one that counts, so two hits a session are all that is needed."""
-    ranked = observations.where(hit).select(session, "event_id", F.row_number().over(Window.partitionBy(session).orderBy("event_id")).alias("_n")).where("_n <= 2")
-    least = ranked.groupBy(session).agg(F.array_sort(F.collect_list("event_id")).alias("_two"))
-    found = observations.join(least, session).select("event_id", F.when(F.col("_two")[0] != F.col("event_id"), F.col("_two")[0]).otherwise(F.get("_two", F.lit(1))).alias("hit_id"))
-    return found.where("hit_id is not null").select("hit_id", "event_id", F.lit(4).alias("rule"))
-
-
 def first_rule(neighbours: DataFrame) -> DataFrame:
     """A target takes the first rule that reaches it from a hit; the hit itself takes none."""
     return neighbours.where("hit_id <> event_id").groupBy("hit_id", "event_id").agg(F.min("rule").alias("rule"))
@@ -157,13 +162,29 @@ def apply_gains(observations: DataFrame, gains: DataFrame, at: str = "at", coold
     return ordered_fold(rows, ["event_id"], [at, "hit_id"], ["importance", "last_scored_at", "gain", at], _target_start, partial(_target, cooldown=timedelta(minutes=cooldown_minutes)), "event_id long, importance double, last_scored_at timestamp_ntz", _target_done)
 
 
-def apply_gains_at_once(observations: DataFrame, gains: DataFrame, now: Column, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
-    """apply_gains where all hits come at one time: of a target's gains (hit_id, event_id, gain) that of the least hit
-    counts, unless the target is within its cooldown. An aggregate, so a target of ever so many hits is no task's group."""
-    first = gains.groupBy("event_id").agg(F.min_by("gain", "hit_id").alias("gain"))
-    rows = first.join(observations.select("event_id", "importance", "last_scored_at"), "event_id")
-    open_ = F.col("last_scored_at").isNull() | (F.col("last_scored_at") <= now - F.make_dt_interval(mins=F.lit(cooldown_minutes)))
-    return rows.select("event_id", F.when(open_, F.least(F.lit(1.0), F.col("importance") + F.col("gain"))).otherwise(F.col("importance")).alias("importance"), F.when(open_, now).otherwise(F.col("last_scored_at")).alias("last_scored_at"))
+def scored_at_once(observations: DataFrame, hit: Column, now: Column, session: Scope = "session_id", threshold: float = 0.8, cooldown_minutes: int = COOLDOWN_MINUTES) -> DataFrame:
+    """The observations (with embedding, null: none) after hits that all come at one time: `importance` and
+    `last_scored_at` anew, and `rule`: 0 for a hit that counted, 1 to 4 for what it reached, null for the others.
+
+    Every hit scores itself before anything spreads, so what counted is no target; a hit within its cooldown does
+    nothing. The least hit that counted reaches all of its session that are open, and stamps them, so that the others
+    reach none. That is one window and a join of a row for each session; `replay` of the module cascade goes through time."""
+    keys = _keys(session)
+    free = F.col("last_scored_at").isNull() | (F.col("last_scored_at") <= now - F.make_dt_interval(mins=F.lit(cooldown_minutes)))
+    w = Window.partitionBy(*keys)
+    placed = observations.withColumn("_open", free).withColumn("_hit", F.coalesce(hit, F.lit(False)) & F.col("_open"))
+    placed = placed.withColumn("_pos", F.row_number().over(w.orderBy("event_id"))).withColumn("_first", F.min(F.when(F.col("_hit"), F.struct("_pos", "event_id"))).over(w))
+    source = placed.where(F.col("_first.event_id") == F.col("event_id")).select(*keys, (S.gained(F.col("importance")) - F.col("importance")).alias("_delta"), F.col("embedding").alias("_v"))
+    joined = placed.join(source, keys, "left")
+    away = F.abs(F.col("_pos") - F.col("_first._pos"))
+    similarity = V.cosine_similarity("embedding", "_v")
+    similar = F.coalesce(~F.isnan(similarity) & (similarity > threshold), F.lit(False))
+    rule = F.when(F.col("_hit"), 0).when(F.col("_open") & F.col("_delta").isNotNull(), F.when(away <= 2, away).when(similar, 3).otherwise(4))
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv]), F.col("rule"))
+    scored = F.when(F.col("rule") == 0, S.gained(F.col("importance"))).when(F.col("rule") > 0, F.least(F.lit(1.0), F.col("importance") + share * F.col("_delta")))
+    out = joined.withColumn("rule", rule.cast("int"))
+    changed = {"importance": F.coalesce(scored, F.col("importance")), "last_scored_at": F.when(F.col("rule").isNotNull(), now).otherwise(F.col("last_scored_at"))}
+    return out.withColumns(changed).select(*observations.columns, "rule")
 
 
 def in_directions(observed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -18,10 +18,11 @@ from heron.functions import vectors as V
 DEFAULT_K = 5
 
 
-def search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding", min_score: float | None = None, metric: str = "cosine") -> DataFrame:
+def search(vectors: DataFrame, query: Sequence[float], k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding", min_score: float | None = None, metric: str = "cosine", prefilter: Column | None = None) -> DataFrame:
     """id, score of the k best: similarity for cosine, distance (least first) for other metrics. The query is a literal,
-    so there is no join; each task keeps k rows. Vectors of another dimension than the query's are left out. A `where`
-    (soft deletes, say) that is to hold before the cut goes into `vectors`; drop_deleted works after it."""
+    so there is no join; each task keeps k rows. Vectors of another dimension than the query's are left out. `prefilter`
+    holds before the cut, so that k rows come out where there are as many; drop_deleted works after it."""
+    vectors = vectors if prefilter is None else vectors.where(prefilter)
     k = k if k > 0 else DEFAULT_K
     cosine = metric == "cosine"
     score = V.cosine_similarity(vector, query) if cosine else V.distance(metric)(vector, query)
@@ -45,8 +46,9 @@ def drop_deleted(hits: DataFrame, deleted: DataFrame, id_column: str = "vec_id")
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame, id_column: str = "vec_id") -> DataFrame:
-    """Hits with their chunk (id_column, doc_id, ...) and document; a hit without either is left out. Hits are k rows."""
-    return F.broadcast(hits).join(chunks, id_column).join(documents, "doc_id")
+    """Hits with their chunk (id_column, doc_id, ...) and document; a hit without either is left out. The k rows of a
+    search are small enough for Spark to broadcast by itself; those of many queries need not be."""
+    return hits.join(chunks, id_column).join(documents, "doc_id")
 
 
 def statistics(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -60,51 +62,121 @@ def statistics(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-#: Queries and vectors that meet in one task at most (about: a hash deals them).
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Vectors that a task holds at a time (about: a hash deals them), and queries that are multiplied with them at once.
+VECTOR_BLOCK, QUERY_STEP = 16384, 256
+#: Of a similarity, so that equal vectors tie wherever they stand in a product.
+DIGITS = 12
+#: A kernel takes the queries' ids and unit vectors and the block's, and gives (query, vector) places with their scores.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    v = t["v"].combine_chunks()
-    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero vector becomes NaN, which is similar to nothing."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _near(queries: pa.Table, rows: pa.Table, threshold: float) -> pa.Table:
-    """The pairs of one block of queries and one of vectors, by a matrix product."""
-    names = ["hit_id", "vec_id", "score"]
-    if not queries.num_rows or not rows.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-    q, x = _matrix(queries), _matrix(rows)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sims = q @ x.T / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
+def _above(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sims = np.round(q @ x.T, DIGITS)
     i, j = np.nonzero(sims > threshold)
-    hit, own = queries["id"].to_numpy()[i], rows["id"].to_numpy()[j]
-    keep = hit != own
-    return pa.table([pa.array(hit[keep]), pa.array(own[keep]), pa.array(sims[i, j][keep])], names=names)
+    keep = q_ids[i] != ids[j]
+    return i[keep], j[keep], sims[i[keep], j[keep]]
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of the block for each query, the least ids among ties."""
+    sims = np.round(q @ x.T, DIGITS)
+    sims[np.isnan(sims)] = -np.inf
+    if not itself:
+        sims[q_ids[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        i, j = np.nonzero((sims >= least) & (sims > -np.inf))
+    else:
+        i, j = np.nonzero(sims > -np.inf)
+    score = sims[i, j]
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < k], j[rank < k], score[rank < k]
+
+
+def _meet(batches: Iterable[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.RecordBatch]:
+    """Rows (group, dim, block, side, id, v) in this order: the vectors of a block (side 0) are held, and the queries
+    behind them (side 1) stream past in steps."""
+    key, held, block = None, [], None
+    for b in batches:
+        group = b.column(0).dictionary_encode()
+        names = group.dictionary.to_pylist()
+        code = np.stack([group.indices.to_numpy(), *[b.column(c).to_numpy() for c in (1, 2, 3)]])
+        cuts = (np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1).tolist()
+        ids, v = b.column(4).to_numpy(), b.column(5)
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        place = np.append(0, np.cumsum(pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)))
+        out = []
+        for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            own = (names[code[0, s]], *code[1:3, s].tolist())
+            if own != key:
+                key, held, block = own, [], None
+            x = _unit(flat[place[s] : place[e]].reshape(e - s, -1))
+            if code[3, s] == 0:
+                held.append((ids[s:e], x))
+                continue
+            if block is None and held:
+                block, held = (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])), []
+            if block is None:
+                continue
+            for k in range(0, e - s, QUERY_STEP):
+                q_ids = ids[s + k : min(s + k + QUERY_STEP, e)]
+                i, j, score = kernel(q_ids, x[k : k + QUERY_STEP], *block)
+                if len(i):
+                    out.append((np.full(len(i), code[0, s]), q_ids[i], block[0][j], score))
+        if out:
+            g, hit, own, score = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.record_batch([group.dictionary.take(pa.array(g)), pa.array(hit), pa.array(own), pa.array(score)], names=["group", "hit_id", "vec_id", "score"])
+
+
+def _met(vectors: DataFrame, queries: DataFrame, kernel: Kernel, id_column: str, vector: str, scope: str | None, group: str | None, block: int) -> DataFrame:
+    """group, hit_id, vec_id, score: every query against all vectors, or those of its `scope` (a column of both), the
+    kernel's choice from each block. Vectors are dealt once, into blocks of bounded size by a hash of the id within their
+    scope or `group` (a column of theirs); only the queries are copied, once for each block that they meet. Nothing passes
+    through the driver, a task holds one block, and a scope or group of any size is many tasks'."""
+
+    def side(df: DataFrame, name: str | None, number: int) -> DataFrame:
+        own = F.lit("") if name is None else F.col(name).cast("string")
+        return df.where(V.valid_embedding(vector) & F.col(id_column).isNotNull()).select(own.alias("_g"), F.size(vector).alias("_dim"), F.lit(number).alias("_side"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    x, q = side(vectors, scope or group, 0), side(queries, scope, 1)
+    cells = x.groupBy("_g", "_dim").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    columns = ["_g", "_dim", "_block", "_side", "id", "v"]
+    x = x.join(cells, ["_g", "_dim"]).withColumn("_block", F.pmod(F.xxhash64("id"), "_n").cast("int")).select(columns)
+    q = (q if scope or not group else q.drop("_g")).join(cells, ["_g", "_dim"] if scope or not group else ["_dim"])
+    q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select(columns)
+    keys = ["_g", "_dim", "_block"]
+    rows = x.unionByName(q).repartition(*keys).sortWithinPartitions(*keys, "_side")
+    return rows.mapInArrow(partial(_meet, kernel=kernel), "group string, hit_id long, vec_id long, score double")
+
+
+def similar_to_set(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, id_column: str = "vec_id", vector: str = "embedding", scope: str | None = None, block: int = VECTOR_BLOCK) -> DataFrame:
+    """hit_id, vec_id, score: pairs above the threshold (strictly) of a query set against all rows, or against those of
+    the query's `scope` (a column of both). Only vectors of one dimension are compared."""
+    return _met(vectors, queries, partial(_above, threshold=threshold), id_column, vector, scope, None, block).select("hit_id", "vec_id", "score")
 
 
-def similar_to_set(vectors: DataFrame, queries: DataFrame, threshold: float = 0.8, id_column: str = "vec_id", vector: str = "embedding", scope: str | None = None, blocks: tuple[int, int] = (QUERY_BLOCK, VECTOR_BLOCK)) -> DataFrame:
-    """hit_id, vec_id, score: pairs above the threshold (strictly) of a query set against all rows, or against those of
-    the query's `scope` (a column of both). Only vectors of one dimension are compared.
-
-    Both sides are cut into blocks of bounded size by a hash of the id, and each block of queries meets each block of
-    vectors in a task of its own; so nothing passes through the driver, and no scope, however large, is one task's.
-    """
-
-    def side(df: DataFrame) -> DataFrame:
-        own = F.lit("") if scope is None else F.col(scope).cast("string")
-        return df.where(V.valid_embedding(vector)).select(own.alias("_scope"), F.size(vector).alias("_dim"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-
-    q, x = side(queries), side(vectors)
-    count = lambda df, name, size: df.groupBy("_scope", "_dim").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    cells = count(q, "_nq", blocks[0]).join(count(x, "_nv", blocks[1]), ["_scope", "_dim"])
-    # A row for each scope and dimension; where there is one scope it is a few rows, which Spark then broadcasts.
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["_scope", "_dim", "_qb", "_vb"]
-    q = q.join(cells, ["_scope", "_dim"]).withColumn("_qb", own("_nq")).withColumn("_vb", every("_nv")).select(*keys, "id", "v")
-    x = x.join(cells, ["_scope", "_dim"]).withColumn("_vb", own("_nv")).withColumn("_qb", every("_nq")).select(*keys, "id", "v")
-    return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(partial(_near, threshold=threshold), "hit_id long, vec_id long, score double")
+def best_of(partial_hits: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The k best of each key's rows, with their rank. Spark cuts each task's rows to k a key before it shuffles them."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+    return partial_hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding", group: str | None = None, itself: bool = False, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(group,) hit_id, vec_id, score, rank: for each query the k most similar vectors, or those of each `group` of the
+    vectors, least ids first among ties. A task puts out k rows for a query and block, which are merged by query; there is
+    no row for each pair. A query that is among the vectors finds itself only with `itself`. A zero vector, and one of
+    another dimension, is similar to nothing; an invalid one and one without an id are left out."""
+    k = k if k > 0 else DEFAULT_K
+    met = _met(vectors, queries, partial(_best, k=k, itself=itself), id_column, vector, None, group, block)
+    return best_of(met, k, "group", "hit_id").withColumnRenamed("group", group) if group else best_of(met.drop("group"), k, "hit_id")
 
 
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

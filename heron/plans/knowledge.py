@@ -102,6 +102,24 @@ def vector_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.similar_to_set(v, v.where("vec_id % 20 = 0"), threshold=0.3), "score")
 
 
+_PAIRS = """pairs AS (SELECT q.vec_id AS hit_id, v.vec_id, v.label, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)"""
+
+
+@PLANS.query(f"WITH {_PAIRS} SELECT hit_id, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, vec_id) AS r FROM pairs) WHERE r <= 5")
+def vector_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every query: the rows whose id is divisible by 20, against all."""
+    v = table(spark, sf_dir, "embeddings")
+    return _rounded(search.nearest_to_each(v, v.where("vec_id % 20 = 0"), 5), "score")
+
+
+@PLANS.query(f"WITH {_PAIRS} SELECT hit_id, CAST(label AS VARCHAR) AS label, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hit_id, label ORDER BY score DESC, vec_id) AS r FROM pairs) WHERE r <= 3")
+def vector_nearest_per_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of each knowledge base, for every query."""
+    v = table(spark, sf_dir, "embeddings")
+    return _rounded(search.nearest_to_each(v, v.where("vec_id % 20 = 0"), 3, group="label"), "score")
+
+
 @PLANS.query(
     f"""WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE label = 3 AND score >= 0.0 ORDER BY scored.score DESC, vec_id LIMIT 5"""
 )

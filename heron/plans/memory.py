@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
-from heron.operators import memory
+from heron.operators import cascade, memory
 from heron.plans.base import Plans, at, table
 from heron.plans.conversations import _MESSAGES, messages
 
@@ -65,28 +65,28 @@ _CLOSER = f"""{_TEMPORAL}, {_NEAR}, {_DELTA}, closer AS (SELECT hit_id, event_id
 _SHARE = "CASE rule WHEN 1 THEN 0.5 WHEN 2 THEN 0.2 WHEN 3 THEN 0.2 ELSE 0.15 END::DOUBLE"
 
 
-def _vectors(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
+def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each event, by its id."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return obs.select("event_id", (F.col("event_id") % v.count()).alias("vec_id")).join(v, "vec_id").select("event_id", "embedding")
+    return observations(spark, sf_dir).withColumn("vec_id", F.col("event_id") % v.count()).join(v, "vec_id").drop("vec_id")
 
 
 def _deltas(obs: DataFrame) -> DataFrame:
     return obs.where(F.expr(_HIT)).select(F.col("event_id").alias("hit_id"), (S.gained(F.col("importance")) - F.col("importance")).alias("delta"))
 
 
-def _closer(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
+def _closer(obs: DataFrame) -> DataFrame:
     """Rules 1 to 3, a row for each hit and target; the threshold is low, as these vectors are far apart."""
     hit = F.expr(_HIT)
-    near = memory.similar_neighbours(obs, hit, _vectors(spark, sf_dir, obs), threshold=0.1)
+    near = memory.similar_neighbours(obs, hit, threshold=0.1)
     return memory.first_rule(memory.temporal_neighbours(obs, hit).unionByName(near))
 
 
 @PLANS.query(f"WITH {_OBS}, {_NEAR}, {_DELTA} SELECT hit_id, event_id, round(0.2::DOUBLE * delta, 6) AS gain FROM semantic JOIN deltas USING (hit_id)")
 def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases are the hits; a vector's targets are those of the hit's session."""
-    obs = observations(spark, sf_dir)
-    near = memory.similar_neighbours(obs, F.expr(_HIT), _vectors(spark, sf_dir, obs), threshold=0.1)
+    obs = _with_vectors(spark, sf_dir)
+    near = memory.similar_neighbours(obs, F.expr(_HIT), threshold=0.1)
     return memory.spread(near, _deltas(obs)).select("hit_id", "event_id", F.round("gain", 6).alias("gain"))
 
 
@@ -99,26 +99,66 @@ def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_propagate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a hit gives to each target by the first of the rules 1 to 3, and for rule 4, which has all others of the
     session, to how many it gives what."""
-    obs = observations(spark, sf_dir)
-    closer = _closer(spark, sf_dir, obs)
+    obs = _with_vectors(spark, sf_dir)
+    closer = _closer(obs)
     rest = memory.session_share(obs, F.expr(_HIT), closer).select("hit_id", F.lit(None).cast("long").alias("event_id"), F.lit(4).alias("rule"), "n")
     every = closer.withColumn("n", F.lit(1).cast("long")).unionByName(rest)
     return memory.spread(every, _deltas(obs), "n").withColumn("gain", F.round("gain", 6))
 
 
+_NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
 @PLANS.query(
-    f"""WITH {_OBS}, {_CLOSER},
-    firsthit AS (SELECT o.event_id, min(h.event_id) AS hit_id FROM obs h JOIN obs o ON o.session_id = h.session_id AND o.event_id <> h.event_id WHERE h.{_HIT} GROUP BY o.event_id),
-    ruled AS (SELECT f.*, coalesce(c.rule, 4) AS rule FROM firsthit f LEFT JOIN closer c ON c.hit_id = f.hit_id AND c.event_id = f.event_id)
-    SELECT event_id, round(least(1.0, o.importance + {_SHARE} * delta), 6) AS importance FROM ruled JOIN deltas USING (hit_id) JOIN obs o USING (event_id)"""
+    f"""WITH {_OBS}, v AS (SELECT o.*, v.embedding::DOUBLE[] AS v, ts <= {_NOW} - INTERVAL 600 MINUTE AS free FROM obs o JOIN embeddings v ON v.vec_id = o.event_id % (SELECT count(*) FROM embeddings) WHERE ts <= {_NOW}),
+    p AS (SELECT *, free AND {_HIT} AS counted, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM v),
+    f AS (SELECT user_id, min(event_id) AS hit_id FROM p WHERE counted GROUP BY user_id),
+    h AS (SELECT p.user_id, pos, v, 0.1::DOUBLE * (1 - importance) AS delta FROM p JOIN f ON f.hit_id = p.event_id),
+    r AS (SELECT p.*, h.delta, CASE WHEN counted THEN 0 WHEN free AND h.delta IS NOT NULL THEN CASE WHEN abs(p.pos - h.pos) <= 2 THEN abs(p.pos - h.pos) WHEN list_cosine_similarity(p.v, h.v) > 0.1 THEN 3 ELSE 4 END END AS rule FROM p LEFT JOIN h USING (user_id))
+    SELECT event_id, CAST(rule AS INTEGER) AS rule, round(CASE WHEN rule = 0 THEN importance + 0.1 * (1 - importance) WHEN rule > 0 THEN least(1.0, importance + {_SHARE} * delta) ELSE importance END, 6) AS importance,
+      CASE WHEN rule IS NULL THEN ts ELSE {_NOW} END AS last_scored_at FROM r"""
 )
 def memory_apply_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All hits come at one time, so of several for a target the first counts and the others fall into its cooldown."""
-    obs = observations(spark, sf_dir)
-    first = memory.first_hits(obs, F.expr(_HIT))
-    ruled = memory.first_rule(first.unionByName(_closer(spark, sf_dir, obs).join(first.select("hit_id", "event_id"), ["hit_id", "event_id"], "left_semi")))
-    gains = memory.spread(ruled, _deltas(obs))
-    return memory.apply_gains_at_once(obs, gains, at("2024-12-31 00:00:00")).select("event_id", F.round("importance", 6).alias("importance"))
+    """All purchases before a time are hit at that time, a user being a session; what came up in the ten hours before is in
+    its cooldown. The first hit that counts reaches what no hit is, and that is open."""
+    obs = _with_vectors(spark, sf_dir).where(F.col("ts") <= at("2024-01-20 00:00:00"))
+    done = memory.scored_at_once(obs, F.expr(_HIT), at("2024-01-20 00:00:00"), "user_id", threshold=0.1, cooldown_minutes=600)
+    return done.select("event_id", "rule", F.round("importance", 6).alias("importance"), "last_scored_at")
+
+
+_REPLAY = f"""{_OBS}, o AS (SELECT user_id, user_id * 10 + day(ts) // 8 AS session_id, event_id, ts, 0.5::DOUBLE + (event_id % 50) / 113.0::DOUBLE AS importance, v.embedding::DOUBLE[] AS v FROM obs JOIN embeddings v ON v.vec_id = event_id % (SELECT count(*) FROM embeddings)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS pos FROM o),
+hit0 AS (SELECT e.session_id, e.ts + to_minutes(30) AS hit_at, t.event_id FROM (SELECT o.session_id, o.ts, o.event_id, row_number() OVER (PARTITION BY o.session_id ORDER BY o.ts, o.event_id) AS i FROM o) e
+  JOIN (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS i FROM o) t ON t.session_id = e.session_id AND (t.i = 1 + e.event_id % e.i OR t.i = 1 + e.event_id // 7 % e.i)),
+hits AS (SELECT session_id, hit_at, list(DISTINCT event_id) AS ids FROM hit0 GROUP BY ALL),
+steps AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY hit_at) AS n FROM hits),
+f AS (
+  SELECT session_id, event_id, ts, pos, v, importance, NULL::TIMESTAMP AS scored, NULL::TIMESTAMP AS accessed, 0::BIGINT AS n FROM placed
+  UNION ALL
+  SELECT session_id, event_id, ts, pos, v, CASE WHEN counted THEN importance + 0.1::DOUBLE * (1 - importance)
+      WHEN free AND src.event_id IS NOT NULL THEN least(1.0::DOUBLE, importance + 0.1::DOUBLE * (1 - src.importance) * CASE WHEN abs(pos - src.pos) = 1 THEN 0.5::DOUBLE WHEN abs(pos - src.pos) = 2 THEN 0.2::DOUBLE WHEN list_cosine_similarity(v, src.v) > 0.1 THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END)
+      ELSE importance END,
+    CASE WHEN free AND src.event_id IS NOT NULL THEN hit_at ELSE scored END, CASE WHEN hit THEN hit_at ELSE accessed END, n
+  FROM (SELECT *, min(CASE WHEN counted THEN {{'event_id': event_id, 'pos': pos, 'importance': importance, 'v': v}} END) OVER (PARTITION BY session_id) AS src FROM (
+    SELECT f.session_id, f.event_id, f.ts, f.pos, f.v, f.importance, f.scored, f.accessed, s.n, s.hit_at, list_contains(s.ids, f.event_id) AND f.ts <= s.hit_at AS hit,
+      f.ts <= s.hit_at AND (f.scored IS NULL OR s.hit_at - f.scored >= INTERVAL 1440 MINUTE) AS free, list_contains(s.ids, f.event_id) AND f.ts <= s.hit_at AND (f.scored IS NULL OR s.hit_at - f.scored >= INTERVAL 1440 MINUTE) AS counted
+    FROM f JOIN steps s ON s.session_id = f.session_id AND s.n = f.n + 1)))"""
+
+
+@PLANS.query(
+    f"""WITH RECURSIVE {_REPLAY} SELECT session_id, event_id, round(importance, 6) AS importance, scored AS last_scored_at, accessed AS last_accessed_at FROM f
+    WHERE n = (SELECT count(*) FROM steps s WHERE s.session_id = f.session_id)"""
+)
+def memory_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's week is a session. Half an hour after each event the session's search brings back two of the events up to
+    it; the cooldown is a day, so that it matters at the rate of these events."""
+    start = F.lit(0.5) + (F.col("event_id") % 50) / F.lit(113.0)  # no decimal that rounding could tie on
+    obs = _with_vectors(spark, sf_dir).withColumn("importance", start).withColumn("session_id", F.col("user_id") * 10 + F.floor(F.dayofmonth("ts") / 8)).withColumn("created_at", F.col("ts")).withColumn("last_scored_at", F.lit(None).cast("timestamp_ntz"))
+    placed = obs.select("user_id", "session_id", "event_id", "ts", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")).alias("i"))
+    asked = placed.select("session_id", (F.col("ts") + F.make_dt_interval(mins=F.lit(30))).alias("at"), F.explode(F.array(F.col("event_id") % F.col("i") + 1, F.floor(F.col("event_id") / 7) % F.col("i") + 1)).alias("i"))
+    hits = asked.join(placed.select("user_id", "session_id", "i", "event_id"), ["session_id", "i"])
+    done = cascade.replay(obs, hits, ["user_id", "session_id"], cooldown_minutes=1440, similar=0.1)
+    return done.select("session_id", "event_id", F.round("importance", 6).alias("importance"), "last_scored_at", "last_accessed_at")
 
 
 # The chain from an observation to its message: every member of a conversation observes its messages (events of even ids)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heron.functions import scalars as S
 from heron.functions import text as T
 from heron.functions import vectors as V
-from heron.operators import chunking, conversation, library, memory, relational, runtime
+from heron.operators import cascade, chunking, conversation, library, memory, relational, runtime
 from heron.operators import vectors as search
 from heron.sources import files
 
@@ -79,7 +79,7 @@ def test_vectors(spark):
     assert [r.vec_id for r in search.search(df, [0.0, 0.0], 2, metric="euclidean").collect()] == [4, 1]
     s = search.statistics(df).first()
     assert (s.zero_vectors, s.invalid_vectors, s.n) == (1, 2, 7)
-    pairs = search.similar_to_set(df, df.where("vec_id <= 3"), 0.7, blocks=(1, 2))
+    pairs = search.similar_to_set(df, df.where("vec_id <= 3"), 0.7, block=2)
     assert rows(pairs.select("hit_id", "vec_id")) == [(1, 3), (1, 7), (2, 3), (3, 1), (3, 2), (3, 7)]
     assert search.similar_to_set(df, df.limit(0)).collect() == []
 
@@ -96,7 +96,39 @@ def test_blocks_change_nothing(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = df.where("vec_id % 20 = 0")
     one = rows(search.similar_to_set(df, q, 0.2).select("hit_id", "vec_id"))
-    assert one and rows(search.similar_to_set(df, q, 0.2, blocks=(7, 50)).select("hit_id", "vec_id")) == one
+    assert one and rows(search.similar_to_set(df, q, 0.2, block=50).select("hit_id", "vec_id")) == one
+
+
+def test_nearest_to_each(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "b"), (3, [1.0, 1.0], "a"), (4, [0.0, 0.0], "a"), (5, [float("nan"), 1.0], "a"), (6, None, "b"), (7, [3.0, 0.0], None), (8, [1.0], "a"), (None, [1.0, 0.0], "a")], "vec_id long, embedding array<float>, g string")
+    for block in (1, 2, 100):
+        got = search.nearest_to_each(df, df.where("vec_id in (1, 3, 4, 8)"), 2, block=block)
+        assert rows(got.select("hit_id", "rank", "vec_id")) == [(1, 1, 2), (1, 2, 7), (3, 1, 1), (3, 2, 2)]
+        assert rows(search.nearest_to_each(df, df.where("vec_id = 1"), 2, itself=True, block=block).select("vec_id")) == [(1,), (2,)]
+    each = search.nearest_to_each(df.where("g is not null"), df.where("vec_id = 1"), 1, group="g").select("g", "vec_id", "rank")
+    assert rows(each) == [("a", 3, 1), ("b", 2, 1)]
+    assert search.nearest_to_each(df.limit(0), df, 3).collect() == [] == search.nearest_to_each(df, df.limit(0), 3).collect()
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    """A third of the rows have one vector; ties go by id, in whatever block they lie."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    same = rng.normal(size=16)
+    v = [(i, (same if i % 3 == 0 else rng.normal(size=16)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(7)
+    x = np.array([e for _, e in v])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(x @ x.T, 12)
+    want = [(i, j) for i in range(0, 300, 20) for j in sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], j))[:4]]
+    for block in (13, 1000):
+        assert rows(search.nearest_to_each(df, df.where("vec_id % 20 = 0"), 4, block=block).select("hit_id", "vec_id")) == sorted(want)
+
+
+def test_a_prefilter_holds_before_the_cut(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in search.search(df, [1.0, 0.0], 2, prefilter=F.col("vec_id") > 1).collect()] == [2, 3]
 
 
 def test_cosine_distance(spark):
@@ -157,14 +189,96 @@ def test_first_rule_wins(spark):
     assert rows(memory.first_rule(df)) == [(1, 2, 1), (3, 2, 2)]
 
 
-def test_gains_at_one_time_are_those_of_the_fold(spark):
+def test_gains_in_order_of_time(spark):
     t = dt.datetime(2024, 1, 1, 12)
     obs = spark.createDataFrame([(1, 0.5, None), (2, 0.99, t - dt.timedelta(hours=1)), (3, 0.5, t - dt.timedelta(minutes=5)), (4, 0.1, None)], "event_id long, importance double, last_scored_at timestamp_ntz")
     gains = spark.createDataFrame([(7, 1, 0.2), (6, 1, 0.1), (7, 2, 0.2), (7, 3, 0.2)], "hit_id long, event_id long, gain double")
     now = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
-    at_once = {r.event_id: (round(r.importance, 9), r.last_scored_at) for r in memory.apply_gains_at_once(obs, gains, now).collect()}
     folded = {r.event_id: (round(r.importance, 9), r.last_scored_at) for r in memory.apply_gains(obs, gains.withColumn("at", now)).collect()}
-    assert at_once == folded == {1: (0.6, t), 2: (1.0, t), 3: (0.5, t - dt.timedelta(minutes=5))}
+    assert folded == {1: (0.6, t), 2: (1.0, t), 3: (0.5, t - dt.timedelta(minutes=5))}
+
+
+def plain_cascade(observations, hits, cooldown, similar):
+    """One hit after another over dicts: observations (id, created, importance, scored, vector), hits (at, id) of a session."""
+    now, accessed = {i: [imp, scored] for i, _, imp, scored, _ in observations}, {}
+    vector = {i: v for i, _, _, _, v in observations}
+    created = {i: c for i, c, *_ in observations}
+    is_open = lambda i, at: now[i][1] is None or at - now[i][1] >= cooldown
+
+    def cosine(a, b):
+        return -1 if a is None or b is None or not any(a) or not any(b) else sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for at in sorted({a for a, _ in hits}):
+        there = sorted(i for i in created if created[i] <= at)
+        batch = sorted({i for a, i in hits if a == at and i in there})
+        deltas = {}
+        for i in batch:
+            accessed[i] = at
+            if is_open(i, at):
+                deltas[i] = 0.1 * (1 - now[i][0])
+                now[i] = [now[i][0] + deltas[i], at]
+        for i, delta in deltas.items():
+            for j in there:
+                if j == i or not is_open(j, at):
+                    continue
+                away = abs(there.index(i) - there.index(j))
+                share = 0.5 if away == 1 else 0.2 if away == 2 or cosine(vector[i], vector[j]) > similar else 0.15
+                now[j] = [min(1.0, now[j][0] + share * delta), at]
+    return {i: (round(now[i][0], 9), now[i][1], accessed.get(i)) for i in now}
+
+
+def _a_session(seed, n, hits):
+    """Ids in order of time, some observations scored before they came, some without a vector or with a zero one."""
+    import random
+
+    rng, t0 = random.Random(seed), dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    times = sorted(rng.randrange(0, 300, 5) for _ in range(n))
+    vectors = [None, [0.0, 0.0], [1.0, 0.0], [1.0, 0.2], [0.0, 1.0], [-1.0, 0.1]]
+    obs = [(10 + 3 * k, at(m), rng.random(), rng.choice([None, at(m), at(m - 7), at(m - 300)]), rng.choice(vectors)) for k, m in enumerate(times)]
+    return obs, [(at(rng.randrange(0, 300, 5)), rng.choice([o[0] for o in obs] + [999])) for _ in range(hits)]
+
+
+def test_the_cascade_equals_the_plain_version(spark):
+    """Several persons and sessions, whose observations have the same ids; hits of one time, of what isn't there yet, and of
+    nothing."""
+    sessions = {(p, s): _a_session(10 * p + s, n, h) for p, s, n, h in [(1, 1, 1, 3), (1, 2, 9, 30), (2, 1, 25, 60), (2, 2, 5, 0), (3, 1, 40, 200)]}
+    obs = [(p, s, *o, "x") for (p, s), (os, _) in sessions.items() for o in os]
+    hit = [(p, s, *h) for (p, s), (_, hs) in sessions.items() for h in hs]
+    o = spark.createDataFrame([(*r[:6], r[6], 1) for r in obs], "person_id long, session_id long, event_id long, created_at timestamp_ntz, importance double, last_scored_at timestamp_ntz, embedding array<double>, kind int")
+    h = spark.createDataFrame(hit, "person_id long, session_id long, at timestamp_ntz, event_id long").repartition(3)
+    got = {(r.person_id, r.session_id, r.event_id): (round(r.importance, 9), r.last_scored_at, r.last_accessed_at) for r in cascade.replay(o, h.unionByName(h), ["person_id", "session_id"], 10, 0.8).collect()}
+    want = {(p, s, i): v for (p, s), (os, hs) in sessions.items() for i, v in plain_cascade(os, hs, dt.timedelta(minutes=10), 0.8).items()}
+    assert got == want
+    assert cascade.replay(o.limit(0), h, ["person_id", "session_id"]).collect() == []
+    assert cascade.replay(o, h.limit(0), ["session_id"]).count() == len({(r[1], r[2]) for r in obs})
+
+
+def test_hits_at_one_time_equal_the_plain_version(spark):
+    """A hit is no target, one within its cooldown spreads nothing, and persons don't reach each other's observations."""
+    t = dt.datetime(2024, 1, 1, 12)
+    rows_, want = [], {}
+    for person in (1, 2, 3, 4):
+        obs, _ = _a_session(person, 12, 0)
+        obs = [(i, c, imp, scored and min(scored, t), v) for i, c, imp, scored, v in obs]
+        if person == 4:
+            obs = [(i, c, imp, t, v) for i, c, imp, _, v in obs]  # all in cooldown
+        hits = [(t, i) for i, *_ in obs if i % 4 == 0 and person != 3]
+        want |= {(person, i): v[:2] for i, v in plain_cascade([(i, t - dt.timedelta(days=1), *o) for i, _, *o in obs], hits, dt.timedelta(minutes=10), 0.8).items()}
+        rows_ += [(person, 7, i, imp, scored, v) for i, _, imp, scored, v in obs]
+    df = spark.createDataFrame(rows_, "person_id long, session_id long, event_id long, importance double, last_scored_at timestamp_ntz, embedding array<double>")
+    done = memory.scored_at_once(df, (F.col("event_id") % 4 == 0) & (F.col("person_id") != 3), F.lit(t).cast("timestamp_ntz"), ["person_id", "session_id"])
+    got = {(r.person_id, r.event_id): (round(r.importance, 9), r.last_scored_at) for r in done.collect()}
+    assert got == want
+    assert {r.rule for r in done.where("person_id = 4").collect()} == {None} and 0 in {r.rule for r in done.where("person_id = 1").collect()}
+
+
+def test_neighbours_stay_within_all_keys(spark):
+    df = spark.createDataFrame([(1, 5, 1), (2, 5, 2), (1, 5, 3), (2, 5, 4)], "person_id long, session_id long, event_id long").withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    keys = ["person_id", "session_id"]
+    assert rows(memory.temporal_neighbours(df, F.col("event_id") == 1, keys)) == [(1, 3, 1)]
+    assert rows(memory.similar_neighbours(df, F.col("event_id") == 2, session=keys)) == [(2, 4, 3)]
+    assert rows(memory.session_share(df, F.col("event_id") == 2, spark.createDataFrame([], "hit_id long, event_id long"), keys)) == [(2, 1)]
 
 
 # Conversations and relations.
