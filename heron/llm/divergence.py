@@ -8,8 +8,8 @@ up by (lang, source) before anything is shuffled.
 A language keeps the terms of at least `least` of its documents. With V kept terms, and N occurrences of them in a group, a
 term's share of the group is p = 1 + floor(10^9 (count + 1) / (N + V)). The divergence of p from q is floor((p - q)^2 / q).
 For the pairs of sources the kept terms are dealt by hash, and sources in tiles of TILE, so that a task has a bounded part of
-a language. There the sources are rows of a CSR matrix: the sum over all terms is that of terms which neither has, plus
-what the terms of either change, summed by row with reduceat.
+a language. There the sources are rows of a CSR matrix: the sum over all terms is that of terms which neither has, for all V,
+plus what the terms of either change, summed by row with reduceat.
 
 Cases: a null text, lang or source counts as ''; an empty text has no terms, but its (lang, source) still is a group; a text
 or term of any length is taken whole; repeated rows are documents of their own, whatever their doc_id, which is not read; ties
@@ -158,13 +158,14 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def csr_divergences(indptr: np.ndarray, col: np.ndarray, p: np.ndarray, rest: np.ndarray, n_terms: int) -> np.ndarray:
-    """Divergence of each row from each other, summed over all terms: p has the shares of the terms that rows have, `rest`
-    a row's share of any other. Sums are exact: what wraps around in between comes back, as results fit."""
+    """What the terms that rows have change in the divergence of each row from each other, against a row's share of any
+    other term (`rest`): p has the shares, by row and column. Sums are exact: what wraps around in between comes back, as
+    results fit."""
     rows = len(rest)
     row = np.repeat(np.arange(rows), np.diff(indptr))
     full = np.flatnonzero(np.diff(indptr))
     at = indptr[:-1][full]
-    out = n_terms * apart(rest[:, None], rest[None, :])
+    out = np.zeros((rows, rows), np.int64)
     if not len(full):
         return out
     for r in range(rows):  # terms that the first has, against the second's rest
@@ -178,7 +179,7 @@ def csr_divergences(indptr: np.ndarray, col: np.ndarray, p: np.ndarray, rest: np
     return out
 
 
-def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
+def _pairs(key: tuple, rows: pa.Table, tile: int) -> pa.Table:
     lang, _, left, right = (x.as_py() for x in key)
     pos = rows["pos"].to_numpy()
     rest_of = rows["rest"].to_numpy()
@@ -190,13 +191,13 @@ def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
     order = order[np.lexsort((col[order], row[order]))]
     indptr = np.append(0, np.cumsum(np.bincount(row[order], minlength=len(seen))))
     got = csr_divergences(indptr, col[order], rows["p"].fill_null(0).to_numpy()[order], rest_of[first], len(term.dictionary))
-    tile = (seen - 1) // TILE
-    wanted = tile[:, None] != tile[None, :] if left != right else seen[:, None] != seen[None, :]
+    own = (seen - 1) // tile
+    wanted = own[:, None] != own[None, :] if left != right else seen[:, None] != seen[None, :]
     a, b = np.nonzero(wanted)
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "pos": seen[a], "other": seen[b], "value": got[a, b]})
 
 
-def source_divergences(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
+def source_divergences(docs: DataFrame, least: int = LEAST, top: int = TOP, tile: int = TILE, part: int = PART) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: each other source of the language and the divergence from it;
     part `term`: the `top` terms that a source has more of than its language, by their divergence."""
     by_term = Window.partitionBy("lang", "term")
@@ -207,18 +208,22 @@ def source_divergences(docs: DataFrame, least: int = LEAST, top: int = TOP) -> D
     langs = kept.groupBy("lang").agg(F.sum("count").alias("lang_n"), F.coalesce(F.sum(F.when(F.col("term").isNotNull(), F.col("lead"))), F.lit(0)).alias("v"), F.count("term").alias("entries"))
     groups = kept.groupBy("lang", "source").agg(F.sum("count").alias("n")).join(langs, "lang")
     groups = groups.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy("source")))
-    groups = groups.withColumn("tiles", F.max(F.floor((F.col("pos") - 1) / TILE)).over(Window.partitionBy("lang"))).withColumn("parts", F.expr(f"1 + entries div {PART}"))
+    groups = groups.withColumn("tiles", F.max(F.floor((F.col("pos") - 1) / tile)).over(Window.partitionBy("lang"))).withColumn("parts", F.expr(f"1 + entries div {int(part)}"))
     groups = written(groups.withColumn("rest", F.coalesce(share("0", "n", "v"), F.lit(1))).drop("entries"), "groups")
 
     rows = kept.where("term is not null").join(sized(groups), ["lang", "source"]).withColumn("p", share("count", "n", "v"))
-    tile = F.floor((F.col("pos") - 1) / TILE)
     dealt = rows.select("lang", "pos", "rest", "tiles", F.pmod(F.xxhash64("term"), "parts").alias("part"), "term", "p")
     every = groups.select("lang", "pos", "rest", "tiles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"))
-    tiled = dealt.unionByName(every).withColumn("tile", tile).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
+    tiled = dealt.unionByName(every).withColumn("tile", F.floor((F.col("pos") - 1) / tile)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles"))))
     keyed = tiled.select("lang", "part", F.least("tile", "with").alias("left"), F.greatest("tile", "with").alias("right"), "pos", "rest", "term", "p")
-    sums = keyed.groupBy("lang", "part", "left", "right").applyInArrow(_pairs, "lang string, pos int, other int, value long").groupBy("lang", "pos", "other").agg(F.sum("value").alias("value"))
-    names = groups.select("lang", "pos", "source")
-    pairs = sums.join(sized(names), ["lang", "pos"]).join(sized(names.select("lang", F.col("pos").alias("other"), F.col("source").alias("item"))), ["lang", "other"])
+
+    def divergences(key: tuple, rows: pa.Table) -> pa.Table:
+        return _pairs(key, rows, tile)
+
+    sums = keyed.groupBy("lang", "part", "left", "right").applyInArrow(divergences, "lang string, pos int, other int, value long").groupBy("lang", "pos", "other").agg(F.sum("value").alias("value"))
+    names = groups.select("lang", "pos", "source", "v", F.col("rest").alias("p"))
+    pairs = sums.join(sized(names), ["lang", "pos"]).join(sized(names.select("lang", F.col("pos").alias("other"), F.col("source").alias("item"), F.col("p").alias("q"))), ["lang", "other"])
+    pairs = pairs.withColumn("value", F.expr("value + v * (((p - q) * (p - q)) div q)"))  # the terms that neither has count too
 
     q = share("lang_count", "lang_n", "v")
     terms = rows.where("count > 0").withColumn("q", q).where("p > q").withColumn("value", F.expr("((p - q) * (p - q)) div q"))

@@ -144,31 +144,21 @@ class Scanner:
         return span.edits / len(self.notices[span.notice][0])
 
     def best(self, spans: list[Span]) -> list[Span]:
-        """Without those that a closer one of another label overlaps."""
-        out: list[Span] = []
-        for group in self._overlapping(spans):
-            closest = min(map(self.distance, group))
-            for s in group:
-                better = closest < self.distance(s) and any(
-                    self.distance(t) < self.distance(s) and t.start < s.end and s.start < t.end and self.notices[t.notice][1] != self.notices[s.notice][1] for t in group
-                )
-                if not better:
-                    out.append(s)
+        """Spans in order of their starts, without those that a closer one of another label overlaps. Those of one notice
+        don't overlap, so only the neighbours within the longest span are looked at."""
+        longest = max((s.end - s.start for s in spans), default=0)
+        out = []
+        for i, s in enumerate(spans):
+            lo, hi = i, i + 1
+            while lo and spans[lo - 1].start > s.start - longest:
+                lo -= 1
+            while hi < len(spans) and spans[hi].start < s.end:
+                hi += 1
+            label, d = self.notices[s.notice][1], self.distance(s)
+            if not any(t.end > s.start and self.distance(t) < d and self.notices[t.notice][1] != label for t in spans[lo:hi]):
+                out.append(s)
         return out
 
-    def _overlapping(self, spans: list[Span]) -> Iterator[list[Span]]:
-        """Runs of spans that overlap their neighbours."""
-        group: list[Span] = []
-        end = 0
-        for s in spans:
-            if group and s.start >= end:
-                yield group
-                group = []
-            group.append(s)
-            end = max(end, s.end)
-        if group:
-            yield group
-
     def scan(self, words: str) -> tuple[int, int, int | None, int | None, str, str, float]:
         """Words, base places, the first and last of these in words, base labels, all labels, score."""
         base, at = set(), []
@@ -207,9 +197,11 @@ def _spans(batches: Iterable[pa.RecordBatch], notices: tuple, share: int) -> Ite
         rows = []
         for doc_id, x in zip(b.column("doc_id").to_pylist(), utf8(b.column("text")), strict=True):
             words = normal_form(x)
+            at = before = 0
             for p in s.best(s.spans(words)):
                 notice, label = s.notices[p.notice]
-                rows.append((doc_id, label, notice, words.count(" ", 0, p.start), words.count(" ", 0, p.end), p.edits, words[p.start : p.end]))
+                before, at = before + words.count(" ", at, p.start), p.start
+                rows.append((doc_id, label, notice, before, before + words.count(" ", p.start, p.end), p.edits, words[p.start : p.end]))
         yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
