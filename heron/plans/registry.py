@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from heron.plans import conversations, knowledge, memory, runtime, texts
+from heron.plans import conversations, knowledge, memory, runtime, streams, texts
 from heron.plans.base import Query
 
-MODULES = (knowledge, conversations, memory, texts, runtime)
+MODULES = (knowledge, conversations, memory, texts, runtime, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from heron.operators.runtime import START, spend
+from heron.streaming.ordered import PROVIDER, ROCKS
 
 STATE = "energy long, day date, waiting long"
 BUDGET = "user_id long, event_id long, outcome string, energy long, waiting long"
@@ -53,11 +54,19 @@ def energy_gate(stream: DataFrame, heartbeat: Column, cost: int = 1, heartbeat_c
     return rows.groupBy("user_id").applyInPandasWithState(partial(_budget, cost=cost, heartbeat_cost=heartbeat_cost), BUDGET, STATE, "append", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", timers: bool = False) -> DataFrame:
     """Runs a stream over what there is now and returns its results as a Parquet table in `folder`, which driver and
     executors share; the checkpoint is there too. In append mode the file sink's log makes every batch count once. In
-    complete mode each batch writes all results into a folder of its own, and the last is the table."""
+    complete mode each batch writes all results into a folder of its own, and the last is the table. A run goes on from the
+    checkpoint of the one before in the same folder. `timers`: with the state store that processors with timers ask for."""
     spark = stream.sparkSession
+    if timers:
+        before = spark.conf.get(PROVIDER, None)
+        spark.conf.set(PROVIDER, ROCKS)
+        try:
+            return run_to_table(stream, folder, mode)
+        finally:
+            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{folder}/table").start().awaitTermination()
