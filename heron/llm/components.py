@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Parts of a node's edges: each joins a copy of its own of what the node went to.
+SALTS = 8
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> node, label: equal for the nodes of a component. Nodes without an edge to another are
@@ -14,9 +17,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node joins the one of least hash among itself and its neighbours, and the edges are carried over
     to what was joined. Hashes change by the round, so a constant share of the nodes goes each time whatever the shape,
-    and a hub costs no more than its edges: least hashes are aggregated before the shuffle. Each round is written to the
-    shared folder.
+    and a hub costs no more than its edges: least hashes are aggregated before the shuffle, and its edges are dealt by a
+    hash of their other end when they are carried over. Each round is written to the shared folder.
     """
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     spark = edges.sparkSession
     left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     joined: list[DataFrame] = []
@@ -28,8 +33,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a"))).getField("x").alias("to"))
         to = written(to, "joined")
         joined.append(to)
-        a, b = to.toDF("a", "na"), to.toDF("b", "nb")
-        moved = left.join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+        a, b = to.select(F.col("node").alias("a"), F.col("to").alias("na"), copies), to.select(F.col("node").alias("b"), F.col("to").alias("nb"), copies)
+        half = left.select("a", "b", salt("b")).join(a, ["a", "salt"]).select("na", "b", salt("na"))
+        moved = half.join(b, ["b", "salt"]).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
         left = written(moved, "edges")
     else:
         if not left.isEmpty():

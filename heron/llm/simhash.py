@@ -478,8 +478,8 @@ def confirmed(families: DataFrame, texts: DataFrame, on: list[str], words: int,
     keys, own = ["label", "x", "y"], lambda n, k=0: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     blocks = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes), F.lit(1)).cast("int")
-    members = families.join(families.groupBy("label").agg(blocks().alias("n")), "label")
-    members = written(members, "members")
+    several = sized(families.groupBy("label").agg(blocks().alias("n")).where("n > 1"))  # so that no family is one task's
+    members = written(families.join(several, "label", "left").withColumn("n", F.coalesce("n", F.lit(1))), "members")
 
     def compared(rows: DataFrame) -> DataFrame:
         chosen = sized(rows.select(*keys, "asks", "node", *[c for c in on if c != "node"]))

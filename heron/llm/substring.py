@@ -224,8 +224,8 @@ def _tag(text: bytes) -> int:
 def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool, often: Broadcast | None, hot: bool) -> Iterator[pa.RecordBatch]:
     """With contents: each distinct segment of a batch once, with its least and largest document; those of the anchors in
     `often` (sorted) if `hot`, else those of the others. Without: the places of all, a row for each document; `row` tells
-    rows of one doc_id apart."""
-    apart = often.value if often and contents else np.zeros(0, np.uint64)
+    rows of one doc_id apart, and `last` is a salt for those of hot anchors."""
+    apart = often.value if often else np.zeros(0, np.uint64)
 
     def chosen(x: np.ndarray) -> np.ndarray:
         if not contents or not len(apart):
@@ -265,8 +265,10 @@ def _segments(batches: Iterable[pa.RecordBatch], window: int, contents: bool, of
             ends = np.append(start[1:], len(p))
             raw, n = p.astype("<i4").tobytes(), len(start)
             rows = np.array([_tag(t) for t in texts], np.int64)
+            is_hot = apart[np.minimum(np.searchsorted(apart, h[start]), len(apart) - 1)] == h[start] if len(apart) else np.zeros(n, bool)
+            salt = np.where(is_hot, ids[o[start]] % SALTS, 0)
             yield pa.record_batch(
-                [pa.array(h[start].view(np.int64)), pa.array(s[start].view(np.int64)), pa.array(ids[o[start]]), pa.nulls(n, pa.int64()), pa.array(rows[o[start]]), pa.array([raw[4 * x : 4 * y] for x, y in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary())],
+                [pa.array(h[start].view(np.int64)), pa.array(s[start].view(np.int64)), pa.array(ids[o[start]]), pa.array(salt), pa.array(rows[o[start]]), pa.array([raw[4 * x : 4 * y] for x, y in zip(start.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary())],
                 names=[x.split()[0] for x in SEGMENTS.split(", ")],
             )
 
@@ -374,7 +376,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
     # The uses below read one exchange of the texts.
     joined = _texts(docs).join(hits, "doc_id").select("doc_id", "text", "hits")
     segments = lambda contents, of_hot=False: joined.mapInArrow(partial(_segments, window=window, contents=contents, often=often, hot=of_hot), SEGMENTS)
-    places = segments(False).select("anchor", "seg", "doc_id", "row", "starts")
+    places = segments(False).select("anchor", "seg", "doc_id", "row", "starts", *(["last"] if often else []))
+    on = ["anchor", "seg"]
     contents = segments(True).select("anchor", "seg", "doc_id", "last", "content")
     found = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_index, window=window, limit=limit), FOUND)
     if often:
@@ -385,9 +388,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, limit: int =
         least = least.select("w", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         asked = windows.select("w", F.pmod("seg", F.lit(SALTS)).cast("int").alias("salt"), "anchor", "seg", "part")
         answer = F.struct("part", F.array("least").alias("mins"))
-        found = found.unionByName(asked.join(least, ["w", "salt"]).groupBy("anchor", "seg").agg(F.collect_list(answer).alias("answers")))
+        hot_found = asked.join(least, ["w", "salt"]).groupBy("anchor", "seg").agg(F.collect_list(answer).alias("answers"))
+        # A hot segment has a place in ever so many documents: they are dealt to SALTS tasks.
+        copies = hot_found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("last"))
+        found = found.withColumn("last", F.lit(0).cast("long")).unionByName(copies)
+        on = [*on, "last"]
     earlier = "transform(answers, a -> struct(a.part as part, transform(a.mins, x -> x < doc_id) as gone))"
-    gone = places.join(found, ["anchor", "seg"]).where("exists(answers, a -> exists(a.mins, x -> x < doc_id))").select("doc_id", F.struct("row", "starts", F.expr(earlier).alias("answers")).alias("span"))
+    gone = places.join(found, on).where("exists(answers, a -> exists(a.mins, x -> x < doc_id))").select("doc_id", F.struct("row", "starts", F.expr(earlier).alias("answers")).alias("span"))
     return gone.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
