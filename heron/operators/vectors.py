@@ -70,7 +70,7 @@ DIGITS = 12
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; a zero vector becomes NaN, which is similar to nothing."""
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -118,7 +118,7 @@ def _meet(batches: Iterable[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.Reco
             own = (names[code[0, s]], *code[1:3, s].tolist())
             if own != key:
                 key, held, block = own, [], None
-            x = _unit(flat[place[s] : place[e]].reshape(e - s, -1))
+            x = unit(flat[place[s] : place[e]].reshape(e - s, -1))
             if code[3, s] == 0:
                 held.append((ids[s:e], x))
                 continue
@@ -169,6 +169,11 @@ def best_of(partial_hits: DataFrame, k: int, *keys: str) -> DataFrame:
     return partial_hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def met_best(vectors: DataFrame, queries: DataFrame, k: int, scope: str, itself: bool, block: int = VECTOR_BLOCK) -> DataFrame:
+    """hit_id, vec_id, score: the k best of each block for every query within its scope, to be merged by best_of."""
+    return _met(vectors, queries, partial(_best, k=k, itself=itself), "vec_id", "embedding", scope, None, block).select("hit_id", "vec_id", "score")
+
+
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, id_column: str = "vec_id", vector: str = "embedding", group: str | None = None, itself: bool = False, block: int = VECTOR_BLOCK) -> DataFrame:
     """(group,) hit_id, vec_id, score, rank: for each query the k most similar vectors, or those of each `group` of the
     vectors, least ids first among ties. A task puts out k rows for a query and block, which are merged by query; there is

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions import vectors as V
-from heron.operators import chunking, library, relational
+from heron.operators import chunking, clusters, library, relational
 from heron.operators import vectors as search
 from heron.plans.base import Plans, shared_root, table
-from heron.sources import files
+from heron.sources import buckets, files
 
 PLANS = Plans()
 
@@ -120,6 +120,44 @@ def vector_nearest_per_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.nearest_to_each(v, v.where("vec_id % 20 = 0"), 3, group="label"), "score")
 
 
+@PLANS.query(
+    """WITH v AS (SELECT vec_id, CASE WHEN label = 9 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE embedding::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 50 <> 3),
+    pairs AS (SELECT q.vec_id AS hit_id, v.vec_id, list_cosine_similarity(v.v, q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT hit_id, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, vec_id) AS r FROM pairs) WHERE r <= 5"""
+)
+def vector_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from clusters and a delta: vectors of label 9 are replaced, and some go, after the clustering. The nearest
+    clusters are read first, then those that may hold something better."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    stored = clusters.ClusteredVectors.write(v, f"{shared_root(spark)}/clusters-{uuid.uuid4().hex}", 16, rounds=3)
+    stored.add(v.where("label = 9").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding")), 1)
+    stored.add(v.where("vec_id % 50 = 3").select("vec_id", F.lit(None).cast("array<float>").alias("embedding")), 2)
+    return _rounded(stored.nearest_to_each(v.where("vec_id % 20 = 0"), 5, probes=4, exact=True), "score")
+
+
+_DIGEST = "md5(array_to_string(list_transform({v}, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT)), ','))"
+
+
+def _digest(v) -> Column:
+    """All elements of a vector."""
+    return F.md5(F.array_join(F.transform(v, lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ","))
+
+
+@PLANS.query(
+    f"""WITH v AS (SELECT label AS kb_id, vec_id AS chunk_id, CASE WHEN label = 1 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS v FROM embeddings WHERE NOT (label = 2 AND vec_id % 2 = 0)
+      UNION ALL SELECT 77, vec_id, embedding FROM embeddings WHERE label = 3)
+    SELECT kb_id, chunk_id, {_DIGEST.format(v="v")} AS vector_md5 FROM v WHERE kb_id IN (1, 2, 3, 77)"""
+)
+def vector_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by knowledge base and bucket: one is updated, half of another deleted, a new one made; four are read."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("kb_id"), "embedding")
+    t = buckets.BucketTable(spark, f"{shared_root(spark)}/buckets-{uuid.uuid4().hex}", v.schema, buckets=4)
+    t.upsert(v)
+    t.upsert(v.where("kb_id = 1").withColumn("embedding", F.transform("embedding", lambda x: -x)).unionByName(v.where("kb_id = 3").withColumn("kb_id", F.lit(77))))
+    t.delete(v.where("kb_id = 2 and chunk_id % 2 = 0"))
+    return t.read().where("kb_id in (1, 2, 3, 77)").select("kb_id", "chunk_id", _digest(F.col("embedding")).alias("vector_md5"))
+
+
 @PLANS.query(
     f"""WITH {_SCORED} SELECT vec_id, round(score, 6) AS score FROM scored WHERE label = 3 AND score >= 0.0 ORDER BY scored.score DESC, vec_id LIMIT 5"""
 )
@@ -228,16 +266,17 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label NOT IN (1, 2)
-    UNION ALL SELECT vec_id, label, round(-embedding[1]::DOUBLE, 6) FROM embeddings WHERE label = 1"""
+    f"""SELECT vec_id, label, {_DIGEST.format(v="embedding")} AS vector_md5 FROM embeddings WHERE label NOT IN (1, 2)
+    UNION ALL SELECT vec_id, label, {_DIGEST.format(v="list_transform(embedding, lambda x: -x)")} FROM embeddings WHERE label = 1"""
 )
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch replaces the vectors of label 1, twice each, of which the later counts; then those of label 2 are deleted."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
-    delta = v.where("label = 1").select("vec_id", "label", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(9.0).alias("x")), F.struct(F.lit(2).alias("i"), (-F.col("first")).alias("x")))).alias("d"))
-    after = relational.upsert(v, delta.select("vec_id", "label", F.col("d.x").alias("first"), F.col("d.i").alias("place")), ["vec_id"], ["place"])
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    twice = F.array(F.struct(F.lit(1).alias("i"), F.col("embedding").alias("x")), F.struct(F.lit(2).alias("i"), F.transform("embedding", lambda x: -x).alias("x")))
+    delta = v.where("label = 1").select("vec_id", "label", F.explode(twice).alias("d"))
+    after = relational.upsert(v, delta.select("vec_id", "label", F.col("d.x").alias("embedding"), F.col("d.i").alias("place")), ["vec_id"], ["place"])
     gone = v.where("label = 2").select(F.col("vec_id").alias("id"))
-    return _rounded(relational.cascade_delete({"vectors": (after, "vec_id")}, gone)["vectors"], "first")
+    return relational.cascade_delete({"vectors": (after, "vec_id")}, gone)["vectors"].select("vec_id", "label", _digest(F.col("embedding")).alias("vector_md5"))
 
 
 @PLANS.query("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")

@@ -212,10 +212,10 @@ def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams: the tables are read as they stand; checkpoints go to the folder that the session names.
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def _run(spark: SparkSession, stream: DataFrame, mode: str, timers: bool = False) -> DataFrame:
     from heron.streaming.events import run_to_table
 
-    return run_to_table(stream, f"{shared_root(spark)}/stream-{uuid.uuid4().hex}", mode)
+    return run_to_table(stream, f"{shared_root(spark)}/stream-{uuid.uuid4().hex}", mode, timers)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +252,6 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, event_id, CASE WHEN db > 0 THEN 'buffered' WHEN dx > 0 THEN 'dropped' ELSE 'processed' END AS outcome, energy, waiting FROM o WHERE n > 0"""
 )
 def energy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from heron.streaming.events import energy_gate
+    from heron.streaming.ordered import energy_gate
 
-    return _run(spark, energy_gate(_stream(spark, sf_dir), F.col("event_type") == "error", _COST, _BEAT), "append")
+    return _run(spark, energy_gate(_stream(spark, sf_dir), F.col("event_type") == "error", _COST, _BEAT, days=10), "append", timers=True)

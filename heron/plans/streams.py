@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heron.functions import text as T
 from heron.plans.base import Plans, at, shared_root, table
+from heron.sources import commits
 from heron.streaming import ordered
 from heron.streaming.events import run_to_table
 
@@ -56,7 +57,7 @@ def spill_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.withColumn("payload", F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
     half = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")
-    out = in_parts(spark, [e.where(half), e.where(~half)], lambda s: ordered.budget_stream(s, F.col("event_type") == "error", F.col("payload"), _COST, _BEAT))
+    out = in_parts(spark, [e.where(half), e.where(~half)], lambda s: ordered.budget_stream(s, F.col("event_type") == "error", F.col("payload"), _COST, _BEAT, days=10))
     return _plain(out, "sleep_since")
 
 
@@ -70,7 +71,7 @@ def heartbeat_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticks that each user's heartbeat makes by itself between the external events (all but errors), until the last."""
     e = table(spark, sf_dir, "events").where("event_type <> 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
     half = F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp")
-    return _plain(in_parts(spark, [e.where(half), e.where(~half)], ordered.heartbeat_stream), "tick_at")
+    return _plain(in_parts(spark, [e.where(half), e.where(~half)], lambda s: ordered.heartbeat_stream(s, days=10)), "tick_at")
 
 
 @PLANS.query(
@@ -105,3 +106,20 @@ def summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = c.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "turn", "text", created.alias("created_at"))
     parts = [m.where("turn <= 1"), m.where("turn = 2"), m.where("turn in (3, 4)"), m.where("turn > 4")]
     return in_parts(spark, parts, lambda s: ordered.window_stream(s, T.estimated_tokens(F.col("text")), window=3, most_tokens=100))
+
+
+@PLANS.query("SELECT 'orders' AS of, o_orderkey AS id, o_orderstatus AS value FROM orders UNION ALL SELECT 'totals', o_custkey, CAST(count(*) AS VARCHAR) FROM orders GROUP BY o_custkey, o_orderkey % 3")
+def stream_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three batches, each published as two tables at once; then all batches are delivered again, by a stream that
+    has lost its checkpoint."""
+    root = f"{shared_root(spark)}/published-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    done = commits.Commits(spark, f"{root}/tables")
+    for k in range(3):
+        o.where(f"o_orderkey % 3 = {k}").coalesce(1).write.parquet(f"{root}/in/{k}")
+    tables = lambda df: {"orders": df.drop("o_custkey"), "totals": df.groupBy("o_custkey").agg(F.count("*").alias("n"))}
+    for again in range(2):
+        stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+        commits.publish_stream(stream, done, "orders", tables, f"{root}/checkpoint-{again}").awaitTermination()
+    orders, totals = done.read("orders"), done.read("totals")
+    return orders.select(F.lit("orders").alias("of"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value")).unionByName(totals.select(F.lit("totals").alias("of"), F.col("o_custkey").alias("id"), F.col("n").cast("string").alias("value")))

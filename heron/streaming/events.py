@@ -1,22 +1,12 @@
-"""Keyed event processing on Structured Streaming: duplicate guard, sessions and budgets with buffering."""
+"""Event processing on Structured Streaming: duplicate guard, sessions, and how streams are run and published."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from heron.operators.runtime import START, spend
 from heron.streaming.ordered import PROVIDER, ROCKS
 
-STATE = "energy long, day date, waiting long"
-BUDGET = "user_id long, event_id long, outcome string, energy long, waiting long"
-
-
 def read_events(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """A stream of a folder of Parquet files; event time as a timestamp, which watermarks ask for."""
     schema = spark.read.parquet(folder).schema
@@ -35,25 +25,6 @@ def sessions(stream: DataFrame, key: str = "user_id", gap: str = "30 minutes", l
     return windows.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _budget(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, cost: int, heartbeat_cost: int) -> Iterator[pd.DataFrame]:
-    energy, day, waiting = state.get if state.exists else (START, None, 0)
-    rows = pd.concat([f[["ts", "event_id", "heartbeat"]] for f in frames]).sort_values(["ts", "event_id"])
-    out = []
-    for event_id, ts, beat in zip(rows["event_id"].tolist(), rows["ts"].tolist(), rows["heartbeat"].tolist(), strict=True):
-        (energy, day, waiting), (processed, buffered, _, _) = spend((energy, day, waiting), ts.date(), beat, cost, heartbeat_cost)
-        out.append((int(key[0]), event_id, "processed" if processed else "buffered" if buffered else "dropped", energy, waiting))
-    state.update((energy, day, waiting))
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in BUDGET.split(", ")])
-
-
-def energy_gate(stream: DataFrame, heartbeat: Column, cost: int = 1, heartbeat_cost: int = 5) -> DataFrame:
-    """What becomes of each event of a user against the user's budget, which outlives the batch. Within a batch events
-    go in the order of time; the state is three values a key. A task sorts one user's rows of one micro-batch, so what
-    bounds a batch (read_events' files per trigger) bounds a busy user's frame too."""
-    rows = stream.select("user_id", "event_id", "ts", heartbeat.alias("heartbeat"))
-    return rows.groupBy("user_id").applyInPandasWithState(partial(_budget, cost=cost, heartbeat_cost=heartbeat_cost), BUDGET, STATE, "append", "NoTimeout")
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", timers: bool = False) -> DataFrame:
     """Runs a stream over what there is now and returns its results as a Parquet table in `folder`, which driver and
     executors share; the checkpoint is there too. In append mode the file sink's log makes every batch count once. In

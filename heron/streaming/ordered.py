@@ -1,8 +1,8 @@
 """Keyed processing in the order of event time, whatever micro-batches the rows come in, on transformWithState.
 
-The rows of a key wait in map state, by the hour, until the watermark has passed them; a timer then takes them in the order
-of (time, id). A task holds the rows of a key and an hour, so a busy key bounds nothing by the size of a batch, and the result
-does not depend on how the stream was cut or where it was restarted. Rows behind the watermark are dropped by Spark; the
+The rows of a key wait in map state, by stretches of time, until the watermark has passed them; a timer then takes them in
+the order of (time, id). A task holds the rows of a key and a stretch, whatever a batch brings, and the result does not
+depend on how the stream was cut or where it was restarted. Rows behind the watermark are dropped by Spark; the
 lateness that a stream grants decides how long rows wait.
 
 What goes on by itself between rows (ticks of a heartbeat, alarms) is told by the processor (`until`), which also says when
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from heron.operators.conversation import WINDOW, WINDOW_TOKENS
-from heron.operators.runtime import DAILY, MOST, START
+from heron.operators.runtime import DAILY, MOST, START, spend
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HOUR, MINUTE = 3_600_000_000, 60_000_000
+MINUTE, DAY = 60_000_000, 86_400_000_000
 #: Rows that are put out together.
 STEP = 10_000
+EPOCH = date(1970, 1, 1).toordinal()
 
 
 class InOrder(StatefulProcessor):
@@ -35,6 +37,7 @@ class InOrder(StatefulProcessor):
 
     out = ""
     times: tuple[str, ...] = ()
+    stretch = DAY
 
     def start(self) -> list:
         return []
@@ -56,7 +59,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "hour long", "rows string")
+        self.waiting = handle.getMapState("waiting", "stretch long", "rows string")
         self.value = handle.getValueState("state", "value string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -65,22 +68,23 @@ class InOrder(StatefulProcessor):
             new: dict[int, list] = {}
             for at, *values in zip(*(frame[c].tolist() for c in ("micros", *columns)), strict=True):
                 own = [None if isinstance(x, float) and x != x else int(x) if isinstance(x, float) else x for x in values]
-                new.setdefault(at // HOUR, []).append([at, *own])
-            for hour, more in new.items():
-                held = self.waiting.getValue((hour,))
-                self.waiting.updateValue((hour,), (json.dumps((json.loads(held[0]) if held else []) + more),))
-                self.handle.registerTimer(max(r[0] for r in more) // 1000)
+                new.setdefault(at // self.stretch, []).append([at, *own])
+            for k, more in new.items():
+                held = self.waiting.getValue((k,))
+                self.waiting.updateValue((k,), (json.dumps((json.loads(held[0]) if held else []) + more),))
+            self.handle.registerTimer(min(r[0] for more in new.values() for r in more) // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        hours = sorted(h for (h,) in self.waiting.keys() if h * HOUR <= mark * 1000)
+        due = sorted(k for (k,) in self.waiting.keys() if k * self.stretch <= mark * 1000)
         held = self.value.get()
         state = json.loads(held[0]) if held else self.start()
+        wakes = self.wakes(state) if held else None
         self.load()
         out: list[tuple] = []
-        for hour in hours:
-            rows = json.loads(self.waiting.getValue((hour,))[0])
+        for k in due:
+            rows = json.loads(self.waiting.getValue((k,))[0])
             later = [r for r in rows if r[0] // 1000 > mark]
             for at, *row in sorted((r for r in rows if r[0] // 1000 <= mark), key=lambda r: (r[0], r[1] is not None, r[1])):
                 out += self.until(state, at)
@@ -89,16 +93,16 @@ class InOrder(StatefulProcessor):
                     yield self._frame(key, out)
                     out = []
             if later:
-                self.waiting.updateValue((hour,), (json.dumps(later),))
-                self.handle.registerTimer(max(r[0] for r in later) // 1000)
+                self.waiting.updateValue((k,), (json.dumps(later),))
+                self.handle.registerTimer(min(r[0] for r in later) // 1000)
             else:
-                self.waiting.removeKey((hour,))
+                self.waiting.removeKey((k,))
         out += self.until(state, mark * 1000 + 999)
         self.save()
         self.value.update((json.dumps(state),))
-        wakes = self.wakes(state)
-        if wakes is not None:
-            self.handle.registerTimer(-(-wakes // 1000))
+        again = self.wakes(state)
+        if again is not None and again != wakes:
+            self.handle.registerTimer(-(-again // 1000))
         if out:
             yield self._frame(key, out)
 
@@ -112,12 +116,13 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def in_order(stream: DataFrame, processor: InOrder, keys: dict[str, str], at: str, values: list[Column], lateness: str = "0 seconds") -> DataFrame:
-    """The processor's rows over a stream: `keys` names the key columns and their types, `at` the time (timestamp), and
+def in_order(stream: DataFrame, processor: InOrder, keys: dict[str, str], at: str, values: list[Column], lateness: str = "0 seconds", days: int = 1) -> DataFrame:
+    """The processor's rows over a stream: `keys` names the key columns and their types, `at` the time (timestamp), `days`
+    how long a stretch is whose rows of a key are taken together, and
     `values` what a row is, its id first (numbers, flags or texts). Rows with a null key or time are left out. Run it with
     the state store of ROCKS (run_to_table's `timers`)."""
     schema = ", ".join([*(f"{k} {t}" for k, t in keys.items()), processor.out])
-    processor.key_names = list(keys)
+    processor.key_names, processor.stretch = list(keys), days * DAY
     own = stream.where(" and ".join(f"{c} is not null" for c in [*keys, at]))
     rows = own.select(*keys, F.col(at).alias("at"), F.unix_micros(at).alias("micros"), *[v.alias(f"v_{i}") for i, v in enumerate(values)]).withWatermark("at", lateness)
     told = rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
@@ -200,6 +205,25 @@ def decodes(payload: str | None) -> bool:
         return False
 
 
+class Gate(InOrder):
+    """What becomes of each event, with the buffer as a number only."""
+
+    out = "event_id long, outcome string, energy long, waiting long"
+
+    def __init__(self, cost: int, heartbeat_cost: int):
+        self.cost, self.heartbeat_cost = cost, heartbeat_cost
+
+    def start(self) -> list:
+        return [START, None, 0]  # energy, day, waiting
+
+    def take(self, state: list, at: int, row: list) -> list[tuple]:
+        event_id, heartbeat, day = row
+        before = (state[0], None if state[1] is None else date.fromordinal(state[1] + EPOCH), state[2])
+        (energy, last, waiting), (processed, buffered, _, _) = spend(before, date.fromordinal(day + EPOCH), heartbeat, self.cost, self.heartbeat_cost)
+        state[:] = [energy, last.toordinal() - EPOCH, waiting]
+        return [(event_id, "processed" if processed else "buffered" if buffered else "dropped", energy, waiting)]
+
+
 class Heartbeat(InOrder):
     """Ticks that set their successor: `base` minutes after an external event, then by the backoff of the ticks since it;
     an external event resets them, also one at the very time of a tick."""
@@ -313,26 +337,31 @@ class Windows(InOrder):
         return [(seen, seen - n + 1, n, used, seen - n)]
 
 
-def budget_stream(events: DataFrame, heartbeat: Column, payload: Column, cost: int = 1, heartbeat_cost: int = 5, lateness: str = "0 seconds") -> DataFrame:
+def budget_stream(events: DataFrame, heartbeat: Column, payload: Column, cost: int = 1, heartbeat_cost: int = 5, **when) -> DataFrame:
     """events (user_id, event_id, ts): user_id, event_id, outcome (processed, buffered, dropped; replayed and deleted, with
     by_event), energy, waiting and sleep_since after it."""
-    return in_order(events, Budget(cost, heartbeat_cost), {"user_id": "long"}, "ts", [F.col("event_id").cast("long"), heartbeat, payload, F.unix_date(F.to_date("ts"))], lateness)
+    return in_order(events, Budget(cost, heartbeat_cost), {"user_id": "long"}, "ts", [F.col("event_id").cast("long"), heartbeat, payload, F.unix_date(F.to_date("ts"))], **when)
+
+
+def energy_gate(events: DataFrame, heartbeat: Column, cost: int = 1, heartbeat_cost: int = 5, **when) -> DataFrame:
+    """events (user_id, event_id, ts): user_id, event_id, outcome, energy and waiting after it."""
+    return in_order(events, Gate(cost, heartbeat_cost), {"user_id": "long"}, "ts", [F.col("event_id").cast("long"), heartbeat, F.unix_date(F.to_date("ts"))], **when)
 
 
-def heartbeat_stream(events: DataFrame, lateness: str = "0 seconds", **how) -> DataFrame:
+def heartbeat_stream(events: DataFrame, processor: Heartbeat | None = None, **when) -> DataFrame:
     """events (user_id, event_id, ts) are external ones: user_id, tick_at, idle, and the minutes to the tick behind it."""
-    return in_order(events, Heartbeat(**how), {"user_id": "long"}, "ts", [F.col("event_id").cast("long")], lateness)
+    return in_order(events, processor or Heartbeat(), {"user_id": "long"}, "ts", [F.col("event_id").cast("long")], **when)
 
 
-def alarm_stream(changes: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+def alarm_stream(changes: DataFrame, **when) -> DataFrame:
     """changes (person_id, shard, changed_at, alarm_id, trigger_at, status; 0: pending): person_id, shard, alarm_id,
     trigger_at, fired_at. A person of very many alarms is dealt into shards by a hash of the alarm; a row without an alarm
     only moves time on."""
     trigger = F.unix_micros(F.col("trigger_at").cast("timestamp"))
-    return in_order(changes, Alarms(), {"person_id": "long", "shard": "int"}, "changed_at", [F.col("alarm_id").cast("long"), trigger, F.col("status").cast("int")], lateness)
+    return in_order(changes, Alarms(), {"person_id": "long", "shard": "int"}, "changed_at", [F.col("alarm_id").cast("long"), trigger, F.col("status").cast("int")], **when)
 
 
-def window_stream(messages: DataFrame, tokens: Column, lateness: str = "0 seconds", **how) -> DataFrame:
+def window_stream(messages: DataFrame, tokens: Column, window: int = WINDOW, most_tokens: int = WINDOW_TOKENS, **when) -> DataFrame:
     """messages (conv_id, message_id, created_at): conv_id, version, first_seq, n_messages, tokens, base of each window that
     has closed."""
-    return in_order(messages, Windows(**how), {"conv_id": "long"}, "created_at", [F.col("message_id").cast("long"), F.coalesce(tokens, F.lit(0)).cast("long")], lateness)
+    return in_order(messages, Windows(window, most_tokens), {"conv_id": "long"}, "created_at", [F.col("message_id").cast("long"), F.coalesce(tokens, F.lit(0)).cast("long")], **when)
