@@ -23,10 +23,15 @@ def tagged_payload(tag: Column, value: Column) -> Column:
 
 def payload_of(json: Column, tag: str, schema: str) -> Column:
     """The data of a payload of this type; null for another type, and where it cannot be decoded."""
-    p = F.from_json(json, f"type string, data {schema}")
+    p = payload(json, schema)
     return F.when(p["type"] == tag, p["data"])
 
 
+def payload(json: Column, schema: str) -> Column:
+    """type and data of a payload, parsed once where several types share a schema; null where it cannot be decoded."""
+    return F.from_json(json, f"type string, data {schema}")
+
+
 def day_relative(at: Column, now: Column, yesterday: str = "Yesterday") -> Column:
     """The time for today's, Yesterday and the time for the day before, else date and time."""
     time = F.date_format(at, "HH:mm:ss")

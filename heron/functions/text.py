@@ -51,6 +51,15 @@ def limit_output(text: Column, most_bytes: int = 51200, notice: str = "output to
     return F.when(F.octet_length(text) > most_bytes, F.lit(notice)).otherwise(text)
 
 
+#: White space by Unicode's property.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends; F.trim takes blanks only."""
+    return F.btrim(text, F.lit(SPACE))
+
+
 def shortened(text: Column, most: int) -> Column:
     """Titles (15) and snippets (200): the first characters and three dots where more follows."""
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
@@ -127,10 +136,12 @@ def rendered_note(at: Column, kind: Column, content: Column, references: Column,
 
 
 def trimmed_notes(text: Column, most: int, notice: str = "[older notes left out]\n\n") -> Column:
-    """The last `most` characters of rendered notes, from the first heading among them if there is one."""
-    cut = F.right(text, F.lit(most))
-    at = F.instr(cut, "\n## [")
-    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.lit(notice), F.when(at > 0, F.right(cut, F.char_length(cut) - at)).otherwise(cut)))
+    """The last `most` bytes of rendered notes, from the first heading among them if there is one; what is left of a parted
+    character becomes a replacement character."""
+    cut = F.substring(text.cast("binary"), F.octet_length(text) - most + 1, F.lit(most))
+    at = F.instr(F.decode(cut, "ISO-8859-1"), "\n## [")
+    kept = F.make_valid_utf8(F.when(at > 0, F.substring(cut, at + 1, F.lit(most))).otherwise(cut).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.lit(notice), kept))
 
 
 def lines_page(text: Column, offset: int = 1, limit: int = 200, most: int = 500, most_bytes: int = 10 << 20) -> tuple[Column, Column, Column]:

@@ -123,7 +123,7 @@ class ClusteredVectors:
         self.spark, self.path = spark, path.rstrip("/")
         rows = spark.read.parquet(f"{self.path}/clusters").orderBy("cluster").collect()  # a row a cluster, MOST at most
         self.number = [r.cluster for r in rows]
-        self.centres = np.array([r.centre for r in rows], float).reshape(len(rows), -1)
+        self.centres = np.array([r.centre for r in rows], float) if rows else np.zeros((0, 0))
         self.reach = np.array([r.reach for r in rows], float)
 
     @classmethod

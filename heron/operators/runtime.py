@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heron.functions.text import shortened
+from heron.functions.text import shortened, trimmed
 from heron.operators.folds import ordered_fold
 from heron.operators.relational import last_n, with_names
 
@@ -150,12 +150,13 @@ def action_error(heartbeat: Column, private: Column, target_type: Column, prefix
     none = lambda name: F.coalesce(c(name), F.lit(0)) == 0
     kind = lambda k: c("type") == k
     target = F.coalesce(c("delivery_target"), F.lit(""))
+    work = F.coalesce(c("work_type"), F.lit(0))  # a missing one is neither chat nor task, and judged
     told = F.when(blank("guidance"), "no guidance").when(blank("reason"), "no reason").when(target_type.isNull(), "no such work")
     route = F.when(heartbeat, "not on a heartbeat").otherwise(F.coalesce(told, F.when(target_type != TASK, "not a task")))
     cancel = F.when(heartbeat, "not on a heartbeat").otherwise(told)
     reply = F.when(heartbeat, "no session to reply in").when(~private, "no private message")
     sent = F.when(target.isin("", "reply"), reply).when(target == "send_to_session", F.when(none("session_id"), "no session")).when(target == "create_and_send", F.when(none("recipient_id"), "no recipient")).otherwise(F.lit("unknown target"))
-    create = F.when(blank("guidance"), "no guidance").when(heartbeat & (c("work_type") != CHAT), "chat only on a heartbeat").when(c("work_type") != TASK, sent)
+    create = F.when(blank("guidance"), "no guidance").when(heartbeat & (work != CHAT), "chat only on a heartbeat").when(work != TASK, sent)
     alarm = F.when(blank("trigger_at"), "no time").when(blank("message"), "no message").when((c("alarm_action") == "send_message") & blank("alarm_content"), "no content")
     return F.when(kind("route"), route).when(kind("create"), create).when(kind("cancel"), cancel).when(kind("create_alarm"), alarm).otherwise(F.lit("unknown type"))
 
@@ -210,7 +211,7 @@ def activity_rows(interactions: DataFrame, works: DataFrame, arguments: dict[str
             label = F.when(x["function"]["name"] == tool, first_argument(x["function"]["arguments"], keys)).otherwise(label)
         return row("tool_call", x["function"]["name"], label)
 
-    thought = F.when(F.col("j.content") != "", F.array(row("thinking", none, F.trim("j.content"))))
+    thought = F.when(F.col("j.content") != "", F.array(row("thinking", none, trimmed(F.col("j.content")))))
     response = F.concat(F.coalesce(thought, empty), F.coalesce(F.transform("j.tool_calls", call), empty))
     guidance = F.array(row("guidance", none, F.coalesce(F.get_json_object("data", "$.guidance"), F.lit(""))))
     out = F.when(F.col("kind") == RESPONSE, response).when(F.col("kind") == GUIDANCE, guidance).otherwise(empty)

@@ -41,7 +41,7 @@ def history_search_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @PLANS.query(
     f"""WITH {_MESSAGES}, d AS (SELECT *, turn % 3 = 0 AS pending FROM messages)
-    SELECT 'message' AS of, message_id AS id, left(text, 10) AS text FROM d WHERE pending UNION ALL SELECT 'draft', message_id, CASE WHEN pending THEN '1' ELSE '-1' END FROM d
+    SELECT 'message' AS of, message_id AS id, md5(text) AS text FROM d WHERE pending UNION ALL SELECT 'draft', message_id, CASE WHEN pending THEN '1' ELSE '-1' END FROM d
     UNION ALL SELECT 'cursor', conv_id * 10 + person_id, CAST(greatest(conv_id * 1000 + 2, coalesce(max(message_id) FILTER (WHERE pending), 0)) AS VARCHAR) FROM d GROUP BY conv_id, person_id
     UNION ALL SELECT 'title', conv_id, CASE WHEN conv_id % 2 = 0 THEN 'kept' ELSE coalesce((SELECT CASE WHEN length(text) > 15 THEN left(text, 15) || '...' ELSE text END FROM d x WHERE x.conv_id = c.conv_id AND pending ORDER BY message_id LIMIT 1), '') END FROM (SELECT DISTINCT conv_id FROM d) c"""
 )
@@ -56,7 +56,7 @@ def drafts_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.publish(spark, conversation.commit_drafts(drafts, participants, sessions), root)
     got = files.published(spark, root)
     row = lambda t, name, i, text: got[t].select(F.lit(name).alias("of"), i.cast("long").alias("id"), text.cast("string").alias("text"))
-    out = row("messages", "message", F.col("message_id"), F.substring("content", 1, 10)).unionByName(row("drafts", "draft", F.col("draft_id"), F.col("status")))
+    out = row("messages", "message", F.col("message_id"), F.md5("content")).unionByName(row("drafts", "draft", F.col("draft_id"), F.col("status")))
     return out.unionByName(row("participants", "cursor", F.col("session_id") * 10 + F.col("person_id"), F.col("last_read"))).unionByName(row("sessions", "title", F.col("session_id"), F.col("title")))
 
 

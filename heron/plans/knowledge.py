@@ -243,6 +243,33 @@ SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS n_to
 )
 
 
+@PLANS.query(
+    "WITH RECURSIVE "
+    + _PARTS.format(size=100, least=20).replace("string_agg(content, chr(10) ORDER BY p)", "string_agg(content, chr(10) || chr(10) ORDER BY p)")
+    + """
+SELECT doc_id, CAST(CASE WHEN s.last IS NOT NULL AND chunk = s.last THEN chunk - 1 ELSE chunk END AS INTEGER) AS chunk_index, CAST(2 * sum(n) AS INTEGER) AS n_tokens,
+  md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk)) AS content_md5, CAST(min(end_offset - strlen(content)) AS INTEGER) AS start_offset, CAST(max(end_offset) AS INTEGER) AS end_offset
+FROM placed LEFT JOIN small s USING (doc_id) GROUP BY ALL"""
+)
+def chunk_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs between blank lines, counted by a tokenizer that is given: each word has two tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n \n")).alias("text"))
+    chunks = chunking.chunk_documents(docs, size=200, overlap=0, least=40, count=lambda texts: [2 * len(t.split()) for t in texts])
+    return chunks.select("doc_id", "chunk_index", "n_tokens", F.md5("content").alias("content_md5"), "start_offset", "end_offset")
+
+
+@PLANS.query(
+    f"""SELECT vec_id, 4 * len(embedding)::INTEGER AS n_bytes, {_DIGEST.format(v="embedding")} AS vector_md5,
+      round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings"""
+)
+def vector_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as blobs and back, with their cosine distance from the first."""
+    v = table(spark, sf_dir, "embeddings")
+    blobs = search.encode_blobs(v.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    back = search.decode_blobs(blobs).join(blobs.select("chunk_id", F.octet_length("blob").alias("n_bytes")), "chunk_id")
+    return back.select(F.col("chunk_id").alias("vec_id"), "n_bytes", _digest(F.col("embedding")).alias("vector_md5"), F.round(V.cosine_distance("embedding", vector_of(v, 0)), 6).alias("distance"))
+
+
 @PLANS.query(_OVERLAP)
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An overlap of 30 words moves the starts, but not behind the pieces of a line that was cut by its words."""

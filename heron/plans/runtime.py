@@ -100,12 +100,13 @@ def note_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT source, doc_id FROM (SELECT *, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS i FROM documents)
-    WHERE used <= 20000 OR i = 1"""
+    """SELECT conv_id, turn FROM (SELECT *, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations)
+    WHERE used <= 500 OR i = 1"""
 )
 def note_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
-    return runtime.trim_notes(d, "source", ["doc_id"], F.col("size"), 20000).select("source", "doc_id")
+    """Messages as notes of their conversation."""
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"))
+    return runtime.trim_notes(d, "conv_id", ["turn"], F.col("size"), 500).select("conv_id", "turn")
 
 
 @PLANS.query(
@@ -129,7 +130,7 @@ def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.query(
     """WITH a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'route' WHEN 1 THEN 'create' WHEN 2 THEN 'cancel' WHEN 3 THEN 'create_alarm' ELSE 'other' END AS type,
       event_type = 'error' AS beat, CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS et, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'do' END AS guidance, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'why' END AS reason,
-      CAST(1 + user_id % 2 AS INTEGER) AS work_type, CASE event_id // 5 % 5 WHEN 0 THEN NULL WHEN 1 THEN 'reply' WHEN 2 THEN 'send_to_session' WHEN 3 THEN 'create_and_send' ELSE 'x' END AS target, event_id % 3 AS session, event_id % 4 AS recipient,
+      CASE WHEN event_id % 19 > 0 THEN CAST(1 + user_id % 2 AS INTEGER) ELSE 0 END AS work_type, CASE event_id // 5 % 5 WHEN 0 THEN NULL WHEN 1 THEN 'reply' WHEN 2 THEN 'send_to_session' WHEN 3 THEN 'create_and_send' ELSE 'x' END AS target, event_id % 3 AS session, event_id % 4 AS recipient,
       event_id % 13 > 0 AS timed, event_id % 17 > 0 AS said, event_id % 2 = 0 AS sends, event_id % 9 > 0 AS filled, user_id AS in_session, event_id // 5 % 40 AS target_work_id FROM events),
     w AS (SELECT DISTINCT user_id AS session_id, (event_id // 5) % 40 AS work_id FROM events WHERE event_id % 3 > 0),
     j AS (SELECT a.*, CASE WHEN w.work_id IS NULL THEN NULL WHEN w.work_id % 2 = 0 THEN 2 ELSE 1 END AS tt FROM a LEFT JOIN w ON w.session_id = a.in_session AND w.work_id = a.target_work_id)
@@ -143,7 +144,7 @@ def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
       ELSE 'unknown type' END AS error FROM j"""
 )
 def action_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An action of each event, with fields by its number."""
+    """An action of each event, with fields by its number; some have no kind of work."""
     e = table(spark, sf_dir, "events")
     i, n = F.col("event_id"), F.floor(F.col("event_id") / 5)
     pick = lambda x, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (x + 1).cast("int"))
@@ -154,7 +155,7 @@ def action_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, 0).otherwise(1).alias("event_type"),
         F.when(i % 7 == 0, "").otherwise("do").alias("guidance"),
         F.when(i % 11 != 0, "why").alias("reason"),
-        (F.col("user_id") % 2 + 1).cast("int").alias("work_type"),
+        F.when(i % 19 > 0, (F.col("user_id") % 2 + 1).cast("int")).alias("work_type"),
         F.when(n % 5 != 0, pick(n % 5, "", "reply", "send_to_session", "create_and_send", "x")).alias("delivery_target"),
         (i % 3).alias("session_id"),
         (i % 4).alias("recipient_id"),
@@ -202,7 +203,7 @@ def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(i % 2 == 0, F.concat(F.lit("f"), text)).otherwise(F.lit(""))
     call = lambda name, *args: F.struct(F.struct(F.lit(name).alias("name"), F.to_json(F.struct(*args)).alias("arguments")).alias("function"))
     calls = F.array(call("read", F.concat(F.lit("q"), text).alias("query"), path.alias("path")), call("other", path.alias("path"), F.lit("z").alias("query")))
-    thought = F.when(F.col("event_type") != "view", F.col("event_type")).otherwise(F.lit(""))
+    thought = F.when(F.col("event_type") != "view", F.concat(F.lit("\n\u2003"), "event_type", F.lit("\t\n"))).otherwise(F.lit(""))
     data = F.when(i % 3 == 1, F.to_json(F.struct(thought.alias("content"), calls.alias("tool_calls")))).otherwise(F.to_json(F.struct(F.concat(F.lit("go "), "event_type").alias("guidance"))))
     interactions = e.select(i.alias("interaction_id"), F.col("user_id").alias("work_id"), (i % 3 + 1).alias("kind"), data.alias("data"), F.col("ts").alias("created_at"))
     works = e.select(F.col("user_id").alias("work_id"), F.col("user_id").alias("session_id"), F.when(F.col("user_id") % 3 > 0, 2).otherwise(1).alias("work_type")).distinct()

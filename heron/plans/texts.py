@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
 from heron.functions import text as T
-from heron.operators import library
-from heron.plans.base import Plans, at, table
+from heron.operators import library, runtime
+from heron.plans.base import Plans, at, shared_root, table
+from heron.sources import files, notes
 
 PLANS = Plans()
 
@@ -83,8 +86,9 @@ def payload_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"))
     raw = S.tagged_payload(F.col("event_type"), data)
     rows = e.select("event_id", F.explode(F.array(raw, F.replace(raw, F.lit("k"), F.lit('k"')), F.lit("{"))).alias("raw"))
-    both = F.coalesce(*[F.when(S.payload_of(F.col("raw"), t, "struct<k: bigint>").isNotNull(), F.struct(F.lit(t).alias("type"), S.payload_of(F.col("raw"), t, "struct<k: bigint>").alias("data"))) for t in ("view", "click")])
-    return rows.select("event_id", both.alias("p")).where("p.data.k is not null").select("event_id", "p.type", "p.data.k")
+    # An array of the one payload: what is asked of it afterwards is asked of what was parsed.
+    parsed = rows.select("event_id", F.explode_outer(F.array(S.payload(F.col("raw"), "struct<k: bigint>"))).alias("p"))
+    return parsed.where("p.type in ('view', 'click') and p.data.k is not null").select("event_id", "p.type", "p.data.k")
 
 
 @PLANS.query("SELECT event_id, unnest([event_id, user_id]) AS id FROM events")
@@ -151,26 +155,29 @@ def copy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.query(
-    """SELECT doc_id, source || ' ' || doc_id AS name, CASE WHEN doc_id % 4 = 0 THEN lang WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN lang || chr(10) || 'and more' || chr(10) ELSE NULL END AS description,
-    CASE WHEN doc_id % 4 < 3 THEN md5(text) END AS body_md5 FROM documents WHERE doc_id % 4 < 3 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 4 = 3"""
+    """SELECT doc_id, source || ' ' || doc_id AS name, CASE doc_id % 8 WHEN 0 THEN lang WHEN 2 THEN lang || chr(10) || 'and more' || chr(10) ELSE '' END AS description, md5(text) AS body_md5
+    FROM documents WHERE doc_id % 8 IN (0, 1, 2, 6, 7) UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE doc_id % 8 IN (3, 4, 5)"""
 )
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document behind a front matter: with a comment, without a description, with one in a block of lines, and
-    one that is no YAML."""
-    n = F.col("doc_id") % 4
+    """Every document behind a front matter: with a comment, without a description, with one in a block of lines, three that
+    are no YAML (a bracket, a mapping within a value, a key twice), one that is null, and a key with a colon in it."""
+    n = F.col("doc_id") % 8
     name = F.concat(F.lit('---\r\nname: "'), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit('"\n'))
-    more = F.when(n == 0, F.concat(F.lit("description: "), "lang", F.lit(" # a note\n"))).when(n == 1, F.lit("tags:\n- x\n")).when(n == 2, F.concat(F.lit("description: |\n  "), "lang", F.lit("\n  and more\n"))).otherwise(F.lit("other: [\n"))
+    more = F.when(n == 0, F.concat(F.lit("description: "), "lang", F.lit(" # a note\n"))).when(n == 1, F.lit("tags:\n- x\n")).when(n == 2, F.concat(F.lit("description: |\n  "), "lang", F.lit("\n  and more\n"))).when(n == 3, "other: [\n")
+    more = more.when(n == 4, "description: key: value\n").when(n == 5, "description: a\ndescription: b\n").when(n == 6, "description: ~\n").otherwise("my:key: a#b\n")
     raw = table(spark, sf_dir, "documents").select("doc_id", F.concat(name, more, F.lit("---\n\n"), "text").alias("raw"))
     return library.front_matter(raw).select("doc_id", "name", "description", F.md5("body").alias("body_md5"))
 
 
 @PLANS.query(
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doc ' || doc_id ELSE left(text, 100) END AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS description, md5(text) AS body_md5 FROM documents"""
+    """WITH i AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doc ' || doc_id ELSE left(text, 100) END AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS description, md5(text) AS body_md5 FROM documents)
+    SELECT * FROM i UNION ALL SELECT * FROM i WHERE doc_id % 10 = 0 UNION ALL SELECT NULL, title, description, body_md5 FROM i WHERE doc_id % 10 = 1"""
 )
 def library_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second document has a front matter."""
+    """Every second document has a front matter; some come twice, and some without an id too."""
     front = F.concat(F.lit("---\nname: doc "), F.col("doc_id").cast("string"), F.lit("\ndescription: "), "lang", F.lit("\n---\n\n"), "text")
     raw = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, front).otherwise(F.col("text")).alias("raw"))
+    raw = raw.unionByName(raw.where("doc_id % 10 = 0")).unionByName(raw.where("doc_id % 10 = 1").withColumn("doc_id", F.lit(None).cast("long")))
     return library.ingested(raw).select("doc_id", "title", "description", F.md5("body").alias("body_md5"))
 
 
@@ -189,47 +196,105 @@ def library_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'new' ELSE 'old' END AS title, md5(CASE WHEN item_id % 4 = 0 THEN text || '!' ELSE text END) AS description_md5, item_id % 4 = 0 AS embedded FROM benchmark"""
 )
 def library_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second item is updated by its owner, every fourth with another description; one update names a wrong owner."""
+    """Every second item is updated by its owner, every fourth with another description; one update names a wrong owner. Each
+    update follows an older one."""
     b = table(spark, sf_dir, "benchmark")
     items = b.select("item_id", F.lit(1).alias("owner"), F.lit("old").alias("title"), F.col("text").alias("description"))
     text = F.when(F.col("item_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     updates = b.select("item_id", F.when(F.col("item_id") % 2 == 0, 1).otherwise(2).alias("owner"), F.lit("new").alias("title"), text.alias("description"))
-    out, stale = library.updated(items, updates, ["title", "description"])
+    older = updates.withColumn("title", F.lit("older")).withColumn("description", F.lit("older"))
+    both = older.withColumn("place", F.lit(1)).unionByName(updates.withColumn("place", F.lit(2)))
+    out, stale = library.updated(items, both, ["title", "description"], order=["place"])
     marked = stale.select("item_id", F.lit(True).alias("embedded"))
     return out.join(marked, "item_id", "left").select("item_id", "title", F.md5("description").alias("description_md5"), F.coalesce("embedded", F.lit(False)).alias("embedded"))
 
 
 @PLANS.query(
-    """SELECT o_orderkey AS delivery_id, CASE WHEN count(*) FILTER (WHERE l_partkey % 10 = 0) = 0 THEN '[' || string_agg('"f' || l_partkey || '"', ',' ORDER BY l_linenumber, 'f' || l_partkey) || ']' END AS paths,
-      CASE WHEN count(*) FILTER (WHERE l_partkey % 10 = 0) > 0 THEN count(*) FILTER (WHERE l_partkey % 10 = 0) || ' missing' END AS error, TIMESTAMP '2024-01-01 00:00:00' AS created_at
+    """SELECT o_orderkey AS delivery_id, CASE WHEN o_orderkey % 20 > 0 AND count(*) FILTER (WHERE l_partkey % 10 = 0) = 0 THEN '[' || string_agg('"f' || l_partkey || '"', ',' ORDER BY l_linenumber, 'f' || l_partkey) || ']' END AS paths,
+      CASE WHEN o_orderkey % 20 = 0 THEN 'no paths' WHEN count(*) FILTER (WHERE l_partkey % 10 = 0) > 0 THEN count(*) FILTER (WHERE l_partkey % 10 = 0) || ' missing' END AS error, TIMESTAMP '2024-01-01 00:00:00' AS created_at
     FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
 )
 def delivery_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order delivers its parts; every tenth part has no file."""
+    """An order delivers its parts; every tenth part has no file, and every twentieth order names none, or null."""
     path = F.concat(F.lit("f"), F.col("l_partkey").cast("string"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("delivery_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", path.alias("p")))), lambda x: x["p"]).alias("paths"))
-    asked = lines.select("delivery_id", F.lit(1).alias("sender"), F.lit(2).alias("receiver"), F.lit(3).alias("session_id"), "paths")
-    files = table(spark, sf_dir, "part").where("p_partkey % 10 > 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"))
-    return library.deliveries(asked, files, at("2024-01-01 00:00:00")).select("delivery_id", "paths", "error", "created_at")
+    named = F.col("delivery_id") % 20 > 0
+    paths = F.when(named, F.col("paths")).when(F.col("delivery_id") % 40 == 0, F.array().cast("array<string>"))
+    asked = lines.select("delivery_id", F.lit(1).alias("sender"), F.lit(2).alias("receiver"), F.lit(3).alias("session_id"), paths.alias("paths"))
+    stored = table(spark, sf_dir, "part").where("p_partkey % 10 > 0").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("path"))
+    return library.deliveries(asked, stored, at("2024-01-01 00:00:00")).select("delivery_id", "paths", "error", "created_at")
+
+
+_NOTE = """'## [' || turn || '] ' || role || chr(10) || chr(10) || text || chr(10) || CASE WHEN conv_id % 3 > 0 THEN chr(10) || 'References:' || chr(10) || '- ' || role || chr(10) || CASE WHEN conv_id % 3 > 1 THEN '- b' || chr(10) ELSE '' END ELSE '' END
+    || CASE WHEN turn % 5 = 0 THEN chr(10) || 'Conflicts with: x' || chr(10) ELSE '' END"""
 
 
-_NOTE = """'## [' || doc_id || '] ' || lang || chr(10) || chr(10) || left(text, 80) || chr(10) || CASE WHEN doc_id % 3 > 0 THEN chr(10) || 'References:' || chr(10) || '- ' || source || chr(10) || CASE WHEN doc_id % 3 > 1 THEN '- b' || chr(10) ELSE '' END ELSE '' END
-    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Conflicts with: x' || chr(10) ELSE '' END"""
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as a note of its conversation, whole."""
+    n = F.col("conv_id") % 3
+    refs = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("role")).otherwise(F.array(F.col("role"), F.lit("b")))
+    note = T.rendered_note(F.col("turn").cast("string"), F.col("role"), F.col("text"), refs, F.when(F.col("turn") % 5 == 0, "x").otherwise(""))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", note.alias("note"))
 
 
 @PLANS.query(
-    f"""WITH n AS (SELECT lang, string_agg({_NOTE}, chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL GROUP BY lang),
-    c AS (SELECT lang, t, right(t, 1000) AS r FROM n)
-    SELECT lang, md5(t) AS all_md5, md5(CASE WHEN length(t) <= 1000 THEN t ELSE '[older notes left out]' || chr(10) || chr(10) || CASE WHEN strpos(r, chr(10) || '## [') > 0 THEN right(r, length(r) - strpos(r, chr(10) || '## [')) ELSE r END END) AS trimmed_md5 FROM c"""
+    f"""WITH n AS (SELECT conv_id, turn, {_NOTE} AS note FROM conversations WHERE text IS NOT NULL),
+    t AS (SELECT conv_id, string_agg(note, chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS t FROM n GROUP BY conv_id),
+    s AS (SELECT conv_id, turn, string_agg(note, chr(10) || '---' || chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM n),
+    f AS (SELECT conv_id, max(rest) FILTER (WHERE strlen(rest) < 400 AND i > 1) AS any_rest, arg_max(rest, strlen(rest)) FILTER (WHERE strlen(rest) < 400 AND i > 1) AS longest FROM s GROUP BY conv_id)
+    SELECT conv_id, md5(t) AS all_md5, CASE WHEN strlen(t) <= 400 THEN md5(t) WHEN longest IS NOT NULL THEN md5('[older notes left out]' || chr(10) || chr(10) || longest) END AS trimmed_md5 FROM t LEFT JOIN f USING (conv_id)"""
 )
 def notes_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as notes of their language."""
-    n = F.col("doc_id") % 3
-    refs = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array("source")).otherwise(F.array(F.col("source"), F.lit("b")))
-    note = T.rendered_note(F.col("doc_id").cast("string"), F.col("lang"), F.substring("text", 1, 80), refs, F.when(F.col("doc_id") % 5 == 0, "x").otherwise(""))
-    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", note.alias("note"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "note"))), lambda x: x["note"]), "\n---\n\n")
-    return rows.groupBy("lang").agg(text.alias("t")).select("lang", F.md5("t").alias("all_md5"), F.md5(T.trimmed_notes(F.col("t"), 1000)).alias("trimmed_md5"))
+    """The notes of each conversation, and what 400 bytes keep of them (told where a heading lies within)."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "note"))), lambda x: x["note"]), "\n---\n\n")
+    t = _notes(spark, sf_dir).groupBy("conv_id").agg(text.alias("t"))
+    cut = T.trimmed_notes(F.col("t"), 400)
+    whole = (F.octet_length("t") <= 400) | F.startswith(cut, F.lit("[older notes left out]\n\n## ["))
+    return t.select("conv_id", F.md5("t").alias("all_md5"), F.when(whole, F.md5(cut)).alias("trimmed_md5"))
+
+
+@PLANS.query(
+    f"""WITH n AS (SELECT conv_id, turn, {_NOTE} AS note FROM conversations WHERE text IS NOT NULL),
+    k AS (SELECT conv_id, turn, note FROM (SELECT *, sum(strlen(note)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM n) WHERE used <= 400 OR i = 1)
+    SELECT conv_id, turn, md5(note) AS note_md5 FROM k UNION ALL SELECT conv_id, 99, md5('late') FROM (SELECT DISTINCT conv_id FROM n) UNION ALL SELECT NULL, NULL, md5('no note')"""
+)
+def notes_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes as JSON lines, rewritten with those that fit into 400 bytes from the newest on; then one is appended to each
+    conversation, and a line that is no note."""
+    root = f"{shared_root(spark)}/notes-{uuid.uuid4().hex}"
+    book, schema = notes.Notes(spark, root), "conv_id long, turn long, note string"
+    book.append(_notes(spark, sf_dir))
+    kept = runtime.trim_notes(book.read(schema)[0], "conv_id", ["turn"], F.octet_length("note"), 400)
+    book.rewrite(kept)
+    book.append(kept.select("conv_id").distinct().select("conv_id", F.lit(99).cast("long").alias("turn"), F.lit("late").alias("note")))
+    spark.range(1).select(F.lit("no note").alias("value")).write.mode("append").text(book._folder(book.version()))
+    good, bad = book.read(schema)
+    return good.unionByName(bad.select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("value").alias("note"))).select("conv_id", "turn", F.md5("note").alias("note_md5"))
+
+
+@PLANS.query(
+    """SELECT item_id, CASE WHEN item_id % 4 < 2 THEN md5(text) END AS text_md5, CASE item_id % 4 WHEN 2 THEN 'no text' WHEN 3 THEN 'unsupported: csv' END AS error FROM benchmark"""
+)
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files, one each: half of them .txt, some blank, and some of a kind that is no text."""
+    folder = f"{shared_root(spark)}/texts-{uuid.uuid4().hex}"
+    b = table(spark, sf_dir, "benchmark")
+    b.where("item_id % 4 < 3").select("item_id", F.when(F.col("item_id") % 4 == 2, F.lit(" ")).otherwise(F.col("text")).alias("text")).write.partitionBy("item_id").text(f"{folder}/plain")
+    b.where("item_id % 4 = 3").write.partitionBy("item_id").csv(f"{folder}/other")
+    found = files.read_texts(spark, folder).withColumn("item_id", F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long"))
+    return found.select("item_id", F.when(F.col("error").isNull(), F.md5(F.regexp_replace("text", r"\n\z", ""))).alias("text_md5"), "error")
+
+
+@PLANS.query("SELECT doc_id, doc_id % 5 = 0 OR doc_id % 3 = 1 AS is_binary FROM documents")
+def binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of documents: every fifth has the name of an image, every third a NUL in front, and one of three has one far
+    behind, which isn't looked for."""
+    i = F.col("doc_id")
+    nul, far = F.lit(bytearray(1)), F.lit(b"x" * 600)
+    text = F.col("text").cast("binary")
+    content = F.when(i % 3 == 1, F.concat(nul, text)).when(i % 3 == 2, F.concat(far, nul, text)).otherwise(text)
+    path = F.concat(F.lit("/a/b"), i.cast("string"), F.when(i % 5 == 0, ".PNG").otherwise(".txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), path.alias("path")).select("doc_id", files.is_binary().alias("is_binary"))
 
 
 @PLANS.query(

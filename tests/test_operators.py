@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import plain_chunks
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from heron.operators import vectors as search
 from heron.sources import files
 
 
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -22,40 +24,80 @@ def rows(df):
 
 
 def test_blank_text_has_no_chunk():
-    assert chunking.pack(chunking.paragraphs("\n \n\n")) == []
+    assert plain_chunks.pack(plain_chunks.paragraphs("\n \n\n")) == []
 
 
 def test_paragraphs_end_at_blank_lines():
-    assert chunking.paragraphs("a\nb\n \t\nc") == ["a\nb", "c"]
+    assert plain_chunks.paragraphs("a\nb\n \t\nc") == ["a\nb", "c"]
 
 
 def test_large_paragraph_is_cut_by_words():
-    got = chunking.pack([" ".join(f"w{i}" for i in range(15))], size=7, overlap=0, least=1)
+    got = plain_chunks.pack([" ".join(f"w{i}" for i in range(15))], size=7, overlap=0, least=1)
     assert [n for _, n, _, _ in got] == [7, 7, 1]
 
 
 def test_small_tail_joins_the_one_before():
-    got = chunking.pack(["a b c", "d e f", "g"], size=3, overlap=0, least=2)
+    got = plain_chunks.pack(["a b c", "d e f", "g"], size=3, overlap=0, least=2)
     assert [c for c, *_ in got] == ["a b c", "d e f\n\ng"]
 
 
 def test_overlap_moves_the_start_only():
-    got = chunking.pack(["a b", "c d", "e f"], size=4, overlap=2, least=1)
+    got = plain_chunks.pack(["a b", "c d", "e f"], size=4, overlap=2, least=1)
     assert [c for c, *_ in got] == ["a b\n\nc d", "e f"]
     assert got[1][2] == got[0][3] - len("c d") - 2
     assert [s for *_, s, _ in got] == sorted(s for *_, s, _ in got)
 
 
 def test_the_next_chunk_starts_behind_the_pieces_of_a_large_paragraph():
-    got = chunking.pack(["a b c d e f", "g h"], size=4, overlap=3, least=1)
+    got = plain_chunks.pack(["a b c d e f", "g h"], size=4, overlap=3, least=1)
     assert [(c, s, e) for c, _, s, e in got] == [("a b c d", 0, 7), ("e f", 7, 10), ("g h", 10, 13)]
 
 
 def test_a_part_within_the_overlap_moves_the_start_back():
-    got = chunking.pack(["a b", "c d e f"], size=4, overlap=2, least=1)
+    got = plain_chunks.pack(["a b", "c d e f"], size=4, overlap=2, least=1)
     assert [s for _, _, s, _ in got] == [0, -2]
 
 
+def _texts(seed, n=60):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "bb", "ccc", "é", "dddd-eeee", "漢字"])
+    line = lambda: rng.choice(["", " ", "\t", "\u2003"]) if rng.random() < 0.3 else " ".join(word() for _ in range(rng.choice([1, 2, 3, 9, 25])))
+    texts = ["\n".join(line() for _ in range(rng.randrange(0, 25))) for _ in range(n)]
+    return [*texts, None, "", "\n\n", "one\r\n\r\ntwo", "a " * 500, " \n lead", "trail \n\n", "x\n\ny"]
+
+
+def test_native_chunks_equal_the_plain_ones(spark):
+    """Parts that are too large, overlaps that reach over several, small tails; by words and by a tokenizer of one's own."""
+    texts = _texts(1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    of = lambda t: (len(t) + 2) // 3
+    for by_line in (False, True):
+        for size, overlap, least in ((7, 0, 1), (10, 4, 3), (6, 100, 5), (500, 50, 100), (1, 0, 0)):
+            for own, batched in ((plain_chunks.count_words, None), (of, lambda ts: [(len(t) + 2) // 3 for t in ts])):
+                want = []
+                for i, t in enumerate(texts):
+                    parts = [x for x in (t or "").split("\n") if x.strip()] if by_line else plain_chunks.paragraphs(t or "")
+                    want += [(i, k, *c) for k, c in enumerate(plain_chunks.pack(parts, size, overlap, least, own, "\n" if by_line else "\n\n"))]
+                got = chunking.chunk_documents(df, size, overlap, least, batched, by_line)
+                assert rows(got) == sorted(want), (by_line, size, overlap, least, batched)
+
+
+def test_chunking_is_native_and_splits_a_text_once(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = chunking.chunk_documents(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    words = chunking.chunk_words(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert not any("transform(" in x or "split(" in x for x in words.splitlines() if "Filter" in x)
+
+
+def test_many_small_chunks_of_a_long_text(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20_000))), (2, ""), (3, None)], "doc_id long, text string")
+    got = chunking.chunk_words(df, 10).collect()
+    assert [r.chunk_index for r in got] == list(range(2000)) and got[-1].content.endswith("w19999")
+
+
 def test_chunking_handles_null_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a\n\nb", "z")], "doc_id long, text string, content string")
     assert [r.doc_id for r in chunking.chunk_documents(df).collect()] == [3]
@@ -367,15 +409,17 @@ def test_actions_are_judged_one_by_one(spark):
             (4, "create", "event", 0, "g", None, 1, None, None, None, *(None,) * 4, 5, None),
             (5, "create", "heartbeat", 0, "g", None, 1, "send_to_session", 7, None, *(None,) * 4, 5, None),
             (6, None, None, None, None, *blank),
+            (7, "create", "heartbeat", 0, "g", None, None, "x", *(None,) * 8),
+            (8, "create", "event", 0, "g", None, None, "x", *(None,) * 8),
         ],
         fields,
     )
     works = spark.createDataFrame([(10, 5, 2)], "work_id long, session_id long, work_type int")
-    assert {r.id: r.error for r in runtime.valid_actions(df, works).collect()} == {1: None, 2: "not on a heartbeat", 3: "no such work", 4: None, 5: None, 6: "unknown type"}
+    assert {r.id: r.error for r in runtime.valid_actions(df, works).collect()} == {1: None, 2: "not on a heartbeat", 3: "no such work", 4: None, 5: None, 6: "unknown type", 7: "chat only on a heartbeat", 8: "unknown target"}
 
 
 def test_activity_of_odd_payloads(spark):
-    df = spark.createDataFrame([(1, 1, 2, "{", 0), (2, 1, 2, '{"content": " x ", "tool_calls": null}', 0), (3, 1, 3, None, 0), (4, 1, 1, "{}", 0), (5, 9, 3, "{}", 0)], "interaction_id long, work_id long, kind int, data string, created_at int")
+    df = spark.createDataFrame([(1, 1, 2, "{", 0), (2, 1, 2, '{"content": "\\n x\\u2003\\n", "tool_calls": null}', 0), (3, 1, 3, None, 0), (4, 1, 1, "{}", 0), (5, 9, 3, "{}", 0)], "interaction_id long, work_id long, kind int, data string, created_at int")
     works = spark.createDataFrame([(1, 7, 2), (9, 7, 1)], "work_id long, session_id long, work_type int")
     assert rows(runtime.activity_rows(df, works, {}).select("interaction_id", "kind", "label")) == [(2, "thinking", "x"), (3, "guidance", "")]
 
@@ -425,6 +469,13 @@ def test_text_edges(spark):
         ("---\nname: a\nx: [\n---\n", "no YAML: a bracket is not closed"),
         ("---\nname: 'a\n---\n", "no YAML: a quote is not closed"),
         ("---\nname a\n---\n", "no YAML: not a key and a value"),
+        ("---\ndescription: key: value\n---\n", "no YAML: a mapping within a value"),
+        ("---\nname: a\n  b: c\n---\n", "no YAML: a mapping within a value"),
+        ("---\nname: [a, b]\n---\n", "no YAML: name is no text"),
+        ("---\ndescription:\n- a\n---\n", "no YAML: description is no text"),
+        ("---\nname:\n  k: v\n---\n", "no YAML: name is no text"),
+        ("---\nname: a\nname: b\n---\n", "no YAML: a key comes twice"),
+        ("---\nname: - a\n---\n", "no YAML: not a plain value"),
     ],
 )
 def test_no_front_matter(raw, want):
@@ -436,6 +487,10 @@ def test_no_front_matter(raw, want):
     [
         ("---\r\nname: 'a: b'\r\ndescription: d\r\n---\r\n\r\nbody", ("a: b", "d", "body")),
         ("---\nname: a # note\n---\n", ("a", "", "")),
+        ("---\nname: null\ndescription: ~\n---\n", ("", "", "")),
+        ("---\nmy:key: x\nna#me: y\n'name': a#b\ndescription: http://x:80\n---\n", ("a#b", "http://x:80", "")),
+        ("---\nname: # none\ntags: [a, {b: c}]\nother:\n- name: z\n---\n", ("", "", "")),
+        ("---\ntext: |\n  name: no\nname: 'it''s'\n---\n", ("it's", "", "")),
         ("---\ndescription: |\n  one\n   two\n---\nb", ("", "one\n two\n", "b")),
         ("---\nname: x\ndescription: >-\n  one\n  two\n\n  three\ntags:\n- a\n---\n", ("x", "one two\nthree", "")),
         ('---\nname: "a \\"b\\""\ndescription: it goes\n  on\nmeta:\n  k: v\n---\n', ('a "b"', "it goes on", "")),
@@ -445,7 +500,153 @@ def test_front_matter(raw, want):
     assert library.parse_front_matter(raw) == (*want, None)
 
 
+def test_notes_are_cut_by_bytes(spark):
+    note = lambda k: f"## [{k}] x\n\n" + "é" * 10 + "\n"
+    df = spark.createDataFrame([(note(1) + "\n" + note(2),), (note(1),), ("é" * 50,), (None,)], "t string")
+    got = [r[0] for r in df.select(T.trimmed_notes(F.col("t"), 41, "-")).collect()]
+    assert len(note(1).encode()) == 31 and got == ["-" + note(2), note(1), "-\ufffd" + "é" * 20, None]
+
+
+def test_rewritten_notes(spark, tmp_path):
+    from heron.sources.notes import Notes
+
+    book, schema = Notes(spark, str(tmp_path)), "i long, t string"
+    assert book.read(schema)[0].collect() == []
+    book.append(spark.createDataFrame([(1, "a"), (2, "b")], schema))
+    book.rewrite(book.read(schema)[0].where("i = 2"))
+    assert rows(book.read(schema)[0]) == [(2, "b")] and book.version() == 1
+    book.append(spark.createDataFrame([(3, "c")], schema))
+    late = Notes(spark, str(tmp_path))
+    late.version = lambda: 0  # one that began before the rewrite
+    with pytest.raises(RuntimeError, match="somebody else"):
+        late.rewrite(spark.createDataFrame([(9, "z")], schema))
+    assert rows(book.read(schema)[0]) == [(2, "b"), (3, "c")] and len(list((tmp_path / "notes").iterdir())) == 2
+
+
+def test_commits_count_once_wherever_a_writer_breaks_off(spark, tmp_path, monkeypatch):
+    from heron.sources.commits import Commits, Storage
+
+    c = Commits(spark, str(tmp_path))
+    tables = lambda n: {"a": spark.createDataFrame([(n,)], "x long"), "b": spark.createDataFrame([(n, "y")], "x long, y string")}
+    schema = tables(0)["a"].schema
+    assert c.read("a", schema).collect() == [] and c.batches("s") == []
+    assert c.commit("s", 0, tables(0)) and not c.commit("s", 0, tables(7))
+
+    class Broken(RuntimeError):
+        pass
+
+    def breaks(*_):
+        raise Broken
+
+    for step in ("write", "rename"):  # data is written, or the manifest too, and nothing is published
+        with monkeypatch.context() as m:
+            m.setattr(Storage, step, breaks)
+            with pytest.raises(Broken):
+                c.commit("s", 1, tables(1))
+        assert rows(c.read("a")) == [(0,)] and not c.has("s", 1) and c.orphans()
+    assert c.commit("s", 1, tables(1))
+    with monkeypatch.context() as m:  # a writer that found nothing there yet, and comes second
+        m.setattr(Commits, "has", lambda *_: False)
+        assert not c.commit("s", 1, tables(8))
+    assert c.commit("other", 1, tables(2)) and c.batches("s") == [0, 1]
+    assert rows(c.read("a")) == [(0,), (1,), (2,)] and rows(c.read("b")) == [(0, "y"), (1, "y"), (2, "y")] and len(c.orphans()) == 2
+
+
+def test_a_replayed_stream_publishes_nothing_twice(spark, tmp_path):
+    from heron.sources.commits import Commits, publish_stream
+
+    for k in range(3):
+        spark.createDataFrame([(k,)], "x long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    c, seen = Commits(spark, str(tmp_path / "out")), []
+
+    def tables(df):
+        seen.append(1)
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return {"t": df}
+
+    def run(checkpoint):
+        stream = spark.readStream.schema("x long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        publish_stream(stream, c, "s", tables, str(tmp_path / checkpoint)).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        run("one")
+    assert c.batches("s") == [0]
+    run("one")
+    run("two")  # the checkpoint is lost: all batches come again
+    assert c.batches("s") == [0, 1, 2] and rows(c.read("t")) == [(0,), (1,), (2,)]
+
+
+def test_buckets_that_are_not_touched_stay(spark, tmp_path):
+    from heron.sources.buckets import BucketTable, Conflict
+
+    v = spark.range(200).select(F.col("id").alias("chunk_id"), (F.col("id") % 5).cast("int").alias("kb_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    t = BucketTable(spark, str(tmp_path), v.schema, buckets=3)
+    assert t.read().collect() == [] and t.upsert(v) == 1
+    files = lambda: {f: (tmp_path / f).stat().st_mtime_ns for f in map(str, (p.relative_to(tmp_path) for p in tmp_path.rglob("data/**/*.parquet")))}
+    first, cells = files(), {(r.kb_id, r.bucket): r.version for r in t.cells().collect()}
+    delta = v.where("chunk_id = 7").withColumn("embedding", F.array(F.lit(-1.0)))
+    assert t.upsert(delta.withColumn("n", F.lit(1)).unionByName(delta.withColumn("embedding", F.array(F.lit(-2.0))).withColumn("n", F.lit(2))), ["n"]) == 2
+    after = {(r.kb_id, r.bucket): r.version for r in t.cells().collect()}
+    assert sum(cells[c] != after[c] for c in cells) == 1 and {f: files()[f] for f in first} == first
+    assert len(files()) - len(first) == 1
+    assert [r.embedding for r in t.read().where("chunk_id = 7").collect()] == [[-2.0]] and t.read().count() == 200
+    assert t.read(1).where("chunk_id = 7").first().embedding == [7.0]
+    plan = t.read().where("kb_id = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kb_id" in plan
+    kbs = spark.createDataFrame([(2, "x"), (3, "y")], "kb_id int, name string")
+    kbs.write.parquet(str(tmp_path / "kbs"))
+    named = spark.read.parquet(str(tmp_path / "kbs")).where("name = 'x'")
+    joined = t.read().join(F.broadcast(named), "kb_id")
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 40
+    assert t.delete(v.where("kb_id = 4")) == 3 and t.read().count() == 160 and not t.read().where("kb_id = 4").count()
+    late = BucketTable(spark, str(tmp_path), v.schema, buckets=3)
+    late.version = lambda: 2
+    with pytest.raises(Conflict):
+        late.upsert(v.limit(1))
+    assert t.version() == 3 and t.read().count() == 160
+    odd = spark.createDataFrame([(None, 1, [1.0]), (900, None, [1.0]), (901, 1, None)], "chunk_id long, kb_id int, embedding array<double>")
+    assert t.upsert(odd) == 4 and t.read().count() == 161
+
+
+def test_clusters_find_what_a_full_search_finds(spark, tmp_path):
+    """Vectors in clumps, with copies; a delta replaces, adds and deletes."""
+    import numpy as np
+
+    from heron.operators.clusters import ClusteredVectors, bounds
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    v = [(i, (centres[i % 12] + 0.2 * rng.normal(size=8)).tolist() if i % 7 else centres[0].tolist()) for i in range(600)]
+    odd = [(1000, [0.0] * 8), (1001, None), (1002, [1.0, 2.0]), (1003, [float("nan")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(v + odd, "vec_id long, embedding array<double>").repartition(4)
+    c = ClusteredVectors.write(df, str(tmp_path / "c"), 12, rounds=4)
+    c.add(spark.createDataFrame([(5, v[300][1]), (2000, v[301][1]), (6, None)], "vec_id long, embedding array<double>"), 1)
+    c.add(spark.createDataFrame([(5, v[200][1]), (9, None)], "vec_id long, embedding array<double>"), 2)
+    now = {i: x for i, x in v} | {5: v[200][1], 2000: v[301][1]}
+    now = {i: x for i, x in now.items() if i not in (6, 9)}
+    full = spark.createDataFrame(list(now.items()), "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    want = rows(search.nearest_to_each(full, asked, 5).select("hit_id", "rank", "vec_id"))
+    assert rows(c.nearest_to_each(asked, 5, probes=1, exact=True).select("hit_id", "rank", "vec_id")) == want
+    near = rows(c.nearest_to_each(asked, 5, probes=2).select("hit_id", "rank", "vec_id"))
+    assert len(set(near) & set(want)) >= 0.9 * len(want)
+    for q in (v[3][1], v[0][1], centres[4].tolist()):
+        one = [(r.vec_id, round(r.score, 9)) for r in search.search(full, q, 7).collect()]
+        assert [(r.vec_id, round(r.score, 9)) for r in c.search(q, 7, probes=1, exact=True).collect()] == one
+        assert len({i for i, _ in one} & {r.vec_id for r in c.search(q, 7, probes=3).collect()}) >= 6
+    assert "PartitionFilters: [cluster" in c.base([1, 2])._jdf.queryExecution().executedPlan().toString()
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre, members, q = x[0], x[1:100], x[100:]
+    assert (bounds((q @ centre)[:, None], np.array([(members @ centre).min()]))[:, 0] >= (q @ members.T).max(1)).all()
+    empty = ClusteredVectors.write(df.limit(0), str(tmp_path / "e"), 4)
+    assert empty.nearest_to_each(asked, 3, exact=True).collect() == [] and empty.search([1.0] * 8, 3, exact=True).collect() == []
+
+
 def test_ingested_bodies_and_titles(spark):
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "c")], "doc_id long, raw string")
+    assert sorted((r.doc_id or 0, r.body) for r in library.ingested(same).collect()) == [(0, "c"), (1, "a"), (1, "a"), (1, "b")]
     df = spark.createDataFrame([(1, "---\nname: n\n---\n\nbody\n---\nmore"), (2, "only text"), (3, "---\n---\nb"), (4, None)], "doc_id long, raw string")
     got = {r.doc_id: (r.title, r.body) for r in library.ingested(df).collect()}
     assert got == {1: ("n", "body\n---\nmore"), 2: ("only text", "only text"), 3: ("b", "b"), 4: (None, None)}
@@ -456,12 +657,15 @@ def test_updates_embed_only_what_changed(spark):
     new = spark.createDataFrame([(1, 1, "u", "a"), (2, 1, "u", "b"), (3, 1, "u", "x")], "item_id long, owner long, title string, description string")
     out, stale = library.updated(items, new, ["title", "description"])
     assert rows(out) == [(1, 1, "u", "a"), (2, 1, "u", "b"), (3, 2, "t", "c")] and rows(stale) == [(2, "b")]
+    twice = new.withColumn("n", F.lit(2)).unionByName(new.withColumn("title", F.lit("z")).withColumn("description", F.lit("z")).withColumn("n", F.lit(1)))
+    out, stale = library.updated(items, twice, ["title", "description"], order=["n"])
+    assert rows(out) == [(1, 1, "u", "a"), (2, 1, "u", "b"), (3, 2, "t", "c")] and rows(stale) == [(2, "b")]
 
 
 def test_deliveries_are_whole_or_none(spark):
-    asked = spark.createDataFrame([(1, 1, 2, 3, ["a", "b"]), (2, 1, 2, 3, ["a", "z"]), (3, 1, 2, 3, [])], "delivery_id long, sender long, receiver long, session_id long, paths array<string>")
+    asked = spark.createDataFrame([(1, 1, 2, 3, ["a", "b"]), (2, 1, 2, 3, ["a", "z"]), (3, 1, 2, 3, []), (4, 1, 2, 3, None)], "delivery_id long, sender long, receiver long, session_id long, paths array<string>")
     got = {r.delivery_id: (r.paths, r.error) for r in library.deliveries(asked, spark.createDataFrame([("a",), ("b",)], "path string"), F.current_timestamp()).collect()}
-    assert got == {1: ('["a","b"]', None), 2: (None, "1 missing"), 3: ("[]", None)}
+    assert got == {1: ('["a","b"]', None), 2: (None, "1 missing"), 3: (None, "no paths"), 4: (None, "no paths")}
 
 
 def test_signature_ignores_the_order_of_keys(spark):
