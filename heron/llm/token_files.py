@@ -40,6 +40,8 @@ from .codec import codec
 from .common import shared_dir, steps, strings, written
 
 FRAME_BYTES = 1 << 20
+#: Bytes of text that are encoded together: each distinct piece of a step is looked up once.
+STEP = 8 << 20
 DOCUMENTS, SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = 1 << 31
 FILES = "file string, n_docs long, n_tokens long, first_doc long"
@@ -137,7 +139,7 @@ class TokenFileReader:
 def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end = codec(path).encode, np.uint32(end_id).tobytes()
     writer, n, tokens, first = None, 0, 0, 0
-    for b in steps(batches, limit=1 << 20):
+    for b in steps(batches, limit=STEP):
         if writer is None:
             files, root = pafs.FileSystem.from_uri(folder)
             files.create_dir(root, recursive=True)
