@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, written
 
-#: Parts of a node's edges: each joins a copy of its own of what the node went to.
-SALTS = 8
+#: A node of more edges than these is a hub.
+HUB = 20_000
+
+
+def _carried(edges: DataFrame, to: DataFrame, end: str, name: str, hubs: int) -> DataFrame:
+    """The edges with what one end went to. A hub's edges are no task's group: hubs, of which there are few, are broadcast."""
+    names = to.select(F.col("node").alias(end), F.col("to").alias(name), "n")
+    if not 0 < hubs <= BROADCAST_ROWS:
+        return edges.join(names.drop("n"), end)
+    hub, rest = F.broadcast(names.where(F.col("n") > HUB).drop("n")), names.where(F.col("n") <= HUB).drop("n")
+    return edges.join(hub, end).unionByName(edges.join(hub.select(end), end, "left_anti").join(rest, end))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,11 +26,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node joins the one of least hash among itself and its neighbours, and the edges are carried over
     to what was joined. Hashes change by the round, so a constant share of the nodes goes each time whatever the shape,
-    and a hub costs no more than its edges: least hashes are aggregated before the shuffle, and its edges are dealt by a
-    hash of their other end when they are carried over. Each round is written to the shared folder.
+    and a hub costs no more than its edges: least hashes are aggregated before the shuffle. Each round is written to the
+    shared folder.
     """
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     spark = edges.sparkSession
     left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     joined: list[DataFrame] = []
@@ -30,12 +37,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a"))).getField("x").alias("to"))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(rank("b")), F.min(rank("a"))).getField("x").alias("to"), F.count("*").alias("n"))
         to = written(to, "joined")
         joined.append(to)
-        a, b = to.select(F.col("node").alias("a"), F.col("to").alias("na"), copies), to.select(F.col("node").alias("b"), F.col("to").alias("nb"), copies)
-        half = left.select("a", "b", salt("b")).join(a, ["a", "salt"]).select("na", "b", salt("na"))
-        moved = half.join(b, ["b", "salt"]).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+        hubs = to.where(F.col("n") > HUB).count()
+        moved = _carried(_carried(left, to, "a", "na", hubs), to, "b", "nb", hubs).where("na <> nb")
+        moved = moved.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
         left = written(moved, "edges")
     else:
         if not left.isEmpty():
@@ -46,5 +53,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     out = joined[-1].select("node", F.col("to").alias("label"))
     for to in reversed(joined[:-1]):
         later = out.select(F.col("node").alias("to"), F.col("label").alias("_later"))
-        out = to.join(later, "to", "left").select("node", F.coalesce("_later", "to").alias("label"))
+        out = to.drop("n").join(later, "to", "left").select("node", F.coalesce("_later", "to").alias("label"))
     return out

@@ -242,6 +242,21 @@ def test_allocation_is_optimal():
     assert simhash.allocate(costs, 0)[0] == best
 
 
+def test_hubs_are_carried_apart(spark, monkeypatch):
+    """Stars, one within another, and a path; with hubs and without the same components."""
+    from heron.llm import components as module
+
+    edges = [(0, k) for k in range(1, 40)] + [(40 + k, 39) for k in range(30)] + [(1000 + k, 1001 + k) for k in range(20)] + [(2000, 2001)]
+    want = {n: 0 if n < 1000 else 1000 if n < 2000 else 2000 for e in edges for n in e}
+    for hub in (5, 10**6):
+        monkeypatch.setattr(module, "HUB", hub)
+        got = {r.node: r.label for r in module.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        least = {}
+        for n, label in got.items():
+            least[label] = min(n, least.get(label, n))
+        assert {n: least[label] for n, label in got.items()} == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), *[(100, 100 + i) for i in range(1, 50)], *[(i, i + 1) for i in range(1000, 1100)]]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
