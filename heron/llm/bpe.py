@@ -5,7 +5,7 @@ neighbouring symbols to all its positions there. The active ranks are applied in
 all positions of its pair, and the lists of the pairs to the left and right are updated.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows give equal
-rows; other columns of the input are ignored, whatever their names; an empty table gives an empty result. A text of any
+rows; a null id stays null; other columns of the input are ignored, whatever their names; an empty table gives an empty result. A text of any
 length is taken whole.
 """
 

@@ -11,7 +11,9 @@ Step groups take windows of one tier until they hold STEP_TOKENS, so all full gr
 whatever their tier.
 
 Cases: a null or empty text is its end id alone; equal doc_ids are packed as the separate rows that they are; a null
-doc_id stays null; other columns are never read; an empty table gives an empty result.
+doc_id stays null; a text of any length is taken whole and cut into as many windows as it fills; rests of equal length are
+told apart by the order in which they came; repeated rows are documents of their own; other columns are never read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ a base that names them, so that delivering one of them again is still without ef
 Changes are rows: insert (+1 document, +tokens), delete (-1, -tokens), revise (0, new - old).
 
 Cases: null source, language or version is a group of its own; a group whose documents are all gone has a row of zeros;
-a null or empty text has no tokens; an empty batch is a batch; other columns are never read.
+a null or empty text has no tokens; a text of any length is counted whole; repeated rows count each, and a deletion takes
+away all rows of its id; a row without an id counts, and no deletion finds it; an empty batch is a batch; other columns are
+never read.
 """
 
 from __future__ import annotations
