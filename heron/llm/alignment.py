@@ -41,8 +41,8 @@ from .common import give_back, sized, steps, strings, written
 
 #: Units, and transitions, that a worker remembers.
 KEEP, MOVES = 250_000, 1_000_000
-#: Bytes of text in a block; units that go through the tokenizers together.
-BLOCK, LEARN = 8 << 20, 32768
+#: Bytes of text in a block; units that go through the tokenizers together; characters of one that the codec remembers.
+BLOCK, LEARN, LONG = 8 << 20, 32768, 256
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\v", "\f", "\r", "\0")
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ONE_BYTE = re.compile("<0x([0-9A-F]{2})>")
@@ -199,8 +199,9 @@ class Aligner:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0")[1:]
 
     def _a_ids(self, units: list[str]) -> list[bytes]:
-        """By the codec, which takes special tokens for such; units that hold one go through the library as plain text."""
-        odd = {u for u in units if any(x in u for x in self.codec.special)}
+        """By the codec, which remembers units and takes special tokens for such; long units, and those that hold a special
+        token, go through the library as plain text."""
+        odd = {u for u in units if len(u) > LONG or any(x in u for x in self.codec.special)}
         plain = [u for u in units if u not in odd]
         found = dict(zip(plain, self.codec.known(plain), strict=True))
         found |= {u: np.array(self.a.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in odd}

@@ -25,9 +25,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -403,38 +405,67 @@ def _with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.where("doc_id is not null").join(spans, "doc_id", "left").select(none.columns).unionByName(none)
 
 
-def _removed(text: bytes, words: int, spans: list[dict] | None, window: int) -> np.ndarray:
-    """Which words go."""
-    edge = np.zeros(words + 1, np.int32)
-    if spans:
-        own = _tag(text)
-        for s in spans:
-            if s["row"] == own:
-                at = np.frombuffer(s["starts"], "<i4")
-                for a in s["answers"]:
-                    first = (at[:, None] + a["part"] + np.flatnonzero(a["gone"])).ravel()
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _removals(texts: list[bytes], words: np.ndarray, column: pa.Array, window: int) -> list[np.ndarray | None]:
+    """Which words of each text go, None where there is nothing to remove. The spans of all texts are laid out together."""
+    n = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out: list[np.ndarray | None] = [None] * len(texts)
+    has = np.flatnonzero(n)
+    if not len(has):
+        return out
+    spans = column.flatten()
+    doc = np.repeat(np.arange(len(texts)), n)
+    tags = np.zeros(len(texts), np.int64)
+    tags[has] = [_tag(texts[k]) for k in has.tolist()]
+    own = spans.field("row").to_numpy(zero_copy_only=False) == tags[doc]
+    starts = spans.field("starts")
+    size = pa.compute.binary_length(starts).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    place = np.frombuffer(b"".join(starts.to_pylist()), "<i4").astype(np.int64)
+    answers = spans.field("answers")
+    answer_of = np.repeat(np.arange(len(spans)), pa.compute.list_value_length(answers).fill_null(0).to_numpy(zero_copy_only=False))
+    flat = answers.flatten()
+    gone = flat.field("gone")
+    length = pa.compute.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    which = np.repeat(np.arange(len(flat)), length)
+    ahead = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length) + flat.field("part").to_numpy(zero_copy_only=False)[which]
+    yes = gone.flatten().fill_null(False).to_numpy(zero_copy_only=False) & own[answer_of[which]]
+    span, ahead = answer_of[which[yes]], ahead[yes]
+    times = size[span]  # each place of the segment
+    first = np.cumsum(size) - size
+    at = np.repeat(first[span] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    slot = np.cumsum(words + 1) - (words + 1)
+    start = slot[np.repeat(doc[span], times)] + place[at] + np.repeat(ahead, times)
+    edge = np.bincount(start, minlength=int((words + 1).sum()) + window) - np.bincount(start + window, minlength=int((words + 1).sum()) + window)
+    covered = np.cumsum(edge) > 0
+    for k in has.tolist():
+        out[k] = covered[slot[k] : slot[k] + words[k]]
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("row", pa.int64()), ("starts", pa.binary()), ("answers", pa.list_(pa.struct([("part", pa.int32()), ("gone", pa.list_(pa.bool_()))])))]))
+
+
+def _removed(text: bytes, words: int, spans: list | None, window: int) -> np.ndarray:
+    """Which words of one text go."""
+    rows = [{"row": s["row"], "starts": s["starts"], "answers": [{"part": a["part"], "gone": a["gone"]} for a in s["answers"]]} for s in spans or ()]
+    gone = _removals([text], np.array([words]), pa.array([rows], _SPANS), window)[0]
+    return np.zeros(words, bool) if gone is None else gone
 
 
 def _kept(batches: Iterable[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for b in steps(batches):
-        n, removed, out = [], [], []
-        for text, spans in zip(utf8(b.column("text")), b.column("spans").to_pylist(), strict=True):
-            words = text.split()
-            n.append(len(words))
-            left = words
-            if spans:
-                gone = _removed(text, len(words), spans, window)
-                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        texts = utf8(b.column("text"))
+        split = [t.split() for t in texts]
+        n = np.array([len(x) for x in split], np.int64)
+        removed, out = [], []
+        for text, words, gone in zip(texts, split, _removals(texts, n, b.column("spans"), window), strict=True):
+            left = words if gone is None else list(compress(words, (~gone).tolist()))
             removed.append(len(words) - len(left))
             if digest:
                 out.append(hashlib.sha256(b" ".join(left)).hexdigest())
             else:
                 out.append(text.decode() if len(left) == len(words) else b" ".join(left).decode())
         keep = [c for c in b.schema.names if c not in ("text", "spans")]
-        yield pa.record_batch([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
+        yield pa.record_batch([*(b.column(c) for c in keep), pa.array(n), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
 
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
