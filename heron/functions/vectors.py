@@ -38,6 +38,11 @@ def euclidean_distance(a: Column | str, b: Column | str | Sequence[float]) -> Co
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
 
 
+def manhattan_distance(a: Column | str, b: Column | str | Sequence[float]) -> Column:
+    steps = F.zip_with(_column(a), _column(b), lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+
 #: Distances by name; register_distance adds to them.
 DISTANCES: dict[str, Callable[..., Column]] = {"cosine": cosine_distance, "euclidean": euclidean_distance}
 

@@ -358,3 +358,34 @@ def compare_and_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(V.valid_embedding("embedding")).select("vec_id", "label")
+
+
+@PLANS.query(
+    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: abs(embedding[i]::DOUBLE - q[i]))) AS score FROM embeddings, q)
+    SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score, vec_id LIMIT 10"""
+)
+def vector_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by a distance that is registered by name."""
+    v = table(spark, sf_dir, "embeddings")
+    V.register_distance("manhattan", V.manhattan_distance)
+    try:
+        return _rounded(search.search(v, vector_of(v, 0), 10, metric="manhattan"), "score")
+    finally:
+        del V.DISTANCES["manhattan"]
+
+
+@PLANS.query("SELECT doc_id, [length(text)::DOUBLE, (length(text) - length(replace(text, ' ', '')))::DOUBLE] AS embedding FROM documents")
+def texts_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through an embedder that is given, in batches of ten: their characters and blanks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return search.with_embeddings(docs, lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts], 2).select("doc_id", "embedding")
+
+
+@PLANS.query("SELECT doc_id, source, md5(text) AS text_md5 FROM documents WHERE doc_id % 7 > 0 UNION ALL SELECT doc_id, 'moved', md5(text) FROM documents WHERE doc_id % 7 = 0")
+def snapshot_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot, and the next one beside it with every seventh document moved."""
+    root = f"{shared_root(spark)}/snapshots-{uuid.uuid4().hex}"
+    first = files.write_snapshot(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), f"{root}/1")
+    moved = first.where("doc_id % 7 = 0").withColumn("source", F.lit("moved"))
+    second = files.write_snapshot(relational.upsert(first, moved, ["doc_id"]), f"{root}/2")
+    return second.select("doc_id", "source", F.md5("text").alias("text_md5"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
-from heron.operators import runtime
+from heron.operators import relational, runtime
 from heron.plans.base import Plans, at, shared_root, table
 
 PLANS = Plans()
@@ -210,6 +210,26 @@ def activity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime.activity_rows(interactions, works, {"read": ["path", "query"]})
 
 
+@PLANS.query("SELECT event_id, 'open' AS bound FROM events WHERE event_id > 100 UNION ALL SELECT event_id, 'closed' FROM events WHERE event_id > 100 AND event_id <= 200")
+def optional_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bound that is not positive is none."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    return relational.id_range(e, "event_id", 100, 0).withColumn("bound", F.lit("open")).unionByName(relational.id_range(e, "event_id", 100, 200).withColumn("bound", F.lit("closed")))
+
+
+@PLANS.query("SELECT event_id, user_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 25 OFFSET 10")
+def recent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.page(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), [F.desc("ts"), "event_id"], 10, 25)
+
+
+@PLANS.query("SELECT event_id, '[' || array_to_string(list_filter([user_id, event_id % 7, 3, user_id], lambda x: x <> 3), ',') || ']' AS ids FROM events")
+def list_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id that is gone is taken out of every list."""
+    e = table(spark, sf_dir, "events")
+    lists = e.select("event_id", F.to_json(F.array("user_id", F.col("event_id") % 7, F.lit(3), "user_id")).alias("ids"))
+    return relational.remove_from_lists(lists, "ids", 3)
+
+
 # Streams: the tables are read as they stand; checkpoints go to the folder that the session names.
 
 
