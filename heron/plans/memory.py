@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heron.functions import scalars as S
 from heron.operators import cascade, memory
-from heron.plans.base import Plans, at, table
+from heron.plans.base import Plans, at, shared_root, table
 from heron.plans.conversations import _MESSAGES, messages
+from heron.sources.files import write_snapshot
 
 PLANS = Plans()
 
@@ -75,11 +78,13 @@ def _deltas(obs: DataFrame) -> DataFrame:
     return obs.where(F.expr(_HIT)).select(F.col("event_id").alias("hit_id"), (S.gained(F.col("importance")) - F.col("importance")).alias("delta"))
 
 
-def _closer(obs: DataFrame) -> DataFrame:
-    """Rules 1 to 3, a row for each hit and target; the threshold is low, as these vectors are far apart."""
+def _closer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules 1 to 3, a row for each hit and target; the threshold is low, as these vectors are far apart. Written, as it is
+    read twice."""
     hit = F.expr(_HIT)
-    near = memory.similar_neighbours(obs, hit, threshold=0.1)
-    return memory.first_rule(memory.temporal_neighbours(obs, hit).unionByName(near))
+    near = memory.similar_neighbours(_with_vectors(spark, sf_dir), hit, threshold=0.1)
+    found = memory.first_rule(memory.temporal_neighbours(observations(spark, sf_dir), hit).unionByName(near))
+    return write_snapshot(found, f"{shared_root(spark)}/closer-{uuid.uuid4().hex}")
 
 
 @PLANS.query(f"WITH {_OBS}, {_NEAR}, {_DELTA} SELECT hit_id, event_id, round(0.2::DOUBLE * delta, 6) AS gain FROM semantic JOIN deltas USING (hit_id)")
@@ -87,7 +92,7 @@ def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases are the hits; a vector's targets are those of the hit's session."""
     obs = _with_vectors(spark, sf_dir)
     near = memory.similar_neighbours(obs, F.expr(_HIT), threshold=0.1)
-    return memory.spread(near, _deltas(obs)).select("hit_id", "event_id", F.round("gain", 6).alias("gain"))
+    return memory.spread(near, _deltas(observations(spark, sf_dir))).select("hit_id", "event_id", F.round("gain", 6).alias("gain"))
 
 
 @PLANS.query(
@@ -99,8 +104,8 @@ def memory_propagate_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_propagate_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a hit gives to each target by the first of the rules 1 to 3, and for rule 4, which has all others of the
     session, to how many it gives what."""
-    obs = _with_vectors(spark, sf_dir)
-    closer = _closer(obs)
+    obs = observations(spark, sf_dir)
+    closer = _closer(spark, sf_dir)
     rest = memory.session_share(obs, F.expr(_HIT), closer).select("hit_id", F.lit(None).cast("long").alias("event_id"), F.lit(4).alias("rule"), "n")
     every = closer.withColumn("n", F.lit(1).cast("long")).unionByName(rest)
     return memory.spread(every, _deltas(obs), "n").withColumn("gain", F.round("gain", 6))
