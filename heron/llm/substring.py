@@ -454,10 +454,13 @@ def _removed(text: bytes, words: int, spans: list | None, window: int) -> np.nda
 def _kept(batches: Iterable[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for b in steps(batches):
         texts = utf8(b.column("text"))
-        split = [t.split() for t in texts]
-        n = np.array([len(x) for x in split], np.int64)
-        removed, out = [], []
-        for text, words, gone in zip(texts, split, _removals(texts, n, b.column("spans"), window), strict=True):
+        has = pa.compute.list_value_length(b.column("spans")).fill_null(0).to_numpy(zero_copy_only=False) > 0
+        # Only one text's words are held at a time; those of texts with spans are counted first.
+        sizes = np.array([len(t.split()) if h else 0 for t, h in zip(texts, has.tolist(), strict=True)], np.int64)
+        n, removed, out = [], [], []
+        for text, gone in zip(texts, _removals(texts, sizes, b.column("spans"), window), strict=True):
+            words = text.split()
+            n.append(len(words))
             left = words if gone is None else list(compress(words, (~gone).tolist()))
             removed.append(len(words) - len(left))
             if digest:
@@ -465,7 +468,7 @@ def _kept(batches: Iterable[pa.RecordBatch], window: int, digest: bool) -> Itera
             else:
                 out.append(text.decode() if len(left) == len(words) else b" ".join(left).decode())
         keep = [c for c in b.schema.names if c not in ("text", "spans")]
-        yield pa.record_batch([*(b.column(c) for c in keep), pa.array(n), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
+        yield pa.record_batch([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=[*keep, "n_words", "n_removed", "kept"])
 
 
 def repeat_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
