@@ -11,14 +11,14 @@ target within its own cooldown gets nothing; so what was hit, or reached, at a t
 The last rule reaches all that are open, and stamps them. So the open ones are always those that were stamped before some
 time, and as times only grow, the state keeps its observations in runs of one stamp, oldest first: a hit takes the runs that
 have become open, and puts them back as one run behind the others. The work is that of the values which change, not of all
-observations for each hit.
+observations for each hit. Rows are read and told by columns, many sessions together: most sessions are short.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterable, Iterator
-from datetime import datetime
 from functools import partial
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType, TimestampNTZType
 
 from heron.functions.scalars import GAIN
 
@@ -39,121 +39,171 @@ STEP = 10_000
 
 
 class Session:
-    """A session's observations, by place in the order of their ids."""
+    """A session's observations, by place in the order of their coming."""
 
     def __init__(self, cooldown: int, similar: float):
         self.cooldown, self.similar = cooldown, similar
         self.ids: list[int] = []
+        self.sorted: list[int] = []
         self.place: dict[int, int] = {}
         self.importance = np.zeros(8)
         self.scored = np.full(8, NEVER, np.int64)
         self.accessed = np.full(8, NEVER, np.int64)
-        self.vectors: list[np.ndarray | None] = []
-        self.order: np.ndarray | None = None  # each observation's place in the order of ids
+        self.counted = np.zeros(8, bool)  # true for the hits that count, while they are settled
+        self.size = np.zeros(8, np.int64)  # of the vector, 0 without one
+        self.units: dict[int, np.ndarray] = {}  # unit vectors by size, a row for each place
         self.runs: deque[tuple[int, list[int] | np.ndarray]] = deque()
         self.now, self.hits = NEVER, []
 
-    def come(self, event_id: int, importance: float, scored: int | None, vector: list | None) -> None:
-        """An observation comes up; one that was scored before it came keeps that time."""
+    def come(self, event_id: int, importance: float, scored: int, vector: np.ndarray | None) -> None:
+        """An observation comes up, with its unit vector; one that was scored before it came keeps that time."""
         if event_id in self.place:
             return
         k = len(self.ids)
         self.place[event_id] = k
         self.ids.append(event_id)
+        insort(self.sorted, event_id)
         if k == len(self.importance):
-            more = k
-            self.importance = np.concatenate([self.importance, np.zeros(more)])
-            self.scored = np.concatenate([self.scored, np.full(more, NEVER, np.int64)])
-            self.accessed = np.concatenate([self.accessed, np.full(more, NEVER, np.int64)])
-        stamp = NEVER if scored is None else scored
-        self.importance[k], self.scored[k] = importance, stamp
-        v = None if vector is None or None in vector else np.array(vector, float)
-        n = 0.0 if v is None else np.linalg.norm(v)
-        self.vectors.append(v / n if n > 0 and np.isfinite(n) else None)
-        self.order = None
-        if self.runs and stamp < self.runs[-1][0]:  # stamped before others: into its place
-            at = next((i for i, (t, _) in enumerate(self.runs) if t > stamp), len(self.runs))
-            self.runs.insert(at, (stamp, [k]))
+            self.importance, self.scored, self.accessed, self.counted, self.size = (np.concatenate([x, np.full(k, fill, x.dtype)]) for x, fill in ((self.importance, 0), (self.scored, NEVER), (self.accessed, NEVER), (self.counted, False), (self.size, 0)))
+            self.units = {n: np.concatenate([x, np.zeros_like(x)]) for n, x in self.units.items()}
+        self.importance[k], self.scored[k] = importance, scored
+        if vector is not None:
+            n = self.size[k] = len(vector)
+            if n not in self.units:
+                self.units[n] = np.zeros((len(self.importance), n))
+            self.units[n][k] = vector
+        if self.runs and scored < self.runs[-1][0]:  # stamped before others: into its place
+            at = next((i for i, (t, _) in enumerate(self.runs) if t > scored), len(self.runs))
+            self.runs.insert(at, (scored, [k]))
+        elif self.runs and scored == self.runs[-1][0] and isinstance(self.runs[-1][1], list):
+            self.runs[-1][1].append(k)
         else:
-            self.runs.append((stamp, [k]))
+            self.runs.append((scored, [k]))
 
     def hit(self, at: int, event_id: int) -> None:
         if at != self.now:
             self.settle()
             self.now = at
-        if event_id in self.place:
-            self.hits.append(self.place[event_id])
+        k = self.place.get(event_id)
+        if k is not None:
+            self.hits.append(k)
 
     def settle(self) -> None:
         """All hits of one time."""
-        at, hits = self.now, sorted(set(self.hits), key=lambda k: self.ids[k])
-        self.hits = []
-        if not hits:
+        if not self.hits:
             return
-        open_ = [k for k in hits if at - self.scored[k] >= self.cooldown]
-        self.accessed[hits] = at
+        at, hits = self.now, self.hits
+        if len(hits) > 1:
+            hits = sorted(set(hits), key=self.ids.__getitem__)
+        self.hits = []
+        importance, scored = self.importance, self.scored
+        for k in hits:
+            self.accessed[k] = at
+        open_ = [k for k in hits if at - scored[k] >= self.cooldown]
         if not open_:
             return
-        first, gain = open_[0], GAIN * (1 - self.importance[open_[0]])
-        self.importance[open_] += GAIN * (1 - self.importance[open_])
+        first, gain = open_[0], GAIN * (1 - importance[open_[0]])
+        for k in open_:
+            importance[k] += GAIN * (1 - importance[k])
+        self.counted[open_] = True
+        close = [(k, min(1.0, importance[k] + gain * share)) for k, share in self.close(first) if at - scored[k] >= self.cooldown and not self.counted[k]]
+        loose: list[int] = []
         taken = []
         while self.runs and at - self.runs[0][0] >= self.cooldown:
-            taken.append(np.asarray(self.runs.popleft()[1], np.int64))
-        reached = np.concatenate(taken)
-        self.scored[reached] = at
+            run = self.runs.popleft()[1]
+            if isinstance(run, list):
+                loose += run
+            else:
+                taken.append(run)
+        reached = np.concatenate([*taken, np.array(loose, np.int64)]) if taken else np.array(loose, np.int64)
+        scored[reached] = at
         self.runs.append((at, reached))
-        targets = reached[~np.isin(reached, open_)]  # the first hit reaches them all, so the others reach none
-        if len(targets):
-            self.importance[targets] = np.minimum(1.0, self.importance[targets] + gain * self.shares(first, targets))
+        targets = reached[~self.counted[reached]]  # the first hit reaches them all, so the others reach none
+        self.counted[open_] = False
+        for a in range(0, len(targets), STEP):
+            part = targets[a : a + STEP]
+            importance[part] = np.minimum(1.0, importance[part] + gain * self.shares(first, part))
+        for k, value in close:
+            importance[k] = value
+
+    def close(self, hit: int) -> list[tuple[int, float]]:
+        """What lies up to two places from a hit in the order of ids, and its share."""
+        p = bisect_left(self.sorted, self.ids[hit])
+        return [(self.place[self.sorted[i]], share) for i, share in ((p - 2, SECOND), (p - 1, NEXT), (p + 1, NEXT), (p + 2, SECOND)) if 0 <= i < len(self.sorted)]
 
     def shares(self, hit: int, targets: np.ndarray) -> np.ndarray:
-        if self.order is None:
-            self.order = np.empty(len(self.ids), np.int64)
-            self.order[np.argsort(np.array(self.ids))] = np.arange(len(self.ids))
-        away = np.abs(self.order[targets] - self.order[hit])
-        out = np.where(away == 1, NEXT, np.where(away == 2, SECOND, REST))
-        v = self.vectors[hit]
-        if v is not None:
-            rest = [i for i, k in enumerate(targets.tolist()) if away[i] > 2 and self.vectors[k] is not None and len(self.vectors[k]) == len(v)]
-            for a in range(0, len(rest), STEP):
-                part = rest[a : a + STEP]
-                near = np.stack([self.vectors[k] for k in targets[part].tolist()]) @ v > self.similar
-                out[np.array(part)[near]] = NEAR
-        return out
-
-    def rows(self) -> Iterator[tuple]:
-        self.settle()
-        for a in range(0, len(self.ids), STEP):
-            b = min(a + STEP, len(self.ids))
-            times = [np.where(x[a:b] == NEVER, np.datetime64("NaT"), x[a:b].astype("datetime64[us]")) for x in (self.scored, self.accessed)]
-            yield self.ids[a:b], self.importance[a:b], *times
-
-
-def _micros(at: datetime | None) -> int | None:
-    return None if at is None else int(np.datetime64(at, "us").astype(np.int64))
+        """Of targets that are further away."""
+        n = int(self.size[hit])
+        if not n:
+            return np.full(len(targets), REST)
+        units = self.units[n]
+        return np.where((units[targets] @ units[hit] > self.similar) & (self.size[targets] == n), NEAR, REST)
+
+
+def _units(v: pa.Array) -> list[np.ndarray | None]:
+    """Vectors as unit vectors; None for one that is null, empty, zero, or has a null or what is not finite."""
+    if v.null_count == len(v):
+        return [None] * len(v)
+    some = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+    own = v.drop_null()
+    size = own.value_lengths().to_numpy(zero_copy_only=False)
+    flat = own.flatten().to_numpy(zero_copy_only=False).astype(float)  # a null becomes NaN
+    begin = np.cumsum(size) - size
+    out: list[np.ndarray | None] = [None] * len(v)
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        x = flat[begin[at][:, None] + np.arange(n)]
+        with np.errstate(all="ignore"):
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            x = x / length
+        good = (length[:, 0] > 0) & np.isfinite(length[:, 0])
+        for k, row, ok in zip(some[at].tolist(), x, good.tolist(), strict=True):
+            out[k] = row if ok else None
+    return out
+
+
+def _micros(times: pa.Array) -> list[int]:
+    return times.cast(pa.int64()).fill_null(NEVER).to_pylist()
 
 
 def _replay(batches: Iterable[pa.RecordBatch], keys: int, cooldown: int, similar: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     key, session = None, None
+    done: list[tuple[tuple, Session]] = []
+    waiting = 0
 
     def told() -> Iterator[pa.RecordBatch]:
-        for ids, importance, scored, accessed in session.rows():
-            own = [pa.array([x] * len(ids), f.type) for x, f in zip(key, schema, strict=False)]
-            yield pa.record_batch([*own, pa.array(ids, pa.int64()), pa.array(importance), pa.array(scored, pa.timestamp("us")), pa.array(accessed, pa.timestamp("us"))], schema=schema)
+        """The sessions that are done, in pieces of STEP rows."""
+        sizes = [len(s.ids) for _, s in done]
+        own = [pa.array([k[i] for k, _ in done], schema.field(i).type) for i in range(keys)]
+        of = np.repeat(np.arange(len(done)), sizes)
+        ids = np.concatenate([np.array(s.ids, np.int64) for _, s in done])
+        importance, scored, accessed = (np.concatenate([getattr(s, name)[:n] for (_, s), n in zip(done, sizes, strict=True)]) for name in ("importance", "scored", "accessed"))
+        for a in range(0, len(ids), STEP):
+            at = slice(a, a + STEP)
+            times = [pa.array(x[at], pa.int64(), mask=x[at] == NEVER).cast(pa.timestamp("us")) for x in (scored, accessed)]
+            yield pa.record_batch([*(c.take(pa.array(of[at])) for c in own), pa.array(ids[at]), pa.array(importance[at]), *times], schema=schema)
 
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own, (at, kind, event_id, importance, scored, vector) = row[:keys], row[keys:]
+        at, scored, vectors = _micros(b.column(keys)), _micros(b.column(keys + 4)), _units(b.column(keys + 5))
+        names = zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True)
+        for own, when, kind, event_id, importance, stamp, vector in zip(names, at, *(b.column(keys + i).to_pylist() for i in (1, 2, 3)), scored, vectors, strict=True):
             if own != key or session is None:
                 if session is not None:
-                    yield from told()
+                    session.settle()
+                    done.append((key, session))
+                    waiting += len(session.ids)
+                    if waiting >= STEP:
+                        yield from told()
+                        done, waiting = [], 0
                 key, session = own, Session(cooldown, similar)
             if kind:
-                session.hit(_micros(at), event_id)
+                session.hit(when, event_id)
             else:
                 session.settle()
-                session.come(event_id, importance, _micros(scored), vector)
+                session.come(event_id, importance, stamp, vector)
     if session is not None:
+        session.settle()
+        done.append((key, session))
         yield from told()
 
 
@@ -166,10 +216,12 @@ def replay(observations: DataFrame, hits: DataFrame, keys: list[str], cooldown_m
     event are left out; null keys are keys like others. An empty table of observations gives an empty result.
     """
     none = lambda kind: F.lit(None).cast(kind)
+    given = observations.schema["embedding"].dataType
+    vector = given if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else ArrayType(DoubleType())  # half the bytes to sort
     come = observations.where("created_at is not null and event_id is not null").select(
-        *keys, F.col("created_at").cast("timestamp_ntz").alias("at"), F.lit(0).alias("kind"), F.col("event_id").cast("long"), F.col("importance").cast("double"), F.col("last_scored_at").cast("timestamp_ntz"), F.col("embedding").cast("array<double>")
+        *keys, F.col("created_at").cast("timestamp_ntz").alias("at"), F.lit(0).alias("kind"), F.col("event_id").cast("long"), F.col("importance").cast("double"), F.col("last_scored_at").cast("timestamp_ntz"), F.col("embedding").cast(vector)
     )
-    hit = hits.where("at is not null and event_id is not null").select(*keys, F.col("at").cast("timestamp_ntz"), F.lit(1).alias("kind"), F.col("event_id").cast("long"), none("double").alias("importance"), none("timestamp_ntz").alias("last_scored_at"), none("array<double>").alias("embedding"))
+    hit = hits.where("at is not null and event_id is not null").select(*keys, F.col("at").cast("timestamp_ntz"), F.lit(1).alias("kind"), F.col("event_id").cast("long"), none("double").alias("importance"), none("timestamp_ntz").alias("last_scored_at"), none(vector).alias("embedding"))
     rows = come.unionByName(hit).repartition(*keys).sortWithinPartitions(*keys, "at", "kind", "event_id")
     told = StructType([*[StructField(k, come.schema[k].dataType) for k in keys], StructField("event_id", LongType()), StructField("importance", DoubleType()), StructField("last_scored_at", TimestampNTZType()), StructField("last_accessed_at", TimestampNTZType())])
     return rows.mapInArrow(partial(_replay, keys=len(keys), cooldown=cooldown_minutes * 60_000_000, similar=similar, schema=to_arrow_schema(told)), told)
