@@ -17,11 +17,12 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import Codec
+from .codec import Codec, PairRanks
 from .common import steps, strings
 
 #: Pieces, and words, that a worker remembers.
@@ -35,37 +36,48 @@ class PairIndexBpe(Codec):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[str, str]] = {}  # a word's ids in decimal, and its tokens
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
         self.token = {i: t for t, i in self.vocab.items()} | {int.from_bytes(b, "little"): s for s, b in self.special.items()}
         pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
         v = self.vocab
-        self.rank = {(v[a], v[b]): k for k, (a, b) in enumerate(pairs)}
-        self.made = [v[a + b] for a, b in pairs]
+        self.pair_of = [(v[a], v[b]) for a, b in pairs]
+        self.width = max(v.values()) + 3  # no id is as large as what -1 and -2 become in a pair's number
+        self.rank = {a * self.width + b: k for k, (a, b) in enumerate(self.pair_of)}
+        self.merged_to = self.made.tolist()
+        self.decimal = [str(i) for i in range(self.width)]
+        self.first_of, self.last_of = np.full(1 << 9, -1, np.int64), np.full(1 << 9, -1, np.int64)
+        for c, i in v.items():
+            if len(c) == 1 and ord(c) < 1 << 9:
+                self.first_of[ord(c)] = i
+            elif len(c) == 1 + len(self.end) and c.endswith(self.end) and ord(c[0]) < 1 << 9:
+                self.last_of[ord(c[0])] = i
         self.special_text = {s: str(int.from_bytes(b, "little")) for s, b in self.special.items()}
         self.decoded: dict[str, str] = {}
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Each word's ids."""
-        vocab, rank, made, end = self.vocab, self.rank, self.made, self.end
-        sym: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym.extend([vocab[c] for c in w[:-1]])
-            sym.append(vocab[w[-1] + end])
-            sym.append(-1)  # no pair spans it
-        n = len(sym)
+        """Each word's ids. Words are in the byte-level alphabet, so a line end can stand between them."""
+        if not words:
+            return []
+        rank, made, pair_of, width = self.rank, self.merged_to, self.pair_of, self.width
+        chars = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le"), "<u4")
+        ends = np.flatnonzero(chars == 10)
+        laid = self.first_of[chars]
+        laid[ends - 1] = self.last_of[chars[ends - 1]]
+        laid[ends] = -1  # no pair spans it
+        n = len(laid)
+        first = self.pairs.of(laid[:-1], laid[1:])
+        first[(laid[:-1] < 0) | (laid[1:] < 0)] = PairRanks.NONE
+        at = np.flatnonzero(first != PairRanks.NONE)
+        at = at[np.argsort(first[at], kind="stable")]
+        active, cuts = np.unique(first[at], return_index=True)
+        at, cuts = at.tolist(), cuts.tolist()
+        index: dict[int, list[int]] = {k: at[x:y] for k, x, y in zip(active.tolist(), cuts, [*cuts[1:], len(at)], strict=True)}
+        heap = active.tolist()  # in order already
+        sym = laid.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for p, pair in enumerate(zip(sym, sym[1:], strict=False)):
-            if (k := rank.get(pair)) is not None:
-                index.setdefault(k, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
-        pair_of = list(rank)
         while heap:
             k = heapq.heappop(heap)
             places = index.pop(k, None)
@@ -83,37 +95,45 @@ class PairIndexBpe(Codec):
                 before[r if r < n else -1] = p
                 lower = k
                 left = before[p]
-                if left >= 0 and (j := rank.get((sym[left], new))) is not None:
+                if left >= 0 and (j := rank.get(sym[left] * width + new)) is not None:
                     if j in index:
                         index[j].append(left)
                     else:
                         index[j] = [left]
                         heapq.heappush(heap, j)
-                    lower = min(lower, j)
-                if (j := rank.get((new, sym[r]))) is not None:
+                    if j < lower:
+                        lower = j
+                if (j := rank.get(new * width + sym[r])) is not None:
                     if j in index:
                         index[j].append(p)
                     else:
                         index[j] = [p]
                         heapq.heappush(heap, j)
-                    lower = min(lower, j)
+                    if j < lower:
+                        lower = j
                 if lower < k:  # a rank made active by this merge goes first
                     index.setdefault(k, []).extend(places[at + 1 :])
                     heapq.heappush(heap, k)
                     break
-        return [[x for x in sym[s:e] if x >= 0] for s, e in zip(starts, [*starts[1:], n], strict=True)]
+        left_over = np.array(sym, np.int64)
+        count = np.cumsum(left_over >= 0)[ends].tolist()
+        ids = left_over[left_over >= 0].tolist()
+        return [ids[x:y] for x, y in zip([0, *count[:-1]], count, strict=True)]
 
     def learn(self, pieces: list[str]) -> None:
         parts = self.all_pre_tokens(pieces)
         if len(self.words) > KEEP:
             self.words = {}
         new = list(set().union(*parts) - self.words.keys())
-        self.words.update(zip(new, self.merge(new), strict=True))
-        token = self.token
+        decimal, token = self.decimal.__getitem__, self.token.__getitem__
+        self.words.update((w, (" ".join(map(decimal, ids)), " ".join(map(token, ids)))) for w, ids in zip(new, self.merge(new), strict=True))
+        told, kept, decoded = self.words, self.kept, self.decoded
         for p, words in zip(pieces, parts, strict=True):
-            ids = [i for w in words for i in self.words[w]]
-            self.kept[p] = " ".join(map(str, ids))
-            self.decoded[p] = " ".join([token[i] for i in ids])
+            if len(words) == 1:
+                kept[p], decoded[p] = told[words[0]]
+            else:
+                both = [told[w] for w in words]
+                kept[p], decoded[p] = " ".join([x for x, _ in both]), " ".join([x for _, x in both])
 
     def encode_decode(self, texts: list[str]) -> list[tuple[str, str]]:
         """Each text's ids in decimal and its decoded text."""
