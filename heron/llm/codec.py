@@ -287,6 +287,10 @@ class Codec:
                 found[k] = kept[pieces[k]]
         return found
 
+    def forget(self) -> None:
+        """The pieces that it has seen; workers live on from stage to stage."""
+        self.older, self.kept = {}, {**self.special, "": b""}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain, plain_at, other, other_at = [], [], [], []
         for k, t in enumerate(texts):

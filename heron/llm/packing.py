@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import codec
-from .common import steps, strings
+from .common import give_back, steps, strings
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that wait in a task before they are packed.
@@ -175,6 +175,10 @@ def _pack(batches: Iterable[pa.RecordBatch], path: str, end_id: int, whole: bool
     packer.pack(last=True)
     if packer.done:
         yield _rows(packer.done, whole)
+    if whole:  # the last of several stages; packing alone keeps its pieces from task to task
+        packer.done = []
+        codec(path).forget()
+        give_back()
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, whole: bool = True, tiers: tuple[int, ...] = TIERS) -> DataFrame:
