@@ -33,7 +33,7 @@ from .xxh import LONG, xxh64
 SCALE = 1_000_000_000
 LEAST, TOP = 3, 200
 #: Bytes of text that are counted together; a worker's arrays take 20 to 40 times as much.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Sources of a tile, and counts of a language that a task has about for each pair of tiles.
 TILE, PART = 256, 1 << 18
 
