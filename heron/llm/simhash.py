@@ -16,6 +16,11 @@ with each other; only those beyond go, as blocks of HOT against blocks of all. S
 task gets an unbounded group, and only fingerprints that agree on all bits of a key and of a block, are more than HOT and
 yet farther apart than r take work in proportion to their number times that of the whole key.
 
+keep_one has a radius so wide that the masked keys of unlike texts meet ever more often as the table grows. So there a
+text's keys are the least of its shingle hashes: texts of a similarity of 0.8 have one in common all but for certain (see
+_keyed), unlike ones only what is said again and again. What more than COMMON texts have is put last in the order of the
+hashes, and keys that stay large are divided as above. So the work follows the number of texts.
+
 Cases: a null or empty text, or one of white space, has the fingerprint 0 and links like any other; fewer words than a
 shingle: the whole sequence is the one shingle; a text of any length is taken whole, as a step of its own; repeated rows
 and ties collapse; rows of one doc_id are rows of their own; an empty table gives an empty result; a null doc_id keeps
@@ -32,11 +37,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, sized, steps, utf8, written
+from .common import BROADCAST_ROWS, give_back, sized, steps, utf8, written
 from .components import components
 from .xxh import xxh64
 
@@ -48,6 +54,9 @@ HOT = 4096
 PRINTS, SEARCHES, RADIUS, APART = 3, 2, 13, 46
 #: keep_one: pivots of a key that is still larger than HOT. Its families may be larger than the links make them.
 PIVOTS = 8
+#: keep_one: shingle hashes of a text that are kept, the least; those that are its keys; of those kept, how many must be
+#: uncommon if only such are keys; texts that have a common one.
+SKETCH, KEYS, ENOUGH, COMMON = 32, 12, 24, 1000
 #: Texts of a family, and their bytes, that a block has at most on average.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: What a candidate costs in probes.
@@ -330,16 +339,26 @@ def links(unique: DataFrame, radius: int = 4, hot: int = HOT, others: Sequence[s
     if counts.isEmpty():
         return _compared(rows, ["probe", "key"], radius, others, most)
     cold = rows.join(counts, ["probe", "key"], "left_anti")
-    # Hot keys: equal on one of radius + 1 blocks of the open bits; each probe has blocks of its own.
-    open_bits = [[b for b in range(64) if b not in own] for own in bits]
-    blocks = F.array(*[F.array(*[F.lit(_mask(o[j :: radius + 1])) for j in range(radius + 1)]) for o in open_bits])
-    warm = rows.join(counts.select("probe", "key"), ["probe", "key"]).select("probe", "key", "fp", *others, F.posexplode(F.get(blocks, F.col("probe"))).alias("block", "mask"))
-    warm = warm.select("probe", "key", "block", F.col("fp").bitwiseAND(F.col("mask")).alias("sub"), "fp", *others)
-    keys = ["probe", "key", "block", "sub"]
+    # Hot keys: each probe has blocks of its own.
+    blocks = F.array(*[_blocks([b for b in range(64) if b not in own], radius) for own in bits])
+    warm = rows.join(counts.select("probe", "key"), ["probe", "key"])
+    return _compared(cold, ["probe", "key"], radius, others, most).unionByName(_divided(warm, ["probe", "key"], F.get(blocks, F.col("probe")), radius, hot, others, most))
+
+
+def _blocks(bits: list[int], radius: int) -> Column:
+    """The masks of radius + 1 blocks of these bits: what is within the radius is equal on one of them."""
+    return F.array(*[F.lit(_mask(bits[j :: radius + 1])) for j in range(radius + 1)])
+
+
+def _divided(warm: DataFrame, keys: list[str], blocks: Column, radius: int, hot: int, others: list[str], most: int) -> DataFrame:
+    """Links of hot keys: of fingerprints that are equal on one of the blocks."""
+    warm = warm.select(*keys, "fp", *others, F.posexplode(blocks).alias("block", "mask"))
+    warm = warm.select(*keys, "block", F.col("fp").bitwiseAND(F.col("mask")).alias("sub"), "fp", *others)
+    keys = [*keys, "block", "sub"]
     sizes = warm.groupBy(*keys).count().where(F.col("count") > hot)
     sized = warm.join(sizes, keys, "left")
     large = sized.where("count is not null")
-    found = _compared(cold, ["probe", "key"], radius, others, most).unionByName(_compared(sized.where("count is null"), keys, radius, others, most))
+    found = _compared(sized.where("count is null"), keys, radius, others, most)
     if sizes.isEmpty():
         return found
     return found.unionByName(_around_pivots(large, keys, radius, hot, others, most))
@@ -396,6 +415,16 @@ def _with_components(prints: DataFrame, radius: int, hot: int = HOT) -> DataFram
 # Near-duplicates by the exact similarity of their shingles.
 
 
+def _sketch(hashes: np.ndarray) -> tuple[int, bytes]:
+    """How many distinct hashes there are, or a number above SKETCH and not below that; the least SKETCH of them."""
+    if len(hashes) > 4 * SKETCH:
+        own = np.unique(np.partition(hashes, 4 * SKETCH - 1)[: 4 * SKETCH])
+        if len(own) > SKETCH:
+            return len(hashes), own[:SKETCH].tobytes()
+    own = np.unique(hashes)
+    return len(own), own[:SKETCH].tobytes()
+
+
 def _several(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in steps(batches, limit=2 << 20):
         split = _normal(utf8(b.column("text")))
@@ -403,10 +432,81 @@ def _several(batches: Iterable[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         fps = np.zeros((PRINTS, len(split)), np.uint64)
         for k in range(PRINTS if len(has) else 0):
             fps[k, has] = _majority(_mixed(hashes, k), m)
+        sketches = [(0, b"")] * len(split)
+        for i, x in zip(has.tolist(), np.split(hashes, np.cumsum(m)[:-1]) if len(has) else [], strict=True):
+            sketches[i] = _sketch(x)
         digests = pa.array([hashlib.md5(x).digest() for x in split], pa.binary())
         keep = [c for c in b.schema.names if c != "text"]
         size = pa.array([len(x) for x in split], pa.int64())
-        yield pa.record_batch([*(b.column(c) for c in keep), size, digests, *(pa.array(x.view(np.int64)) for x in fps)], names=[*keep, "bytes", "digest", *(f"f{k}" for k in range(PRINTS))])
+        n, least = pa.array([x[0] for x in sketches], pa.int64()), pa.array([x[1] for x in sketches], pa.binary())
+        yield pa.record_batch([*(b.column(c) for c in keep), size, digests, n, least, *(pa.array(x.view(np.int64)) for x in fps)], names=[*keep, "bytes", "digest", "shingles", "sketch", *(f"f{k}" for k in range(PRINTS))])
+
+
+def _flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([pa.array(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.int64))], names=["key"])
+
+
+def _keyed(batches: Iterable[pa.RecordBatch], similarity: float, common: Broadcast) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a text, and whether it is a common one.
+
+    Two texts that are similar share all but a few of their shingles. In any one order of all shingles, the first that they
+    share is among the first n - ceil(similarity * n) + 1 of either, n being its number; beyond KEYS, the chance that none
+    of the first is shared is 0.2 ** KEYS = 4e-9 at 0.8. The order is that of the hashes, with the common ones last:
+
+    - n so small that the sketches of such a text and of all that may be similar are whole: the first in this order;
+    - ENOUGH of the sketch uncommon: the first of those (a fourth of the sketch is common at most; then 0.27 ** KEYS = 1e-7);
+    - else the first of those and the first of all.
+    """
+    apart = common.value
+    for b in batches:
+        size = pa.compute.binary_length(b.column("sketch")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        keys = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64)
+        if not len(keys):
+            continue
+        doc = np.repeat(np.arange(len(size)), size)
+        rank = np.arange(len(keys)) - (np.cumsum(size) - size)[doc]
+        often = apart[np.minimum(np.searchsorted(apart, keys), len(apart) - 1)] == keys if len(apart) else np.zeros(len(keys), bool)
+        n_often = np.bincount(doc, often, len(size)).astype(np.int64)
+        before = np.cumsum(often) - often - (np.cumsum(n_often) - n_often)[doc]  # common ones of the text that are less
+        n = b.column("shingles").to_numpy()
+        most = np.minimum(KEYS, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[doc]
+        uncommon = (size - n_often)[doc]
+        small = (n <= int(SKETCH * similarity))[doc]
+        own = ~often & (rank - before < most)
+        pick = np.flatnonzero(np.where(small, np.where(often, uncommon + before, rank - before) < most, own | ((uncommon < ENOUGH) & (rank < most))))
+        at = pa.array(doc[pick])
+        rest = [c for c in b.schema.names if c not in ("shingles", "sketch")]
+        yield pa.record_batch([pa.array(keys[pick].view(np.int64)), pa.array(often[pick]), *(b.column(c).take(at) for c in rest)], names=["key", "often", *rest])
+
+
+def _common(unique: DataFrame, least: int) -> np.ndarray:
+    """The shingle hashes that more than `least` sketches have, sorted; `least` is doubled until BROADCAST_ROWS hold them."""
+    counts = written(unique.select("sketch").mapInArrow(_flat, "key long").groupBy("key").count().where(F.col("count") > least), "common")
+    while counts.where(F.col("count") > least).count() > BROADCAST_ROWS:
+        least *= 2
+    rows = counts.where(F.col("count") > least).select("key").toPandas()
+    return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def sharing(unique: DataFrame, names: list[str], similarity: float, radius: int, searches: int, hot: int, most: int) -> DataFrame:
+    """unique (node, shingles, sketch, fingerprints by these names) -> a, b: edges with the components of all pairs that
+    share a key and are at most `most` bits apart in all fingerprints together. In a key of more than `hot` texts a pair is
+    within `radius` bits in one of the first `searches` too."""
+    common = unique.sparkSession.sparkContext.broadcast(_common(unique, min(COMMON, hot)))
+    schema = "key long, often boolean, " + ", ".join(f"{f} long" for f in names) + ", node long"
+    rows = unique.select("shingles", "sketch", *names, "node").mapInArrow(partial(_keyed, similarity=similarity, common=common), schema)
+    own, others = F.col(names[0]).alias("fp"), [*names[1:], "node"]
+    counts = written(rows.where("often").groupBy("key").count().where(F.col("count") > hot).select("key"), "hot")
+    if counts.isEmpty():
+        return _compared(rows.select("key", own, *others), ["key"], 64, others, most)
+    counts = sized(counts)
+    found = _compared(rows.join(counts, "key", "left_anti").select("key", own, *others), ["key"], 64, others, most)
+    for name in names[:searches]:
+        others = [*[f for f in names if f != name], "node"]
+        warm = rows.join(counts, "key").select("key", F.col(name).alias("fp"), *others)
+        found = found.unionByName(_divided(warm, ["key"], _blocks(list(range(64)), radius), radius, hot, others, most))
+    return found
 
 
 def similar_pairs(sets: list[np.ndarray], similarity: float, queries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -525,22 +625,19 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity:
     (doc_id, row key) stays, and every row without an id.
 
     Texts that are equal but for case and white space are collapsed first. Each other text has PRINTS independent
-    fingerprints. Families are the components of pairs within `radius` bits in one of the first `searches` and within
-    APART bits of the whole in all together; inside a family every pair is compared that could join two of its parts. So
-    a search only has to bring a pair into one family, and what is contracted before the comparison loses no link.
+    fingerprints. Families are the components of pairs that share one of their least shingle hashes and are within APART
+    bits in all fingerprints together (where more than `hot` share a hash, within `radius` bits in one of the first `searches`
+    too); inside a family every pair is compared that could join two of its parts. So a search only has to bring a pair into
+    one family, and what is contracted before the comparison loses no link.
     """
     rows, key = _located(docs), ["file", "place"]
     texts = rows.select(*key, F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
     names = [f"f{k}" for k in range(PRINTS)]
-    prints = written(texts.mapInArrow(partial(_several, words=words), "file long, place long, doc_id long, bytes long, digest binary, " + ", ".join(f"{f} long" for f in names)), "fingerprints")
+    prints = written(texts.mapInArrow(partial(_several, words=words), "file long, place long, doc_id long, bytes long, digest binary, shingles long, sketch binary, " + ", ".join(f"{f} long" for f in names)), "fingerprints")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *key))).alias("least")
-    unique = prints.groupBy("digest").agg(F.min(F.struct(*key, "bytes", *names)).alias("s"), least)
+    unique = prints.groupBy("digest").agg(F.min(F.struct(*key, "bytes", *names, "shingles", "sketch")).alias("s"), least)
     unique = written(unique.select(F.monotonically_increasing_id().alias("node"), "s.*", "least"), "unique")
-    near = None
-    for own in names[:searches]:
-        others = [f for f in names if f != own]
-        found = links(unique.select(F.col(own).alias("fp"), *others, "node"), radius, hot, [*others, "node"], APART)
-        near = found if near is None else near.unionByName(found)
+    near = sharing(unique, names, similarity, radius, searches, hot, APART)
     families = components(near).join(unique.select("node", *key, "bytes"), "node")
     linked = components(confirmed(families, texts.select(*key, "text"), key, words, similarity, block))
     grouped = unique.select("node", "least").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,65 @@ def test_recall_of_lone_pairs_at_the_similarity(spark):
     assert len(left) - 300 <= 0.1 * pairs
 
 
+@pytest.mark.parametrize("line", [False, True])
+def test_unlike_texts_are_hardly_compared(spark, monkeypatch, line):
+    """Pairs of one key follow the number of texts, also if all have a line in common."""
+    rng = np.random.default_rng(15)
+    common = "\n" + " ".join(f"line{x}" for x in range(13)) if line else ""
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 120)) + common) for k in range(3000)]
+    pairs, compared = [], simhash._compared
+
+    def counted(rows, keys, *how):
+        pairs.append(rows.groupBy(*keys).count().selectExpr("sum(count * (count - 1) / 2)").first()[0] or 0)
+        return compared(rows, keys, *how)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3000
+    assert pairs and sum(pairs) < 5 * 3000
+
+
+@pytest.mark.parametrize("shared", [0, 9, 60])
+def test_similar_sets_share_a_key(shared):
+    """Sets of all sizes at a similarity of 0.8, with common hashes in both or in one of them."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(shared)
+    common = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+    sets = []
+    for k in range(3000):
+        both = 4 * (1 + k % 60) * (1 + 9 * (k % 7 == 0))
+        alone = rng.integers(0, 1 << 63, both // 4).astype(np.uint64)
+        own = rng.integers(0, 1 << 63, both).astype(np.uint64)
+        often = rng.choice(common, min(shared, len(own)), replace=False)
+        if k % 2:
+            own[: len(often)] = often
+        else:
+            alone[: len(often)] = often[: len(alone)]
+        cut = int(rng.integers(0, len(alone) + 1))
+        sets += [np.unique(np.append(own, alone[:cut])), np.unique(np.append(own, alone[cut:]))]
+    told = [simhash._sketch(x) for x in sets]
+    b = pa.record_batch([pa.array([x[0] for x in told], pa.int64()), pa.array([x[1] for x in told], pa.binary()), pa.array(range(len(sets)), pa.int64())], names=["shingles", "sketch", "node"])
+    keys = [set() for _ in sets]
+    for out in simhash._keyed([b], 0.8, SimpleNamespace(value=common)):
+        for key, often, node in zip(*(out.column(c).to_pylist() for c in ("key", "often", "node")), strict=True):
+            assert often == (key in common.view(np.int64))
+            keys[node].add(key)
+    assert max(map(len, keys)) <= 2 * simhash.KEYS
+    for i in range(0, len(sets), 2):
+        x, y = sets[i], sets[i + 1]
+        assert len(np.intersect1d(x, y)) < 0.8 * len(np.union1d(x, y)) - 1e-9 or keys[i] & keys[i + 1], (i, len(x), len(y))
+
+
+def test_a_sketch_has_the_least_hashes():
+    rng = np.random.default_rng(16)
+    for n, values in ((0, 9), (1, 9), (31, 1 << 62), (128, 1 << 62), (129, 20), (500, 40), (500, 1 << 62), (3000, 33)):
+        x = rng.integers(0, values, n).astype(np.uint64)
+        own = np.unique(x)
+        told, least = simhash._sketch(x)
+        assert np.frombuffer(least, np.uint64).tolist() == own[: simhash.SKETCH].tolist()
+        assert told == len(own) or told >= len(own) > simhash.SKETCH
+
+
 def test_pivots_change_nothing(spark):
     rng = np.random.default_rng(14)
     base = int(rng.integers(0, 1 << 63))
